@@ -71,7 +71,7 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.n
 
 def _pieces(data: np.ndarray, offsets: np.ndarray, length: int, piece: int):
     """anchors_of for blocks of any size."""
-    for row, _, block, at in B.blocks(data, offsets):
+    for row, _, block, at in B.blocks(data, offsets, min(B.BLOCK_BYTES, piece)):
         if len(block) <= piece:
             yield row, anchors_of(block, at, length)
             continue

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import compression_classifier
 from .jaccard_join import near_duplicate_components
+from .quality_rules import quality_rules
 from .repeated_spans import remove_repeated
 
 
@@ -19,13 +21,31 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_components(_table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
 
+#: A row is held out, and its label not learned from, if this is 0.
+_FOLD = "crc32(coalesce(cast(doc_id as string), '')) % 5"
+
+
+def op5_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = compression_classifier.fit(docs, labels.where(f"{_FOLD} <> 0"))
+    scored = compression_classifier.score(docs, model)
+    return scored.select("doc_id", F.expr(f"{_FOLD} = 0").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated(_table(spark, sf_dir, "documents"), length=400).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op5_compression_classifier": op5_compression_classifier,
     "op7_repeated_spans": op7_repeated_spans,
+    "op8_quality_rules": op8_quality_rules,
 }
 
 #: DuckDB SQL of the queries that it can express on whole tables.

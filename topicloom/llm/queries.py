@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, compression_classifier
+from . import chat, compression_classifier, pii
 from .jaccard_join import near_duplicate_components
 from .quality_rules import quality_rules
 from .repeated_spans import remove_repeated
@@ -22,6 +22,16 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_components(_table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
 
+def _joined(spans: str) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["first"].cast("string"), s["after"].cast("string"))), ",")
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(_table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+
+
 #: A row is held out, and its label not learned from, if this is 0.
 _FOLD = "crc32(coalesce(cast(doc_id as string), '')) % 5"
 
@@ -66,6 +76,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op4_pii": op4_pii,
     "op5_compression_classifier": op5_compression_classifier,
     "op7_repeated_spans": op7_repeated_spans,
     "op8_quality_rules": op8_quality_rules,

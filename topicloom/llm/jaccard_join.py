@@ -169,21 +169,25 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     store = Store(spark, "jaccard")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = store.put(_prefixes(docs, words, num, den, _sketch(docs, words)), "rows")
+    rows = _prefixes(docs, words, num, den, _sketch(docs, words)).withColumn("rid", F.monotonically_increasing_id())
+    rows = store.put(rows, "rows")
     bits = [f"b{i}" for i in range(8)]
 
-    classes = rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n", "pkey", "prefix", *bits)))
-    classes = store.put(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    groups = classes.groupBy("pkey").agg(F.min("cid").alias("gid"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    groups = store.put(groups, "groups")
-    members = store.put(classes.join(groups.select("pkey", "gid"), "pkey").select("gid", "cid", "n", *bits), "members")
+    # Classes and groups are found on thin rows; prefixes and signatures move once, for one row of each class.
+    classes = rows.where("n > 0").groupBy("digest").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").cast("int").alias("n"), F.first("pkey").alias("pkey"))
+    classes = store.put(classes, "classes")
+    leads = classes.groupBy("pkey").agg(F.min("cid").alias("gid"), F.count("*").alias("size"))
+    thin = classes.join(leads, "pkey").select("cid", "gid", "size", "n")
+    members = store.put(rows.select(F.col("rid").alias("cid"), "pkey", "prefix", *bits).join(thin, "cid").withColumn("prefix", F.when(F.col("cid") == F.col("gid"), F.col("prefix"))), "members")
+    groups = members.where("cid = gid")
 
     # A group of several classes is one bucket more, by the prefix as a whole.
-    tokens = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
-    whole = groups.where("size > 1").select("gid", "n", F.lit(0).alias("pos"), F.xxhash64("pkey").alias("token"))
-    tokens = tokens.select("token", "gid", "n", "pos").unionAll(whole.select("token", "gid", "n", "pos"))
-    counts = tokens.join(groups.where("size > 1").select("gid", "size"), "gid", "left").groupBy("token").agg(F.sum(F.coalesce("size", F.lit(1))).alias("c")).where("c > 1")
-    buckets = store.put(tokens.join(counts, "token").select("token", "gid", "n", "pos", (F.col("c") > HOT).alias("hot")), "buckets")
+    tokens = groups.select("gid", "n", "size", F.posexplode("prefix").alias("pos", "token"))
+    whole = groups.where("size > 1").select("gid", "n", "size", F.lit(0).alias("pos"), F.xxhash64("pkey").alias("token"))
+    tokens = tokens.unionByName(whole)
+    counts = tokens.groupBy("token").agg(F.sum("size").alias("c")).where("c > 1")
+    buckets = store.put(tokens.select("token", "gid", "n", "pos").join(counts, "token").select("token", "gid", "n", "pos", (F.col("c") > HOT).alias("hot")), "buckets")
+    members = members.select("gid", "cid", "n", *bits)
 
     found = None
     hot = buckets.where("hot")
@@ -216,9 +220,12 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     pairs = met.join(mx, F.col("g") == F.col("x.gid")).join(my, (F.col("h") == F.col("y.gid")) & apart & ((F.col("g") < F.col("h")) | (F.col("x.cid") < F.col("y.cid"))) & _near("x", "y", num, den))
     pairs = pairs.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b"))
     if found is not None:
-        own = with_comp(hot)
-        more = own.alias("x").join(own.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.cid") < F.col("y.cid")) & apart & possible & _near("x", "y", num, den))
-        pairs = pairs.unionAll(more.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")))
+        # Within a bucket, pairs inside its largest component need no look: one side is always outside it.
+        own = store.put(with_comp(hot), "hot")
+        largest = own.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("largest"))
+        outside = own.join(largest, "token").where("comp <> largest").drop("largest")
+        more = outside.alias("x").join(own.alias("y"), (F.col("x.token") == F.col("y.token")) & apart & possible & _near("x", "y", num, den))
+        pairs = pairs.unionAll(more.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")))
     links = _verified(pairs, classes, docs, words, num, den, store)
     links = links if found is None else links.unionAll(found)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import chat, compression_classifier, pii
 from .jaccard_join import near_duplicate_components
+from .mixing import mix
 from .quality_rules import quality_rules
 from .repeated_spans import remove_repeated
 from .sharding import shard_by_bytes
@@ -22,6 +23,10 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_components(_table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def _joined(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["first"].cast("string"), s["after"].cast("string"))), ",")
 
@@ -76,6 +81,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op2_mixing": op2_mixing,
     "op4_pii": op4_pii,
     "op5_compression_classifier": op5_compression_classifier,
     "op7_repeated_spans": op7_repeated_spans,

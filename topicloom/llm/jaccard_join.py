@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytes as B
+from . import idfilter
 from .components import connected_components
 from .store import Store
 
@@ -32,8 +33,6 @@ SKETCH_BITS = 20
 SKETCH_PARTS = 64
 #: Classes of a bucket from which its leaders are verified first.
 HOT = 32
-#: Bits of the fixed-size filter of documents whose sets a verification needs.
-FILTER_BITS = 22
 
 
 def _shingles(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -89,7 +88,7 @@ def _prefixes(docs: DataFrame, words: int, num: int, den: int, sketch: np.ndarra
                     order = np.argsort(sketch[(own >> B.U64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
                     prefix = own[order[: n - -(-num * n // den) + 1 if n else 0]]
                     out["n"].append(n)
-                    out["digest"].append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
+                    out["digest"].append(_digest_of(own))
                     out["prefix"].append(prefix.view(np.int64))
                     out["pkey"].append(hashlib.blake2b(prefix.tobytes() + n.to_bytes(8, "little"), digest_size=16).digest())
                     out["bits"].append(np.packbits(np.bincount((own & B.U64(511)).astype(np.int64), minlength=512) & 1 == 1).view(np.int64))
@@ -105,38 +104,22 @@ def _prefixes(docs: DataFrame, words: int, num: int, den: int, sketch: np.ndarra
 
 def _sets(docs: DataFrame, words: int, wanted: bytes) -> DataFrame:
     """(digest, members) of the documents that the filter lets through."""
-    mask = np.unpackbits(np.frombuffer(wanted, np.uint8))
 
     def rows(batches):
+        mask = idfilter.mask_of(wanted)
         for batch in batches:
-            ids = np.array([hash_id(x) for x in batch.column(0).to_pylist()], np.int64)
-            batch = batch.filter(pa.array(mask[ids].astype(bool)))
+            batch = batch.filter(idfilter.passes(batch.column(0), mask))
             digests, sets = [], []
             for _, grams, bounds in _shingles(batch, words):
                 for t in range(len(bounds) - 1):
                     own = np.unique(grams[bounds[t] : bounds[t + 1]])
-                    digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
+                    digests.append(_digest_of(own))
                     sets.append(own.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["digest", "members"])
 
     return docs.mapInArrow(rows, "digest binary, members array<long>").dropDuplicates(["digest"])
 
 
-def hash_id(x) -> int:
-    """Place of a document id in the filter; the same in Python and, for _places, in Spark."""
-    return 0 if x is None else x % (1 << FILTER_BITS)
-
-
-def _wanted(ids: DataFrame) -> bytes:
-    """Bits of the ids in the filter. What comes to the driver is bounded by the filter's size."""
-    place = F.coalesce(F.pmod("doc_id", F.lit(1 << FILTER_BITS)), F.lit(0)).cast("int")
-    words = ids.select(place.alias("p")).groupBy(F.shiftright("p", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, p & 31))").alias("m"))
-    bits = np.zeros(1 << FILTER_BITS, np.uint8)
-    for w, m in words.collect():
-        bits[w * 32 : w * 32 + 32] = [m >> i & 1 for i in range(32)]
-    return np.packbits(bits).tobytes()
-
-
 def _near(a: str, b: str, num: int, den: int) -> Column:
     """What size and signature leave possible."""
     x, y = F.col(f"{a}.n"), F.col(f"{b}.n")
@@ -148,7 +131,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
     """The pairs (a, b) of classes whose whole sets reach the threshold."""
     pairs = store.put(pairs.distinct(), "candidates")
     nodes = store.put(classes.join(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid").select("cid", "digest", "doc_id", "n"), "nodes")
-    sets = _sets(docs, words, _wanted(nodes))
+    sets = _sets(docs, words, idfilter.bits_of(nodes))
     sets = store.put(sets.join(nodes, "digest").select("cid", "n", "members"), "sets")
     left = sets.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("members").alias("ma"))
     right = sets.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("members").alias("mb"))
@@ -156,16 +139,12 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
     return store.put(pairs.join(left, "a").join(right, "b").where((den + num) * common >= num * (F.col("na") + F.col("nb"))).select("a", "b"), "verified")
 
 
-def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_shingles, component_id, class_size.
+def _digest_of(own: np.ndarray) -> bytes:
+    return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
-    Words are lower-cased (A to Z) runs of bytes other than space and U+0009 to U+000D; a set holds the
-    distinct runs of ``words`` words, or all words as one run where there are fewer. Rows link when the
-    sets' Jaccard similarity is at least num / den; component_id is the smallest id that links reach.
-    ids are integers. A row with a null or empty text, or white space alone, has n_shingles 0 and is its
-    own component. Rows that repeat an id are linked by their own texts; a null id counts as larger than
-    any other. An empty table gives an empty one. Columns other than the two named are not read.
-    """
+
+def _components(docs: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_size, digest of the set and root, which tells components apart."""
     spark = docs.sparkSession
     store = Store(spark, "jaccard")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -232,8 +211,50 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     roots = connected_components(links, store)
     named = classes.select("cid", "digest", "doc_id", "copies").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = store.put(named.join(least, "root").select("digest", "component_id", F.col("copies").alias("class_size")), "named")
-    # Rows without a set stand alone; the join is by digest, so they are spread by their id.
-    full = rows.where("n > 0").select("doc_id", "n", "digest").join(named, "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_size")
-    bare = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("class_size"))
+    named = store.put(named.join(least, "root").select("digest", "root", "component_id", F.col("copies").alias("class_size")), "named")
+    full = rows.where("n > 0").select("doc_id", F.col("n").alias("n_shingles"), "digest").join(named, "digest").select("doc_id", "n_shingles", "component_id", "class_size", "digest", "root")
+    bare = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("class_size"), "digest", F.lit(None).cast("long").alias("root"))
     return full.unionAll(bare)
+
+
+def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_shingles, component_id, class_size.
+
+    Words are lower-cased (A to Z) runs of bytes other than space and U+0009 to U+000D; a set holds the
+    distinct runs of ``words`` words, or all words as one run where there are fewer. Rows link when the
+    sets' Jaccard similarity is at least num / den; component_id is the smallest id that links reach.
+    ids are integers. A row with a null or empty text, or white space alone, has n_shingles 0 and is its
+    own component. Rows that repeat an id are linked by their own texts; a null id counts as larger than
+    any other. An empty table gives an empty one. Columns other than the two named are not read.
+    """
+    found = _components(docs, id_col, text_col, words, num, den)
+    return found.select("doc_id", "n_shingles", "component_id", "class_size")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``docs`` with one row of each component: that with the least id (nulls last), then any of its equals.
+
+    Rows and columns are otherwise unchanged; rows without words all stay. Only the texts of rows in components
+    of several rows, and of some others by chance, are exchanged. See near_duplicate_components for the links.
+    """
+    store = Store(docs.sparkSession, "keep-one")
+    found = store.put(_components(docs, id_col, text_col, words, num, den).where("n_shingles > 0"), "components")
+    sets = found.groupBy("doc_id", "digest", "root").agg(F.count("*").alias("n"))
+    several = sets.groupBy("root").agg(F.sum("n").alias("rows"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("one"))
+    several = store.put(several.select("root", "rows", "one.doc_id", "one.digest"), "kept")
+    bits = idfilter.bits_of(sets.join(several.where("rows > 1").select("root"), "root"))
+    at, text_at = docs.columns.index(id_col), docs.columns.index(text_col)
+
+    def with_digest(batches):
+        for batch in batches:
+            thin = pa.RecordBatch.from_arrays([batch.column(at), batch.column(text_at)], ["id", "text"])
+            digests = [_digest_of(np.unique(grams[bounds[t] : bounds[t + 1]])) for _, grams, bounds in _shingles(thin, words) for t in range(len(bounds) - 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], [*batch.schema.names, "__digest"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    clear = idfilter.where_passes(docs, bits, id_col, let=False)
+    some = idfilter.where_passes(docs, bits, id_col).mapInArrow(with_digest, f"{kinds}, __digest binary")
+    bare = some["__digest"] == F.lit(_digest_of(np.zeros(0, B.U64)))
+    kept = several.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__kept"))
+    one = some.where(~bare).join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__kept"))).dropDuplicates(["__id", "__digest"])
+    return clear.unionByName(some.where(bare).select(*docs.columns)).unionByName(one.select(*docs.columns))

@@ -10,10 +10,13 @@ in shuffled order, end to end and again from the start, cut into blocks of equal
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import bytes as B
 from .store import Store
 
 WEIGHTS = (3, 1, 2)
@@ -129,3 +132,37 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     whole = F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(0).cast("long")
     part = F.struct(F.lit(0).cast("long").alias("first"), (F.col("taken") - whole * F.col("size")).alias("after"))
     return result.select("doc_id", "source", "size", "source_size", "target", "taken", whole.alias("whole"), part.alias("part"))
+
+
+def materialize(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The mix itself: the rows of ``docs`` as often as ``plan``, which ``mix`` made of them, takes them.
+
+    A row is given ``whole`` times unchanged, and once more with its text up to the end of the last word
+    of its part. Rows that agree in id, source and size are matched one to one. Rows not taken are left out.
+    """
+    keys = [F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 62))).alias("__id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("__source"), F.col(source_col).isNull().alias("__none")]
+    on = ["__id", "__source", "__none", "__size", "__nth"]
+    columns = docs.columns
+    rows = docs.select("*", *keys, word_count(F.col(text_col).cast("string")).alias("__size"))
+    rows = rows.withColumn("__nth", F.row_number().over(W.partitionBy(*on[:4]).orderBy(F.lit(0))))
+    plan = plan.where("taken > 0").select(F.coalesce("doc_id", F.lit(-(1 << 62))).alias("__id"), F.coalesce("source", F.lit("")).alias("__source"), F.col("source").isNull().alias("__none"), F.col("size").alias("__size"), "whole", F.col("part.after").alias("__part"))
+    # Every row of a key is there with its number, so those without words taken pair with none.
+    plan = plan.withColumn("__nth", F.row_number().over(W.partitionBy(*on[:4]).orderBy(F.desc("whole"), F.desc("__part"))))
+    times = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("whole").cast("int")), F.when(F.col("__part") > 0, F.array("__part")).otherwise(F.array().cast("array<bigint>")))
+    taken = rows.join(plan, on).withColumn("__words", F.explode(times)).select(*columns, "__words")
+    at, kind = columns.index(text_col), docs.schema
+
+    def cut(batches):
+        for batch in batches:
+            data, offsets = B.texts_of(batch.column(at))
+            words = batch.column(len(columns)).to_numpy()
+            texts = batch.column(at).to_pylist()
+            for i in np.flatnonzero(words >= 0):
+                own = data[offsets[i] : offsets[i + 1]]
+                _, end, _ = B.words_of(own, np.array([0, len(own)]))
+                texts[i] = own[: end[words[i] - 1]].tobytes().decode()
+            cols = [batch.column(i) for i in range(len(columns))]
+            cols[at] = pa.array(texts, batch.column(at).type)
+            yield pa.RecordBatch.from_arrays(cols, columns)
+
+    return taken.mapInArrow(cut, kind)

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytes as B
+from . import idfilter
 from .store import Store
 
 ANCHOR = 64
@@ -37,7 +38,6 @@ PART_WINDOWS = 400_000
 SORT_BYTES = 3 << 20
 #: A text longer than this is searched in overlapping pieces.
 PIECE = 1 << 23
-FILTER_BITS = 22
 
 
 def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -241,28 +241,6 @@ def _sorted_out(dealt: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(rows, "tid long, first long, after long")
 
 
-def _bit_filter(ids: DataFrame) -> bytes:
-    """Bits of the ids in a filter of 2 ** FILTER_BITS; what comes to the driver has that bound."""
-    place = F.coalesce(F.pmod("doc_id", F.lit(1 << FILTER_BITS)), F.lit(0)).cast("int")
-    rows = ids.select(place.alias("p")).groupBy(F.shiftright("p", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, p & 31))").alias("m")).collect()
-    bits = np.zeros(1 << FILTER_BITS, np.uint8)
-    for w, m in rows:
-        bits[w * 32 : w * 32 + 32] = [m >> i & 1 for i in range(32)]
-    return np.packbits(bits).tobytes()
-
-
-def _maybe(docs: DataFrame, wanted: bytes) -> DataFrame:
-    """Documents that the filter lets through; spares the others the exchange of their text."""
-    mask = np.unpackbits(np.frombuffer(wanted, np.uint8)).astype(bool)
-
-    def rows(batches):
-        for batch in batches:
-            ids = np.array([0 if x is None else x % (1 << FILTER_BITS) for x in batch.column(0).to_pylist()], np.int64)
-            yield batch.filter(pa.array(mask[ids]))
-
-    return docs.mapInArrow(rows, docs.schema)
-
-
 def _cut(joined: DataFrame, text_too: bool) -> DataFrame:
     """joined: tid, text, digest, spans. Adds what is left of each text without the spans."""
 
@@ -311,7 +289,7 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = store.put(left.join(texts.select("tid", "digest", F.col("doc_id").alias("rep")), "tid"), "anchored")
 
     def with_text(of: DataFrame) -> DataFrame:
-        some = _maybe(docs, _bit_filter(of.select(F.col("rep").alias("doc_id"))))
+        some = idfilter.where_passes(docs, idfilter.bits_of(of, "rep"))
         return some.join(of, F.col("doc_id").eqNullSafe(F.col("rep")))
 
     dealt = _deal(with_text(left).select("tid", "text", "digest", "anchors"), length, hot)

@@ -203,22 +203,33 @@ def _order(segs: list[bytes], keys: np.ndarray, tids: np.ndarray, m: np.ndarray,
     return _runs(tids[seg], lo[seg] + off, length)
 
 
-def _sorted_out(dealt: DataFrame, length: int) -> DataFrame:
-    """(tid, first, after) of repeated stretches. dealt: by key and part, in that order within a partition."""
-    names = ["tid", "first", "after"]
+def _sorted_out(dealt: DataFrame, length: int, buckets: int) -> DataFrame:
+    """(tid, spans) of repeated stretches. dealt: by key and part, in that order within a partition.
 
-    def out(t, a, b):
-        return pa.RecordBatch.from_arrays([pa.array(t.astype(np.int64)), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], names)
+    What a task finds goes out packed, one row for each bucket of texts, so that the stretches of a text that
+    many tasks found a byte each of make no rows of their own.
+    """
 
     def rows(batches):
         kept: list[tuple] = []
+        found: list[tuple[np.ndarray, ...]] = []
         held = 0
 
+        def out():
+            tid, first, after = (np.concatenate(x) for x in zip(*found, strict=True))
+            found.clear()
+            order = np.argsort(tid % buckets, kind="stable")
+            tid, first, after = tid[order], first[order], after[order]
+            some, at = np.unique(tid % buckets, return_index=True)
+            at = np.r_[at, len(tid)]
+            cols = [pa.array([x[i:j].astype(np.int64).tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary()) for x in (tid, first, after)]
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *cols], ["bucket", "tids", "firsts", "afters"])
+
         def solve(rows):
             cold = [r for r in rows if r[5] is not None]
             if cold:
                 key, _, tid, m, lo, seg = list(zip(*cold, strict=True))[:6]
-                yield out(*_order(list(seg), np.array(key, np.int64), np.array(tid, np.int64), np.array(m, np.int64), np.array(lo, np.int64), length))
+                found.append(_order(list(seg), np.array(key, np.int64), np.array(tid, np.int64), np.array(m, np.int64), np.array(lo, np.int64), length))
             hot: dict[tuple, list] = {}
             for r in rows:
                 if r[5] is None:
@@ -226,19 +237,46 @@ def _sorted_out(dealt: DataFrame, length: int) -> DataFrame:
             for own in hot.values():
                 vals, tids, places = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*own, strict=True), (B.U64, np.int64, np.int32), strict=True))
                 keep = _again(vals)
-                yield out(*_runs(tids[keep], places[keep].astype(np.int64), length))
+                found.append(_runs(tids[keep], places[keep].astype(np.int64), length))
 
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held > SORT_BYTES and r[:2] != kept[-1][:2]:
-                    yield from solve(kept)
+                    solve(kept)
                     kept, held = [], 0
+                    if sum(len(x[0]) for x in found) > 500_000:
+                        yield out()
                 kept.append(r)
                 held += len(r[5] or b"") + len(r[6] or b"")
         if kept:
-            yield from solve(kept)
+            solve(kept)
+        if found:
+            yield out()
 
-    return dealt.mapInArrow(rows, "tid long, first long, after long")
+    def union(batches):
+        parts: list[list[np.ndarray]] = [[], [], []]
+        for batch in batches:
+            for p, column in zip(parts, batch.columns[1:], strict=True):
+                p += [np.frombuffer(x, np.int64) for x in column.to_pylist()]
+        if not parts[0]:
+            return
+        tid, first, after = (np.concatenate(p) for p in parts)
+        order = np.lexsort((first, tid))
+        tid, first, after = tid[order], first[order], after[order]
+        _, start = np.unique(tid, return_index=True)
+        # Ends run on within a text only: texts are set apart by more than any place.
+        far = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(tid)])) << 40
+        reach = np.maximum.accumulate(after + far)
+        new = np.flatnonzero(np.r_[True, first[1:] + far[1:] > reach[:-1]])
+        last = np.r_[new[1:], len(tid)] - 1
+        tid, first, after = tid[new], first[new], (reach[last] - far[last])
+        own, at = np.unique(tid, return_index=True)
+        values = pa.StructArray.from_arrays([pa.array(first), pa.array(after)], names=["first", "after"])
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[at, len(tid)].astype(np.int32)), values)
+        yield pa.RecordBatch.from_arrays([pa.array(own), lists], ["tid", "spans"])
+
+    packed = dealt.mapInArrow(rows, "bucket int, tids binary, firsts binary, afters binary")
+    return packed.repartition(buckets, "bucket").mapInArrow(union, "tid long, spans array<struct<first: long, after: long>>")
 
 
 def _cut(joined: DataFrame, text_too: bool) -> DataFrame:
@@ -252,12 +290,7 @@ def _cut(joined: DataFrame, text_too: bool) -> DataFrame:
                 raw = data[offsets[i] : offsets[i + 1]].tobytes()
                 if hashlib.sha256(raw).digest() != digest:
                     continue
-                merged: list[list[int]] = []
-                for s in sorted((x["first"], x["after"]) for x in spans):
-                    if merged and s[0] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], s[1])
-                    else:
-                        merged.append([*s])
+                merged = [(x["first"], x["after"]) for x in spans]
                 kept = b"".join(raw[a:b] for a, b in zip([0, *(x[1] for x in merged)], [*(x[0] for x in merged), len(raw)], strict=True))
                 row = (tid, len(raw) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), [{"first": a, "after": b} for a, b in merged], kept if text_too else None)
                 for k, x in zip(out, row, strict=True):
@@ -295,7 +328,7 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dealt = _deal(with_text(left).select("tid", "text", "digest", "anchors"), length, hot)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = dealt.repartition(parts, "key", "part").sortWithinPartitions("key", "part")
-    spans = _sorted_out(dealt, length).groupBy("tid").agg(F.collect_list(F.struct("first", "after")).alias("spans"))
+    spans = _sorted_out(dealt, length, parts)
     spans = store.put(spans.join(texts.where("copies = 1").select("tid", "digest", F.col("doc_id").alias("rep")), "tid"), "spans")
     cut = store.put(_cut(with_text(spans).select("tid", "text", "digest", "spans"), text_too).dropDuplicates(["tid"]), "cut")
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, compression_classifier, pii
+from . import bm25, byte_bpe, chat, compression_classifier, pii
 from .jaccard_join import near_duplicate_components
 from .mixing import mix
 from .quality_rules import quality_rules
@@ -58,6 +58,12 @@ def op5_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.expr(f"{_FOLD} = 0").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op6_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = bm25.search(docs, docs.where("doc_id % 100 = 0"), k=10)
+    return found.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
 def op7_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated(_table(spark, sf_dir, "documents"), length=400).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
@@ -95,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_pii": op4_pii,
     "op5_compression_classifier": op5_compression_classifier,
+    "op6_bm25": op6_bm25,
     "op7_repeated_spans": op7_repeated_spans,
     "op8_quality_rules": op8_quality_rules,
     "op9_sharding": op9_sharding,
@@ -102,4 +109,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL of the queries that it can express on whole tables.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_bm25": """WITH words AS (SELECT doc_id, unnest(list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL), dl AS (SELECT doc_id, sum(tf) AS dl FROM tf GROUP BY doc_id), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+n AS (SELECT count(*) AS n, (SELECT count(*) FROM words) / count(*) AS mean FROM documents),
+im AS (SELECT doc_id, term, tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / mean)) * ln(1 + (n - df + 0.5) / (df + 0.5)) AS s FROM tf JOIN dl USING (doc_id) JOIN df USING (term), n),
+sc AS (SELECT q.doc_id AS query_id, im.doc_id, round(sum(s), 9) AS score FROM tf q JOIN im USING (term) WHERE q.doc_id % 100 = 0 GROUP BY ALL)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, round(score, 6) AS score FROM sc QUALIFY rank <= 10""",
+}

@@ -31,6 +31,8 @@ from .store import Store
 
 SKETCH_BITS = 20
 SKETCH_PARTS = 64
+#: A set of more shingles than this has a signature of WIDE bits as well; 512 bits tell large sets apart badly.
+LARGE, WIDE = 1024, 8192
 #: Classes of a bucket from which its leaders are verified first.
 HOT = 32
 
@@ -75,12 +77,17 @@ def _sketch(docs: DataFrame, words: int) -> np.ndarray:
     return out
 
 
+def _parity(own: np.ndarray, bits: int) -> np.ndarray:
+    """Parity of the set's members by the last bits of their hashes, as 64-bit integers."""
+    return np.packbits(np.bincount((own & B.U64(bits - 1)).astype(np.int64), minlength=bits) & 1 == 1).view(np.int64)
+
+
 def _prefixes(docs: DataFrame, words: int, num: int, den: int, sketch: np.ndarray) -> DataFrame:
     """A row for each document: its set's size, digest, prefix, the prefix's digest and the signature."""
 
     def rows(batches):
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("n", "digest", "prefix", "pkey", "bits")}
+            out: dict[str, list] = {k: [] for k in ("n", "digest", "prefix", "pkey", "bits", "wide")}
             for _, grams, bounds in _shingles(batch, words):
                 for t in range(len(bounds) - 1):
                     own = np.unique(grams[bounds[t] : bounds[t + 1]])
@@ -91,14 +98,16 @@ def _prefixes(docs: DataFrame, words: int, num: int, den: int, sketch: np.ndarra
                     out["digest"].append(_digest_of(own))
                     out["prefix"].append(prefix.view(np.int64))
                     out["pkey"].append(hashlib.blake2b(prefix.tobytes() + n.to_bytes(8, "little"), digest_size=16).digest())
-                    out["bits"].append(np.packbits(np.bincount((own & B.U64(511)).astype(np.int64), minlength=512) & 1 == 1).view(np.int64))
+                    out["wide"].append(_parity(own, WIDE) if n > LARGE else None)
+                    out["bits"].append(_parity(own, 512))
             arrays = [batch.column(0), pa.array(out["n"], pa.int64()), pa.array(out["digest"], pa.binary()), pa.array(out["prefix"], pa.list_(pa.int64())), pa.array(out["pkey"], pa.binary())]
             bits = np.array(out["bits"], np.int64).reshape(-1, 8)
             arrays += [pa.array(bits[:, i]) for i in range(8)]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *list(out)[:4], *(f"b{i}" for i in range(8))])
+            arrays.append(pa.array(out["wide"], pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *list(out)[:4], *(f"b{i}" for i in range(8)), "wide"])
 
     kind = docs.schema[0].dataType.simpleString()
-    schema = f"doc_id {kind}, n long, digest binary, prefix array<long>, pkey binary, " + ", ".join(f"b{i} long" for i in range(8))
+    schema = f"doc_id {kind}, n long, digest binary, prefix array<long>, pkey binary, " + ", ".join(f"b{i} long" for i in range(8)) + ", wide array<long>"
     return docs.mapInArrow(rows, schema)
 
 
@@ -127,9 +136,12 @@ def _near(a: str, b: str, num: int, den: int) -> Column:
     return (den * F.least(x, y) >= num * F.greatest(x, y)) & ((den + num) * apart <= (den - num) * (x + y))
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, num: int, den: int, store: Store) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets reach the threshold."""
-    pairs = store.put(pairs.distinct(), "candidates")
+def _verified(pairs: DataFrame, classes: DataFrame, large: DataFrame, docs: DataFrame, words: int, num: int, den: int, store: Store) -> DataFrame:
+    """The pairs (a, b) of classes whose whole sets reach the threshold. large: cid, n, wide of large sets."""
+    x, y = (large.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("wide").alias(f"w{c}")) for c in "ab")
+    apart = F.aggregate(F.zip_with("wa", "wb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    may = F.col("wa").isNull() | F.col("wb").isNull() | ((den + num) * apart <= (den - num) * (F.col("na") + F.col("nb")))
+    pairs = store.put(pairs.distinct().join(x, "a", "left").join(y, "b", "left").where(may).select("a", "b"), "candidates")
     nodes = store.put(classes.join(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid").select("cid", "digest", "doc_id", "n"), "nodes")
     sets = _sets(docs, words, idfilter.bits_of(nodes))
     sets = store.put(sets.join(nodes, "digest").select("cid", "n", "members"), "sets")
@@ -157,8 +169,9 @@ def _components(docs: DataFrame, id_col: str, text_col: str, words: int, num: in
     classes = store.put(classes, "classes")
     leads = classes.groupBy("pkey").agg(F.min("cid").alias("gid"), F.count("*").alias("size"))
     thin = classes.join(leads, "pkey").select("cid", "gid", "size", "n")
-    members = store.put(rows.select(F.col("rid").alias("cid"), "pkey", "prefix", *bits).join(thin, "cid").withColumn("prefix", F.when(F.col("cid") == F.col("gid"), F.col("prefix"))), "members")
+    members = store.put(rows.select(F.col("rid").alias("cid"), "pkey", "prefix", *bits, "wide").join(thin, "cid").withColumn("prefix", F.when(F.col("cid") == F.col("gid"), F.col("prefix"))), "members")
     groups = members.where("cid = gid")
+    large = members.where("wide is not null").select("cid", "n", "wide")
 
     # A group of several classes is one bucket more, by the prefix as a whole.
     tokens = groups.select("gid", "n", "size", F.posexplode("prefix").alias("pos", "token"))
@@ -177,7 +190,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, words: int, num: in
         leaders = hot.groupBy("token").agg(*(F.min(F.struct(F.xxhash64("cid", F.lit(k)).alias("h"), one.alias("x"))).alias(f"k{k}") for k in range(4)))
         leaders = leaders.select("token", F.explode(F.array_distinct(F.array(*(f"k{k}.x" for k in range(4))))).alias("x")).select("token", F.col("x.cid").alias("leader"), F.struct("x.n", *(f"x.{b}" for b in bits)).alias("l"))
         pairs = leaders.join(hot.withColumn("m", F.struct("n", *bits)), "token").where("leader <> cid").where(_near("l", "m", num, den))
-        found = _verified(pairs.select(F.least("leader", "cid").alias("a"), F.greatest("leader", "cid").alias("b")), classes, docs, words, num, den, store)
+        found = _verified(pairs.select(F.least("leader", "cid").alias("a"), F.greatest("leader", "cid").alias("b")), classes, large, docs, words, num, den, store)
         comp = connected_components(found, store)
 
     def with_comp(df: DataFrame) -> DataFrame:
@@ -205,7 +218,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, words: int, num: in
         outside = own.join(largest, "token").where("comp <> largest").drop("largest")
         more = outside.alias("x").join(own.alias("y"), (F.col("x.token") == F.col("y.token")) & apart & possible & _near("x", "y", num, den))
         pairs = pairs.unionAll(more.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")))
-    links = _verified(pairs, classes, docs, words, num, den, store)
+    links = _verified(pairs, classes, large, docs, words, num, den, store)
     links = links if found is None else links.unionAll(found)
 
     roots = connected_components(links, store)

@@ -2,7 +2,7 @@
 
 The most frequent words of the corpus, ``DICTIONARY`` at most, are encoded by Spark itself: a higher-order
 fold over a word's byte array merges the adjacent pair of least rank, the leftmost on ties, until no pair
-has a rank; ranks come from a literal map, split by a checksum so that a look-up reads a handful of keys.
+has a rank; ranks come from a map of one row, split by a checksum so that a look-up reads a handful of keys.
 The encoded dictionary has a proven size bound and goes to the tasks that encode the texts. Words beyond
 it - rare ones and those longer than ``LONGEST`` bytes - are merged in those tasks by the same rule, once
 for each task while they recur, with a heap, so that one very long word costs n log n.
@@ -16,14 +16,16 @@ import json
 import zlib
 from collections import Counter
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import Store
+
 #: Words of the dictionary and the bytes that each has at most.
 DICTIONARY = 1 << 16
 LONGEST = 32
@@ -66,19 +68,23 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     return tuple(ranks[word[i : end[i]]] for i in range(n) if alive[i])
 
 
-def _rank_of(ranks: dict[bytes, int]) -> Column:
-    """The literal: SPLIT maps from a piece in hexadecimal to its rank."""
+def _rank_row(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
+    """One row with the map: SPLIT maps from a piece in hexadecimal to its rank. As large as the file of ranks, whatever the corpus.
+
+    As a row, not as a literal in the expressions, since Spark prints a plan's literals with each plan it makes.
+    """
     maps: list[dict[str, int]] = [{} for _ in range(SPLIT)]
     for piece, rank in ranks.items():
         if len(piece) <= LONGEST:
             key = piece.hex().upper()
             maps[zlib.crc32(key.encode()) % SPLIT][key] = rank
-    return F.from_json(F.lit(json.dumps(maps)), "array<map<string, int>>")
+    row = spark.createDataFrame([(json.dumps(maps),)], "maps string")
+    return row.select(F.from_json("maps", "array<map<string, int>>").alias("__ranks"))
 
 
 def fold_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """words(word: string) with ids: array<int>, by a fold in Spark's own functions. Words have LONGEST bytes at most."""
-    table = _rank_of(ranks)
+    table = F.col("__ranks")
 
     def rank(piece: Column) -> Column:
         return F.element_at(F.element_at(table, (F.crc32(piece.cast("binary")) % SPLIT + 1).cast("int")), piece)
@@ -93,11 +99,15 @@ def fold_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     n = F.octet_length("word")
     parts = F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(code, i * 2 - 1, F.lit(2)))
     done = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), parts, step)
-    return words.select("word", F.transform(done, rank).alias("ids"))
+    return words.join(F.broadcast(_rank_row(words.sparkSession, ranks))).select("word", F.transform(done, rank).alias("ids"))
 
 
-def frequent_words(docs: DataFrame, pattern: str, text_col: str = "text", limit: int = DICTIONARY, longest: int = LONGEST) -> DataFrame:
-    """The most frequent matches of ``pattern``, counted over all texts; ties by the word."""
+def frequent_words(docs: DataFrame, pattern: str, text_col: str = "text", limit: int = DICTIONARY, longest: int = LONGEST) -> list[str]:
+    """The most frequent matches of ``pattern``, counted over all texts, ``limit`` at most.
+
+    The least count that leaves no more than the limit is found on a histogram of some hundred classes of
+    counts, so no more words than the limit reach the driver.
+    """
     held = COUNTED
 
     def rows(batches):
@@ -117,7 +127,44 @@ def frequent_words(docs: DataFrame, pattern: str, text_col: str = "text", limit:
         yield out()
 
     counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(rows, "word string, n long")
-    return counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(limit).select("word")
+    store = Store(docs.sparkSession, "words")
+    every = store.put(counted.groupBy("word").agg(F.sum("n").alias("n")).withColumn("level", F.floor(F.log2("n") * 16).cast("int")), "counts")
+    levels = {r["level"]: r["count"] for r in every.groupBy("level").count().collect()}
+    least, total = max(levels, default=0) + 1, 0
+    while least - 1 in range(max(levels, default=-1) + 1) and total + levels.get(least - 1, 0) <= limit:
+        least -= 1
+        total += levels.get(least, 0)
+    return sorted(r["word"] for r in every.where(F.col("level") >= least).select("word").collect())
+
+
+class Words:
+    """Encoded words by number: ``ids`` of word i are flat[start[i] : start[i] + size[i]]."""
+
+    def __init__(self, known: dict[str, tuple[int, ...]]):
+        self.known, self.number = known, {}
+        self.flat, self.start, self.size = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.used = 0
+        for word, ids in known.items():
+            self.add(word, ids)
+
+    def add(self, word: str, ids: tuple[int, ...]) -> int:
+        """The word's number."""
+        n = len(self.number)
+        if n >= len(self.start):
+            self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * (self.used + len(ids)))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[n], self.size[n] = self.used, len(ids)
+        self.used += len(ids)
+        self.number[word] = n
+        return n
+
+
+def _gather(source: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """source[start : start + size] of each, end to end."""
+    ends = np.cumsum(size)
+    return source[np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", dictionary: int = DICTIONARY) -> DataFrame:
@@ -126,36 +173,49 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     A null or empty text has no ids. Every row is encoded alone: repeated rows and ids give repeated results, an
     empty table an empty one. Only the two named columns are read. The texts are read twice.
     """
-    known = {w: tuple(ids) for w, ids in fold_words(frequent_words(docs, pattern, text_col, dictionary), ranks).collect()}
+    spark = docs.sparkSession
+    words = frequent_words(docs, pattern, text_col, dictionary)
+    frame = spark.createDataFrame([(w,) for w in words], "word string").repartition(max(1, len(words) // 4096))
+    known = {w: tuple(ids) for w, ids in fold_words(frame, ranks).collect()}
     most, longest = REMEMBERED, LONGEST
 
     def rows(batches):
         find = regex.compile(pattern).findall
-        seen = dict(known)
+        table = Words(known)
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                out = []
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
+                if len(table.number) > len(known) + most:
+                    table = Words(known)
+                flats, lengths = [], []
                 for text in part.column(1).to_pylist():
-                    words = find(text or "")
-                    got = list(map(seen.get, words))
+                    found = find(text or "")
+                    got = list(map(table.number.get, found))
                     if None in got:
-                        for i, ids in enumerate(got):
-                            if ids is None:
-                                word = words[i]
-                                if (ids := seen.get(word)) is None:
-                                    ids = merge(word.encode(), ranks)
-                                    if len(word) <= longest:
-                                        if len(seen) >= len(known) + most:
-                                            seen = dict(known)
-                                        seen[word] = ids
-                                got[i] = ids
-                    out.append(np.fromiter(chain.from_iterable(got), np.int32))
-                lengths = np.array([len(x) for x in out], np.int64)
-                offsets = np.zeros(len(out) + 1, np.int32)
+                        # Long words are put in the text's place by hand, as they are not remembered.
+                        pieces: list[np.ndarray] = []
+                        done = 0
+                        for i, n in enumerate(got):
+                            if n is None:
+                                word = found[i]
+                                n = table.number.get(word)
+                                if n is None and len(word) <= longest:
+                                    n = table.add(word, merge(word.encode(), ranks))
+                                if n is None:
+                                    own = np.array(got[done:i], np.int64)
+                                    pieces += [_gather(table.flat, table.start[own], table.size[own]), np.array(merge(word.encode(), ranks), np.int32)]
+                                    done = i + 1
+                                got[i] = n
+                        own = np.array(got[done:], np.int64)
+                        flat = np.concatenate([*pieces, _gather(table.flat, table.start[own], table.size[own])])
+                    else:
+                        own = np.array(got, np.int64)
+                        flat = _gather(table.flat, table.start[own], table.size[own])
+                    flats.append(flat)
+                    lengths.append(len(flat))
+                offsets = np.zeros(len(flats) + 1, np.int32)
                 np.cumsum(lengths, out=offsets[1:])
-                flat = np.concatenate(out) if out else np.zeros(0, np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["id", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flats) if flats else np.zeros(0, np.int32)))], ["id", "ids"])
 
     thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return thin.mapInArrow(rows, f"id {thin.schema[0].dataType.simpleString()}, ids array<int>").withColumnRenamed("id", id_col)
@@ -163,16 +223,33 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") -> DataFrame:
     """``encoded`` with ``decoded``, the pieces of ``ids_col`` end to end as binary; null ids give null. An id without a piece is an error."""
-    pieces = {rank: piece for piece, rank in ranks.items()}
     at = encoded.columns.index(ids_col)
     names = [c for c in encoded.columns if c != "decoded"]
+    if encoded.schema[ids_col].dataType.simpleString() != "array<int>":
+        raise TypeError(f"{ids_col} is not array<int>")
 
     def rows(batches):
+        size = np.full(max(ranks.values(), default=0) + 1, -1, np.int64)
+        start = np.zeros(len(size), np.int64)
+        for piece, rank in ranks.items():
+            size[rank] = len(piece)
+        every = np.frombuffer(b"".join(p for p, _ in sorted(ranks.items(), key=lambda x: x[1])), np.uint8)
+        known = size >= 0
+        start[known] = np.cumsum(size[known]) - size[known]
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                texts = [None if ids is None else b"".join(map(pieces.__getitem__, ids)) for ids in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i, c in enumerate(part.schema.names) if c != "decoded"), pa.array(texts, pa.binary())], [*names, "decoded"])
+            for first in range(0, batch.num_rows, 64):
+                part = batch.slice(first, 64)
+                lists = part.column(at)
+                ids = lists.flatten().to_numpy(zero_copy_only=False)
+                counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+                if len(ids) and (ids.min() < 0 or ids.max() >= len(size) or not known[ids].all()):
+                    raise ValueError("an id has no piece")
+                sizes = np.r_[0, np.cumsum(size[ids])]
+                bounds = sizes[np.r_[0, np.cumsum(counts)]].astype(np.int32)
+                text = _gather(every, start[ids], size[ids])
+                valid = None if not lists.null_count else pa.py_buffer(np.packbits(lists.is_valid().to_numpy(zero_copy_only=False), bitorder="little").tobytes())
+                decoded = pa.Array.from_buffers(pa.binary(), len(lists), [valid, pa.py_buffer(bounds.tobytes()), pa.py_buffer(text.tobytes())])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i, c in enumerate(part.schema.names) if c != "decoded"), decoded], [*names, "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema if f.name != "decoded")
     return encoded.mapInArrow(rows, f"{schema}, decoded binary")

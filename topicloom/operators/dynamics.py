@@ -15,14 +15,14 @@ from .ctfidf import class_scores, l1_normalized, top_terms
 def bin_timestamps(df: DataFrame, time: str, nr_bins: int, out: str = "bin_time") -> DataFrame:
     """``df`` with bin and the median time of each of ``nr_bins`` equal stretches; the last is closed on the right."""
     kind = dict(df.dtypes)[time]
-    number = F.unix_micros(time) if kind.startswith("timestamp") else F.unix_date(time) if kind == "date" else F.col(time).cast("double")
+    number = F.unix_micros(F.col(time).cast("timestamp")) if kind.startswith("timestamp") else F.unix_date(time) if kind == "date" else F.col(time).cast("double")
     ends = df.select(number.alias("t")).agg(F.min("t").alias("__lo"), F.max("t").alias("__hi"))
     binned = df.withColumn("__t", number).join(F.broadcast(ends))
     width = (F.col("__hi") - F.col("__lo")).cast("double")
     nth = F.when(width == 0, 0).otherwise(F.least(F.floor((F.col("__t") - F.col("__lo")) / width * nr_bins), F.lit(nr_bins - 1)))
     binned = binned.withColumn("bin", nth.cast("int"))
     middles = binned.groupBy("bin").agg(F.percentile("__t", F.lit(0.5)).alias("__m"))
-    middle = F.timestamp_micros(F.col("__m").cast("long")) if kind.startswith("timestamp") else F.date_from_unix_date(F.col("__m").cast("int")) if kind == "date" else F.col("__m")
+    middle = F.timestamp_micros(F.col("__m").cast("long")).cast(kind) if kind.startswith("timestamp") else F.date_from_unix_date(F.col("__m").cast("int")) if kind == "date" else F.col("__m")
     return binned.join(F.broadcast(middles), "bin").withColumn(out, middle).drop("__t", "__lo", "__hi", "__m")
 
 

@@ -120,7 +120,8 @@ def minmax_normalized(df: DataFrame, columns: list[str], inverted: tuple[str, ..
 def best_run(df: DataFrame, min_topics: int = 2) -> DataFrame:
     """The run of greatest silhouette among those with topics enough, else that with most topics; the first on ties."""
     enough = (F.col("n_topics") >= min_topics).cast("int")
-    return df.orderBy(F.desc(enough), F.when(enough == 1, F.col("silhouette")).desc_nulls_last(), F.desc("n_topics"), "run").limit(1)
+    best = F.when(enough == 1, F.col("silhouette")).otherwise(F.col("n_topics").cast("double"))
+    return df.orderBy(F.desc(enough), best.desc_nulls_last(), "run").limit(1)
 
 
 def embedding_parity(a: DataFrame, b: DataFrame, threshold: float = 0.9999) -> DataFrame:

@@ -529,10 +529,10 @@ def v_sweep(spark, sf_dir):
 
 @query("""WITH t AS (SELECT event_id, epoch_us(ts) AS t FROM events), e AS (SELECT min(t) AS lo, max(t) AS hi FROM t),
 b AS (SELECT event_id, t, least(floor((t - lo) / (hi - lo)::DOUBLE * 12), 11)::INT AS bin FROM t, e), m AS (SELECT bin, quantile_cont(t, 0.5) AS m FROM b GROUP BY bin)
-SELECT event_id, bin, floor(m)::BIGINT AS bin_us FROM b JOIN m USING (bin)""")
+SELECT event_id, bin, strftime(make_timestamp(floor(m)::BIGINT), '%Y-%m-%d %H:%M:%S.%f') AS bin_time FROM b JOIN m USING (bin)""")
 def bin_timestamps(spark, sf_dir):
     binned = DY.bin_timestamps(table(spark, sf_dir, "events").select("event_id", "ts"), "ts", 12)
-    return binned.select("event_id", "bin", F.unix_micros("bin_time").alias("bin_us"))
+    return binned.select("event_id", "bin", F.date_format("bin_time", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("bin_time"))
 
 
 _SLICES = f"""{_DTM}, own AS (SELECT * FROM asg WHERE topic <> -1),{_scores('yr', 'own', 'year')},

@@ -37,7 +37,7 @@ def _one_task(df: DataFrame, kernel, max_points: int) -> DataFrame:
         pdf = pdf.sort_values("doc_id").reset_index(drop=True)
         return pd.DataFrame({"doc_id": pdf["doc_id"], "topic": kernel(pdf).astype(np.int32)})
 
-    return df.groupBy(F.lit(0)).applyInPandas(run, "doc_id long, topic int")
+    return df.withColumn("__one", F.lit(0)).groupBy("__one").applyInPandas(run, "doc_id long, topic int")
 
 
 @dataclass

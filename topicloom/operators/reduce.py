@@ -117,5 +117,5 @@ class UmapReduction:
             first = first / max(np.abs(first).max(), 1e-12) * 10
             return pd.DataFrame({"doc_id": pdf["doc_id"], "reduced": list(umap_layout(nb, ds, first, low, rounds, seed))})
 
-        self.fitted = rows.groupBy(F.lit(0)).applyInPandas(layout, "doc_id long, reduced array<double>")
+        self.fitted = rows.withColumn("__one", F.lit(0)).groupBy("__one").applyInPandas(layout, "doc_id long, reduced array<double>")
         return self.fitted

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 from .store import Store
 
+#: The pattern of which it is known that a space between two other characters begins a match; texts are split there first.
+SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words of the dictionary and the bytes that each has at most.
 DICTIONARY = 1 << 16
 LONGEST = 32
@@ -115,13 +117,18 @@ def frequent_words(docs: DataFrame, pattern: str, text_col: str = "text", limit:
         counts: Counter[str] = Counter()
 
         def out():
-            some = [(w, c) for w, c in counts.items() if len(w.encode()) <= longest]
+            # Matches are sought in distinct stretches between spaces; what spaces do at a text's ends is left to encode.
+            words: Counter[str] = Counter()
+            for chunk, c in counts.items():
+                for w in find(" " + chunk):
+                    words[w] += c
             counts.clear()
+            some = [(w, c) for w, c in words.items() if len(w.encode()) <= longest]
             return pa.RecordBatch.from_arrays([pa.array([w for w, _ in some], pa.string()), pa.array([c for _, c in some], pa.int64())], ["word", "n"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                counts.update(find(text or ""))
+                counts.update((text or "").split(" "))
                 if len(counts) > held:
                     yield out()
         yield out()
@@ -137,19 +144,17 @@ def frequent_words(docs: DataFrame, pattern: str, text_col: str = "text", limit:
     return sorted(r["word"] for r in every.where(F.col("level") >= least).select("word").collect())
 
 
-class Words:
-    """Encoded words by number: ``ids`` of word i are flat[start[i] : start[i] + size[i]]."""
+class Chunks:
+    """Encoded stretches by number: ids of i are flat[start[i] : start[i] + size[i]]."""
 
-    def __init__(self, known: dict[str, tuple[int, ...]]):
-        self.known, self.number = known, {}
+    def __init__(self):
+        self.number: dict[str, int] = {}
         self.flat, self.start, self.size = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self.used = 0
-        for word, ids in known.items():
-            self.add(word, ids)
+        self.used = self.count = 0
 
-    def add(self, word: str, ids: tuple[int, ...]) -> int:
-        """The word's number."""
-        n = len(self.number)
+    def append(self, ids: tuple[int, ...]) -> int:
+        """The number of new ids."""
+        n = self.count
         if n >= len(self.start):
             self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
         if self.used + len(ids) > len(self.flat):
@@ -157,7 +162,7 @@ class Words:
         self.flat[self.used : self.used + len(ids)] = ids
         self.start[n], self.size[n] = self.used, len(ids)
         self.used += len(ids)
-        self.number[word] = n
+        self.count += 1
         return n
 
 
@@ -177,40 +182,52 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     words = frequent_words(docs, pattern, text_col, dictionary)
     frame = spark.createDataFrame([(w,) for w in words], "word string").repartition(max(1, len(words) // 4096))
     known = {w: tuple(ids) for w, ids in fold_words(frame, ranks).collect()}
-    most, longest = REMEMBERED, LONGEST
+    most, longest, splits = REMEMBERED, LONGEST, pattern == SPACED
 
     def rows(batches):
         find = regex.compile(pattern).findall
-        table = Words(known)
+        rare: dict[str, tuple[int, ...]] = {}
+
+        def ids_of(text: str) -> tuple[int, ...]:
+            out: list[int] = []
+            for word in find(text):
+                ids = known.get(word) or rare.get(word)
+                if ids is None:
+                    ids = merge(word.encode(), ranks)
+                    if len(word) <= longest:
+                        if len(rare) >= most:
+                            rare.clear()
+                        rare[word] = ids
+                out += ids
+            return tuple(out)
+
+        def number_of(chunk: str) -> int:
+            """-1 where a match might cross the space before or after."""
+            if not splits or not chunk or len(chunk) > 4 * longest or chunk[0].isspace() or chunk[-1].isspace():
+                return -1
+            if (n := table.number.get(chunk)) is None:
+                n = table.number[chunk] = table.append(ids_of(" " + chunk))
+            return n
+
+        table = Chunks()
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
-                if len(table.number) > len(known) + most:
-                    table = Words(known)
+                if len(table.number) > most:
+                    table = Chunks()
                 flats, lengths = [], []
                 for text in part.column(1).to_pylist():
-                    found = find(text or "")
-                    got = list(map(table.number.get, found))
+                    # A space between two characters that are no white space begins a match, so the stretches between such
+                    # spaces, each with the space before it, are encoded one by one; other texts as a whole.
+                    head, *chunks = (text or "").split(" ")
+                    got = list(map(table.number.get, chunks))
                     if None in got:
-                        # Long words are put in the text's place by hand, as they are not remembered.
-                        pieces: list[np.ndarray] = []
-                        done = 0
-                        for i, n in enumerate(got):
-                            if n is None:
-                                word = found[i]
-                                n = table.number.get(word)
-                                if n is None and len(word) <= longest:
-                                    n = table.add(word, merge(word.encode(), ranks))
-                                if n is None:
-                                    own = np.array(got[done:i], np.int64)
-                                    pieces += [_gather(table.flat, table.start[own], table.size[own]), np.array(merge(word.encode(), ranks), np.int32)]
-                                    done = i + 1
-                                got[i] = n
-                        own = np.array(got[done:], np.int64)
-                        flat = np.concatenate([*pieces, _gather(table.flat, table.start[own], table.size[own])])
+                        got = [number_of(c) if n is None else n for c, n in zip(chunks, got, strict=True)]
+                    if -1 in got or head and head[-1].isspace():
+                        flat = np.array(ids_of(text or ""), np.int32)
                     else:
                         own = np.array(got, np.int64)
-                        flat = _gather(table.flat, table.start[own], table.size[own])
+                        flat = np.concatenate([np.array(ids_of(head), np.int32), _gather(table.flat, table.start[own], table.size[own])])
                     flats.append(flat)
                     lengths.append(len(flat))
                 offsets = np.zeros(len(flats) + 1, np.int32)

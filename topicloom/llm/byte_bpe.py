@@ -29,7 +29,7 @@ from .store import Store
 #: The pattern of which it is known that a space between two other characters begins a match; texts are split there first.
 SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words of the dictionary and the bytes that each has at most.
-DICTIONARY = 1 << 16
+DICTIONARY = 1 << 13
 LONGEST = 32
 #: Maps into which the ranks are split.
 SPLIT = 4096
@@ -180,7 +180,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     """
     spark = docs.sparkSession
     words = frequent_words(docs, pattern, text_col, dictionary)
-    frame = spark.createDataFrame([(w,) for w in words], "word string").repartition(max(1, len(words) // 4096))
+    frame = spark.createDataFrame([(w,) for w in words], "word string").repartition(max(1, len(words) // 512))
     known = {w: tuple(ids) for w, ids in fold_words(frame, ranks).collect()}
     most, longest, splits = REMEMBERED, LONGEST, pattern == SPACED
 

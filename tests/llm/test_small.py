@@ -95,6 +95,29 @@ def test_repeated_spans(docs, texts, hot, piece):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found.collect()} == want
 
 
+def test_repeated_spans_with_repeated_and_null_ids(spark):
+    """Rows of one id with other texts, as the last of a batch too, lose none of what was gathered before them."""
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(8))
+    shared = [" ".join(word() for _ in range(70)) for _ in range(4)]
+    texts = [" ".join(word() for _ in range(40)) + shared[i % 4] + word() for i in range(16)] + [None, "", "short"]
+    ids = [None if i % 3 == 0 else 5 if i % 3 == 1 else i for i in range(len(texts))]
+    data = [(t or "").encode() for t in texts]
+    seen = Counter(b[i : i + 400] for b in data for i in range(len(b) - 399))
+    want = []
+    for k, b in zip(ids, data, strict=True):
+        gone = bytearray(len(b))
+        for i in range(len(b) - 399):
+            if seen[b[i : i + 400]] > 1:
+                gone[i : i + 400] = b"\1" * 400
+        want.append((k, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), sha(bytes(x for x, g in zip(b, gone, strict=True) if not g))))
+    assert sum(w[2] > 0 for w in want) == 16
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    for hot in (2000, 2):
+        found = repeated_spans.remove_repeated(docs, hot=hot).collect()
+        assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found), key=str) == sorted(want, key=str)
+
+
 def test_quality_counts(docs, texts):
     def plain(t):
         t = t or ""

@@ -121,6 +121,9 @@ def _deal(joined: DataFrame, length: int, hot: int) -> DataFrame:
             held = 0
             return pa.RecordBatch.from_pylist(out, schema=schema)
 
+        def stretches(cold):
+            return pa.RecordBatch.from_pydict(cold | {k: [None] * len(cold["key"]) for k in ("vals", "tids", "places")}, schema=schema)
+
         for batch in batches:
             data, offsets = B.texts_of(batch.column(1))
             tids, digests, lists = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)
@@ -151,11 +154,13 @@ def _deal(joined: DataFrame, length: int, hot: int) -> DataFrame:
                         take = which == p
                         packs.setdefault((int(key[j]), int(p)), []).append((v[take], np.full(take.sum(), tid, np.int64), at[take].astype(np.int32)))
                     held += 20 * len(at)
-                if size > 8 << 20 or i == len(tids) - 1:
-                    yield pa.RecordBatch.from_pydict(cold | {k: [None] * len(cold["key"]) for k in ("vals", "tids", "places")}, schema=schema)
+                if size > 8 << 20:
+                    yield stretches(cold)
                     cold, size = {k: [] for k in cold}, 0
                 if held > 32 << 20:
                     yield flush()
+            if cold["key"]:  # also where the last rows are other texts
+                yield stretches(cold)
         if packs:
             yield flush()
 

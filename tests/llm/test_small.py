@@ -213,6 +213,36 @@ def test_chat(spark):
     assert [tuple(t) for t in folded.turns] == [("user", "hello"), ("assistant", "last")]
 
 
+def test_chat_folds_finished_turns_with_later_events(spark):
+    """Turns that repeat a number stay turns of their own in a log that goes on with other events."""
+    turns = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "x"), (2, 0, "user", "x"), (2, 1, "assistant", "y")]
+    log = chat.messages_as_events(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    assert {r.kind for r in log.collect()} == {"message", "delta"}
+    more = spark.createDataFrame([(1, 9, "delta", 2, "user", "m"), (1, 10, "delta", 2, "user", "n"), (2, 9, "delta", 0, "user", "z")], "conv_id long, seq long, kind string, turn long, role string, text string")
+    back = {r.conv_id: [tuple(t) for t in r.turns] for r in chat.reconstruct(log.unionByName(more, allowMissingColumns=True)).collect()}
+    assert back == {1: [("user", "q"), ("assistant", "a"), ("assistant", "b"), ("user", "mn")], 2: [("user", "xz"), ("user", "x"), ("assistant", "y")]}
+
+
+def test_chat_fold_against_plain(spark):
+    r = random.Random(9)
+    rows, want = [], {}
+    for conv in range(60):
+        turns = {}
+        for seq in range(r.randint(1, 40)):
+            kind, turn, role, text = r.choice(["message", "delta", "delta", "edit", "regenerate"]), r.randint(0, 7), r.choice("ua"), r.choice("wxyz")
+            rows.append((conv, seq, kind, turn, role, text))
+            was = turns.get(turn)
+            if kind in ("edit", "regenerate"):
+                turns = {k: v for k, v in turns.items() if k < turn}
+            if kind == "delta":
+                turns[turn] = (was[0], was[1] + text) if was else (role, text)
+            else:
+                turns[turn] = (role if kind == "message" or not was else was[0], "" if kind == "regenerate" else text)
+        want[conv] = [turns[k] for k in sorted(turns)]
+    log = spark.createDataFrame(rows, "conv_id long, seq long, kind string, turn long, role string, text string")
+    assert {x.conv_id: [tuple(t) for t in x.turns] for x in chat.reconstruct(log).collect()} == want
+
+
 def test_classifier_held_out(spark):
     sf = "/root/testdata/sf0.01"
     rows = queries.op5_compression_classifier(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()

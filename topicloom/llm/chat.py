@@ -14,6 +14,7 @@ regenerate and the deltas after that, and by whether a later edit of an earlier
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 TURN = "### "
@@ -43,40 +44,67 @@ def unescape(text: Column) -> Column:
 
 
 def messages_as_events(turns: DataFrame) -> DataFrame:
-    """A table of finished turns (conv_id, turn, role, text) as a log with one message each."""
-    return turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("seq"), F.lit("message").alias("kind"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"), F.lit(True).alias("apart"))
+    """A table of finished turns (conv_id, turn, role, text) as a log: a message opens each turn, a delta brings its text.
+
+    Turns that repeat a number are told apart by nth, in the order of role and text.
+    """
+    some = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    again = W.partitionBy("conv_id", "turn").orderBy(F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
+    # Dealt out by conversation at once, so that the fold needs no exchange of its own.
+    some = some.repartition("conv_id").withColumn("nth", (F.row_number().over(again) - 1).cast("long"))
+    steps = F.array(*(F.struct(F.lit(part).alias("part"), F.lit(kind).alias("kind"), text.alias("text")) for part, (kind, text) in enumerate((("message", F.lit("")), ("delta", F.col("text"))))))
+    return some.withColumn("step", F.explode(steps)).select("conv_id", F.col("turn").alias("seq"), "step.kind", "turn", "role", "step.text", "nth", "step.part")
 
 
 def reconstruct(events: DataFrame) -> DataFrame:
     """(conv_id, turns: array<struct<role, text>>) of each conversation of the log.
 
-    Ties in seq are ordered by turn, kind, role and text. Null roles and texts count as empty, null turns and seqs as
-    least, null kinds as message. Rows with ``apart`` true are finished turns: each stays a turn of its own, also
-    where its number repeats. An edit, regenerate or delta of a turn that is not there makes it, with
+    Ties in seq are ordered by turn, nth, part, kind, role and text. Null roles and texts count as empty, null turns and seqs as
+    least, null kinds as message. nth and part may be absent and count as 0 where null: turns of one number but another nth are
+    turns of their own, in the order of nth. An edit, regenerate or delta of a turn that is not there makes it, with
     the role of the event. All conversations of null id are one. Extra columns are not read. An empty log gives an empty table.
+
+    Events of the last turn or a later one are folded without a look at the turns before it; only those of an
+    earlier turn go through the turns.
     """
-    apart = F.col("apart") if "apart" in events.columns else F.lit(False)
+    extra = {c: F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")) if c in events.columns else F.lit(0).cast("long") for c in ("nth", "part")}
     event = F.struct(
-        F.coalesce("seq", F.lit(-(1 << 62))).alias("seq"),
-        F.coalesce("turn", F.lit(-(1 << 62))).alias("turn"),
+        F.coalesce("seq", F.lit(-(1 << 62))).cast("long").alias("seq"),
+        F.coalesce("turn", F.lit(-(1 << 62))).cast("long").alias("turn"),
+        extra["nth"].alias("nth"),
+        extra["part"].alias("part"),
         F.coalesce("kind", F.lit("message")).alias("kind"),
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
-        apart.alias("apart"),
     )
-    logs = events.groupBy("conv_id").agg(F.array_sort(F.collect_list(event)).alias("log"), F.bool_and(apart).alias("plain"))
-    none = F.array().cast("array<struct<turn: bigint, role: string, parts: array<string>>>")
-
-    def fold(turns: Column, e: Column) -> Column:
-        old = F.filter(turns, lambda t: t["turn"] == e["turn"])
-        fresh = F.struct(e["turn"].alias("turn"), F.when((e["kind"] == "message") | (F.size(old) == 0), e["role"]).otherwise(F.get(old, F.lit(0))["role"]).alias("role"), F.array(F.when(e["kind"] == "regenerate", F.lit("")).otherwise(e["text"])).alias("parts"))
-        longer = F.transform(turns, lambda t: F.when(t["turn"] == e["turn"], F.struct(t["turn"].alias("turn"), t["role"].alias("role"), F.concat(t["parts"], F.array(e["text"])).alias("parts"))).otherwise(t))
-        others = F.filter(turns, lambda t: (t["turn"] < e["turn"]) | ((t["turn"] > e["turn"]) & ~e["kind"].isin("edit", "regenerate")))
-        return F.when((e["kind"] == "delta") & (F.size(old) > 0), longer).otherwise(F.concat(others, F.array(fresh)))
-
-    folded = F.transform(F.array_sort(F.aggregate("log", none, fold)), lambda t: F.struct(t["role"].alias("role"), F.array_join(t["parts"], "").alias("text")))
-    plain = F.transform("log", lambda e: F.struct(e["role"].alias("role"), e["text"].alias("text")))
-    return logs.select("conv_id", F.when(F.col("plain"), plain).otherwise(folded).alias("turns"))
+    logs = events.groupBy("conv_id").agg(F.array_sort(F.collect_list(event)).alias("log"))
+    turn = "struct<key: struct<turn: bigint, nth: bigint>, role: string, parts: array<string>>"
+    none = F.struct(F.array().cast(f"array<{turn}>").alias("turns"), F.lit(None).cast(turn).alias("top"))
+
+    def fold(state: Column, e: Column) -> Column:
+        turns, top = state["turns"], state["top"]  # top: the turn of the greatest key
+        key = F.struct(e["turn"].alias("turn"), e["nth"].alias("nth"))
+        old = F.get(F.filter(turns, lambda t: t["key"] == key), F.lit(0))
+        fresh = F.array(F.when(e["kind"] == "regenerate", F.lit("")).otherwise(e["text"]))
+
+        def made(was: Column) -> Column:
+            role = F.when((e["kind"] == "message") | was.isNull(), e["role"]).otherwise(was["role"])
+            parts = F.when((e["kind"] == "delta") & was.isNotNull(), F.concat(was["parts"], F.array(e["text"]))).otherwise(fresh)
+            return F.struct(key.alias("key"), role.alias("role"), parts.alias("parts"))
+
+        def then(turns: Column, top: Column) -> Column:
+            return F.struct(turns.alias("turns"), top.alias("top"))
+
+        return (
+            F.when(top.isNull(), then(turns, made(F.lit(None).cast(turn))))
+            .when(key > top["key"], then(F.concat(turns, F.array(top)), made(F.lit(None).cast(turn))))
+            .when(key == top["key"], then(turns, made(top)))
+            .when(e["kind"].isin("edit", "regenerate"), then(F.filter(turns, lambda t: t["key"] < key), made(old)))
+            .otherwise(then(F.concat(F.filter(turns, lambda t: t["key"] != key), F.array(made(old))), top))
+        )
+
+    every = F.aggregate("log", none, fold, lambda s: F.array_sort(F.concat(s["turns"], F.array(s["top"]))))
+    return logs.select("conv_id", F.transform(every, lambda t: F.struct(t["role"].alias("role"), F.array_join(t["parts"], "").alias("text"))).alias("turns"))
 
 
 def render(conversations: DataFrame, learn: tuple[str, ...] = ("assistant",)) -> DataFrame:

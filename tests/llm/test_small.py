@@ -73,6 +73,27 @@ def test_jaccard_join(docs, texts, n, num):
     assert kept == sorted({i for i in want if want[i][1] == i})
 
 
+@pytest.mark.parametrize("block", [jaccard_join.BLOCK, 5000])
+def test_jaccard_links(spark, block):
+    """All links of a large group of near copies are counted, not those alone that make it one component."""
+    r = random.Random(8)
+    base = [f"w{r.randint(0, 999)}" for _ in range(300)]
+    texts = []
+    for k in range(90):
+        w = list(base)
+        for _ in range(1 + k % 3):
+            w[r.randrange(len(w))] = f"x{r.randint(0, 99)}"
+        texts.append(" ".join(w))
+    texts += [texts[0], texts[7], "lone words that link to nothing at all", "", None]
+    sets = [shingles(t, 3) for t in texts]
+    link = lambda a, b: a and b and a != b and 100 * len(a & b) >= 90 * len(a | b)
+    classes = set(sets)
+    want = {i: sum(bool(link(s, t)) for t in classes) for i, s in enumerate(sets)}
+    assert max(want.values()) > 40
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {x.doc_id: x.n_links for x in jaccard_join.near_duplicate_components(docs, words=3, num=90, block=block).collect()} == want
+
+
 def test_keep_one_with_odd_ids(spark):
     rows = [(1, "a b c d e f g", "x", 1), (1, "a b c d e f g", "y", 1), (None, "a b c d e f g", "z", 1), (3, None, "e", 1), (3, "", "e", 1), (4, "k l m n o p q", "u", 1), (4, "z x c v b n m", "u", 1), (5, "z x c v b n m", "u", 1)]
     kept = sorted((r.doc_id, r.text or "") for r in jaccard_join.keep_one(spark.createDataFrame(rows, SCHEMA)).collect())

@@ -12,6 +12,10 @@ Skew. A prefix shingle of very many classes is first cut down by leaders: each o
 verified against a few of them, linear in the bucket. The pairs that remain are sought only between
 classes that are in different components by then, since further links inside a component do not change
 it. So a large group of near copies costs about as many verifications as it has members.
+
+Links. Each link joins two classes of one component, so with components known all links are counted
+exactly: a component's sets are dealt into blocks, and each pair of blocks is compared by one product
+of their incidence matrices, whatever the group's size.
 """
 
 from __future__ import annotations
@@ -35,6 +39,10 @@ SKETCH_PARTS = 64
 LARGE, WIDE = 1024, 8192
 #: Classes of a bucket from which its leaders are verified first.
 HOT = 32
+#: Shingles of a block of sets whose links are counted at once, about, where each set counts as SET more.
+BLOCK, SET = 200_000, 400
+#: Shingles of one product.
+COLUMNS = 4096
 
 
 def _shingles(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -155,8 +163,45 @@ def _digest_of(own: np.ndarray) -> bytes:
     return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
 
-def _components(docs: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_size, digest of the set and root, which tells components apart."""
+def _degrees(named: DataFrame, docs: DataFrame, words: int, num: int, den: int, store: Store, block: int) -> DataFrame:
+    """(cid, n_links) of classes with links. named: root, cid, digest, doc_id and n of each class."""
+    totals = named.groupBy("root").agg(F.count("*").alias("classes"), F.sum(F.col("n") + SET).alias("weight")).where("classes > 1")
+    dealt = named.join(totals.select("root", F.ceil(F.col("weight") / block).cast("int").alias("blocks")), "root")
+    dealt = store.put(dealt.select("root", "cid", "digest", "doc_id", "blocks", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("block")), "dealt")
+    sets = _sets(docs, words, idfilter.bits_of(dealt)).join(dealt.drop("doc_id"), "digest")
+    both = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda q: F.struct(F.least("block", q).alias("i"), F.greatest("block", q).alias("j")))
+    sets = sets.withColumn("pair", F.explode(both)).select("root", "pair.i", "pair.j", "block", "cid", "members")
+
+    def count(table: pa.Table) -> pa.Table:
+        lists = table.column("members").combine_chunks()
+        values, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+        own, m = table.column("block").to_numpy(), len(sizes)
+        row = np.repeat(np.arange(m), sizes)
+        _, col, times = np.unique(values, return_inverse=True, return_counts=True)
+        shared = times[col] > 1
+        row, col = row[shared], (np.cumsum(times > 1) - 1)[col[shared]]
+        order = np.argsort(col, kind="stable")
+        row, col = row[order], col[order]
+        common = np.zeros((m, m))
+        for c in range(0, int(col[-1]) + 1 if len(col) else 0, COLUMNS):
+            a, b = np.searchsorted(col, (c, c + COLUMNS))
+            has = np.zeros((m, COLUMNS), np.float32)
+            has[row[a:b], col[a:b] - c] = 1
+            common += has @ has.T
+        link = (den + num) * common >= num * (sizes[:, None] + sizes[None, :])
+        np.fill_diagonal(link, False)
+        if table.column("i")[0] != table.column("j")[0]:
+            link &= own[:, None] != own[None, :]
+        return pa.table({"cid": table.column("cid"), "n_links": pa.array(link.sum(1).astype(np.int64))})
+
+    return sets.groupBy("root", "i", "j").applyInArrow(count, "cid long, n_links long").groupBy("cid").agg(F.sum("n_links").alias("n_links"))
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int, links_too: bool = False, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_size, n_links, digest of the set and root, which tells components apart.
+
+    n_links is null without ``links_too``.
+    """
     spark = docs.sparkSession
     store = Store(spark, "jaccard")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -222,26 +267,34 @@ def _components(docs: DataFrame, id_col: str, text_col: str, words: int, num: in
     links = links if found is None else links.unionAll(found)
 
     roots = connected_components(links, store)
-    named = classes.select("cid", "digest", "doc_id", "copies").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    named = classes.select("cid", "digest", "doc_id", "copies", "n").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = store.put(named.join(least, "root").select("digest", "root", "component_id", F.col("copies").alias("class_size")), "named")
-    full = rows.where("n > 0").select("doc_id", F.col("n").alias("n_shingles"), "digest").join(named, "digest").select("doc_id", "n_shingles", "component_id", "class_size", "digest", "root")
-    bare = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("class_size"), "digest", F.lit(None).cast("long").alias("root"))
+    named = store.put(named.join(least, "root").select("cid", "digest", "doc_id", "n", "root", "component_id", F.col("copies").alias("class_size")), "named")
+    none = F.lit(0 if links_too else None).cast("long")
+    if links_too:
+        named = named.join(_degrees(named, docs, words, num, den, store, block), "cid", "left").withColumn("n_links", F.coalesce("n_links", none))
+    else:
+        named = named.withColumn("n_links", none)
+    named = named.select("digest", "root", "component_id", "class_size", "n_links")
+    full = rows.where("n > 0").select("doc_id", F.col("n").alias("n_shingles"), "digest").join(named, "digest").select("doc_id", "n_shingles", "component_id", "class_size", "n_links", "digest", "root")
+    bare = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("class_size"), none.alias("n_links"), "digest", F.lit(None).cast("long").alias("root"))
     return full.unionAll(bare)
 
 
-def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_shingles, component_id, class_size.
+def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100, block: int = BLOCK) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_shingles, component_id, class_size, n_links.
 
     Words are lower-cased (A to Z) runs of bytes other than space and U+0009 to U+000D; a set holds the
     distinct runs of ``words`` words, or all words as one run where there are fewer. Rows link when the
     sets' Jaccard similarity is at least num / den; component_id is the smallest id that links reach.
+    Rows of equal sets are a class; n_links is how many other classes the row's class links to, so that half the sum over
+    classes is the number of links between different sets. block sets where work is split; it does not change results.
     ids are integers. A row with a null or empty text, or white space alone, has n_shingles 0 and is its
     own component. Rows that repeat an id are linked by their own texts; a null id counts as larger than
     any other. An empty table gives an empty one. Columns other than the two named are not read.
     """
-    found = _components(docs, id_col, text_col, words, num, den)
-    return found.select("doc_id", "n_shingles", "component_id", "class_size")
+    found = _components(docs, id_col, text_col, words, num, den, links_too=True, block=block)
+    return found.select("doc_id", "n_shingles", "component_id", "class_size", "n_links")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:

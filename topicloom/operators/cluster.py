@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import condensed_labels, cut_tree, leaf_labels, linkage, prim
-from .reduce import nearest_neighbors
+from .reduce import TooManyRows, nearest_neighbors
 
 
 def core_distances(df: DataFrame, min_pts: int, id_col: str = "doc_id", vector: str = "reduced") -> DataFrame:
@@ -31,7 +31,7 @@ def mutual_reachability(df: DataFrame, min_pts: int, id_col: str = "doc_id", vec
 
 def _one_task(df: DataFrame, kernel, max_points: int) -> DataFrame:
     if (n := df.count()) > max_points:
-        raise ValueError(f"{n} rows, over max_points ({max_points}); the tree is built in one task")
+        raise TooManyRows(f"{n} rows, over max_points ({max_points}); the tree is built in one task")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id").reset_index(drop=True)

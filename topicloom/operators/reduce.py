@@ -86,6 +86,10 @@ class PcaReduction:
         return self.fit(df).transform(df)
 
 
+class TooManyRows(ValueError):
+    """A kernel that holds all points in one task refuses the table; no caller may take it for a skip."""
+
+
 @dataclass
 class UmapReduction:
     """Neighbours are exact and distributed; the layout is one kernel, so at most ``max_points`` rows are accepted."""
@@ -100,7 +104,7 @@ class UmapReduction:
     def fit_transform(self, df: DataFrame, seed: int = 42) -> DataFrame:
         n = df.count()
         if n > self.max_points:
-            raise ValueError(f"{n} rows, over max_points; reduce with PCA or fit on a sample and transform")
+            raise TooManyRows(f"{n} rows, over max_points; reduce with PCA or fit on a sample and transform")
         k = min(self.n_neighbors, n - 1)
         near = nearest_neighbors(df, k, "doc_id", "embedding", self.metric)
         start = PcaReduction(self.n_components).fit_transform(df)

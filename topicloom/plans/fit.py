@@ -19,7 +19,7 @@ from ..operators.ctfidf import c_tf_idf, topic_labels, topic_sizes
 from ..operators.dtm import build_dtm, cvalue_dtm
 from ..operators.dynamics import flow_status, flow_transitions, period_centroids
 from ..operators.embed import embed_texts
-from ..operators.reduce import PcaReduction
+from ..operators.reduce import PcaReduction, TooManyRows
 
 
 @dataclass(frozen=True)
@@ -184,6 +184,8 @@ def sweep_topics(docs: DataFrame, embeddings: dict[str, DataFrame], n_components
                     try:
                         reducer = make_reducer(near, dims) if make_reducer else PcaReduction(dims)
                         row |= quality(fit_topics(docs, embeddings=vectors, reducer=reducer, clusterer=Hdbscan(pts), seed=seed)).first().asDict()
+                    except TooManyRows:
+                        raise
                     except Exception as error:  # noqa: BLE001  a run that fails is a result too
                         row["error"] = str(error)[:500]
                     out.append(row)
@@ -200,6 +202,8 @@ def stability_runs(embeddings: DataFrame, seeds: list[int], make_clusterer, redu
         try:
             reduced = (reducer or PcaReduction(5)).fit_transform(embeddings, seed)
             one = make_clusterer().fit_predict(reduced, seed).select(F.lit(i).alias("run"), "doc_id", "topic")
+        except TooManyRows:
+            raise
         except Exception as error:  # noqa: BLE001
             warnings.warn(f"run {i} failed: {error}", stacklevel=2)
             continue
@@ -222,6 +226,8 @@ def fit_topics_over_time(docs: DataFrame, embeddings: DataFrame, time: str, min_
             fit = fit_topics(own, embeddings=vectors, **options)
             part = fit.rows.withColumn("period", F.lit(period))
             part.limit(1).collect()
+        except TooManyRows:
+            raise
         except Exception as error:  # noqa: BLE001
             warnings.warn(f"period {period} left out: {error}", stacklevel=2)
             continue

@@ -191,6 +191,16 @@ def test_pii_base():
     assert (y[taken].mean(), taken[y == 1].mean()) > (0.95, 0.8)
 
 
+def test_pii_candidates_without_a_gate():
+    """Every match of the e-mail generator is a candidate."""
+    r = random.Random(6)
+    texts = ["jane.doe(AT)example.com", "jane [AT] example.org", "jane{at}example.com", "jane ( AT ) example.com", "jane at example dot com"]
+    texts += ["".join(r.choice(["jo", "x.", "(", "[", "{", "at", "AT", ")", "]", "}", " ", " at ", "&#64;", "dot", "DOT", ".", "com"]) for _ in range(r.randint(3, 14))) for _ in range(3000)]
+    found = [[s for s in pii.candidates(t) if s[0] == "email"] for t in texts]
+    assert all(found[:5])
+    assert found == [[("email", *m.span()) for m in pii._PROPOSE["email"].finditer(t)] for t in texts]
+
+
 def test_mixing(docs, texts):
     plan = mixing.mix(docs).collect()
     assert len(plan) == len(texts)

@@ -155,15 +155,36 @@ def test_quality_counts(docs, texts):
     assert got == {i: plain(t) for i, t in enumerate(texts)}
 
 
-def test_bpe(docs, texts):
+@pytest.mark.parametrize("how", [{}, {"longest": 6, "chunk_bytes": 500}, {"spaced": False, "chunk_bytes": 3000}])
+def test_bpe(spark, docs, texts, how):
+    """Ids and bytes equal the tokenizer library's on each branch: folded and long words, stretches and whole texts, many chunks and one."""
+    r = random.Random(8)
+    parts = ["a", "b", " ", "  ", "\n", "\t", "\u00a0", "1", "23", "'s", "'", "!!", "\u00e9", "\u4e2d\u6587", "\x1c", "\x85", "word", "\U0001f600", "x" * 140]
+    more = texts + ["".join(r.choice(parts) for _ in range(r.randint(0, 40))) for _ in range(150)]
+    table = spark.createDataFrame(list(enumerate(more)), "doc_id long, text string").repartition(3)
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    for got in byte_bpe.decode(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, dictionary=50), ranks).collect():
-        text = texts[got.doc_id] or ""
+    found = byte_bpe.decode(byte_bpe.encode(table, ranks, public_tokenizers.PATTERN, **how), ranks).collect()
+    assert sorted(x.doc_id for x in found) == list(range(len(more)))
+    for got in found:
+        text = more[got.doc_id] or ""
         assert got.ids == own.encode_ordinary(text)
         assert bytes(got.decoded) == text.encode()
 
 
+def test_bpe_edges(spark):
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    odd = spark.createDataFrame([(None, "a", "x", 1), (None, "a", "x", 1), (3, None, None, 2)], "doc_id int, text string, words string, ids int")
+    assert sorted((x.doc_id is None, len(x.ids)) for x in byte_bpe.encode(odd, ranks, public_tokenizers.PATTERN).collect()) == [(False, 0), (True, 1), (True, 1)]
+    coded = spark.createDataFrame([([104, 105], "kept"), (None, None), ([], None)], "ids array<int>, decoded string")
+    pieces = {v: k for k, v in ranks.items()}
+    assert [None if x.decoded is None else bytes(x.decoded) for x in byte_bpe.decode(coded, ranks).collect()] == [pieces[104] + pieces[105], None, b""]
+    with pytest.raises(Exception, match="no piece"):
+        byte_bpe.decode(spark.createDataFrame([([1 << 20],)], "ids array<int>"), ranks).collect()
+    with pytest.raises(ValueError, match="without a rank"):
+        byte_bpe.encode(odd, {b"a": 0}, public_tokenizers.PATTERN)
+
+
 def test_pii_base():
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 

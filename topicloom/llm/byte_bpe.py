@@ -1,42 +1,40 @@
 """Byte-level BPE encoding and decoding by a file of ranks.
 
-The most frequent words of the corpus, ``DICTIONARY`` at most, are encoded by Spark itself: a higher-order
-fold over a word's byte array merges the adjacent pair of least rank, the leftmost on ties, until no pair
-has a rank; ranks come from a map of one row, split by a checksum so that a look-up reads a handful of keys.
-The encoded dictionary has a proven size bound and goes to the tasks that encode the texts. Words beyond
-it - rare ones and those longer than ``LONGEST`` bytes - are merged in those tasks by the same rule, once
-for each task while they recur, with a heap, so that one very long word costs n log n.
-Decoding concatenates the ids' byte pieces.
+Encoding is one stage without an exchange. A task reads its texts in chunks of some megabytes; a Python
+pass only takes a chunk apart: it finds the matches of the pattern, numbers the distinct ones and writes
+each text as a list of numbers. Every distinct word of a chunk, however rare, is then encoded by Spark
+itself: a higher-order fold over the word's byte array merges the adjacent pair of least rank, the leftmost
+on ties, until no pair has a rank. The rank map is a literal of the plan, read once for each chunk. Spark
+then puts the words' ids in the place of their numbers. Decoding concatenates the ids' byte pieces, which
+are a literal array, in Spark too.
+
+A fold takes steps in proportion to the square of a word's length, so a word of more than ``LONGEST`` bytes is merged by
+the same rule with a heap, in n log n.
 """
 
 from __future__ import annotations
 
 import base64
 import json
-import zlib
-from collections import Counter
+from collections import defaultdict
 from heapq import heapify, heappop, heappush
+from random import Random
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import Store
-
-#: The pattern of which it is known that a space between two other characters begins a match; texts are split there first.
-SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words of the dictionary and the bytes that each has at most.
-DICTIONARY = 1 << 13
-LONGEST = 32
-#: Maps into which the ranks are split.
-SPLIT = 4096
-#: Words beyond the dictionary that a task remembers; their text is at most REMEMBERED * LONGEST bytes.
-REMEMBERED = 200_000
-#: Distinct words that a counting task holds before it passes its counts on.
-COUNTED = 200_000
+#: Bytes of text, and distinct words, after which a chunk ends, about.
+CHUNK_BYTES = 16 << 20
+CHUNK_WORDS = 300_000
+#: Bytes of the longest word that is folded.
+LONGEST = 256
+#: Characters of the longest stretch between spaces whose words are remembered.
+REMEMBERED = 128
+#: Bits of a rank in a cell of the rank map.
+_SHIFT = 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -70,203 +68,205 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     return tuple(ranks[word[i : end[i]]] for i in range(n) if alive[i])
 
 
-def _rank_row(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
-    """One row with the map: SPLIT maps from a piece in hexadecimal to its rank. As large as the file of ranks, whatever the corpus.
+def _rank_map(ranks: dict[bytes, int]) -> str:
+    """The rank map as JSON: bytes (id of each), rows and cells, which give the rank of each pair of ids.
 
-    As a row, not as a literal in the expressions, since Spark prints a plan's literals with each plan it makes.
+    The pair (a, b) is at cells[(rows[a] + b) mod len(cells)], which holds a and the rank, or -1. A row's
+    place is sought so that no two pairs share a cell.
     """
-    maps: list[dict[str, int]] = [{} for _ in range(SPLIT)]
-    for piece, rank in ranks.items():
-        if len(piece) <= LONGEST:
-            key = piece.hex().upper()
-            maps[zlib.crc32(key.encode()) % SPLIT][key] = rank
-    row = spark.createDataFrame([(json.dumps(maps),)], "maps string")
-    return row.select(F.from_json("maps", "array<map<string, int>>").alias("__ranks"))
-
-
-def fold_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """words(word: string) with ids: array<int>, by a fold in Spark's own functions. Words have LONGEST bytes at most."""
-    table = F.col("__ranks")
+    if missing := [b for b in range(256) if bytes([b]) not in ranks]:
+        raise ValueError(f"bytes without a rank: {missing}")
+    pairs: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for token, rank in ranks.items():
+        for i in range(1, len(token)):
+            a, b = ranks.get(token[:i]), ranks.get(token[i:])
+            if a is not None and b is not None:
+                pairs[a].append((b, rank))
+    n_ids = max(ranks.values()) + 1
+    bits = max(n_ids, 2 * sum(map(len, pairs.values())), 2).bit_length()
+    mask, place = (1 << bits) - 1, Random(bits)
+    cells, rows = [-1] * (1 << bits), [0] * n_ids
+    for a, row in sorted(pairs.items(), key=lambda x: (-len(x[1]), x[0])):
+        at = place.getrandbits(bits)
+        while any(cells[(at + b) & mask] >= 0 for b, _ in row):
+            at = place.getrandbits(bits)
+        rows[a] = at
+        for b, rank in row:
+            cells[(at + b) & mask] = a << _SHIFT | rank
+    return json.dumps({"bytes": [ranks[bytes([b])] for b in range(256)], "rows": rows, "cells": cells}, separators=(",", ":"))
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with value evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def fold_words(words: Column, rank_map: str) -> Column:
+    """array<array<int>>: the ids of each of the words (array<string>), by a fold of ranked merges over its bytes."""
+
+    def one(word: Column, ranks: Column) -> Column:
+        cells, rows = ranks["cells"], ranks["rows"]
+        mask = F.size(cells) - 1
+        outside = F.size(rows)  # an id that no pair has, at both ends
+
+        def rank(a: Column, b: Column) -> Column:
+            cell = F.get(cells, (F.get(rows, a) + b).bitwiseAND(mask))
+            return _let(cell, lambda c: F.when(F.shiftright(c, _SHIFT) == a, c.bitwiseAND((1 << _SHIFT) - 1).cast("int")))
+
+        def step(parts: Column, _: Column) -> Column:
+            """parts: (id, rank of the pair with the next part)."""
+
+            def merged(best: Column, i: Column) -> Column:
+                after = F.get(parts, i + 1)["id"]
+                kept = F.filter(parts, lambda _, j: j != i)
+                return F.transform(
+                    kept,
+                    lambda p, j: F.when(j == i - 1, F.struct(best.alias("id"), rank(best, after).alias("r")))
+                    .when(j == i - 2, F.struct(p["id"].alias("id"), rank(p["id"], best).alias("r")))
+                    .otherwise(p),
+                )
+
+            return _let(F.array_min(parts["r"]), lambda best: F.when(best.isNull(), parts).otherwise(_let(F.array_position(parts["r"], best).cast("int"), lambda i: merged(best, i))))
+
+        code, n = F.hex(word.cast("binary")), F.octet_length(word)
+        byte = F.transform(F.sequence(F.lit(1), n), lambda i: F.get(ranks["bytes"], F.conv(F.substr(code, i * 2 - 1, F.lit(2)), 16, 10).cast("int")))
+        parts = _let(F.concat(F.array(outside), byte, F.array(outside)), lambda p: F.zip_with(p, F.slice(p, 2, F.size(p)), lambda a, b: F.struct(a.alias("id"), F.when(b.isNotNull(), rank(a, b)).alias("r"))))
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), parts, step, lambda p: F.slice(p["id"], 2, F.size(p) - 2))
+
+    # Null for a null list, so that the optimizer leaves the map a string, which is cheap to plan with; each chunk reads it once.
+    literal = F.when(words.isNotNull(), F.lit(rank_map))
+    return _let(F.from_json(literal, "bytes array<int>, rows array<int>, cells array<bigint>"), lambda ranks: F.transform(words, lambda w: one(w, ranks)))
 
-    def rank(piece: Column) -> Column:
-        return F.element_at(F.element_at(table, (F.crc32(piece.cast("binary")) % SPLIT + 1).cast("int")), piece)
 
-    def step(parts: Column, _: Column) -> Column:
-        pairs = F.zip_with(F.slice(parts, 1, F.size(parts) - 1), F.slice(parts, 2, F.size(parts) - 1), lambda a, b: F.concat(a, b))
-        best = F.array_min(F.filter(F.transform(pairs, lambda p, i: F.struct(rank(p).alias("r"), i.alias("i"), p.alias("p"))), lambda x: x["r"].isNotNull()))
-        merged = F.concat(F.slice(parts, 1, best["i"]), F.array(best["p"]), F.slice(parts, best["i"] + 3, F.size(parts)))
-        return F.when((F.size(parts) < 2) | best.isNull(), parts).otherwise(merged)
-
-    code = F.hex(F.col("word").cast("binary"))
-    n = F.octet_length("word")
-    parts = F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(code, i * 2 - 1, F.lit(2)))
-    done = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), parts, step)
-    return words.join(F.broadcast(_rank_row(words.sparkSession, ranks))).select("word", F.transform(done, rank).alias("ids"))
+def _gather(source: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """source[start : start + size] of each, end to end."""
+    ends = np.cumsum(size)
+    return source[np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def frequent_words(docs: DataFrame, pattern: str, text_col: str = "text", limit: int = DICTIONARY, longest: int = LONGEST) -> list[str]:
-    """The most frequent matches of ``pattern``, counted over all texts, ``limit`` at most.
+class _Chunk:
+    """Texts as lists of the numbers of their words.
 
-    The least count that leaves no more than the limit is found on a histogram of some hundred classes of
-    counts, so no more words than the limit reach the driver.
+    A single space between two characters that are no white space begins a match of every pattern with
+    ``spaced``, so the stretches between such spaces, each with the space before it, are taken apart by themselves, and once
+    for each distinct one.
     """
-    held = COUNTED
 
-    def rows(batches):
-        find = regex.compile(pattern).findall
-        counts: Counter[str] = Counter()
-
-        def out():
-            # Matches are sought in distinct stretches between spaces; what spaces do at a text's ends is left to encode.
-            words: Counter[str] = Counter()
-            for chunk, c in counts.items():
-                for w in find(" " + chunk):
-                    words[w] += c
-            counts.clear()
-            some = [(w, c) for w, c in words.items() if len(w.encode()) <= longest]
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in some], pa.string()), pa.array([c for _, c in some], pa.int64())], ["word", "n"])
+    def __init__(self, find, spaced: bool, ranks: dict[bytes, int], longest: int):
+        self.find, self.spaced, self.ranks, self.longest = find, spaced, ranks, longest
+        self.words: dict[str, int] = {}
+        self.long: list[tuple[int, ...]] = []
+        self.stretches: dict[str, int] = {}
+        self.flat: list[int] = []
+        self.start: list[int] = []
+        self.ids: list = []
+        self.texts: list[np.ndarray] = []
+        self.bytes = 0
+
+    def word(self, word: str) -> int:
+        """The word's number; below 0 for those that are not folded."""
+        n = self.words.get(word)
+        if n is None:
+            if len(word) > self.longest or 4 * len(word) > self.longest and len(word.encode()) > self.longest:
+                self.long.append(merge(word.encode(), self.ranks))
+                return -len(self.long)
+            n = self.words[word] = len(self.words)
+        return n
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update((text or "").split(" "))
-                if len(counts) > held:
-                    yield out()
-        yield out()
-
-    counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(rows, "word string, n long")
-    store = Store(docs.sparkSession, "words")
-    every = store.put(counted.groupBy("word").agg(F.sum("n").alias("n")).withColumn("level", F.floor(F.log2("n") * 16).cast("int")), "counts")
-    levels = {r["level"]: r["count"] for r in every.groupBy("level").count().collect()}
-    least, total = max(levels, default=0) + 1, 0
-    while least - 1 in range(max(levels, default=-1) + 1) and total + levels.get(least - 1, 0) <= limit:
-        least -= 1
-        total += levels.get(least, 0)
-    return sorted(r["word"] for r in every.where(F.col("level") >= least).select("word").collect())
-
-
-class Chunks:
-    """Encoded stretches by number: ids of i are flat[start[i] : start[i] + size[i]]."""
-
-    def __init__(self):
-        self.number: dict[str, int] = {}
-        self.flat, self.start, self.size = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self.used = self.count = 0
-
-    def append(self, ids: tuple[int, ...]) -> int:
-        """The number of new ids."""
-        n = self.count
-        if n >= len(self.start):
-            self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
-        if self.used + len(ids) > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * (self.used + len(ids)))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.start[n], self.size[n] = self.used, len(ids)
-        self.used += len(ids)
-        self.count += 1
+    def stretch(self, stretch: str) -> int:
+        """The stretch's number: its words are flat[start[n] : start[n + 1]]."""
+        n = len(self.start)
+        self.start.append(len(self.flat))
+        self.flat += map(self.word, self.find(stretch))
+        if len(stretch) <= REMEMBERED:
+            self.stretches[stretch] = n
         return n
 
+    def add(self, id_, text: str) -> None:
+        self.ids.append(id_)
+        self.bytes += len(text)
+        parts = [text]
+        if self.spaced:
+            head, *rest = text.split(" ")
+            if all(p and not (p[0].isspace() or p[-1].isspace()) for p in rest) and not head[-1:].isspace() and (head or not rest):
+                parts = [head, *(" " + p for p in rest)]
+            else:
+                parts = [head]
+                for p in rest:
+                    if p and parts[-1] and not (p[0].isspace() or parts[-1][-1].isspace()):
+                        parts.append(" " + p)
+                    else:
+                        parts[-1] += " " + p
+        known = self.stretches.get
+        self.texts.append(np.array([self.stretch(p) if (n := known(p)) is None else n for p in parts if p], np.int32))
 
-def _gather(source: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """source[start : start + size] of each, end to end."""
-    ends = np.cumsum(size)
-    return source[np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+    def row(self) -> pa.RecordBatch:
+        starts = np.array([*self.start, len(self.flat)], np.int64)
+        flat = np.array(self.flat, np.int32)
+        # Long words come after the folded ones.
+        flat = np.where(flat < 0, len(self.words) - 1 - flat, flat).astype(np.int32)
+        every = np.concatenate(self.texts) if self.texts else np.zeros(0, np.int32)
+        sizes = starts[every + 1] - starts[every]
+        ends = np.r_[0, np.cumsum(sizes)][np.r_[0, np.cumsum([len(t) for t in self.texts])]]
+        codes = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(_gather(flat, starts[every], sizes)))
+
+        def one(values: pa.Array) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+        return pa.RecordBatch.from_arrays([one(self.ids), one(codes), one(pa.array(list(self.words), pa.string())), one(pa.array(self.long, pa.list_(pa.int32())))], ["id", "codes", "words", "long"])
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", dictionary: int = DICTIONARY) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", spaced: bool | None = None, chunk_bytes: int = CHUNK_BYTES, longest: int = LONGEST) -> DataFrame:
     """(id, ids) of each row of ``docs``: its whole text's matches of ``pattern``, each encoded by itself.
 
     A null or empty text has no ids. Every row is encoded alone: repeated rows and ids give repeated results, an
-    empty table an empty one. Only the two named columns are read. The texts are read twice.
+    empty table an empty one. Only the two named columns are read, once. spaced says that a space between two
+    characters that are no white space always begins a match; by default that is so where each way to begin with a letter, digit or
+    sign has `` ?`` before it. chunk_bytes and longest set where work is split; they do not change results.
     """
-    spark = docs.sparkSession
-    words = frequent_words(docs, pattern, text_col, dictionary)
-    frame = spark.createDataFrame([(w,) for w in words], "word string").repartition(max(1, len(words) // 512))
-    known = {w: tuple(ids) for w, ids in fold_words(frame, ranks).collect()}
-    most, longest, splits = REMEMBERED, LONGEST, pattern == SPACED
+    if spaced is None:
+        spaced = all(x in pattern for x in (r" ?\p{L}+", r" ?\p{N}+", r" ?[^\s\p{L}\p{N}]+"))
+    thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def rows(batches):
         find = regex.compile(pattern).findall
-        rare: dict[str, tuple[int, ...]] = {}
-
-        def ids_of(text: str) -> tuple[int, ...]:
-            out: list[int] = []
-            for word in find(text):
-                ids = known.get(word) or rare.get(word)
-                if ids is None:
-                    ids = merge(word.encode(), ranks)
-                    if len(word) <= longest:
-                        if len(rare) >= most:
-                            rare.clear()
-                        rare[word] = ids
-                out += ids
-            return tuple(out)
-
-        def number_of(chunk: str) -> int:
-            """-1 where a match might cross the space before or after."""
-            if not splits or not chunk or len(chunk) > 4 * longest or chunk[0].isspace() or chunk[-1].isspace():
-                return -1
-            if (n := table.number.get(chunk)) is None:
-                n = table.number[chunk] = table.append(ids_of(" " + chunk))
-            return n
-
-        table = Chunks()
-        for batch in batches:
-            for start in range(0, batch.num_rows, 64):
-                part = batch.slice(start, 64)
-                if len(table.number) > most:
-                    table = Chunks()
-                flats, lengths = [], []
-                for text in part.column(1).to_pylist():
-                    # A space between two characters that are no white space begins a match, so the stretches between such
-                    # spaces, each with the space before it, are encoded one by one; other texts as a whole.
-                    head, *chunks = (text or "").split(" ")
-                    got = list(map(table.number.get, chunks))
-                    if None in got:
-                        got = [number_of(c) if n is None else n for c, n in zip(chunks, got, strict=True)]
-                    if -1 in got or head and head[-1].isspace():
-                        flat = np.array(ids_of(text or ""), np.int32)
-                    else:
-                        own = np.array(got, np.int64)
-                        flat = np.concatenate([np.array(ids_of(head), np.int32), _gather(table.flat, table.start[own], table.size[own])])
-                    flats.append(flat)
-                    lengths.append(len(flat))
-                offsets = np.zeros(len(flats) + 1, np.int32)
-                np.cumsum(lengths, out=offsets[1:])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flats) if flats else np.zeros(0, np.int32)))], ["id", "ids"])
 
-    thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return thin.mapInArrow(rows, f"id {thin.schema[0].dataType.simpleString()}, ids array<int>").withColumnRenamed("id", id_col)
+        def fresh():
+            return _Chunk(find, spaced, ranks, longest)
+
+        chunk = fresh()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                kind = part.column(0).type
+                for id_, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    chunk.add(id_, text or "")
+                    if chunk.bytes >= chunk_bytes or len(chunk.words) >= CHUNK_WORDS:
+                        chunk.ids = pa.array(chunk.ids, kind)
+                        yield chunk.row()
+                        chunk = fresh()
+        if len(chunk.ids):
+            chunk.ids = pa.array(chunk.ids, kind)
+            yield chunk.row()
+
+    kind = thin.schema[0].dataType.simpleString()
+    chunks = thin.mapInArrow(rows, f"id array<{kind}>, codes array<array<int>>, words array<string>, long array<array<int>>")
+    coded = F.concat(fold_words(F.col("words"), _rank_map(ranks)), F.col("long"))
+    texts = _let(coded, lambda c: F.zip_with("id", "codes", lambda i, codes: F.struct(i.alias("id"), F.flatten(F.transform(codes, lambda k: F.get(c, k))).alias("ids"))))
+    return chunks.select(F.explode(texts).alias("x")).select(F.col("x.id").alias(id_col), F.col("x.ids").alias("ids"))
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") -> DataFrame:
-    """``encoded`` with ``decoded``, the pieces of ``ids_col`` end to end as binary; null ids give null. An id without a piece is an error."""
-    at = encoded.columns.index(ids_col)
-    names = [c for c in encoded.columns if c != "decoded"]
+    """``encoded`` with ``decoded``, the pieces of ``ids_col`` end to end as binary; null ids give null.
+
+    An id without a piece, or a null among the ids, is an error. A column ``decoded`` that was there is replaced; others stay.
+    An empty table gives an empty one.
+    """
     if encoded.schema[ids_col].dataType.simpleString() != "array<int>":
         raise TypeError(f"{ids_col} is not array<int>")
-
-    def rows(batches):
-        size = np.full(max(ranks.values(), default=0) + 1, -1, np.int64)
-        start = np.zeros(len(size), np.int64)
-        for piece, rank in ranks.items():
-            size[rank] = len(piece)
-        every = np.frombuffer(b"".join(p for p, _ in sorted(ranks.items(), key=lambda x: x[1])), np.uint8)
-        known = size >= 0
-        start[known] = np.cumsum(size[known]) - size[known]
-        for batch in batches:
-            for first in range(0, batch.num_rows, 64):
-                part = batch.slice(first, 64)
-                lists = part.column(at)
-                ids = lists.flatten().to_numpy(zero_copy_only=False)
-                counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
-                if len(ids) and (ids.min() < 0 or ids.max() >= len(size) or not known[ids].all()):
-                    raise ValueError("an id has no piece")
-                sizes = np.r_[0, np.cumsum(size[ids])]
-                bounds = sizes[np.r_[0, np.cumsum(counts)]].astype(np.int32)
-                text = _gather(every, start[ids], size[ids])
-                valid = None if not lists.null_count else pa.py_buffer(np.packbits(lists.is_valid().to_numpy(zero_copy_only=False), bitorder="little").tobytes())
-                decoded = pa.Array.from_buffers(pa.binary(), len(lists), [valid, pa.py_buffer(bounds.tobytes()), pa.py_buffer(text.tobytes())])
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i, c in enumerate(part.schema.names) if c != "decoded"), decoded], [*names, "decoded"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema if f.name != "decoded")
-    return encoded.mapInArrow(rows, f"{schema}, decoded binary")
+    pieces: list[str | None] = [None] * (max(ranks.values(), default=0) + 1)
+    for piece, rank in ranks.items():
+        pieces[rank] = piece.hex()
+    table = F.from_json(F.lit(json.dumps(pieces, separators=(",", ":"))), "array<string>")
+    found = F.transform(ids_col, lambda i: F.coalesce(F.get(table, i), F.raise_error("an id has no piece").cast("string")))
+    return encoded.withColumn("decoded", F.unhex(F.array_join(found, "")))

@@ -1,11 +1,17 @@
-"""Exact BM25 top-k search with block-max pruning in shards.
+"""Exact BM25 top-k search with block-max WAND in shards.
 
 Document frequencies, lengths and the number of documents are counted over the whole corpus, so a
-shard's scores are final and merging the shards' best k by query is exact. A shard holds an inverted index
-whose postings, by term and document, are cut into blocks of neighbouring documents; of each term and block
-the greatest impact is kept. For a query the terms' block maxima add up to a bound for each block; blocks
-are scored from the greatest bound down, until no bound reaches the k-th best score so far.
-Queries meet shards in blocks, so a task holds one shard and one block of queries whatever their numbers.
+shard's scores are final and merging the shards' best k by query is exact. Texts are read once, in the tasks that hold them: each makes
+the inverted index of some megabytes of text, a *shard*, with postings by term and document, and the indexes
+are written. Queries come in blocks of bounded size, each of which goes to every shard's task.
+
+A shard's postings are cut at the same documents for all terms (document-aligned blocks, Dimopoulos, Nepomnyachiy and Suel
+2013), and of each term and block the greatest impact is kept. The cursor of a query moves on through the
+blocks in document order. WAND's pivot is the next block in which the bounds of the terms that occur reach the threshold, the
+k-th best score so far; what lies before it is skipped. In a block the rarer terms are scored first. A second
+pivot then takes only documents whose score so far and the block's bounds of the frequent terms
+still reach the threshold, and only these are scored in full. Blocks with the best bounds come before the
+walk, so that the threshold is high from the start.
 """
 
 from __future__ import annotations
@@ -20,159 +26,259 @@ from . import bytes as B
 from .store import Store
 
 K1, LENGTH_SHARE = 1.2, 0.75
-#: Bytes of text of a shard, about; queries of a block, about; documents of a block of postings.
+#: Bytes of text of a shard, about; bytes of a block of queries as it is sent, at most, if one query alone is not larger.
 SHARD_BYTES = 24 << 20
-QUERY_BLOCK = 8192
+QUERY_BYTES = 24 << 20
+#: Documents of a block of postings; cells of a shard's table of frequent terms and their most.
 BLOCK = 64
+CELLS, FREQUENT = 6_000_000, 1024
+#: Blocks that are scored before the walk, and in one of its steps.
+FIRST, STEP = 4, 32
+#: Stands for a null id inside a shard.
+NO_ID = -(1 << 63)
+_INDEX = "ids array<long>, lengths array<int>, term array<long>, check array<long>, df array<int>, docs binary, tfs binary"
 
 
 def _terms(column: pa.Array):
-    """For runs of rows: (first row, term hashes, bounds by row)."""
+    """For runs of rows: (first row, term hashes in two lanes, bounds by row)."""
     data, offsets = B.texts_of(column)
     for row, _, block, at in B.blocks(data, offsets):
+        block = B.LOWER[block]
         start, end, bounds = B.words_of(block, at)
-        yield row, B.Rolling(block, lower=True).ranges(start, end), bounds
+        yield row, (B.hashes(block, start, end), B.hashes(block, start, end, 1)), bounds
+
+
+def _distinct(keys: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(order, firsts of equal runs in it) of the rows of keys, the first key counting most."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        s = k[order]
+        new[1:] |= s[1:] != s[:-1]
+    return order, np.flatnonzero(new)
+
 
+def _index(docs: DataFrame, shard_bytes: int) -> DataFrame:
+    """A row for each shard. docs and tfs go along the terms; df is the number of a term's postings."""
 
-def _frequencies(docs: DataFrame) -> DataFrame:
-    """(term, df) partial counts, and under a null term documents and words."""
+    def shard(ids: list, texts: list[pa.Array]) -> pa.RecordBatch:
+        column = pa.concat_arrays(texts)
+        h, g, d = [], [], []
+        for row, (one, two), bounds in _terms(column):
+            h.append(one)
+            g.append(two)
+            d.append((row + np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))).astype(np.int64))
+        h, g, d = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((h, B.U64), (g, B.U64), (d, np.int64)))
+        lengths = np.bincount(d, minlength=len(column))
+        order, cells = _distinct((h, g, d))
+        tf = np.diff(np.r_[cells, len(h)])
+        h, g, d = h[order[cells]], g[order[cells]], d[order[cells]]
+        first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])][: len(h)])
+        df = np.diff(np.r_[first, len(h)])
+        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        cols = [pa.concat_arrays(ids), pa.array(lengths.astype(np.int32)), pa.array(h[first].view(np.int64)), pa.array(g[first].view(np.int64)), pa.array(df.astype(np.int32))]
+        return pa.RecordBatch.from_arrays([*map(one, cols), pa.array([d.astype(np.int32).tobytes()], pa.binary()), pa.array([tf.astype(np.int32).tobytes()], pa.binary())], ["ids", "lengths", "term", "check", "df", "docs", "tfs"])
 
     def rows(batches):
+        ids, texts, held = [], [], 0
         for batch in batches:
-            every, n, words = [], batch.num_rows, 0
-            for _, hashes, bounds in _terms(batch.column(1)):
-                words += len(hashes)
-                text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-                order = np.lexsort((hashes, text))
-                h, t = hashes[order], text[order]
-                every.append(h[np.r_[True, (h[1:] != h[:-1]) | (t[1:] != t[:-1])]] if len(h) else h)
-            terms, df = np.unique(np.concatenate(every), return_counts=True) if every else (np.zeros(0, B.U64), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(df.astype(np.int64)), pa.array(np.zeros(len(terms), np.int64))], ["term", "df", "words"])
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([n], pa.int64()), pa.array([words], pa.int64())], ["term", "df", "words"])
+            for start in range(0, batch.num_rows, 128):
+                part = batch.slice(start, 128)
+                ids.append(part.column(0))
+                # Copied, so that a batch does not stay for a slice of it.
+                texts.append(pa.concat_arrays([part.column(1).fill_null(""), pa.array([], part.column(1).type)]))
+                held += texts[-1].nbytes
+                if held >= shard_bytes:
+                    yield shard(ids, texts)
+                    ids, texts, held = [], [], 0
+        if texts:
+            yield shard(ids, texts)
 
-    return docs.mapInArrow(rows, "term long, df long, words long")
+    return docs.mapInArrow(rows, _INDEX)
 
 
 def _query_terms(queries: DataFrame) -> DataFrame:
-    """(id, term) of the distinct terms of each query."""
+    """(id, term, check) of the distinct terms of each query."""
 
     def rows(batches):
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for row, hashes, bounds in _terms(batch.column(1)):
-                sets = [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                own = [ids[row + i] for i, s in enumerate(sets) for _ in range(len(s))]
-                flat = np.concatenate(sets) if sets else np.zeros(0, B.U64)
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(flat.view(np.int64))], ["id", "term"])
+            ids = batch.column(0).to_numpy()
+            for row, (h, g), bounds in _terms(batch.column(1)):
+                own = ids[row + np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))]
+                order, first = _distinct((own, h, g))
+                at = order[first]
+                yield pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(h[at].view(np.int64)), pa.array(g[at].view(np.int64))], ["id", "term", "check"])
 
-    return queries.mapInArrow(rows, "id long, term long")
+    return queries.mapInArrow(rows, "id long, term long, check long")
 
 
 class Shard:
-    """The index of one shard."""
-
-    def __init__(self, ids: np.ndarray, texts: pa.Array, mean_words: float):
-        self.ids = ids
-        n = len(ids)
-        hashes, docs = [], []
-        for row, h, bounds in _terms(texts):
-            hashes.append(h)
-            docs.append(row + np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)))
-        h = np.concatenate(hashes) if hashes else np.zeros(0, B.U64)
-        d = np.concatenate(docs) if docs else np.zeros(0, np.int64)
-        lengths = np.bincount(d, minlength=n)
-        self.terms, term = np.unique(h, return_inverse=True)
-        cells, tf = np.unique(term * max(n, 1) + d, return_counts=True)
-        term, self.doc = cells // max(n, 1), cells % max(n, 1)
-        norm = K1 * (1 - LENGTH_SHARE + LENGTH_SHARE * lengths[self.doc] / (mean_words or 1.0))
-        self.impact = tf * (K1 + 1) / (tf + norm)
-        block = self.doc // BLOCK
-        new = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(term) else np.zeros(0, np.int64)
+    """The index of one shard, ready for queries."""
+
+    def __init__(self, ids, lengths, term, check, df, docs, tfs, mean_words: float):
+        self.ids, self.term, self.check = ids, term.view(B.U64), check.view(B.U64)
+        n = self.n = len(ids)
+        self.doc = docs
+        norm = K1 * (1 - LENGTH_SHARE + LENGTH_SHARE * lengths / (mean_words or 1.0))
+        self.impact = tfs * (K1 + 1) / (tfs + norm[docs])
+        self.start = np.r_[0, np.cumsum(df)].astype(np.int64)
         self.n_blocks = -(-n // BLOCK)
-        self.block = block[new]
+        of = np.repeat(np.arange(len(df)), df)
+        block = docs // BLOCK
+        new = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (block[1:] != block[:-1])][: len(of)])
+        # An entry is what a term has in a block: postings first to last, and their greatest impact.
+        self.block, self.first, self.last = block[new], new, np.r_[new[1:], len(of)][: len(new)]
         self.most = np.maximum.reduceat(self.impact, new) if len(new) else np.zeros(0)
-        self.first, self.last = new, np.r_[new[1:], len(term)]
-        self.entries = np.searchsorted(term[new], np.arange(len(self.terms) + 1)) if len(new) else np.zeros(1, np.int64)
+        self.entries = np.searchsorted(of[new], np.arange(len(df) + 1))
+        # The most frequent terms' impacts and bounds as tables.
+        often = np.argsort(-df, kind="stable")[: min(FREQUENT, CELLS // max(n, 1))]
+        self.table = np.full(len(df), -1)
+        self.table[often] = np.arange(len(often))
+        self.full, self.bound = np.zeros((len(often), n)), np.zeros((len(often), self.n_blocks))
+        for i, t in enumerate(often):
+            at = slice(self.start[t], self.start[t + 1])
+            self.full[i, docs[at]] = self.impact[at]
+            at = slice(self.entries[t], self.entries[t + 1])
+            self.bound[i, self.block[at]] = self.most[at]
 
     @staticmethod
     def _runs(first: np.ndarray, last: np.ndarray) -> np.ndarray:
         sizes = last - first
         return np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
 
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def places(self, term: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """Where the terms are, -1 for those that the shard lacks."""
+        at = np.searchsorted(self.term, term)
+        out = np.full(len(term), -1)
+        live = np.arange(len(term))
+        while len(live):  # more than one step only if terms agree in the first lane
+            live = live[at[live] < len(self.term)]
+            live = live[self.term[at[live]] == term[live]]
+            same = self.check[at[live]] == check[live]
+            out[live[same]] = at[live[same]]
+            live = live[~same]
+            at[live] += 1
+        return out
+
+    def search(self, term: np.ndarray, check: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(places, scores) of all that may be among the best k."""
-        at = np.searchsorted(self.terms, terms)
-        ok = at < len(self.terms)
-        ok[ok] = self.terms[at[ok]] == terms[ok]
-        at, weights = at[ok], weights[ok]
+        at = self.places(term, check)
+        at, weights = at[at >= 0], weights[at >= 0]
+        none = np.zeros(0, np.int64), np.zeros(0)
         if not len(at):
-            return np.zeros(0, np.int64), np.zeros(0)
-        entry = self._runs(self.entries[at], self.entries[at + 1])
-        weight = np.repeat(weights, self.entries[at + 1] - self.entries[at])
-        bound = np.bincount(self.block[entry], self.most[entry] * weight, self.n_blocks)
-        order = np.argsort(-bound, kind="stable")
-        places, scores, least = [], [], 0.0
-        done, step = 0, 4
-        while done < len(order) and bound[order[done]] > 0 and bound[order[done]] >= least - 1e-9:
+            return none
+        often = self.table[at]
+        tabled, heavy = often[often >= 0], weights[often >= 0]
+        rest = heavy @ self.bound[tabled]  # what the frequent terms may add in each block
+        rare, light = at[often < 0], weights[often < 0]
+        entry = self._runs(self.entries[rare], self.entries[rare + 1])
+        weight = np.repeat(light, self.entries[rare + 1] - self.entries[rare])
+        of = self.block[entry]
+        bound = rest + np.bincount(of, self.most[entry] * weight, self.n_blocks)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        best, least = np.zeros(0), 0.0
+
+        def look(blocks: np.ndarray) -> None:
+            nonlocal best, least
             chosen = np.zeros(self.n_blocks, bool)
-            chosen[order[done : done + step]] = True
-            use = chosen[self.block[entry]]
+            chosen[blocks] = True
+            use = chosen[of]
             first, last = self.first[entry[use]], self.last[entry[use]]
             posting = self._runs(first, last)
-            total = np.bincount(self.doc[posting], self.impact[posting] * np.repeat(weight[use], last - first), len(self.ids))
-            hit = np.flatnonzero(total)
-            places.append(hit)
-            scores.append(total[hit])
-            found = np.concatenate(scores)
-            if len(found) >= k:
-                least = np.partition(found, len(found) - k)[len(found) - k]
-            done, step = done + step, step * 2
-        p, s = np.concatenate(places), np.concatenate(scores)
+            score = np.bincount(self.doc[posting], self.impact[posting] * np.repeat(weight[use], last - first), self.n_blocks * BLOCK).reshape(-1, BLOCK)[blocks]
+            may = score + rest[blocks][:, None]
+            # The second pivot: documents that the frequent terms could still lift to the threshold.
+            x, y = np.nonzero((may > 0) & (may >= least - 1e-9))
+            doc = blocks[x] * BLOCK + y
+            x, y, doc = x[doc < self.n], y[doc < self.n], doc[doc < self.n]
+            total = score[x, y] + heavy @ self.full[tabled[:, None], doc[None, :]]
+            keep = (total > 0) & (total >= least - 1e-9)
+            found.append((doc[keep], total[keep]))
+            best = np.r_[best, total[keep]]
+            if len(best) >= k:
+                best = np.partition(best, len(best) - k)[len(best) - k :]
+                least = best[0]
+
+        first = np.sort(np.argsort(-bound, kind="stable")[:FIRST])
+        look(first[bound[first] > 0])
+        bound[first] = -1.0
+        cursor = 0
+        while True:
+            pivots = cursor + np.flatnonzero((bound[cursor:] > 0) & (bound[cursor:] >= least - 1e-9))[:STEP]
+            if not len(pivots):
+                break
+            look(pivots)
+            cursor = pivots[-1] + 1
+        p, s = (np.concatenate(x) for x in zip(*found, strict=True))
         keep = s >= least - 1e-9
         return p[keep], s[keep]
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _packed(asked: DataFrame, blocks: int) -> DataFrame:
+    """A row for each block of queries: ids, ends of their terms, terms, checks, weights. asked: id, term, check, w."""
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("id", "ascending"), ("term", "ascending"), ("check", "ascending")])
+        ids = table.column("id").to_numpy()
+        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        cols = {"block": [table.column("block")[0].as_py()], "ids": [ids[first]], "ends": [np.r_[first[1:], len(ids)]]}
+        return pa.table(cols | {c: [table.column(c).to_numpy()] for c in ("term", "check", "w")}, schema=schema)
+
+    schema = pa.schema([("block", pa.int32()), *((c, pa.list_(pa.int64())) for c in ("ids", "ends", "term", "check")), ("w", pa.list_(pa.float64()))])
+    dealt = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    return dealt.groupBy("block").applyInArrow(pack, "block int, ids array<long>, ends array<long>, term array<long>, check array<long>, w array<double>")
+
+
+def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """(query_id, rank, doc_id, score) of the best ``k`` rows of ``docs`` for each row of ``queries``.
 
     Terms are words (runs of bytes other than space and U+0009 to U+000D), A to Z lower-cased; a query has each
     of its terms once. Scores are rounded to 9 digits, ties go to the lesser id. Only rows with a common term
     are found, so queries without words have none. Null texts count as empty, and count among the documents.
-    Ids are integers; rows that repeat an id are documents of their own, queries that repeat one are one query of all their terms; null query
-    ids are left out. Empty tables give an empty one. No other column is read.
+    Ids are integers; rows that repeat an id, or have none, are documents of their own, queries that repeat one are one query of all their terms; null query
+    ids are left out. Empty tables give an empty one. No other column is read. shard_bytes and query_bytes set where
+    work is split; they do not change results. Each block of queries is a job of its own, written before the next.
     """
     spark = docs.sparkSession
     store = Store(spark, "bm25")
     docs, queries = (x.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")) for x in (docs, queries))
-    queries = queries.where("id is not null")
-    counted = store.put(_frequencies(docs).groupBy("term").agg(F.sum("df").alias("df"), F.sum("words").alias("words")), "frequencies")
-    whole = counted.where("term is null").first()
-    n, mean = (whole["df"], whole["words"] / max(1, whole["df"])) if whole else (0, 0.0)
-    terms = _query_terms(queries).distinct().join(counted.where("term is not null").select("term", "df"), "term")
+    index = store.put(_index(docs, shard_bytes), "index")
+    whole = index.agg(F.sum(F.size("ids")).alias("n"), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("words")).first()
+    n, mean = whole["n"] or 0, (whole["words"] or 0) / max(1, whole["n"] or 0)
+    counts = index.select(F.explode(F.arrays_zip("term", "check", "df")).alias("x")).groupBy("x.term", "x.check").agg(F.sum("x.df").alias("df"))
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    packed = terms.select("id", F.struct("term", idf.alias("w")).alias("t")).groupBy("id").agg(F.array_sort(F.collect_list("t")).alias("t"))
-    packed = store.put(packed.select("id", F.col("t.term").alias("terms"), F.col("t.w").alias("weights")), "queries")
-    size = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    shards, blocks = max(1, -(-size // SHARD_BYTES)), max(1, -(-packed.count() // QUERY_BLOCK))
-    # Rows spread by number, not by id or text, so copies do not meet in one shard.
-    left = docs.select(F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "id", "text")
-    right = packed.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "id", "terms", "weights")
-
-    def run(documents: pa.Table, asked: pa.Table) -> pa.Table:
-        shard = Shard(documents.column("id").to_numpy(), documents.column("text").combine_chunks(), mean)
-        names, ts, ws = (asked.column(c).combine_chunks() for c in ("id", "terms", "weights"))
-        bounds, t, w = ts.offsets.to_numpy(), ts.values.to_numpy().view(B.U64), ws.values.to_numpy()
-        out: tuple[list, list, list] = ([], [], [])
-        for i, q in enumerate(names.to_pylist()):
-            own, weight = t[bounds[i] : bounds[i + 1]], w[bounds[i] : bounds[i + 1]]
-            places, scores = shard.search(own, weight, k)
-            scores = np.round(scores, 9)
-            best = np.lexsort((shard.ids[places], -scores))[:k]
-            for c, x in zip(out, (np.full(len(best), q), shard.ids[places][best], scores[best]), strict=True):
-                c.append(x)
-        cols = [np.concatenate(c) if c else np.zeros(0) for c in out]
-        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "doc_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
-
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(run, "query_id long, doc_id long, score double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "doc_id", "score")
+    asked = _query_terms(queries.where("id is not null")).distinct()
+    asked = store.put(asked.join(counts, ["term", "check"]).select("id", "term", "check", idf.alias("w")), "asked")
+    blocks = max(1, -(-asked.count() * 32 // query_bytes))
+    packed = store.put(_packed(asked, blocks), "queries")
+    names = ("ids", "lengths", "term", "check", "df")
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                lists = [row.column(c).flatten().to_numpy() if c != "ids" else row.column(c).flatten().fill_null(NO_ID).to_numpy() for c in names]
+                shard = Shard(*lists, *(np.frombuffer(row.column(c)[0].as_buffer(), np.int32) for c in ("docs", "tfs")), mean)
+                queries, ends, term, check, w = (row.column(f"q_{c}").flatten().to_numpy() for c in ("ids", "ends", "term", "check", "w"))
+                out: tuple[list, list, list] = ([], [], [])
+                for q, a, b in zip(queries, np.r_[0, ends[:-1]], ends, strict=True):
+                    places, scores = shard.search(term[a:b].view(B.U64), check[a:b].view(B.U64), w[a:b], k)
+                    scores = np.round(scores, 9)
+                    best = np.lexsort((shard.ids[places], -scores))[:k]
+                    for c, x in zip(out, (np.full(len(best), q), shard.ids[places][best], scores[best]), strict=True):
+                        c.append(x)
+                cols = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64(), mask=cols[1] == NO_ID), pa.array(cols[2], pa.float64())], ["query_id", "doc_id", "score"])
+
+    def best_of(block: int) -> DataFrame:
+        asked = packed.where(F.col("block") == block).select("block", *(F.col(c).alias(f"q_{c}") for c in ("ids", "ends", "term", "check", "w")))
+        found = index.withColumn("block", F.lit(block)).join(F.broadcast(asked), "block").mapInArrow(run, "query_id long, doc_id long, score double")
+        rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
+        return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "doc_id", "score")
+
+    if blocks == 1:
+        return best_of(0)
+    for block in range(blocks):
+        best_of(block).write.mode("append").parquet(f"{store.path}/found")
+    return spark.read.schema("query_id long, rank int, doc_id long, score double").parquet(f"{store.path}/found")

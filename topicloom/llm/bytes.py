@@ -8,6 +8,7 @@ for a single text that is longer than a block.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -24,25 +25,10 @@ LOWER[65:91] += 32
 CONTINUATION = (np.arange(256) & 0xC0) == 0x80
 
 _rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
-_BYTE_LOWER = _BYTE[LOWER]
-_BASE = int(_rng.integers(1, 1 << 61)) * 4 + 3
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+_ODD = _rng.integers(1, 1 << 63, (2, 3), dtype=np.uint64) * U64(2) + U64(1)
 _GRAM = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * U64(2) + U64(1)
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(kind: str, n: int) -> np.ndarray:
-    table = _powers.get(kind)
-    if table is None or len(table) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        base = _BASE if kind == "up" else _BASE_INVERSE
-        table = np.full(size, U64(base & ((1 << 64) - 1)))
-        table[0] = 1
-        np.multiply.accumulate(table, out=table)
-        if size <= BLOCK_BYTES + 1:
-            _powers[kind] = table
-    return table
+#: A range longer than this is hashed by itself.
+LONG = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -76,18 +62,64 @@ def blocks(data: np.ndarray, offsets: np.ndarray, limit: int = BLOCK_BYTES) -> I
         row = end
 
 
-class Rolling:
-    """Hashes of any byte range of a block in constant time each."""
+def _eights(data: np.ndarray, order: str = "<") -> np.ndarray:
+    """The eight bytes from each place of the data on, as a number; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, f"{order}u8", padded, strides=(1,))
+
+
+def _first(eights: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The first n bytes of each, n from 1 on."""
+    return eights & (U64(0xFFFFFFFFFFFFFFFF) >> ((U64(8) - np.minimum(n, 8).astype(U64)) * U64(8)))
+
+
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
+    """64-bit hashes of byte ranges; each lane is a hash of its own.
 
-    def __init__(self, data: np.ndarray, lower: bool = False):
-        n = len(data)
-        self.sums = np.zeros(n + 1, U64)
-        if n:
-            np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * _power("up", n)[:n], out=self.sums[1:])
-        self.back = _power("down", n + 1)
+    Eight bytes at a time are taken in by bijective steps that are not linear, so ranges of one size up to 8 bytes never
+    collide, and longer ones by chance alone.
+    """
+    eights, size = _eights(data), end - start
+    out = mix(size.astype(U64) * _ODD[lane, 0] + _ODD[lane, 1])
+    live = np.flatnonzero((size > 0) & (size <= LONG))
+    at, left = start[live], size[live]
+    while len(live):
+        out[live] = mix((out[live] ^ _first(eights[at], left)) * _ODD[lane, 2])
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG):
+        out[i] = np.frombuffer(blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, salt=bytes([lane])).digest(), U64)[0]
+    return out
+
+
+def _both(a: np.ndarray, b: np.ndarray, lane: int) -> np.ndarray:
+    return mix(a * _ODD[lane, 1] + mix(b ^ _ODD[lane, 0]) * _ODD[lane, 2])
 
-    def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(U64) * U64(0x9E3779B97F4A7C15))
+
+def windows(data: np.ndarray, length: int, lane: int = 0) -> np.ndarray:
+    """64-bit hashes of all strings of ``length`` bytes of the data, by their places.
+
+    Hashes of 8 bytes are paired to those of 16, 32 and so on by steps that are not linear, and the parts of the length
+    put together.
+    """
+    n = len(data) - length + 1
+    if n <= 0:
+        return np.zeros(0, U64)
+    eights = _eights(data)[: len(data)]
+    if length < 8:
+        return mix(_first(eights[:n], np.array([length])) * _ODD[lane, 2])
+    part, size, at = mix((eights[: len(data) - 7] ^ _ODD[lane, 1]) * _ODD[lane, 2]), 8, 0
+    # What the eights leave over is in one more that ends with the window.
+    out = part[length - 8 :][:n] if length % 8 else np.full(n, _ODD[lane, 0])
+    while True:
+        if length & size:
+            out = _both(out, part[at : at + n], lane)
+            at += size
+        if 2 * size > length:
+            break
+        part = _both(part[: len(part) - size], part[size:], lane)
+        size *= 2
+    return out
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

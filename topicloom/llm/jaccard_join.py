@@ -49,7 +49,7 @@ def _shingles(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarr
     data, offsets = B.texts_of(batch.column(1))
     for row, _, block, at in B.blocks(data, offsets):
         start, end, bounds = B.words_of(block, at)
-        hashes = B.Rolling(block, lower=True).ranges(start, end)
+        hashes = B.hashes(B.LOWER[block], start, end)
         yield row, *B.grams(hashes, bounds, words, short=True)
 
 

@@ -1,19 +1,19 @@
 """Removal of byte strings that repeat anywhere in a corpus, by a depth-limited radix sort of suffixes.
 
 A suffix is ordered through its first ``length`` bytes only (a *window*); groups that are equal to that
-depth are exactly the repeated windows. The passes go from the most significant digit down, and a suffix
-that is alone in its group after a pass takes no part in the next:
+depth are exactly the repeated windows. A suffix that is alone in its group after a pass takes no part in the next.
 
 1. The leading digit of a window is its anchor: of the ``ANCHOR``-byte strings inside it the one with the
    least hash, the leftmost on ties, with its place. Equal windows have equal anchors at equal places, and
    neighbouring windows mostly share theirs, so that the first pass counts one row for some 170 windows.
 2. Anchors found in one place only leave. The texts of the others are cut into the stretches whose
    windows have that anchor, and stretches are dealt out by anchor.
-3. Within an anchor, windows are ordered by the place of the anchor and then by digits of ``DIGIT`` bytes
-   each; groups of one leave after each digit, and what is left after the last is repeated.
+3. Within an anchor, stretches are put into order by the bytes from the anchor to the right and by those from it to the left,
+   with passes by digits of eight bytes, the most significant first. Order shows how many bytes neighbours
+   share on each side, and so which windows at the same distance from the anchor are equal in all bytes.
 
-An anchor found in more than ``HOT`` places would make one task's group; its windows are dealt out by
-their whole-window hash instead, over as many parts as they need. Equal texts are handled once.
+An anchor found in more than ``HOT`` places would make one task's group; its windows are dealt out as a whole,
+by a hash of 128 bits, over as many parts as they need. Equal texts are handled once.
 """
 
 from __future__ import annotations
@@ -30,8 +30,9 @@ from . import idfilter
 from .store import Store
 
 ANCHOR = 64
-DIGIT = 100
-HOT = 2000
+HOT = 1 << 14
+#: Anchors so frequent that there are at most this many of them go to every task; the rest are joined by key.
+FREQUENT = 50_000
 #: Windows of a hot anchor that one part takes, about.
 PART_WINDOWS = 400_000
 #: Bytes of stretches that a task orders at once, about; an anchor's own are never split.
@@ -47,7 +48,7 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.n
     if n < length:
         return z, z.astype(B.U64), z, z, z
     at = np.arange(n - ANCHOR + 1)
-    keys = B.Rolling(data).ranges(at, at + ANCHOR)
+    keys = B.windows(data, ANCHOR)
     # Least value of each run of w: the prefix and suffix minima of blocks of w meet in it.
     m = len(keys)
     rows = -(-m // w)
@@ -102,7 +103,7 @@ def _rows(docs: DataFrame, length: int, piece: int) -> DataFrame:
     return docs.mapInArrow(rows, "doc_id long, n_bytes long, digest binary, anchors array<struct<key: long, m: int, lo: int, hi: int>>")
 
 
-#: A stretch of one text (tid to seg), or many windows of a hot anchor (values to places, packed).
+#: A stretch of one text (tid to seg), or many windows of a hot anchor (values to places, packed; two values to a window).
 _DEALT = "key long, part int, tid long, m int, lo int, seg binary, vals binary, tids binary, places binary"
 
 
@@ -137,7 +138,6 @@ def _deal(joined: DataFrame, length: int, hot: int) -> DataFrame:
                 if hashlib.sha256(own).digest() != digests[i]:
                     continue  # another text with the same id
                 raw = own.tobytes()
-                roll = None
                 for j in range(bounds[i], bounds[i + 1]):
                     if c[j] <= hot:
                         seg = raw[lo[j] : hi[j] + length]
@@ -145,15 +145,16 @@ def _deal(joined: DataFrame, length: int, hot: int) -> DataFrame:
                             cold[k].append(x)
                         size += len(seg)
                         continue
-                    roll = roll or B.Rolling(own)
                     at = np.arange(lo[j], hi[j] + 1)
-                    v = B.mix(roll.ranges(at, at + length) + (m[j] - at).astype(B.U64))
+                    # The anchor's distance is part of the value, as it is of the digit.
+                    far = B.mix((m[j] - at).astype(B.U64))
+                    v = np.stack([B.mix(B.windows(own[lo[j] : hi[j] + length], length, lane) + far) for lane in (0, 1)], axis=1)
                     parts = -(-int(c[j]) * (length - ANCHOR + 1) // PART_WINDOWS)
-                    which = ((v >> B.U64(32)) % B.U64(parts)).astype(np.int64)
+                    which = ((v[:, 0] >> B.U64(32)) % B.U64(parts)).astype(np.int64)
                     for p in np.unique(which):
                         take = which == p
-                        packs.setdefault((int(key[j]), int(p)), []).append((v[take], np.full(take.sum(), tid, np.int64), at[take].astype(np.int32)))
-                    held += 20 * len(at)
+                        packs.setdefault((int(key[j]), int(p)), []).append((v[take].ravel(), np.full(take.sum(), tid, np.int64), at[take].astype(np.int32)))
+                    held += 28 * len(at)
                 if size > 8 << 20:
                     yield stretches(cold)
                     cold, size = {k: [] for k in cold}, 0
@@ -167,12 +168,14 @@ def _deal(joined: DataFrame, length: int, hot: int) -> DataFrame:
     return joined.mapInArrow(rows, _DEALT)
 
 
-def _again(values: np.ndarray) -> np.ndarray:
-    """Which values occur more than once."""
-    order = np.argsort(values)
-    s = values[order]
-    same = s[1:] == s[:-1]
-    out = np.zeros(len(values), bool)
+def _again(*keys: np.ndarray) -> np.ndarray:
+    """Which rows of the keys occur more than once."""
+    order = np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
+    same = np.ones(max(0, len(order) - 1), bool)
+    for k in keys:
+        s = k[order]
+        same &= s[1:] == s[:-1]
+    out = np.zeros(len(order), bool)
     out[order[1:][same]] = True
     out[order[:-1][same]] = True
     return out
@@ -188,24 +191,78 @@ def _runs(tids: np.ndarray, places: np.ndarray, length: int) -> tuple[np.ndarray
     return tids[new], places[new], places[np.r_[new[1:], len(places)] - 1] + length
 
 
+def _radix(data: np.ndarray, at: np.ndarray, size: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Orders the strings data[at : at + size] within groups by passes of eight bytes, the first bytes first.
+
+    Gives the order and, for each string in it, how many bytes it shares with the one before; -1 at a group's
+    first. A string comes before those that it begins. Strings alone in what is left of their group leave after each pass.
+    """
+    most = int(size.max(initial=0))
+    eights = np.ndarray(len(data) + most + 1, ">u8", np.concatenate([data, np.zeros(most + 8, np.uint8)]), strides=(1,))
+    order = np.lexsort((size, group))
+    n = len(order)
+    shared = np.full(n, most, np.int64)
+    own = group[order]
+    shared[np.flatnonzero(np.r_[True, own[1:] != own[:-1]][:n])] = -1
+    live = np.arange(n)
+    part = np.cumsum(shared < 0)
+    depth = 0
+    while True:
+        # Groups of one leave.
+        alone = np.r_[True, part[1:] != part[:-1]][: len(part)]
+        alone &= np.r_[alone[1:], True][: len(part)]
+        live, part = live[~alone], part[~alone]
+        if not len(live) or depth >= most:
+            break
+        now = order[live]
+        left = np.clip(size[now] - depth, 0, 8).astype(B.U64)
+        # Bytes after a string's end count as zeros; sizes settle what is left over.
+        digit = eights[at[now] + np.minimum(depth, size[now])].astype(B.U64)
+        digit = np.where(left > 0, digit & ~(B.U64(0xFFFFFFFFFFFFFFFF) >> (np.minimum(left, 7) * B.U64(8))) | np.where(left == 8, digit & B.U64(0xFF), B.U64(0)), B.U64(0))
+        s = np.lexsort((digit, part))
+        order[live], digit = now[s], digit[s]
+        apart = np.flatnonzero((part[1:] == part[:-1]) & (digit[1:] != digit[:-1])) + 1
+        differ = digit[apart] ^ digit[apart - 1]
+        same = np.zeros(len(apart), np.int64)
+        for k in range(1, 8):
+            same += differ < B.U64(1 << (64 - 8 * k))
+        shared[live[apart]] = depth + same
+        cut = np.zeros(len(part), np.int64)
+        cut[apart] = 1
+        part = np.cumsum(cut + np.r_[0, (part[1:] != part[:-1])])
+        depth += 8
+    ends = size[order]
+    shared[1:] = np.minimum(shared[1:], np.minimum(ends[1:], ends[:-1]))
+    return order, shared
+
+
 def _order(segs: list[bytes], keys: np.ndarray, tids: np.ndarray, m: np.ndarray, lo: np.ndarray, length: int):
-    """Passes by digits over the windows of whole anchors."""
+    """(tid, first byte, byte after the last) of the runs of equal windows of stretches with whole anchors. m: place of the anchor in the stretch."""
     sizes = np.array([len(s) for s in segs], np.int64)
     data = np.frombuffer(b"".join(segs), np.uint8)
     base = np.r_[0, np.cumsum(sizes)[:-1]]
-    counts = sizes - length + 1
-    seg = np.repeat(np.arange(len(segs)), counts)
-    off = np.arange(len(seg)) - np.repeat(np.cumsum(counts) - counts, counts)
-    roll = B.Rolling(data)
-    group = B.mix(keys.view(B.U64)[seg]) + (m[seg] - off).astype(B.U64)
-    for d in range(0, length, DIGIT):
-        at = base[seg] + off + d
-        group = B.mix(group) ^ roll.ranges(at, at + min(DIGIT, length - d))
-        keep = _again(group)
-        seg, off, group = seg[keep], off[keep], group[keep]
-        if not len(seg):
-            break
-    return _runs(tids[seg], lo[seg] + off, length)
+    n = len(segs)
+    group = np.unique(keys, return_inverse=True)[1]
+    right, left = sizes - m, m
+    fore, same_fore = _radix(data, base + m, right, group)
+    back, same_back = _radix(data[::-1], len(data) - base - m, left, group)
+    far = int(left.max(initial=0))
+    hit = np.zeros((n, far + 3), bool)
+    a, b = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    # A window that begins ``away`` bytes before the anchor: stretches agree on it if they do on both sides of the anchor.
+    for away in range(far + 1):
+        some = np.flatnonzero((left >= away) & (right >= length - away))
+        if len(some) < 2:
+            continue
+        a[fore] = np.cumsum(same_fore < length - away)
+        b[back] = np.cumsum(same_back < away)
+        hit[some[_again(a[some] * (n + 1) + b[some])], away + 1] = True
+    edge = np.diff(hit.astype(np.int8), axis=1)
+    row, begin = np.nonzero(edge == 1)
+    _, end = np.nonzero(edge == -1)
+    # Hits from begin to end - 1 bytes before the anchor.
+    anchor = lo[row] + m[row]
+    return tids[row], anchor - end + 1, anchor - begin + length
 
 
 def _sorted_out(dealt: DataFrame, length: int, buckets: int) -> DataFrame:
@@ -241,7 +298,7 @@ def _sorted_out(dealt: DataFrame, length: int, buckets: int) -> DataFrame:
                     hot.setdefault((r[0], r[1]), []).append(r[6:])
             for own in hot.values():
                 vals, tids, places = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*own, strict=True), (B.U64, np.int64, np.int32), strict=True))
-                keep = _again(vals)
+                keep = _again(vals[::2], vals[1::2])
                 found.append(_runs(tids[keep], places[keep].astype(np.int64), length))
 
         for batch in batches:
@@ -322,8 +379,13 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = rows.groupBy("digest").agg(F.count("*").alias("copies"), F.first(F.struct("doc_id", "n_bytes", "anchors")).alias("x")).select("digest", "copies", "x.*")
     texts = store.put(texts.withColumn("tid", F.monotonically_increasing_id()), "texts")
     own = texts.select("tid", F.explode("anchors").alias("a")).select("tid", "a.*")
-    again = own.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    left = own.join(again, "key").groupBy("tid").agg(F.collect_list(F.struct("key", "m", "lo", "hi", "c")).alias("anchors"))
+    again = store.put(own.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "again")
+    # At most FREQUENT anchors can have so large a share of all; their rows need no exchange by key.
+    many = max(hot, (again.agg(F.sum("c")).first()[0] or 0) // FREQUENT)
+    frequent = F.broadcast(again.where(F.col("c") > many).select("key", F.col("c").alias("often")))
+    own = own.join(frequent, "key", "left")
+    left = own.where("often is null").drop("often").join(again.where(F.col("c") <= many), "key").unionByName(own.where("often is not null").withColumnRenamed("often", "c"))
+    left = left.groupBy("tid").agg(F.collect_list(F.struct("key", "m", "lo", "hi", "c")).alias("anchors"))
     left = store.put(left.join(texts.select("tid", "digest", F.col("doc_id").alias("rep")), "tid"), "anchored")
 
     def with_text(of: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPECIAL_TOKENS = ("[CLS]", "[SEP]", "[PAD]", "[UNK]", "[MASK]", "<s>", "</s>", "<pad>", "<unk>", "<mask>")
+# The tokens that stand for no word.
+SPECIAL_TOKENS = ("[CLS]", "[SEP]", "<s>", "</s>", "<pad>", "[PAD]", "<cls>", "<sep>")
 
 
 def softmax(logits: Column | str) -> Column:

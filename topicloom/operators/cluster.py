@@ -6,11 +6,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
 from .kernels import condensed_labels, cut_tree, leaf_labels, linkage, prim
 from .reduce import TooManyRows, nearest_neighbors
 
@@ -65,23 +64,102 @@ class Hdbscan:
         return _one_task(rows, kernel, self.max_points)
 
 
+def _nearest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nearest center, squared distance) of each row."""
+    d = (x**2).sum(1)[:, None] + (centers**2).sum(1)[None, :] - 2 * x @ centers.T
+    at = d.argmin(1)
+    return at, np.maximum(d[np.arange(len(x)), at], 0)
+
+
+def _sums(df: DataFrame, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """(rows, mean) of each center's own rows, and the sum of squared distances: one pass, a row for each center to the driver."""
+    k, dims = centers.shape
+
+    def part(batches):
+        n, total, cost = np.zeros(k), np.zeros((k, dims)), np.zeros(k)
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(pdf["reduced"])
+                at, d = _nearest(x, centers)
+                n += np.bincount(at, minlength=k)
+                cost += np.bincount(at, d, k)
+                np.add.at(total, at, x)
+        yield pd.DataFrame({"c": range(k), "n": n, "cost": cost, "total": list(total)})
+
+    parts = df.select("reduced").mapInPandas(part, "c int, n double, cost double, total array<double>")
+    cells = parts.select("c", "n", "cost", F.posexplode("total").alias("i", "x")).groupBy("c", "i").agg(F.sum("x").alias("x"), F.sum("n").alias("n"), F.sum("cost").alias("cost"))
+    n, total, cost = np.zeros(k), np.zeros((k, dims)), np.zeros(k)
+    for r in cells.collect():
+        n[r["c"]], cost[r["c"]], total[r["c"], r["i"]] = r["n"], r["cost"], r["x"]
+    return n, total / np.maximum(n, 1)[:, None], float(cost.sum())
+
+
 @dataclass
 class KMeansClustering:
-    """The best of ``nstart`` runs; topics from 0 by their least document id."""
+    """The best of ``nstart`` runs; topics from 0 by their least document id.
+
+    Runs begin with k-means++ and go on, up to convergence, over ``sample`` rows at most, taken by a hash of their id and in its
+    order, so that neither partitions nor cores change them. The best then goes on over all rows.
+    """
 
     k: int
     nstart: int = 10
     max_iter: int = 300
+    sample: int = 20_000
+
+    def _start(self, x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """k-means++, the best of some candidates at each step."""
+        centers = [x[rng.integers(len(x))]]
+        d = ((x - centers[0]) ** 2).sum(1)
+        for _ in range(self.k - 1):
+            if d.sum() <= 0:
+                centers.append(x[rng.integers(len(x))])
+                continue
+            picks = rng.choice(len(x), 2 + int(np.log2(self.k)), p=d / d.sum())
+            after = [np.minimum(d, ((x - x[p]) ** 2).sum(1)) for p in picks]
+            best = int(np.argmin([a.sum() for a in after]))
+            centers.append(x[picks[best]])
+            d = after[best]
+        return np.stack(centers)
+
+    def _run(self, x: np.ndarray, seed: int) -> tuple[float, np.ndarray]:
+        centers = self._start(x, np.random.default_rng(seed))
+        last = None
+        for _ in range(self.max_iter):
+            at, d = _nearest(x, centers)
+            if last is not None and (at == last).all():
+                break
+            last = at
+            n = np.bincount(at, minlength=self.k)
+            sums = np.zeros_like(centers)
+            np.add.at(sums, at, x)
+            centers = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centers)
+        return float(d.sum()), centers
 
     def fit_predict(self, df: DataFrame, seed: int = 42) -> DataFrame:
-        vectors = df.select("doc_id", array_to_vector("reduced").alias("features")).persist()
-        models = [KMeans(k=self.k, maxIter=self.max_iter, seed=seed + i).fit(vectors) for i in range(self.nstart)]
-        best = min(models, key=lambda m: m.summary.trainingCost)
-        out = best.transform(vectors).select("doc_id", F.col("prediction").alias("topic"))
-        from pyspark.sql import Window as W
-
-        ids = out.groupBy("topic").agg(F.min("doc_id").alias("m")).select("topic", (F.row_number().over(W.orderBy("m")) - 1).cast("int").alias("new"))
-        return out.join(F.broadcast(ids), "topic").select("doc_id", F.col("new").alias("topic"))
+        rows = written(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("reduced").cast("array<double>").alias("reduced")), "vectors")
+        some = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(self.sample).collect()
+        if not some:
+            return df.select("doc_id", F.lit(None).cast("int").alias("topic"))
+        x = np.array([r["reduced"] for r in some])
+        _, centers = min((self._run(x, seed + i) for i in range(self.nstart)), key=lambda r: r[0])
+        if len(x) == self.sample:
+            cost = np.inf
+            for _ in range(self.max_iter):
+                n, mean, now = _sums(rows, centers)
+                if now >= cost * (1 - 1e-9):
+                    break
+                centers, cost = np.where(n[:, None] > 0, mean, centers), now
+
+        def label(batches):
+            for pdf in batches:
+                if len(pdf):
+                    yield pd.DataFrame({"doc_id": pdf["doc_id"], "topic": _nearest(np.stack(pdf["reduced"]), centers)[0].astype(np.int32)})
+
+        out = written(rows.mapInPandas(label, "doc_id long, topic int"), "labels")
+        ids = [r["topic"] for r in out.groupBy("topic").agg(F.min("doc_id").alias("m")).orderBy("m").collect()]
+        new = F.element_at(F.create_map(*(F.lit(v) for pair in ((t, i) for i, t in enumerate(ids)) for v in pair)), F.col("topic"))
+        return out.select("doc_id", new.alias("topic"))
 
 
 @dataclass

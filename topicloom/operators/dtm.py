@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ngrams, tokens
+from ..sources.tables import written
 
 
 def counts(docs: DataFrame, stopwords: Iterable[str] = (), ngram_range: tuple[int, int] = (1, 1)) -> DataFrame:
@@ -31,7 +32,8 @@ def vocabulary(dtm: DataFrame, n_docs: int | DataFrame, min_df: int = 2, max_df_
 
 
 def build_dtm(docs: DataFrame, min_df: int = 2, max_df_frac: float = 0.95, stopwords: Iterable[str] = (), ngram_range: tuple[int, int] = (1, 1)) -> DataFrame:
-    every = counts(docs, stopwords, ngram_range)
+    """Counts of the terms of the vocabulary. The counts of all terms are written once, so texts are taken apart once whatever reads them."""
+    every = written(counts(docs, stopwords, ngram_range), "counts")
     return every.join(vocabulary(every, docs, min_df, max_df_frac).select("term"), "term", "left_semi").select("doc_id", "term", "n")
 
 

@@ -35,18 +35,30 @@ def slice_scores(dtm: DataFrame, assignments: DataFrame, time: str = "year") ->
 def evolution_tuned(scores: DataFrame) -> DataFrame:
     """Each slice's scores averaged with the tuned ones of the slice before, where the topic is in both.
 
-    Along a run of adjacent slices x_s, ..., x_i the recursion gives x_s / 2 ** (i - s) plus the sum of
-    x_j / 2 ** (i - j + 1) over j after s. Runs are found as gaps and islands, and terms that a slice lacks count as 0 in it.
+    Along a run of adjacent slices y_s = x_s and y_i = (x_i + y_(i - 1)) / 2. Runs are found as gaps and islands, and
+    terms that a slice lacks count as 0 in it. The number of slices must be moderate, that of terms need not.
     """
     slices = scores.select("time").distinct().withColumn("i", F.row_number().over(W.orderBy("time")))
     there = scores.select("time", "topic").distinct().join(F.broadcast(slices), "time")
     there = there.withColumn("run", F.col("i") - F.row_number().over(W.partitionBy("topic").orderBy("i")))
     there = there.withColumn("s", F.min("i").over(W.partitionBy("topic", "run")))
-    own = scores.join(there, ["time", "topic"])
-    later = there.select(F.col("time").alias("to"), "topic", "run", F.col("i").alias("at"))
-    reach = own.join(later, ["topic", "run"]).where("at >= i")
-    weight = F.pow(F.lit(2.0), -(F.col("at") - F.col("i") + F.when(F.col("i") == F.col("s"), 0).otherwise(1)).cast("double"))
-    return reach.groupBy(F.col("to").alias("time"), "topic", "term").agg(F.sum(F.col("score") * weight).alias("score"))
+    # Terms of a run by slice: what has come up to a slice is carried on, halved for each slice that passes, so
+    # a term's row is made for the slices from its first on, and each is a running sum of its scores' share.
+    own = scores.join(there.select("time", "topic", "run", "i", "s"), ["time", "topic"])
+    ends = there.groupBy("topic", "run").agg(F.max("i").alias("e"))
+    share = F.col("score") * F.when(F.col("i") == F.col("s"), 1.0).otherwise(0.5)
+    steps = own.groupBy("topic", "run", "term").agg(F.array_sort(F.collect_list(F.struct("i", share.alias("x")))).alias("steps")).join(ends, ["topic", "run"])
+    first = F.col("steps")[0]["i"]
+    none = F.struct(F.lit(0.0).cast("double").alias("now"), F.array().cast("array<double>").alias("all"))
+    found = F.map_from_entries("steps")
+
+    def step(state, i):
+        now = state["now"] / 2 + F.coalesce(F.try_element_at(found, i), F.lit(0.0))
+        return F.struct(now.alias("now"), F.concat(state["all"], F.array(now)).alias("all"))
+
+    run = F.aggregate(F.sequence(first, F.col("e")), none, step, lambda state: state["all"])
+    rows = steps.select("topic", "run", "term", first.alias("first"), F.posexplode(run).alias("p", "score")).withColumn("i", F.col("first") + F.col("p"))
+    return rows.join(F.broadcast(slices), "i").select("time", "topic", "term", "score")
 
 
 def globally_tuned(scores: DataFrame, overall: DataFrame) -> DataFrame:

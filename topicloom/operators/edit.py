@@ -79,11 +79,16 @@ def reduce_outliers_ctfidf(dtm: DataFrame, assignments: DataFrame, threshold: fl
     length = scores.groupBy("topic").agg(F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("b"))
     own = words.groupBy("doc_id").agg(F.sqrt(F.sum((F.col("n") * F.col("n")).cast("double"))).alias("a"))
     common = words.join(scores, "term").groupBy("doc_id", "topic").agg(F.sum(F.col("n") * F.col("score")).alias("dot"))
-    # Every topic is compared, those without a common term at 0; topics are few.
-    every = noise.join(own, "doc_id", "left").join(F.broadcast(length)).join(common, ["doc_id", "topic"], "left")
-    bottom = F.coalesce("a", F.lit(0.0)) * F.col("b")
-    sim = F.when(bottom == 0, 0.0).otherwise(F.coalesce("dot", F.lit(0.0)) / bottom)
-    best = every.groupBy("doc_id").agg(F.max(F.struct(F.round(sim, 9).alias("sim"), (-F.col("topic")).alias("minus"))).alias("x"))
+    # Only topics with a common term are rows; among the rest, all at 0, the first stands for all.
+    sims = common.join(F.broadcast(length), "topic").join(own, "doc_id")
+    bottom = F.col("a") * F.col("b")
+    sim = F.when(bottom == 0, 0.0).otherwise(F.col("dot") / bottom)
+    met = sims.groupBy("doc_id").agg(F.max(F.struct(F.round(sim, 9).alias("sim"), (-F.col("topic")).alias("minus"))).alias("x"), F.collect_set("topic").alias("with"))
+    topics = length.agg(F.array_sort(F.collect_list("topic")).alias("topics"))
+    every = noise.join(met, "doc_id", "left").join(F.broadcast(topics))
+    left = F.array_min(F.array_except("topics", F.coalesce("with", F.array().cast("array<int>"))))
+    zero = F.when(left.isNotNull(), F.struct(F.lit(0.0).alias("sim"), (-left).alias("minus")))
+    best = every.select("doc_id", F.greatest("x", zero).alias("x"))
     moved = best.select("doc_id", F.when(F.col("x.sim") >= threshold, -F.col("x.minus")).otherwise(-1).cast("int").alias("topic"))
     return assignments.where("topic <> -1").select("doc_id", "topic").unionByName(moved)
 

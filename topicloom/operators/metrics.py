@@ -73,9 +73,10 @@ def coherence(dtm: DataFrame, terms: DataFrame, n_docs: int, measure: str = "npm
     df = some.groupBy("term").agg(F.count("*").alias("d"))
     x, y = best.alias("x"), best.alias("y")
     pairs = x.join(y, (F.col("x.topic") == F.col("y.topic")) & (F.col("x.rank") < F.col("y.rank"))).select("x.topic", F.col("x.term").alias("t1"), F.col("y.term").alias("t2"))
-    wanted = F.broadcast(pairs.select("t1", "t2").distinct())
-    a, b = some.select("doc_id", F.col("term").alias("t1")), some.select("doc_id", F.col("term").alias("t2"))
-    met = a.join(b, "doc_id").join(wanted, ["t1", "t2"], "left_semi").groupBy("t1", "t2").agg(F.count("*").alias("d12"))
+    wanted = pairs.select("t1", "t2").distinct()
+    # Documents with t1 meet the few terms asked with it, never all terms of their own.
+    ask = some.withColumnRenamed("term", "t1").join(F.broadcast(wanted), "t1")
+    met = ask.join(some.withColumnRenamed("term", "t2"), ["doc_id", "t2"], "left_semi").groupBy("t1", "t2").agg(F.count("*").alias("d12"))
     full = pairs.join(met, ["t1", "t2"], "left").fillna(0, ["d12"])
     full = full.join(df.select(F.col("term").alias("t1"), F.col("d").alias("d1")), "t1").join(df.select(F.col("term").alias("t2"), F.col("d").alias("d2")), "t2")
     n = F.lit(float(n_docs))

@@ -21,6 +21,7 @@ from ..operators import hierarchy as H
 from ..operators import metrics as M
 from ..operators import plotdata as V
 from ..sources.corpus import assigned, corpus, paragraphs, planted, table
+from ..sources.tables import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -60,11 +61,14 @@ def _unit(v: str) -> str:
 _CORPUS = """
 corpus AS (SELECT d.doc_id, d.text, d.lang, d.source, e.embedding::DOUBLE[] AS embedding, e.label FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id),
 asg AS (SELECT doc_id, (CASE WHEN doc_id % 7 = 3 THEN -1 ELSE label END)::INT AS topic, (2015 + doc_id % 10)::INT AS year, lang AS grp, source, text, embedding FROM corpus)"""
-_DTM = f"""{_CORPUS},
+_COUNTS = f"""
 tok AS (SELECT doc_id, unnest({_tokens('text')}) AS term FROM corpus),
 dtm_all AS (SELECT doc_id, term, count(*) AS n FROM tok GROUP BY ALL),
 vocab AS (SELECT term, count(*) AS df FROM dtm_all GROUP BY term HAVING count(*) >= 2 AND count(*) <= floor(0.95 * (SELECT count(*) FROM corpus))),
 dtm AS (SELECT * FROM dtm_all WHERE term IN (SELECT term FROM vocab))"""
+_DTM = f"{_CORPUS},{_COUNTS}"
+#: What needs neither vectors nor labels reads all documents.
+_ALL = f"corpus AS (SELECT doc_id, text FROM documents),{_COUNTS}"
 
 
 def _scores(name: str, source: str, keys: str = "", sqrt: bool = False) -> str:
@@ -127,6 +131,10 @@ class _Base:
         return topic_centroids(self.docs)
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
 # Tokens and counts.
 
 
@@ -143,19 +151,19 @@ def ngrams_1_2(spark, sf_dir):
     return grams.groupBy("term").agg(F.count("*").alias("n")).where("n >= 2")
 
 
-@query(f"WITH {_DTM} SELECT * FROM dtm_all")
+@query(f"WITH {_ALL} SELECT * FROM dtm_all")
 def dtm(spark, sf_dir):
-    return D.counts(corpus(spark, sf_dir), ENGLISH_STOPWORDS)
+    return D.counts(_texts(spark, sf_dir), ENGLISH_STOPWORDS)
 
 
-@query(f"WITH {_DTM} SELECT doc_id, term, n FROM dtm")
+@query(f"WITH {_ALL} SELECT doc_id, term, n FROM dtm")
 def dtm_df_filter(spark, sf_dir):
-    return D.build_dtm(corpus(spark, sf_dir), stopwords=ENGLISH_STOPWORDS)
+    return D.build_dtm(_texts(spark, sf_dir), stopwords=ENGLISH_STOPWORDS)
 
 
-@query(f"WITH {_DTM} SELECT term, df FROM vocab")
+@query(f"WITH {_ALL} SELECT term, df FROM vocab")
 def vocabulary(spark, sf_dir):
-    docs = corpus(spark, sf_dir)
+    docs = _texts(spark, sf_dir)
     return D.vocabulary(D.counts(docs, ENGLISH_STOPWORDS), docs)
 
 
@@ -182,7 +190,7 @@ def _cvalue_sql(max_n: int) -> str:
     runs = {n: " || '_' || ".join(["term", *(f"lead(term, {i}) OVER w" for i in range(1, n))]) for n in range(2, max_n + 1)}
     grams = " UNION ALL ".join(f"SELECT * FROM (SELECT {r} AS term, {n} AS n_words FROM tp WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) WHERE term IS NOT NULL" for n, r in runs.items())
     inner = " UNION ALL ".join(f"SELECT array_to_string(w[i:i+{n - 1}], '_') AS term, freq AS outer_freq FROM (SELECT w, freq, unnest(range(1, len(w) - {n - 2})) AS i FROM f WHERE n_words > {n})" for n in range(2, max_n))
-    return f"""{_DTM}, {_positions('corpus')}, g AS ({grams}),
+    return f"""{_ALL}, {_positions('corpus')}, g AS ({grams}),
 f AS (SELECT term, n_words, count(*) AS freq, string_split(term, '_') AS w FROM g GROUP BY term, n_words HAVING count(*) >= 2),
 i AS ({inner}), o AS (SELECT term, avg(outer_freq) AS m FROM i GROUP BY term),
 cv AS (SELECT f.term, n_words::INT AS n_words, freq, log2(n_words) * (freq - coalesce(m, 0.0)) AS cvalue FROM f LEFT JOIN o USING (term))"""
@@ -190,24 +198,24 @@ cv AS (SELECT f.term, n_words::INT AS n_words, freq, log2(n_words) * (freq - coa
 
 @query(f"WITH {_cvalue_sql(4)} SELECT term, n_words, freq, round(cvalue, 6) AS cvalue FROM cv WHERE cvalue >= 0")
 def cvalue_terms(spark, sf_dir):
-    return D.cvalue_terms(corpus(spark, sf_dir), stopwords=ENGLISH_STOPWORDS).select("term", "n_words", "freq", r6("cvalue"))
+    return D.cvalue_terms(_texts(spark, sf_dir), stopwords=ENGLISH_STOPWORDS).select("term", "n_words", "freq", r6("cvalue"))
 
 
 @query(f"""WITH {_cvalue_sql(2)}, two AS (SELECT * FROM (SELECT doc_id, term || ' ' || lead(term) OVER (PARTITION BY doc_id ORDER BY pos) AS term FROM tp) WHERE term IS NOT NULL),
 c2 AS (SELECT doc_id, term, count(*) AS n FROM two GROUP BY ALL), v2 AS (SELECT term FROM c2 GROUP BY term HAVING count(*) >= 2 AND count(*) <= floor(0.95 * (SELECT count(*) FROM corpus)))
 SELECT doc_id, term, n FROM dtm UNION ALL SELECT doc_id, term, n FROM c2 WHERE term IN (SELECT term FROM v2) AND term IN (SELECT replace(term, '_', ' ') FROM cv WHERE cvalue >= 0)""".replace("i AS (), o AS (SELECT term, avg(outer_freq) AS m FROM i GROUP BY term),", "o AS (SELECT term, 0.0 AS m FROM f WHERE false),"))
 def cvalue_dtm(spark, sf_dir):
-    return D.cvalue_dtm(corpus(spark, sf_dir), max_n=2, stopwords=ENGLISH_STOPWORDS)
+    return D.cvalue_dtm(_texts(spark, sf_dir), max_n=2, stopwords=ENGLISH_STOPWORDS)
 
 
 _TAG = "CASE WHEN w LIKE '%ing' THEN 'VERB' WHEN w LIKE '%ly' THEN 'ADV' WHEN w LIKE '%e' THEN 'ADJ' ELSE 'NOUN' END"
-_ANN = f"{_CORPUS}, {_positions('corpus')}, a AS (SELECT doc_id, pos, term AS w, {_TAG.replace('w LIKE', 'term LIKE')} AS upos FROM tp)"
+_ANN = f"corpus AS (SELECT doc_id, text FROM documents), {_positions('corpus')}, a AS (SELECT doc_id, pos, term AS w, {_TAG.replace('w LIKE', 'term LIKE')} AS upos FROM tp)"
 
 
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tagger rows with tags by suffix, in place of a tagger."""
     w = F.col("token")
-    rows = corpus(spark, sf_dir).select("doc_id", F.lit(1).alias("sentence_id"), F.posexplode(tokens("text", ENGLISH_STOPWORDS)).alias("p", "token"))
+    rows = _texts(spark, sf_dir).select("doc_id", F.lit(1).alias("sentence_id"), F.posexplode(tokens("text", ENGLISH_STOPWORDS)).alias("p", "token"))
     tag = F.when(w.endswith("ing"), "VERB").when(w.endswith("ly"), "ADV").when(w.endswith("e"), "ADJ").otherwise("NOUN")
     return rows.select("doc_id", "sentence_id", (F.col("p") + 1).cast("string").alias("token_id"), "token", w.alias("lemma"), tag.alias("upos"))
 
@@ -223,7 +231,7 @@ def pos_phrases(spark, sf_dir):
 @query(f"""WITH {_ANN}, {_PHRASES}, c AS (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, w AS term FROM a WHERE upos IN ('NOUN', 'PROPN') UNION ALL SELECT doc_id, term FROM ph) GROUP BY ALL)
 SELECT doc_id, term, n FROM c WHERE term IN (SELECT term FROM c GROUP BY term HAVING count(*) >= 2 AND count(*) <= floor(0.95 * (SELECT count(*) FROM corpus)))""")
 def pos_dtm(spark, sf_dir):
-    return D.pos_dtm(annotations(spark, sf_dir), corpus(spark, sf_dir), patterns=[["ADJ", "NOUN"]])
+    return D.pos_dtm(annotations(spark, sf_dir), _texts(spark, sf_dir), patterns=[["ADJ", "NOUN"]])
 
 
 # Terms, labels, accessors.
@@ -699,12 +707,12 @@ def multilabel_sigmoid(spark, sf_dir):
     return CL.multi_label(_logits(spark, sf_dir), ["a", "b", "c", "d"]).select("doc_id", *(r6(x) for x in "abcd"))
 
 
-@query("""WITH x AS (SELECT vec_id AS doc_id, i AS pos, ['[CLS]', 'one', 'two', '<pad>'][i + 1] AS token, embedding[i * 3 + 1 : i * 3 + 3]::DOUBLE[] AS l, [1, 1, (vec_id % 2)::INT, 1][i + 1] AS mask FROM embeddings, range(0, 4) r(i)),
-e AS (SELECT *, list_transform(l, lambda v: exp(v - list_max(l))) AS e FROM x WHERE mask = 1 AND token NOT IN ('[CLS]', '<pad>')), p AS (SELECT *, list_transform(e, lambda v: v / list_sum(e)) AS p FROM e)
+@query("""WITH x AS (SELECT vec_id AS doc_id, i AS pos, ['<cls>', '[UNK]', 'two', '<pad>'][i + 1] AS token, embedding[i * 3 + 1 : i * 3 + 3]::DOUBLE[] AS l, [1, 1, (vec_id % 2)::INT, 1][i + 1] AS mask FROM embeddings, range(0, 4) r(i)),
+e AS (SELECT *, list_transform(l, lambda v: exp(v - list_max(l))) AS e FROM x WHERE mask = 1 AND token NOT IN ('[CLS]', '[SEP]', '<s>', '</s>', '<pad>', '[PAD]', '<cls>', '<sep>')), p AS (SELECT *, list_transform(e, lambda v: v / list_sum(e)) AS p FROM e)
 SELECT doc_id, pos::INT AS pos, token, ['O', 'PER', 'LOC'][list_position(p, list_max(p))] AS label, round(list_max(p), 6) AS score FROM p""")
 def ner_tokens(spark, sf_dir):
     v = F.col("embedding").cast("array<double>")
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.array(*(F.lit(t) for t in ("[CLS]", "one", "two", "<pad>"))).alias("tokens"), F.array(F.lit(1), F.lit(1), (F.col("vec_id") % 2).cast("int"), F.lit(1)).alias("mask"), F.array(*(F.slice(v, i * 3 + 1, 3) for i in range(4))).alias("logits"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.array(*(F.lit(t) for t in ("<cls>", "[UNK]", "two", "<pad>"))).alias("tokens"), F.array(F.lit(1), F.lit(1), (F.col("vec_id") % 2).cast("int"), F.lit(1)).alias("mask"), F.array(*(F.slice(v, i * 3 + 1, 3) for i in range(4))).alias("logits"))
     return CL.token_labels(rows, ["O", "PER", "LOC"]).select("doc_id", "pos", "token", "label", r6("score"))
 
 
@@ -882,12 +890,18 @@ def zero_shot_full(spark, sf_dir):
     return zero_shot_topics(docs, ["the and of", "der die und", "que de la"], HashingEncoder()).terms
 
 
-@query()
+_GRID = "g AS (SELECT row_number() OVER (ORDER BY p, c, m)::INT AS run, ['planted', 'stronger', 'weaker'][m] AS model, [5, 10][c]::INT AS n_components, [5, 10, 20][p]::INT AS min_pts FROM range(1, 4) a(p), range(1, 3) b(c), range(1, 4) d(m))"
+
+
+@query(f"WITH {_GRID}, n AS (SELECT count(DISTINCT label) AS n_topics FROM embeddings) SELECT run, model, n_components, min_pts, n_topics FROM g, n WHERE n_components = 10")
 def sweep(spark, sf_dir):
+    """All 18 fits of the default grid for three encoders; with ten components each fit finds each planted label."""
     from .fit import sweep_topics
 
     docs, vectors = _planted_docs(spark, sf_dir)
-    return sweep_topics(docs, {"planted": vectors}, (5,), (5, 10))
+    raw = table(spark, sf_dir, "embeddings")
+    models = {"planted": vectors} | {k: planted(raw, w).select(F.col("vec_id").alias("doc_id"), "embedding").join(docs.select("doc_id"), "doc_id", "left_semi") for k, w in (("stronger", 4.0), ("weaker", 2.8))}
+    return sweep_topics(docs, models).where("n_components = 10").select("run", "model", "n_components", "min_pts", "n_topics")
 
 
 @query()
@@ -910,15 +924,14 @@ def fit_topics_over_time(spark, sf_dir):
 
 @query()
 def save_load_roundtrip(spark, sf_dir):
-    import tempfile
+    import uuid
 
     from ..operators.cluster import KMeansClustering
     from ..sources.storage import load_fit, save_fit
     from .fit import fit_topics
 
     docs, vectors = _planted_docs(spark, sf_dir)
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    path = f"{base.rstrip('/')}/fit-roundtrip"
+    path = f"{shared_dir(spark)}/fit-{uuid.uuid4().hex}"
     save_fit(fit_topics(docs, embeddings=vectors, clusterer=KMeansClustering(10, 1)), path)
     return load_fit(spark, path).terms
 
@@ -931,14 +944,11 @@ def chi2_p_value(spark, sf_dir):
 @query()
 def stream_assign(spark, sf_dir):
     """A stream of the embeddings' files, assigned batch by batch into a table."""
-    import tempfile
+    import uuid
 
     from ..streaming.assign import assign_stream
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    import uuid
-
-    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     source = table(spark, sf_dir, "embeddings")
     source.write.parquet(f"{path}/in")
     stream = spark.readStream.schema(source.schema).parquet(f"{path}/in").select(F.col("vec_id").alias("doc_id"), "embedding")

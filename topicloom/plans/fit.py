@@ -20,6 +20,7 @@ from ..operators.dtm import build_dtm, cvalue_dtm
 from ..operators.dynamics import flow_status, flow_transitions, period_centroids
 from ..operators.embed import embed_texts
 from ..operators.reduce import PcaReduction, TooManyRows
+from ..sources.tables import written
 
 
 @dataclass(frozen=True)
@@ -87,8 +88,11 @@ class TopicFit:
         return f"TopicFit({s['n_docs']} documents, {s['n_topics']} topics, {s['n_noise']} noise)"
 
 
-def fit_topics(docs: DataFrame, encoder=None, embeddings: DataFrame | None = None, reducer=None, clusterer=None, representation: CValueRepresentation | None = None, language: str = "english", stopwords: Iterable[str] | None = None, extra_stopwords: Iterable[str] = (), ngram_range: tuple[int, int] = (1, 1), top_n_terms: int = 10, reduce_frequent_words: bool = False, min_df: int = 2, max_df_frac: float = 0.95, seed: int = 42) -> TopicFit:
-    """docs: doc_id, text. Vectors come from ``embeddings`` (doc_id, embedding) or from ``encoder``."""
+def fit_topics(docs: DataFrame, encoder=None, embeddings: DataFrame | None = None, reducer=None, clusterer=None, representation: CValueRepresentation | None = None, language: str = "english", stopwords: Iterable[str] | None = None, extra_stopwords: Iterable[str] = (), ngram_range: tuple[int, int] = (1, 1), top_n_terms: int = 10, reduce_frequent_words: bool = False, min_df: int = 2, max_df_frac: float = 0.95, seed: int = 42, reduced: DataFrame | None = None, dtm: DataFrame | None = None) -> TopicFit:
+    """docs: doc_id, text. Vectors come from ``embeddings`` (doc_id, embedding) or from ``encoder``.
+
+    reduced (doc_id, reduced) and dtm, made by an earlier fit of the same documents, spare that work.
+    """
     if embeddings is None:
         if encoder is None:
             raise ValueError("give an encoder or embeddings")
@@ -99,11 +103,15 @@ def fit_topics(docs: DataFrame, encoder=None, embeddings: DataFrame | None = Non
             raise ValueError("some documents have no embedding")
     if representation is not None and not isinstance(representation, CValueRepresentation):
         raise ValueError(f"unsupported representation {type(representation).__name__}")
-    reduced = (reducer or PcaReduction(5)).fit_transform(embeddings, seed)
-    assignments = (clusterer or Hdbscan()).fit_predict(reduced, seed)
+    if reduced is None:
+        reduced = written((reducer or PcaReduction(5)).fit_transform(embeddings, seed), "reduced")
+    # Written once: what a lazy fit would do again for each use of it.
+    assignments = written((clusterer or Hdbscan()).fit_predict(reduced, seed).select("doc_id", "topic"), "assignments")
     stop = list(stopwords) if stopwords is not None else list(ENGLISH_STOPWORDS) if language else []
     stop += list(extra_stopwords)
-    if representation is None:
+    if dtm is not None:
+        pass
+    elif representation is None:
         dtm = build_dtm(docs, min_df, max_df_frac, stop, ngram_range)
     else:
         dtm = cvalue_dtm(docs, representation.max_n, representation.min_freq, representation.threshold, stop, min_df, max_df_frac)
@@ -114,13 +122,15 @@ def fit_topics(docs: DataFrame, encoder=None, embeddings: DataFrame | None = Non
 def guided_fit(docs: DataFrame, seeds: dict[str, list[str]], encoder, embeddings: DataFrame | None = None, n_anchor_weight: int = 3, **options) -> tuple[TopicFit, DataFrame]:
     """(fit, (seed_label, topic)): seed lists join the corpus as documents of their own, and leave after clustering.
 
-    A seed's topic is the one most of its copies are in; null where that is none but noise.
+    A seed's topic is the one most of its copies are in; null where that is none but noise. Seeds have ids below all of the
+    documents'.
     """
     if not seeds or not all(isinstance(k, str) and k for k in seeds):
         raise ValueError("seeds must be named")
     spark = docs.sparkSession
     names = list(seeds)
-    extra = spark.createDataFrame([(-1 - (i * n_anchor_weight + j), " ".join(seeds[k]), k) for i, k in enumerate(names) for j in range(n_anchor_weight)], "doc_id long, text string, seed_label string")
+    least = min(0, docs.agg(F.min("doc_id")).first()[0] or 0)
+    extra = spark.createDataFrame([(least - 1 - (i * n_anchor_weight + j), " ".join(seeds[k]), k) for i, k in enumerate(names) for j in range(n_anchor_weight)], "doc_id long, text string, seed_label string")
     every = docs.select("doc_id", "text").unionByName(extra.select("doc_id", "text"))
     vectors = None if embeddings is None else embeddings.select("doc_id", F.col("embedding").cast("array<double>").alias("embedding")).unionByName(embed_texts(extra, encoder))
     fit = fit_topics(every, encoder, vectors, **options)
@@ -129,7 +139,7 @@ def guided_fit(docs: DataFrame, seeds: dict[str, list[str]], encoder, embeddings
     seed_map = spark.createDataFrame([(k,) for k in names], "seed_label string").join(best, "seed_label", "left")
     slug = seed_map.where(F.col("topic").isNotNull()).groupBy("topic").agg(F.min("seed_label").alias("s"))
     named = topic_labels(fit.terms).join(slug, "topic", "left").select("topic", F.when(F.col("s").isNotNull(), F.concat(F.col("topic").cast("string"), F.lit("_"), F.regexp_replace("s", "[^a-zA-Z0-9]+", "_"))).otherwise(F.col("label")).alias("label"))
-    real = replace(fit, texts=docs.select("doc_id", "text"), embeddings=fit.embeddings.where("doc_id >= 0"), assignments=fit.assignments.where("doc_id >= 0"), dtm=fit.dtm.where("doc_id >= 0"), labels_of=named)
+    real = replace(fit, texts=docs.select("doc_id", "text"), embeddings=fit.embeddings.where(F.col("doc_id") >= least), assignments=fit.assignments.where(F.col("doc_id") >= least), dtm=fit.dtm.where(F.col("doc_id") >= least), labels_of=named)
     return real, seed_map
 
 
@@ -170,25 +180,44 @@ def quality(fit: TopicFit, top_n: int = 10) -> DataFrame:
     return out
 
 
-def sweep_topics(docs: DataFrame, embeddings: dict[str, DataFrame], n_components: tuple[int, ...] = (5, 10), min_pts: tuple[int, ...] = (5, 10, 20), n_neighbors: tuple[int, ...] = (15,), min_topics: int = 2, make_reducer=None, seed: int = 42) -> DataFrame:
-    """A row for each fit of the grid: run, its parameters, quality, and error where it failed. The first factor varies fastest."""
+def sweep_topics(docs: DataFrame, embeddings: dict[str, DataFrame], n_components: tuple[int, ...] = (5, 10), min_pts: tuple[int, ...] = (5, 10, 20), n_neighbors: tuple[int, ...] = (15,), min_topics: int = 2, make_reducer=None, seed: int = 42, encoders: dict | None = None, ngram_range: tuple[tuple[int, int], ...] = ((1, 1),), sample_size: int | None = None) -> DataFrame:
+    """A row for each fit of the grid: run, its parameters, quality, and error where it failed. The first factor varies fastest.
+
+    encoders (name to encoder) add models whose vectors are made here. With ``sample_size``, that many documents, taken by a
+    hash of their id and the seed, are fitted. Counts, vectors and reductions that runs share are made once.
+    """
     spark = docs.sparkSession
+    if sample_size is not None:
+        docs = written(docs.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample_size), "sample")
+        embeddings = {k: v.join(docs.select("doc_id"), "doc_id", "left_semi") for k, v in embeddings.items()}
+    embeddings = embeddings | {k: embed_texts(docs, e) for k, e in (encoders or {}).items()}
+    embeddings = {k: written(v.select("doc_id", F.col("embedding").cast("array<double>").alias("embedding")), "vectors") for k, v in embeddings.items()}
+    counted, reductions, last = {}, {}, None
     out, run = [], 0
-    schema = "run int, model string, n_neighbors int, n_components int, min_pts int, n_topics long, noise_pct double, entropy double, cv double, silhouette double, cohesion double, separation double, jaccard double, error string"
-    for pts in min_pts:
-        for dims in n_components:
-            for near in n_neighbors:
-                for model, vectors in embeddings.items():
-                    run += 1
-                    row = {"run": run, "model": model, "n_neighbors": near, "n_components": dims, "min_pts": pts, "error": None}
-                    try:
-                        reducer = make_reducer(near, dims) if make_reducer else PcaReduction(dims)
-                        row |= quality(fit_topics(docs, embeddings=vectors, reducer=reducer, clusterer=Hdbscan(pts), seed=seed)).first().asDict()
-                    except TooManyRows:
-                        raise
-                    except Exception as error:  # noqa: BLE001  a run that fails is a result too
-                        row["error"] = str(error)[:500]
-                    out.append(row)
+    schema = "run int, model string, n_neighbors int, n_components int, min_pts int, ngram_max int, n_topics long, noise_pct double, entropy double, cv double, silhouette double, cohesion double, separation double, jaccard double, error string"
+    for grams in ngram_range:
+        for pts in min_pts:
+            for dims in n_components:
+                for near in n_neighbors:
+                    for model, vectors in embeddings.items():
+                        run += 1
+                        row = {"run": run, "model": model, "n_neighbors": near, "n_components": dims, "min_pts": pts, "ngram_max": grams[1], "error": None}
+                        try:
+                            if grams not in counted:
+                                counted[grams] = written(build_dtm(docs, stopwords=ENGLISH_STOPWORDS, ngram_range=grams), "dtm")
+                            if (key := (model, near, dims)) not in reductions:
+                                reducer = make_reducer(near, dims) if make_reducer else PcaReduction(dims)
+                                reductions[key] = written(reducer.fit_transform(vectors, seed), "reduced")
+                            fit = fit_topics(docs, embeddings=vectors, clusterer=Hdbscan(pts), seed=seed, reduced=reductions[key], dtm=counted[grams])
+                            row |= quality(fit).first().asDict()
+                        except TooManyRows:
+                            raise
+                        except Exception as error:  # noqa: BLE001  a run that fails is a result too
+                            row["error"] = f"{type(error).__name__}: {error}"[:500]
+                            last = error
+                        out.append(row)
+    if out and all(r["error"] for r in out):
+        raise ValueError("no run succeeded") from last
     if not any((r.get("n_topics") or 0) >= min_topics for r in out):
         warnings.warn(f"no run has {min_topics} topics", stacklevel=2)
     names = [x.split(" ")[0] for x in schema.split(", ")]
@@ -196,21 +225,23 @@ def sweep_topics(docs: DataFrame, embeddings: dict[str, DataFrame], n_components
 
 
 def stability_runs(embeddings: DataFrame, seeds: list[int], make_clusterer, reducer=None) -> DataFrame:
-    """(run, doc_id, topic) of a refit for each seed; give to adjusted_rand and document_stability."""
-    runs = None
+    """(run, doc_id, topic) of a refit for each seed; give to adjusted_rand and document_stability. Two must succeed."""
+    runs, last = [], None
     for i, seed in enumerate(seeds, 1):
         try:
             reduced = (reducer or PcaReduction(5)).fit_transform(embeddings, seed)
-            one = make_clusterer().fit_predict(reduced, seed).select(F.lit(i).alias("run"), "doc_id", "topic")
+            runs.append(written(make_clusterer().fit_predict(reduced, seed).select(F.lit(i).alias("run"), "doc_id", "topic"), "run"))
         except TooManyRows:
             raise
         except Exception as error:  # noqa: BLE001
-            warnings.warn(f"run {i} failed: {error}", stacklevel=2)
-            continue
-        runs = one if runs is None else runs.unionByName(one)
-    if runs is None:
-        raise ValueError("no run succeeded")
-    return runs
+            warnings.warn(f"run {i} failed: {type(error).__name__}: {error}", stacklevel=2)
+            last = error
+    if len(runs) < 2:
+        raise ValueError("fewer than two runs succeeded") from last
+    every = runs[0]
+    for one in runs[1:]:
+        every = every.unionByName(one)
+    return every
 
 
 def fit_topics_over_time(docs: DataFrame, embeddings: DataFrame, time: str, min_similarity: float = 0.7, **options) -> tuple[DataFrame, DataFrame]:
@@ -218,7 +249,7 @@ def fit_topics_over_time(docs: DataFrame, embeddings: DataFrame, time: str, min_
     periods = [r[0] for r in docs.select(time).distinct().orderBy(time).collect()]
     if len(periods) < 2:
         raise ValueError("two periods or more are needed")
-    rows = None
+    rows, last = None, None
     for period in periods:
         own = docs.where(F.col(time) == period)
         vectors = embeddings.join(own.select("doc_id"), "doc_id", "left_semi")
@@ -229,11 +260,12 @@ def fit_topics_over_time(docs: DataFrame, embeddings: DataFrame, time: str, min_
         except TooManyRows:
             raise
         except Exception as error:  # noqa: BLE001
-            warnings.warn(f"period {period} left out: {error}", stacklevel=2)
+            warnings.warn(f"period {period} left out: {type(error).__name__}: {error}", stacklevel=2)
+            last = error
             continue
         rows = part if rows is None else rows.unionByName(part)
     if rows is None:
-        raise ValueError("no period could be fitted")
+        raise ValueError("no period could be fitted") from last
     nodes = period_centroids(rows, "period").persist()
     links = flow_transitions(nodes, min_similarity)
     return flow_status(nodes, links), links

@@ -155,7 +155,7 @@ def test_quality_counts(docs, texts):
     assert got == {i: plain(t) for i, t in enumerate(texts)}
 
 
-@pytest.mark.parametrize("how", [{}, {"longest": 6, "chunk_bytes": 500}, {"spaced": False, "chunk_bytes": 3000}])
+@pytest.mark.parametrize("how", [{}, {"longest": 6, "chunk_bytes": 500, "bucket_bytes": 4000}, {"spaced": False, "chunk_bytes": 3000}])
 def test_bpe(spark, docs, texts, how):
     """Ids and bytes equal the tokenizer library's on each branch: folded and long words, stretches and whole texts, many chunks and one."""
     r = random.Random(8)

@@ -1,12 +1,15 @@
 """Byte-level BPE encoding and decoding by a file of ranks.
 
-Encoding is one stage without an exchange. A task reads its texts in chunks of some megabytes; a Python
-pass only takes a chunk apart: it finds the matches of the pattern, numbers the distinct ones and writes
-each text as a list of numbers. Every distinct word of a chunk, however rare, is then encoded by Spark
-itself: a higher-order fold over the word's byte array merges the adjacent pair of least rank, the leftmost
-on ties, until no pair has a rank. The rank map is a literal of the plan, read once for each chunk. Spark
-then puts the words' ids in the place of their numbers. Decoding concatenates the ids' byte pieces, which
-are a literal array, in Spark too.
+1. Texts are taken apart once, in chunks of some megabytes: the matches of the pattern are numbered within a
+   chunk, and each text becomes a list of numbers. Chunks are written with their distinct words, which are packed by
+   buckets of a hash.
+2. A bucket's words come together, and each distinct word of the corpus, however rare, is encoded once, by Spark
+   itself: a higher-order fold over the word's byte array merges the adjacent pair of least rank, the leftmost on
+   ties, until no pair has a rank. The rank map is a literal of the plan, read once for each bucket.
+3. The words' ids go back to the chunks, packed again, and take the place of the numbers. The chunks are
+   a bucketed table, so that only the words and their ids are exchanged, never the texts.
+
+Decoding concatenates the ids' byte pieces, which are a literal array, in Spark too.
 
 A fold takes steps in proportion to the square of a word's length, so a word of more than ``LONGEST`` bytes is merged by
 the same rule with a heap, in n log n.
@@ -23,12 +26,18 @@ from random import Random
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import bytes as B
+from .store import Store
+
 #: Bytes of text, and distinct words, after which a chunk ends, about.
 CHUNK_BYTES = 16 << 20
 CHUNK_WORDS = 300_000
+#: Bytes of text for each bucket of words, about.
+BUCKET_BYTES = 16 << 20
 #: Bytes of the longest word that is folded.
 LONGEST = 256
 #: Characters of the longest stretch between spaces whose words are remembered.
@@ -200,60 +209,165 @@ class _Chunk:
         known = self.stretches.get
         self.texts.append(np.array([self.stretch(p) if (n := known(p)) is None else n for p in parts if p], np.int32))
 
-    def row(self) -> pa.RecordBatch:
+    def row(self, chunk: int, kind: pa.DataType, buckets: int) -> pa.RecordBatch:
         starts = np.array([*self.start, len(self.flat)], np.int64)
-        flat = np.array(self.flat, np.int32)
-        # Long words come after the folded ones.
-        flat = np.where(flat < 0, len(self.words) - 1 - flat, flat).astype(np.int32)
+        words = pa.array(list(self.words), pa.string())
+        data, offsets = B.texts_of(words)
+        bucket = (B.hashes(data, offsets[:-1], offsets[1:]) % B.U64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        number = np.empty(len(order) + 1, np.int64)
+        number[order] = np.arange(len(order))
+        # Words are numbered by bucket; long words come after the folded ones.
+        flat = np.array(self.flat, np.int64)
+        flat = np.where(flat < 0, len(order) - 1 - flat, number[np.maximum(flat, -1)])
         every = np.concatenate(self.texts) if self.texts else np.zeros(0, np.int32)
         sizes = starts[every + 1] - starts[every]
         ends = np.r_[0, np.cumsum(sizes)][np.r_[0, np.cumsum([len(t) for t in self.texts])]]
-        codes = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(_gather(flat, starts[every], sizes)))
+        codes = _gather(flat, starts[every], sizes)
+        packs = []
+        some, first = np.unique(bucket[order], return_index=True)
+        for which, i, j in zip(some, first, np.r_[first[1:], len(order)][: len(first)], strict=True):
+            own, at = B.texts_of(words.take(pa.array(order[i:j])))
+            packs.append({"bucket": int(which), "words": _pack(np.diff(at)) + pa.compress(own[at[0] : at[-1]].tobytes(), "zstd", asbytes=True), "bytes": int(at[-1] - at[0])})
+        row = {"chunk": [chunk], "ids": [self.ids], "ends": [_pack(ends)], "codes": [_pack(codes)], "packs": [packs], "long": [self.long]}
+        return pa.RecordBatch.from_pydict(row, schema=_chunk_schema(kind))
 
-        def one(values: pa.Array) -> pa.Array:
-            return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
-        return pa.RecordBatch.from_arrays([one(self.ids), one(codes), one(pa.array(list(self.words), pa.string())), one(pa.array(self.long, pa.list_(pa.int32())))], ["id", "codes", "words", "long"])
+def _chunk_schema(kind: pa.DataType) -> pa.Schema:
+    pack = pa.struct([("bucket", pa.int32()), ("words", pa.binary()), ("bytes", pa.int64())])
+    return pa.schema([("chunk", pa.int64()), ("ids", pa.list_(kind)), ("ends", pa.binary()), ("codes", pa.binary()), ("packs", pa.list_(pack)), ("long", pa.list_(pa.list_(pa.int32())))])
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", spaced: bool | None = None, chunk_bytes: int = CHUNK_BYTES, longest: int = LONGEST) -> DataFrame:
-    """(id, ids) of each row of ``docs``: its whole text's matches of ``pattern``, each encoded by itself.
+def _pack(values: np.ndarray) -> bytes:
+    """Integers up to 32 bits, compressed byte by byte of their places; with their number and packed size in front."""
+    planes = pa.compress(np.ascontiguousarray(values.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True)
+    return np.array([len(values), len(planes)], np.int64).tobytes() + planes
 
-    A null or empty text has no ids. Every row is encoded alone: repeated rows and ids give repeated results, an
-    empty table an empty one. Only the two named columns are read, once. spaced says that a space between two
-    characters that are no white space always begins a match; by default that is so where each way to begin with a letter, digit or
-    sign has `` ?`` before it. chunk_bytes and longest set where work is split; they do not change results.
-    """
-    if spaced is None:
-        spaced = all(x in pattern for x in (r" ?\p{L}+", r" ?\p{N}+", r" ?[^\s\p{L}\p{N}]+"))
-    thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
-    def rows(batches):
-        find = regex.compile(pattern).findall
+def _unpack(packed: bytes) -> tuple[np.ndarray, bytes]:
+    """(the integers, what comes after them)."""
+    n, size = (int(x) for x in np.frombuffer(packed, np.int64, 2))
+    planes = pa.decompress(packed[16 : 16 + size], 4 * n, "zstd", asbytes=True) if n else b""
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, n).T).view(np.uint32).ravel().astype(np.int64), packed[16 + size :]
 
-        def fresh():
-            return _Chunk(find, spaced, ranks, longest)
 
-        chunk = fresh()
+def _chunks(thin: DataFrame, ranks: dict[bytes, int], pattern: str, spaced: bool, chunk_bytes: int, longest: int, buckets: int) -> DataFrame:
+    def rows(batches):
+        find = regex.compile(pattern).findall
+        first = TaskContext.get().partitionId() << 32
+        chunk, n, kind = None, 0, None
         for batch in batches:
+            kind = batch.column(0).type
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                kind = part.column(0).type
                 for id_, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    chunk = chunk or _Chunk(find, spaced, ranks, longest)
                     chunk.add(id_, text or "")
                     if chunk.bytes >= chunk_bytes or len(chunk.words) >= CHUNK_WORDS:
-                        chunk.ids = pa.array(chunk.ids, kind)
-                        yield chunk.row()
-                        chunk = fresh()
-        if len(chunk.ids):
-            chunk.ids = pa.array(chunk.ids, kind)
-            yield chunk.row()
+                        yield chunk.row(first + n, kind, buckets)
+                        chunk, n = None, n + 1
+        if chunk:
+            yield chunk.row(first + n, kind, buckets)
+
+    kind = thin.schema[0].dataType.simpleString()
+    return thin.mapInArrow(rows, f"chunk long, ids array<{kind}>, ends binary, codes binary, packs array<struct<bucket: int, words: binary, bytes: long>>, long array<array<int>>")
+
+
+def _words(packed: DataFrame) -> DataFrame:
+    """(bucket, words, chunks, places): a bucket's distinct words, and which of them each chunk has. packed: in the order of buckets within a partition."""
+
+    def rows(batches):
+        def bucket(which: int, own: list) -> pa.RecordBatch:
+            columns = []
+            for _, words, size in own:
+                sizes, rest = _unpack(words)
+                data = pa.decompress(rest, size, "zstd", asbytes=True) if size else b""
+                columns.append(pa.Array.from_buffers(pa.string(), len(sizes), [None, pa.py_buffer(np.r_[0, np.cumsum(sizes)].astype(np.int32).tobytes()), pa.py_buffer(data)]))
+            every = pa.concat_arrays(columns).dictionary_encode()
+            at = every.indices.to_numpy()
+            ends = np.cumsum([len(c) for c in columns])
+            places = [_pack(at[e - len(c) : e]) for c, e in zip(columns, ends, strict=True)]
+            return pa.RecordBatch.from_pydict({"bucket": [which], "words": [every.dictionary.to_pylist()], "chunks": [[chunk for chunk, *_ in own]], "places": [places]}, schema=schema)
+
+        schema = pa.schema([("bucket", pa.int32()), ("words", pa.list_(pa.string())), ("chunks", pa.list_(pa.int64())), ("places", pa.list_(pa.binary()))])
+        now, own = None, []
+        for batch in batches:
+            for which, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own and which != now:
+                    yield bucket(now, own)
+                    own = []
+                now = which
+                own.append(rest)
+        if own:
+            yield bucket(now, own)
+
+    return packed.mapInArrow(rows, "bucket int, words array<string>, chunks array<long>, places array<binary>")
+
+
+def _given(coded: DataFrame) -> DataFrame:
+    """(chunk, bucket, ids) for each chunk that has words of a bucket: their ids, packed. coded: bucket, chunks, places, coded."""
+
+    def rows(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                ids = row.column(3).flatten()
+                start, flat = ids.offsets.to_numpy().astype(np.int64), ids.values.to_numpy()
+                out = []
+                for place in row.column(2).flatten().to_pylist():
+                    at, _ = _unpack(place)
+                    sizes = start[at + 1] - start[at]
+                    out.append(_pack(sizes) + _pack(_gather(flat, start[at], sizes)))
+                chunks = row.column(1).flatten()
+                yield pa.RecordBatch.from_arrays([chunks, pa.array([row.column(0)[0].as_py()] * len(chunks), pa.int32()), pa.array(out, pa.binary())], ["chunk", "bucket", "given"])
+
+    return coded.mapInArrow(rows, "chunk long, bucket int, given binary")
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", spaced: bool | None = None, chunk_bytes: int = CHUNK_BYTES, longest: int = LONGEST, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """(id, ids) of each row of ``docs``: its whole text's matches of ``pattern``, each encoded by itself.
+
+    A null or empty text has no ids. Every row is encoded alone: repeated rows and ids give repeated results, an
+    empty table an empty one. Only the two named columns are read, once. spaced says that a space between two
+    characters that are no white space always begins a match; by default that is so where each way to begin with a letter, digit or
+    sign has `` ?`` before it. chunk_bytes, longest and bucket_bytes set where work is split; they do not change results.
+    """
+    spark = docs.sparkSession
+    if spaced is None:
+        spaced = all(x in pattern for x in (r" ?\p{L}+", r" ?\p{N}+", r" ?[^\s\p{L}\p{N}]+"))
+    rank_map = _rank_map(ranks)
+    thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    size = thin.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, -(-size // bucket_bytes))
+    parts = max(1, -(-size // chunk_bytes))
+    # Bucketed by chunk, so that what is made of the words comes to the chunks and not both to other tasks.
+    store = Store(spark, "byte-bpe")
+    chunks = store.put_bucketed(_chunks(thin, ranks, pattern, spaced, chunk_bytes, longest, buckets), "chunks", min(parts, 1 << 14), "chunk")
+    packed = chunks.select("chunk", F.explode("packs").alias("p")).select("p.bucket", "chunk", "p.words", "p.bytes")
+    words = _words(packed.repartition(buckets, "bucket").sortWithinPartitions("bucket", "chunk").select("bucket", "chunk", "words", "bytes"))
+    given = _given(words.select("bucket", "chunks", "places", fold_words(F.col("words"), rank_map).alias("coded")))
+
+    def put(chunk: pa.Table, given: pa.Table) -> pa.Table:
+        """The ids in the place of the numbers."""
+        row = chunk.combine_chunks().slice(0, 1)
+        sizes, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for one in given.sort_by("bucket").column("given").to_pylist():
+            size, rest = _unpack(one)
+            sizes.append(size)
+            flat.append(_unpack(rest)[0])
+        for ids in row.column("long")[0].as_py():
+            sizes.append(np.array([len(ids)]))
+            flat.append(np.array(ids, np.int64))
+        size, flat = np.concatenate(sizes), np.concatenate(flat).astype(np.int32)
+        start = np.cumsum(size) - size
+        codes, ends = _unpack(row.column("codes")[0].as_py())[0], _unpack(row.column("ends")[0].as_py())[0]
+        at = np.r_[0, np.cumsum(size[codes])][ends].astype(np.int32)
+        ids = row.column("ids").combine_chunks().flatten()
+        return pa.table({"id": ids, "ids": pa.ListArray.from_arrays(pa.array(at), pa.array(_gather(flat, start[codes], size[codes])))})
 
     kind = thin.schema[0].dataType.simpleString()
-    chunks = thin.mapInArrow(rows, f"id array<{kind}>, codes array<array<int>>, words array<string>, long array<array<int>>")
-    coded = F.concat(fold_words(F.col("words"), _rank_map(ranks)), F.col("long"))
-    texts = _let(coded, lambda c: F.zip_with("id", "codes", lambda i, codes: F.struct(i.alias("id"), F.flatten(F.transform(codes, lambda k: F.get(c, k))).alias("ids"))))
-    return chunks.select(F.explode(texts).alias("x")).select(F.col("x.id").alias(id_col), F.col("x.ids").alias("ids"))
+    found = chunks.select("chunk", "ids", "ends", "codes", "long").groupBy("chunk").cogroup(given.groupBy("chunk")).applyInArrow(put, f"id {kind}, ids array<int>")
+    return found.withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") -> DataFrame:

@@ -6,13 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder, as in tests on one machine.
-LOCAL_FALLBACK = "file:///tmp/checkpoints/topicloom"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``, which driver and executors share."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FALLBACK
+from ..sources.tables import shared_dir
 
 
 class Store:
@@ -24,15 +18,24 @@ class Store:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
+    def _next(self, name: str) -> str:
         self._n += 1
-        path = f"{self.path}/{self._n:03d}-{name}"
+        return f"{self.path}/{self._n:03d}-{name}"
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        path = self._next(name)
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def put_bucketed(self, df: DataFrame, name: str, buckets: int, by: str) -> DataFrame:
+        """A table bucketed by a column, so that joins and groups by it need no exchange of it."""
+        table = f"{name}_{uuid.uuid4().hex}"
+        df.write.bucketBy(buckets, by).option("path", self._next(name)).option("compression", "zstd").format("parquet").saveAsTable(table)
+        return self.spark.table(table)
+
     def drop(self) -> None:
         """Remove the tables; call it once results that read them are written."""
         jvm = self.spark.sparkContext._jvm

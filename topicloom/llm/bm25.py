@@ -5,13 +5,13 @@ shard's scores are final and merging the shards' best k by query is exact. Texts
 the inverted index of some megabytes of text, a *shard*, with postings by term and document, and the indexes
 are written. Queries come in blocks of bounded size, each of which goes to every shard's task.
 
-A shard's postings are cut at the same documents for all terms (document-aligned blocks, Dimopoulos, Nepomnyachiy and Suel
-2013), and of each term and block the greatest impact is kept. The cursor of a query moves on through the
-blocks in document order. WAND's pivot is the next block in which the bounds of the terms that occur reach the threshold, the
-k-th best score so far; what lies before it is skipped. In a block the rarer terms are scored first. A second
-pivot then takes only documents whose score so far and the block's bounds of the frequent terms
-still reach the threshold, and only these are scored in full. Blocks with the best bounds come before the
-walk, so that the threshold is high from the start.
+A shard's documents are put into an order in which like ones are neighbours (by their most frequent term, then
+length), and all terms' postings are cut at the same documents (document-aligned blocks, Dimopoulos, Nepomnyachiy and Suel
+2013); of each term and block the greatest impact is kept. A batch of like queries walks through the blocks together, each query
+with its own cursor and threshold, the k-th best score so far. WAND's pivot is the next block in which the
+bounds of a query's terms reach its threshold; what lies before it is skipped. Where a query stops, a second pivot takes the
+documents that reach the threshold by a bound of their own, a product in single precision with its error added, and at the
+end those left are scored exactly. Steps with the best bounds come first, so that thresholds are high early.
 """
 
 from __future__ import annotations
@@ -27,13 +27,17 @@ from .store import Store
 
 K1, LENGTH_SHARE = 1.2, 0.75
 #: Bytes of text of a shard, about; bytes of a block of queries as it is sent, at most, if one query alone is not larger.
-SHARD_BYTES = 24 << 20
-QUERY_BYTES = 24 << 20
-#: Documents of a block of postings; cells of a shard's table of frequent terms and their most.
-BLOCK = 64
+SHARD_BYTES = 20 << 20
+QUERY_BYTES = 64 << 20
+#: Documents of a block, and of a step of the walk; cells of a shard's table of frequent terms, and their most.
+BLOCK, STEP = 16, 512
 CELLS, FREQUENT = 6_000_000, 1024
-#: Blocks that are scored before the walk, and in one of its steps.
-FIRST, STEP = 4, 32
+#: Queries that walk together, and cells of their scores.
+BATCH, SCORES = 256, 2_000_000
+#: Terms by which a shard's documents are ordered.
+LIKE = 64
+#: Relative error of a sum of FREQUENT products in single precision, at most.
+ERROR = FREQUENT * 2.0**-23
 #: Stands for a null id inside a shard.
 NO_ID = -(1 << 63)
 _INDEX = "ids array<long>, lengths array<int>, term array<long>, check array<long>, df array<int>, docs binary, tfs binary"
@@ -50,7 +54,11 @@ def _terms(column: pa.Array):
 
 def _distinct(keys: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
     """(order, firsts of equal runs in it) of the rows of keys, the first key counting most."""
-    order = np.lexsort(keys[::-1])
+    order = np.argsort(keys[0], kind="stable")
+    same = keys[0][order][1:] == keys[0][order][:-1]
+    # Rows are in order by the later keys already, or the first key alone leaves ties to settle.
+    if any((k[order][1:] < k[order][:-1])[same].any() for k in keys[1:]):
+        order = np.lexsort(keys[::-1])
     new = np.zeros(len(order), bool)
     new[:1] = True
     for k in keys:
@@ -76,8 +84,18 @@ def _index(docs: DataFrame, shard_bytes: int) -> DataFrame:
         h, g, d = h[order[cells]], g[order[cells]], d[order[cells]]
         first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])][: len(h)])
         df = np.diff(np.r_[first, len(h)])
+        # Like documents become neighbours.
+        top = np.full(len(column), -1)
+        for i, t in enumerate(np.argsort(df, kind="stable")[-LIKE:]):
+            top[d[first[t] : first[t] + df[t]]] = i
+        like = np.lexsort((lengths, top))
+        place = np.empty(len(column), np.int64)
+        place[like] = np.arange(len(column))
+        d = place[d]
+        again = np.argsort(np.repeat(np.arange(len(df)) * len(column), df) + d, kind="stable")
+        d, tf, lengths = d[again], tf[again], lengths[like]
         one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-        cols = [pa.concat_arrays(ids), pa.array(lengths.astype(np.int32)), pa.array(h[first].view(np.int64)), pa.array(g[first].view(np.int64)), pa.array(df.astype(np.int32))]
+        cols = [pa.concat_arrays(ids).take(pa.array(like)), pa.array(lengths.astype(np.int32)), pa.array(h[first].view(np.int64)), pa.array(g[first].view(np.int64)), pa.array(df.astype(np.int32))]
         return pa.RecordBatch.from_arrays([*map(one, cols), pa.array([d.astype(np.int32).tobytes()], pa.binary()), pa.array([tf.astype(np.int32).tobytes()], pa.binary())], ["ids", "lengths", "term", "check", "df", "docs", "tfs"])
 
     def rows(batches):
@@ -123,24 +141,17 @@ class Shard:
         norm = K1 * (1 - LENGTH_SHARE + LENGTH_SHARE * lengths / (mean_words or 1.0))
         self.impact = tfs * (K1 + 1) / (tfs + norm[docs])
         self.start = np.r_[0, np.cumsum(df)].astype(np.int64)
-        self.n_blocks = -(-n // BLOCK)
-        of = np.repeat(np.arange(len(df)), df)
-        block = docs // BLOCK
-        new = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (block[1:] != block[:-1])][: len(of)])
-        # An entry is what a term has in a block: postings first to last, and their greatest impact.
-        self.block, self.first, self.last = block[new], new, np.r_[new[1:], len(of)][: len(new)]
-        self.most = np.maximum.reduceat(self.impact, new) if len(new) else np.zeros(0)
-        self.entries = np.searchsorted(of[new], np.arange(len(df) + 1))
-        # The most frequent terms' impacts and bounds as tables.
         often = np.argsort(-df, kind="stable")[: min(FREQUENT, CELLS // max(n, 1))]
         self.table = np.full(len(df), -1)
         self.table[often] = np.arange(len(often))
-        self.full, self.bound = np.zeros((len(often), n)), np.zeros((len(often), self.n_blocks))
+        # The most frequent terms' impacts as a table, and their greatest in each block.
+        self.n_blocks = -(-n // BLOCK)
+        self.full = np.zeros((len(often), self.n_blocks * BLOCK))
         for i, t in enumerate(often):
             at = slice(self.start[t], self.start[t + 1])
             self.full[i, docs[at]] = self.impact[at]
-            at = slice(self.entries[t], self.entries[t + 1])
-            self.bound[i, self.block[at]] = self.most[at]
+        self.half = self.full.astype(np.float32)
+        self.most = self.half.reshape(len(often), self.n_blocks, BLOCK).max(2)
 
     @staticmethod
     def _runs(first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -161,58 +172,64 @@ class Shard:
             at[live] += 1
         return out
 
-    def search(self, term: np.ndarray, check: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(places, scores) of all that may be among the best k."""
-        at = self.places(term, check)
-        at, weights = at[at >= 0], weights[at >= 0]
-        none = np.zeros(0, np.int64), np.zeros(0)
-        if not len(at):
-            return none
-        often = self.table[at]
-        tabled, heavy = often[often >= 0], weights[often >= 0]
-        rest = heavy @ self.bound[tabled]  # what the frequent terms may add in each block
-        rare, light = at[often < 0], weights[often < 0]
-        entry = self._runs(self.entries[rare], self.entries[rare + 1])
-        weight = np.repeat(light, self.entries[rare + 1] - self.entries[rare])
-        of = self.block[entry]
-        bound = rest + np.bincount(of, self.most[entry] * weight, self.n_blocks)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        best, least = np.zeros(0), 0.0
-
-        def look(blocks: np.ndarray) -> None:
-            nonlocal best, least
-            chosen = np.zeros(self.n_blocks, bool)
-            chosen[blocks] = True
-            use = chosen[of]
-            first, last = self.first[entry[use]], self.last[entry[use]]
-            posting = self._runs(first, last)
-            score = np.bincount(self.doc[posting], self.impact[posting] * np.repeat(weight[use], last - first), self.n_blocks * BLOCK).reshape(-1, BLOCK)[blocks]
-            may = score + rest[blocks][:, None]
-            # The second pivot: documents that the frequent terms could still lift to the threshold.
-            x, y = np.nonzero((may > 0) & (may >= least - 1e-9))
-            doc = blocks[x] * BLOCK + y
-            x, y, doc = x[doc < self.n], y[doc < self.n], doc[doc < self.n]
-            total = score[x, y] + heavy @ self.full[tabled[:, None], doc[None, :]]
-            keep = (total > 0) & (total >= least - 1e-9)
-            found.append((doc[keep], total[keep]))
-            best = np.r_[best, total[keep]]
-            if len(best) >= k:
-                best = np.partition(best, len(best) - k)[len(best) - k :]
-                least = best[0]
-
-        first = np.sort(np.argsort(-bound, kind="stable")[:FIRST])
-        look(first[bound[first] > 0])
-        bound[first] = -1.0
-        cursor = 0
-        while True:
-            pivots = cursor + np.flatnonzero((bound[cursor:] > 0) & (bound[cursor:] >= least - 1e-9))[:STEP]
-            if not len(pivots):
-                break
-            look(pivots)
-            cursor = pivots[-1] + 1
-        p, s = (np.concatenate(x) for x in zip(*found, strict=True))
-        keep = s >= least - 1e-9
-        return p[keep], s[keep]
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(places, scores) of all that may be among the best k of each query (terms, checks, weights)."""
+        found = [(self.places(t, c), w) for t, c, w in queries]
+        found = [(p[p >= 0], w[p >= 0]) for p, w in found]
+        # Queries with the same most frequent terms walk together.
+        like = [tuple(np.sort(t[t >= 0])[:3]) for t in (self.table[p] for p, _ in found)]
+        order = sorted(range(len(found)), key=lambda i: like[i])
+        out: list = [None] * len(found)
+        size = max(1, min(BATCH, SCORES // max(1, self.n_blocks * BLOCK)))
+        for a in range(0, len(order), size):
+            own = order[a : a + size]
+            for i, best in zip(own, self._walk([found[i] for i in own], k), strict=True):
+                out[i] = best
+        return out
+
+    def _walk(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        q, wide = len(queries), self.n_blocks * BLOCK
+        light, heavy = np.zeros((q, wide)), np.zeros((q, len(self.full)), np.float32)
+        often = []
+        for i, (at, w) in enumerate(queries):
+            t = self.table[at]
+            often.append((t[t >= 0], w[t >= 0]))
+            heavy[i, t[t >= 0]] = w[t >= 0]
+            rare = at[t < 0]
+            posting = self._runs(self.start[rare], self.start[rare + 1])
+            light[i] = np.bincount(self.doc[posting], self.impact[posting] * np.repeat(w[t < 0], self.start[rare + 1] - self.start[rare]), wide)
+        scored = light.astype(np.float32)
+        # What a block can hold at most for each query.
+        bound = (heavy @ self.most + scored.reshape(q, self.n_blocks, BLOCK).max(2)) * (1 + 2 * ERROR)
+        steps = np.arange(0, self.n_blocks, STEP // BLOCK)
+        reach = np.maximum.reduceat(bound, steps, axis=1)
+        best, least = np.zeros((q, k), np.float32), np.zeros(q, np.float32)
+        hits = []
+        for s in np.argsort(-reach.max(0), kind="stable"):
+            # Queries whose pivot lies in this step; the others' cursors pass it by.
+            live = np.flatnonzero((reach[:, s] >= least) & (reach[:, s] > 0))
+            if not len(live):
+                continue
+            docs = slice(steps[s] * BLOCK, min(steps[s] * BLOCK + STEP, wide))
+            score = heavy[live] @ self.half[:, docs] + scored[live, docs]
+            best[live] = np.partition(np.concatenate([best[live], score], axis=1), score.shape[1], axis=1)[:, -k:]
+            # The k-th best in truth is not below this.
+            least[live] = best[live].min(1) * (1 - 2 * ERROR)
+            x, y = np.nonzero((score * (1 + 2 * ERROR) >= least[live][:, None]) & (score > 0))
+            hits.append((live[x], y + docs.start, score[x, y]))
+        if not hits:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * q
+        own, doc, score = (np.concatenate(x) for x in zip(*hits, strict=True))
+        keep = score * (1 + 2 * ERROR) >= least[own]
+        own, doc = own[keep], doc[keep]
+        order = np.argsort(own, kind="stable")
+        own, doc = own[order], doc[order]
+        ends = np.searchsorted(own, np.arange(q + 1))
+        out = []
+        for i, (t, w) in enumerate(often):
+            d = doc[ends[i] : ends[i + 1]]
+            out.append((d, light[i, d] + w @ self.full[t[:, None], d[None, :]]))
+        return out
 
 
 def _packed(asked: DataFrame, blocks: int) -> DataFrame:
@@ -262,8 +279,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
                 shard = Shard(*lists, *(np.frombuffer(row.column(c)[0].as_buffer(), np.int32) for c in ("docs", "tfs")), mean)
                 queries, ends, term, check, w = (row.column(f"q_{c}").flatten().to_numpy() for c in ("ids", "ends", "term", "check", "w"))
                 out: tuple[list, list, list] = ([], [], [])
-                for q, a, b in zip(queries, np.r_[0, ends[:-1]], ends, strict=True):
-                    places, scores = shard.search(term[a:b].view(B.U64), check[a:b].view(B.U64), w[a:b], k)
+                own = [(term[a:b].view(B.U64), check[a:b].view(B.U64), w[a:b]) for a, b in zip(np.r_[0, ends[:-1]], ends, strict=True)]
+                for q, (places, scores) in zip(queries, shard.search(own, k), strict=True):
                     scores = np.round(scores, 9)
                     best = np.lexsort((shard.ids[places], -scores))[:k]
                     for c, x in zip(out, (np.full(len(best), q), shard.ids[places][best], scores[best]), strict=True):

@@ -34,16 +34,14 @@ from . import bytes as B
 from .store import Store
 
 #: Bytes of text, and distinct words, after which a chunk ends, about.
-CHUNK_BYTES = 16 << 20
-CHUNK_WORDS = 300_000
+CHUNK_BYTES = 6 << 20
+CHUNK_WORDS = 150_000
 #: Bytes of text for each bucket of words, about.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 #: Bytes of the longest word that is folded.
 LONGEST = 256
 #: Characters of the longest stretch between spaces whose words are remembered.
 REMEMBERED = 128
-#: Bits of a rank in a cell of the rank map.
-_SHIFT = 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -78,10 +76,10 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
 
 
 def _rank_map(ranks: dict[bytes, int]) -> str:
-    """The rank map as JSON: bytes (id of each), rows and cells, which give the rank of each pair of ids.
+    """The rank map as JSON: bytes (id of each), rows, firsts and ranks, which give the rank of each pair of ids.
 
-    The pair (a, b) is at cells[(rows[a] + b) mod len(cells)], which holds a and the rank, or -1. A row's
-    place is sought so that no two pairs share a cell.
+    The pair (a, b) is at place (rows[a] + b) mod len(ranks): firsts has a there, or else the pair has no rank. A row's
+    place is sought so that no two pairs share one.
     """
     if missing := [b for b in range(256) if bytes([b]) not in ranks]:
         raise ValueError(f"bytes without a rank: {missing}")
@@ -92,17 +90,17 @@ def _rank_map(ranks: dict[bytes, int]) -> str:
             if a is not None and b is not None:
                 pairs[a].append((b, rank))
     n_ids = max(ranks.values()) + 1
-    bits = max(n_ids, 2 * sum(map(len, pairs.values())), 2).bit_length()
+    bits = max(n_ids, 4 * sum(map(len, pairs.values())), 2).bit_length()
     mask, place = (1 << bits) - 1, Random(bits)
-    cells, rows = [-1] * (1 << bits), [0] * n_ids
+    firsts, at_place, rows = [-1] * (1 << bits), [0] * (1 << bits), [0] * n_ids
     for a, row in sorted(pairs.items(), key=lambda x: (-len(x[1]), x[0])):
         at = place.getrandbits(bits)
-        while any(cells[(at + b) & mask] >= 0 for b, _ in row):
+        while any(firsts[(at + b) & mask] >= 0 for b, _ in row):
             at = place.getrandbits(bits)
         rows[a] = at
         for b, rank in row:
-            cells[(at + b) & mask] = a << _SHIFT | rank
-    return json.dumps({"bytes": [ranks[bytes([b])] for b in range(256)], "rows": rows, "cells": cells}, separators=(",", ":"))
+            firsts[(at + b) & mask], at_place[(at + b) & mask] = a, rank
+    return json.dumps({"bytes": [ranks[bytes([b])] for b in range(256)], "rows": rows, "firsts": firsts, "ranks": at_place}, separators=(",", ":"))
 
 
 def _let(value: Column, body) -> Column:
@@ -114,13 +112,13 @@ def fold_words(words: Column, rank_map: str) -> Column:
     """array<array<int>>: the ids of each of the words (array<string>), by a fold of ranked merges over its bytes."""
 
     def one(word: Column, ranks: Column) -> Column:
-        cells, rows = ranks["cells"], ranks["rows"]
-        mask = F.size(cells) - 1
+        rows = ranks["rows"]
+        mask = F.size(ranks["ranks"]) - 1
         outside = F.size(rows)  # an id that no pair has, at both ends
 
         def rank(a: Column, b: Column) -> Column:
-            cell = F.get(cells, (F.get(rows, a) + b).bitwiseAND(mask))
-            return _let(cell, lambda c: F.when(F.shiftright(c, _SHIFT) == a, c.bitwiseAND((1 << _SHIFT) - 1).cast("int")))
+            place = (F.get(rows, a) + b).bitwiseAND(mask)
+            return F.when(F.get(ranks["firsts"], place) == a, F.get(ranks["ranks"], place))
 
         def step(parts: Column, _: Column) -> Column:
             """parts: (id, rank of the pair with the next part)."""
@@ -144,7 +142,7 @@ def fold_words(words: Column, rank_map: str) -> Column:
 
     # Null for a null list, so that the optimizer leaves the map a string, which is cheap to plan with; each chunk reads it once.
     literal = F.when(words.isNotNull(), F.lit(rank_map))
-    return _let(F.from_json(literal, "bytes array<int>, rows array<int>, cells array<bigint>"), lambda ranks: F.transform(words, lambda w: one(w, ranks)))
+    return _let(F.from_json(literal, "bytes array<int>, rows array<int>, firsts array<int>, ranks array<int>"), lambda ranks: F.transform(words, lambda w: one(w, ranks)))
 
 
 def _gather(source: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -183,31 +181,44 @@ class _Chunk:
         return n
 
     def stretch(self, stretch: str) -> int:
-        """The stretch's number: its words are flat[start[n] : start[n + 1]]."""
-        n = len(self.start)
+        """The new number of a stretch: its words are flat[start[n] : start[n + 1]]."""
         self.start.append(len(self.flat))
         self.flat += map(self.word, self.find(stretch))
-        if len(stretch) <= REMEMBERED:
-            self.stretches[stretch] = n
+        return len(self.start) - 1
+
+    def after_space(self, piece: str) -> int | None:
+        """The number of the stretch of a space and the piece; None where a match might cross the space before or after."""
+        if (n := self.stretches.get(piece)) is not None:
+            return n
+        if not piece or piece[0].isspace() or piece[-1].isspace():
+            return None
+        n = self.stretch(" " + piece)
+        if len(piece) <= REMEMBERED:
+            self.stretches[piece] = n
         return n
 
     def add(self, id_, text: str) -> None:
         self.ids.append(id_)
         self.bytes += len(text)
-        parts = [text]
-        if self.spaced:
-            head, *rest = text.split(" ")
-            if all(p and not (p[0].isspace() or p[-1].isspace()) for p in rest) and not head[-1:].isspace() and (head or not rest):
-                parts = [head, *(" " + p for p in rest)]
-            else:
-                parts = [head]
-                for p in rest:
-                    if p and parts[-1] and not (p[0].isspace() or parts[-1][-1].isspace()):
-                        parts.append(" " + p)
-                    else:
-                        parts[-1] += " " + p
-        known = self.stretches.get
-        self.texts.append(np.array([self.stretch(p) if (n := known(p)) is None else n for p in parts if p], np.int32))
+        if not self.spaced:
+            return self.texts.append(np.array([self.stretch(text)], np.int32))
+        head, *rest = text.split(" ")
+        known = list(map(self.stretches.get, rest))
+        if None in known:
+            # One by one, since a piece that is new may come again in the same text.
+            known = [self.after_space(p) if n is None else n for p, n in zip(rest, known, strict=True)]
+        if None in known or rest and (not head or head[-1].isspace()):
+            # Pieces join the one before where the space between is not a cut.
+            numbers, begun = [], head
+            for p, n in zip(rest, known, strict=True):
+                if n is None or not begun or begun[-1].isspace():
+                    begun = f"{begun} {p}"
+                else:
+                    numbers.append(begun)
+                    begun = " " + p
+            numbers.append(begun)
+            return self.texts.append(np.array([self.stretches[p[1:]] if p[1:] in self.stretches and p[0] == " " else self.stretch(p) for p in numbers if p], np.int32))
+        self.texts.append(np.array([self.stretch(head), *known] if head else known, np.int32))
 
     def row(self, chunk: int, kind: pa.DataType, buckets: int) -> pa.RecordBatch:
         starts = np.array([*self.start, len(self.flat)], np.int64)

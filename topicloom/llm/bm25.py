@@ -18,8 +18,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import bytes as B
@@ -40,7 +40,9 @@ LIKE = 64
 ERROR = FREQUENT * 2.0**-23
 #: Stands for a null id inside a shard.
 NO_ID = -(1 << 63)
-_INDEX = "ids array<long>, lengths array<int>, term array<long>, check array<long>, df array<int>, docs binary, tfs binary"
+#: Queries whose best documents are merged in one task, and shards whose are merged at once.
+PART, MERGED = 128, 64
+_INDEX = "shard long, ids array<long>, lengths array<int>, term array<long>, check array<long>, df array<int>, docs binary, tfs binary"
 
 
 def _terms(column: pa.Array):
@@ -70,7 +72,7 @@ def _distinct(keys: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
 def _index(docs: DataFrame, shard_bytes: int) -> DataFrame:
     """A row for each shard. docs and tfs go along the terms; df is the number of a term's postings."""
 
-    def shard(ids: list, texts: list[pa.Array]) -> pa.RecordBatch:
+    def shard(number: int, ids: list, texts: list[pa.Array]) -> pa.RecordBatch:
         column = pa.concat_arrays(texts)
         h, g, d = [], [], []
         for row, (one, two), bounds in _terms(column):
@@ -96,10 +98,11 @@ def _index(docs: DataFrame, shard_bytes: int) -> DataFrame:
         d, tf, lengths = d[again], tf[again], lengths[like]
         one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
         cols = [pa.concat_arrays(ids).take(pa.array(like)), pa.array(lengths.astype(np.int32)), pa.array(h[first].view(np.int64)), pa.array(g[first].view(np.int64)), pa.array(df.astype(np.int32))]
-        return pa.RecordBatch.from_arrays([*map(one, cols), pa.array([d.astype(np.int32).tobytes()], pa.binary()), pa.array([tf.astype(np.int32).tobytes()], pa.binary())], ["ids", "lengths", "term", "check", "df", "docs", "tfs"])
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *map(one, cols), pa.array([d.astype(np.int32).tobytes()], pa.binary()), pa.array([tf.astype(np.int32).tobytes()], pa.binary())], ["shard", "ids", "lengths", "term", "check", "df", "docs", "tfs"])
 
     def rows(batches):
         ids, texts, held = [], [], 0
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for start in range(0, batch.num_rows, 128):
                 part = batch.slice(start, 128)
@@ -108,10 +111,10 @@ def _index(docs: DataFrame, shard_bytes: int) -> DataFrame:
                 texts.append(pa.concat_arrays([part.column(1).fill_null(""), pa.array([], part.column(1).type)]))
                 held += texts[-1].nbytes
                 if held >= shard_bytes:
-                    yield shard(ids, texts)
-                    ids, texts, held = [], [], 0
+                    yield shard(number, ids, texts)
+                    ids, texts, held, number = [], [], 0, number + 1
         if texts:
-            yield shard(ids, texts)
+            yield shard(number, ids, texts)
 
     return docs.mapInArrow(rows, _INDEX)
 
@@ -247,6 +250,19 @@ def _packed(asked: DataFrame, blocks: int) -> DataFrame:
     return dealt.groupBy("block").applyInArrow(pack, "block int, ids array<long>, ends array<long>, term array<long>, check array<long>, w array<double>")
 
 
+def _best(query: np.ndarray, doc: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of the best k of each query in order, their ranks from 1); ties by the lesser document."""
+    order = np.lexsort((doc, -score, query))
+    q = query[order]
+    first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]][: len(q)])
+    rank = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)])) + 1
+    return order[rank <= k], rank[rank <= k]
+
+
+def _unpacked(table: pa.Table) -> tuple[np.ndarray, ...]:
+    return tuple(np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("queries", np.int64), ("docs", np.int64), ("scores", np.float64)))
+
+
 def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """(query_id, rank, doc_id, score) of the best ``k`` rows of ``docs`` for each row of ``queries``.
 
@@ -261,7 +277,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
     store = Store(spark, "bm25")
     docs, queries = (x.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")) for x in (docs, queries))
     index = store.put(_index(docs, shard_bytes), "index")
-    whole = index.agg(F.sum(F.size("ids")).alias("n"), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("words")).first()
+    whole = index.agg(F.count("*").alias("shards"), F.sum(F.size("ids")).alias("n"), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("words")).first()
     n, mean = whole["n"] or 0, (whole["words"] or 0) / max(1, whole["n"] or 0)
     counts = index.select(F.explode(F.arrays_zip("term", "check", "df")).alias("x")).groupBy("x.term", "x.check").agg(F.sum("x.df").alias("df"))
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -278,21 +294,36 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
                 lists = [row.column(c).flatten().to_numpy() if c != "ids" else row.column(c).flatten().fill_null(NO_ID).to_numpy() for c in names]
                 shard = Shard(*lists, *(np.frombuffer(row.column(c)[0].as_buffer(), np.int32) for c in ("docs", "tfs")), mean)
                 queries, ends, term, check, w = (row.column(f"q_{c}").flatten().to_numpy() for c in ("ids", "ends", "term", "check", "w"))
-                out: tuple[list, list, list] = ([], [], [])
                 own = [(term[a:b].view(B.U64), check[a:b].view(B.U64), w[a:b]) for a, b in zip(np.r_[0, ends[:-1]], ends, strict=True)]
-                for q, (places, scores) in zip(queries, shard.search(own, k), strict=True):
-                    scores = np.round(scores, 9)
-                    best = np.lexsort((shard.ids[places], -scores))[:k]
-                    for c, x in zip(out, (np.full(len(best), q), shard.ids[places][best], scores[best]), strict=True):
-                        c.append(x)
-                cols = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64(), mask=cols[1] == NO_ID), pa.array(cols[2], pa.float64())], ["query_id", "doc_id", "score"])
+                found = shard.search(own, k)
+                for start in range(0, len(found), PART):
+                    some = found[start : start + PART]
+                    q = np.repeat(queries[start : start + PART], [len(p) for p, _ in some])
+                    d, x = shard.ids[np.concatenate([p for p, _ in some])], np.round(np.concatenate([x for _, x in some]), 9)
+                    best, _ = _best(q, d, x, k)
+                    yield packed_row(start // PART, row.column("shard")[0].as_py(), q[best], d[best], x[best])
+
+    def packed_row(part: int, shard: int, q: np.ndarray, d: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int64()), *(pa.array([v.tobytes()], pa.binary()) for v in (q, d, x))], ["part", "shard", "queries", "docs", "scores"])
+
+    def fewer(table: pa.Table) -> pa.Table:
+        q, d, x = _unpacked(table)
+        best, _ = _best(q, d, x, k)
+        return pa.Table.from_batches([packed_row(table.column("part")[0].as_py(), table.column("shard")[0].as_py(), q[best], d[best], x[best])])
+
+    def last(table: pa.Table) -> pa.Table:
+        q, d, x = _unpacked(table)
+        best, rank = _best(q, d, x, k)
+        return pa.table({"query_id": pa.array(q[best]), "rank": pa.array(rank.astype(np.int32)), "doc_id": pa.array(d[best], mask=d[best] == NO_ID), "score": pa.array(x[best])})
 
     def best_of(block: int) -> DataFrame:
+        """The best of a block of queries: what a shard finds for PART queries is one row, and rows are merged in two steps where shards are many."""
         asked = packed.where(F.col("block") == block).select("block", *(F.col(c).alias(f"q_{c}") for c in ("ids", "ends", "term", "check", "w")))
-        found = index.withColumn("block", F.lit(block)).join(F.broadcast(asked), "block").mapInArrow(run, "query_id long, doc_id long, score double")
-        rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-        return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "doc_id", "score")
+        schema = "part int, shard long, queries binary, docs binary, scores binary"
+        found = index.withColumn("block", F.lit(block)).join(F.broadcast(asked), "block").mapInArrow(run, schema)
+        if whole["shards"] > MERGED:
+            found = found.withColumn("shard", F.pmod(F.xxhash64("shard"), F.lit(int(whole["shards"] ** 0.5)))).groupBy("part", "shard").applyInArrow(fewer, schema)
+        return found.groupBy("part").applyInArrow(last, "query_id long, rank int, doc_id long, score double")
 
     if blocks == 1:
         return best_of(0)

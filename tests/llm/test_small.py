@@ -236,6 +236,26 @@ def test_mixing(docs, texts):
     assert sorted(map(str, plan)) == sorted(map(str, mixing.mix(docs).collect()))
     mixed = mixing.materialize(docs, mixing.mix(docs)).collect()
     assert sum(len(WORD.findall(r.text)) for r in mixed) == sum(taken.values())
+    clash = docs.withColumn("words", F.lit("w")).withColumn("size", F.lit(1)).withColumn("row", F.lit(2)).withColumn("times", F.lit(3))
+    assert sorted(map(str, mixing.materialize(clash, mixing.mix(clash)).select("doc_id", "text").collect())) == sorted(str(r) for r in mixing.materialize(docs, mixing.mix(docs)).select("doc_id", "text").collect())
+
+
+def test_mix_order(spark):
+    """Any beginning of the mix, in the order of its slots, has the sources near their parts: the schedule makes that, not the totals."""
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), (F.col("id") % 3).cast("string")).alias("source"), F.repeat(F.lit("w "), (20 + F.col("id") % 60).cast("int")).alias("text"))
+    plan = mixing.mix(docs).collect()
+    total = sum(r.taken for r in plan)
+    share = Counter()
+    for r in plan:
+        share[r.source] += r.taken / total
+    mixed = sorted((slot, r.source, min(r.size, r.taken - i * r.size)) for r in plan for i, slot in enumerate(r.slots))
+    assert sum(w for *_, w in mixed) == total and all(len(r.slots) == -(-r.taken // r.size) for r in plan)
+    seen, done = Counter(), 0
+    for k, (_, source, words) in enumerate(mixed):
+        seen[source] += words
+        done += words
+        if k % 500 == 499:
+            assert all(abs(seen[s] / done - share[s]) < 0.02 for s in share)
 
 
 def test_sharding(docs, texts):
@@ -269,7 +289,7 @@ def test_chat_folds_finished_turns_with_later_events(spark):
     """Turns that repeat a number stay turns of their own in a log that goes on with other events."""
     turns = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "x"), (2, 0, "user", "x"), (2, 1, "assistant", "y")]
     log = chat.messages_as_events(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
-    assert {r.kind for r in log.collect()} == {"message", "delta"}
+    assert {r.kind for r in log.collect()} == {"message", "delta", "edit", "regenerate"}
     more = spark.createDataFrame([(1, 9, "delta", 2, "user", "m"), (1, 10, "delta", 2, "user", "n"), (2, 9, "delta", 0, "user", "z")], "conv_id long, seq long, kind string, turn long, role string, text string")
     back = {r.conv_id: [tuple(t) for t in r.turns] for r in chat.reconstruct(log.unionByName(more, allowMissingColumns=True)).collect()}
     assert back == {1: [("user", "q"), ("assistant", "a"), ("assistant", "b"), ("user", "mn")], 2: [("user", "xz"), ("user", "x"), ("assistant", "y")]}

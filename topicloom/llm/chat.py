@@ -43,17 +43,29 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def messages_as_events(turns: DataFrame) -> DataFrame:
-    """A table of finished turns (conv_id, turn, role, text) as a log: a message opens each turn, a delta brings its text.
+def messages_as_events(turns: DataFrame, piece: int = 256, learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
+    """A table of finished turns (conv_id, turn, role, text) as the log that a chat service would have kept of it.
 
-    Turns that repeat a number are told apart by nth, in the order of role and text.
+    A turn of a role in ``learn`` is streamed: a message opens it, a delta brings a draft (the text's latter half), a regeneration
+    drops that, and deltas of ``piece`` code points bring the text. Any other turn is a message with a draft, which an edit
+    replaces by the text. Turns that repeat a number are told apart by nth, in the order of role and text. Null texts are
+    empty ones; extra columns are left out; an empty table gives an empty log.
     """
     some = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     again = W.partitionBy("conv_id", "turn").orderBy(F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
     # Dealt out by conversation at once, so that the fold needs no exchange of its own.
     some = some.repartition("conv_id").withColumn("nth", (F.row_number().over(again) - 1).cast("long"))
-    steps = F.array(*(F.struct(F.lit(part).alias("part"), F.lit(kind).alias("kind"), text.alias("text")) for part, (kind, text) in enumerate((("message", F.lit("")), ("delta", F.col("text"))))))
-    return some.withColumn("step", F.explode(steps)).select("conv_id", F.col("turn").alias("seq"), "step.kind", "turn", "role", "step.text", "nth", "step.part")
+    text = F.coalesce("text", F.lit(""))
+    draft = F.substr(text, (F.floor(F.length(text) / 2) + 1).cast("int"))
+
+    def step(kind: str, text: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+
+    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length(text) / piece).cast("int") - 1, F.lit(0))), lambda i: step("delta", F.substr(text, i * piece + 1, F.lit(piece))))
+    streamed = F.concat(F.array(step("message", F.lit("")), step("delta", draft), step("regenerate", F.lit(None).cast("string"))), pieces)
+    edited = F.array(step("message", draft), step("edit", text))
+    steps = F.when(F.coalesce(F.col("role").isin(*learn), F.lit(False)), streamed).otherwise(edited)
+    return some.select("conv_id", "turn", "role", "nth", F.posexplode(steps).alias("part", "step")).select("conv_id", F.col("turn").alias("seq"), "step.kind", "turn", "role", "step.text", "nth", F.col("part").cast("long").alias("part"))
 
 
 def reconstruct(events: DataFrame) -> DataFrame:

@@ -77,10 +77,11 @@ def schedule(parts: DataFrame, slots: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 0) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, source, size, source_size, target, taken, whole, part.
+    """One row for each row of ``docs``: doc_id, source, size, source_size, target, taken, whole, part, slots.
 
     taken counts the words the mix takes of the row, repeats included: ``whole`` times the whole text, then
-    its words from part.first to part.after. A source's taken words differ from its target by less than one.
+    its words from part.first to part.after. slots has the slot at which each of these times begins: rows in the
+    order of their slots are the mix, and each run of slots holds the sources near their parts. A source's taken words differ from its target by less than one.
     No row is taken more than ``cap`` times (cap at most 2). A null or empty text has size 0 and is never taken; a null source
     is a source of its own. Rows that repeat are rows of their own. Reruns agree: shuffling is by a hash
     of id and seed, ties by size. An empty table gives an empty one. No other column is read.
@@ -124,32 +125,37 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     near = lambda w: F.floor(w * F.col("n_slots") / F.col("target")).cast("long")
     pieces = pieces.where(F.col("from") < F.col("target")).withColumn("block", F.explode(F.sequence(F.greatest(near(F.col("from")) - 1, F.lit(0)), F.least(near(F.col("to")) + 1, F.col("n_slots") - 1))))
     pieces = pieces.withColumn("words", F.least("to", cut(F.col("block") + 1)) - F.greatest("from", cut(F.col("block")))).where("words > 0")
-    taken = pieces.join(schedule(parts, slots), ["sid", "block"]).groupBy("sid", "at").agg(F.sum("words").alias("taken"))
+    begins = F.array_compact(F.array(*(F.min(F.when(F.col("turn") == t, F.struct("block", "slot"))) for t in (0, 1))))
+    taken = pieces.join(schedule(parts, slots), ["sid", "block"]).groupBy("sid", "at").agg(F.sum("words").alias("taken"), F.transform(begins, lambda x: x["slot"]).alias("slots"))
 
     # A place in the stream tells rows with words apart, also where they repeat.
-    result = placed.where("size > 0").join(taken, ["sid", "at"], "left").unionByName(placed.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
+    result = placed.where("size > 0").join(taken, ["sid", "at"], "left").unionByName(placed.where("size = 0").withColumn("taken", F.lit(0).cast("long")), allowMissingColumns=True)
     result = result.join(goals.select("sid", "source_size", "target"), "sid").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
     whole = F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(0).cast("long")
     part = F.struct(F.lit(0).cast("long").alias("first"), (F.col("taken") - whole * F.col("size")).alias("after"))
-    return result.select("doc_id", "source", "size", "source_size", "target", "taken", whole.alias("whole"), part.alias("part"))
+    return result.select("doc_id", "source", "size", "source_size", "target", "taken", whole.alias("whole"), part.alias("part"), F.coalesce("slots", F.array().cast("array<bigint>")).alias("slots"))
 
 
 def materialize(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The mix itself: the rows of ``docs`` as often as ``plan``, which ``mix`` made of them, takes them.
 
     A row is given ``whole`` times unchanged, and once more with its text up to the end of the last word
-    of its part. Rows that agree in id, source and size are matched one to one. Rows not taken are left out.
+    of its part. Each partition, and so each file that is written, is in the order of the slots, and thus a low-discrepancy
+    mix itself. Rows that agree in id, source and size are matched one to one. Rows not taken, those with a null or
+    empty text among them, are left out; an empty table gives an empty one. Columns of any name stay as they are.
     """
-    keys = [F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 62))).alias("__id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("__source"), F.col(source_col).isNull().alias("__none")]
-    on = ["__id", "__source", "__none", "__size", "__nth"]
     columns = docs.columns
-    rows = docs.select("*", *keys, word_count(F.col(text_col).cast("string")).alias("__size"))
-    rows = rows.withColumn("__nth", F.row_number().over(W.partitionBy(*on[:4]).orderBy(F.lit(0))))
-    plan = plan.where("taken > 0").select(F.coalesce("doc_id", F.lit(-(1 << 62))).alias("__id"), F.coalesce("source", F.lit("")).alias("__source"), F.col("source").isNull().alias("__none"), F.col("size").alias("__size"), "whole", F.col("part.after").alias("__part"))
+    row = F.struct(*(F.col(f"`{c}`") for c in columns))
+    key = lambda i, source: [F.coalesce(i, F.lit(-(1 << 62))).alias("id"), F.coalesce(source, F.lit("")).alias("source"), source.isNull().alias("none")]
+    on = ["id", "source", "none", "size", "nth"]
+    rows = docs.select(*key(F.col(id_col).cast("long"), F.col(source_col).cast("string")), word_count(F.col(text_col).cast("string")).alias("size"), row.alias("row"))
+    rows = rows.withColumn("nth", F.row_number().over(W.partitionBy(*on[:4]).orderBy(F.lit(0))))
+    times = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("whole").cast("int")), F.when(F.col("part.after") > 0, F.array("part.after")).otherwise(F.array().cast("array<bigint>")))
+    plan = plan.where("taken > 0").select(*key(F.col("doc_id"), F.col("source")), "size", "taken", F.arrays_zip(times.alias("words"), F.col("slots").alias("slot")).alias("times"))
     # Every row of a key is there with its number, so those without words taken pair with none.
-    plan = plan.withColumn("__nth", F.row_number().over(W.partitionBy(*on[:4]).orderBy(F.desc("whole"), F.desc("__part"))))
-    times = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("whole").cast("int")), F.when(F.col("__part") > 0, F.array("__part")).otherwise(F.array().cast("array<bigint>")))
-    taken = rows.join(plan, on).withColumn("__words", F.explode(times)).select(*columns, "__words")
+    plan = plan.withColumn("nth", F.row_number().over(W.partitionBy(*on[:4]).orderBy(F.desc("taken"), "times"))).drop("taken")
+    taken = rows.join(plan, on).select("row", F.explode("times").alias("time")).sortWithinPartitions("time.slot").select("row.*", F.col("time.words").alias("words"))
+    taken = taken.toDF(*(f"c{i}" for i in range(len(columns))), "words")
     at, kind = columns.index(text_col), docs.schema
 
     def cut(batches):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import bm25, byte_bpe, chat, compression_classifier, pii
 from .jaccard_join import near_duplicate_components
 from .mixing import mix
-from .quality_rules import quality_rules
+from .quality_rules import fit_bands, quality_rules
 from .repeated_spans import remove_repeated
 from .sharding import shard_by_bytes
 
@@ -69,7 +69,8 @@ def op7_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality_rules(_table(spark, sf_dir, "documents"))
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    found = quality_rules(docs, bands=fit_bands(docs, labels.where(f"quality = 1 and {_FOLD} <> 0")))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

@@ -171,31 +171,37 @@ class _Chunk:
         self.bytes = 0
 
     def word(self, word: str) -> int:
-        """The word's number; below 0 for those that are not folded."""
-        n = self.words.get(word)
-        if n is None:
-            if len(word) > self.longest or 4 * len(word) > self.longest and len(word.encode()) > self.longest:
-                self.long.append(merge(word.encode(), self.ranks))
-                return -len(self.long)
-            n = self.words[word] = len(self.words)
-        return n
+        """The number of a word that may be long; below 0 for those that are not folded."""
+        if word not in self.words and len(word.encode()) > self.longest:
+            self.long.append(merge(word.encode(), self.ranks))
+            return -len(self.long)
+        return self.words.setdefault(word, len(self.words))
 
     def stretch(self, stretch: str) -> int:
         """The new number of a stretch: its words are flat[start[n] : start[n + 1]]."""
-        self.start.append(len(self.flat))
-        self.flat += map(self.word, self.find(stretch))
+        words, flat, short = self.words, self.flat, self.longest // 4
+        self.start.append(len(flat))
+        for w in self.find(stretch):
+            flat.append(words.setdefault(w, len(words)) if len(w) <= short else self.word(w))
         return len(self.start) - 1
 
-    def after_space(self, piece: str) -> int | None:
-        """The number of the stretch of a space and the piece; None where a match might cross the space before or after."""
-        if (n := self.stretches.get(piece)) is not None:
-            return n
-        if not piece or piece[0].isspace() or piece[-1].isspace():
-            return None
-        n = self.stretch(" " + piece)
-        if len(piece) <= REMEMBERED:
-            self.stretches[piece] = n
-        return n
+    def after_space(self, pieces: list[str], known: list[int | None]) -> list[int | None]:
+        """The number of the stretch of a space and each piece; None where a match might cross the space before or after."""
+        stretches, words, flat, start, find, short = self.stretches, self.words, self.flat, self.start, self.find, self.longest // 4
+        for i, n in enumerate(known):
+            if n is not None:
+                continue
+            piece = pieces[i]
+            n = stretches.get(piece)  # it may be new and come twice
+            if n is None and piece and not piece[0].isspace() and not piece[-1].isspace():
+                n = len(start)
+                start.append(len(flat))
+                for w in find(" " + piece):
+                    flat.append(words.setdefault(w, len(words)) if len(w) <= short else self.word(w))
+                if len(piece) <= REMEMBERED:
+                    stretches[piece] = n
+            known[i] = n
+        return known
 
     def add(self, id_, text: str) -> None:
         self.ids.append(id_)
@@ -205,8 +211,7 @@ class _Chunk:
         head, *rest = text.split(" ")
         known = list(map(self.stretches.get, rest))
         if None in known:
-            # One by one, since a piece that is new may come again in the same text.
-            known = [self.after_space(p) if n is None else n for p, n in zip(rest, known, strict=True)]
+            known = self.after_space(rest, known)
         if None in known or rest and (not head or head[-1].isspace()):
             # Pieces join the one before where the space between is not a cut.
             numbers, begun = [], head
@@ -277,6 +282,7 @@ def _chunks(thin: DataFrame, ranks: dict[bytes, int], pattern: str, spaced: bool
                     if chunk.bytes >= chunk_bytes or len(chunk.words) >= CHUNK_WORDS:
                         yield chunk.row(first + n, kind, buckets)
                         chunk, n = None, n + 1
+                        pa.default_memory_pool().release_unused()
         if chunk:
             yield chunk.row(first + n, kind, buckets)
 

@@ -98,6 +98,9 @@ def test_keep_one_with_odd_ids(spark):
     rows = [(1, "a b c d e f g", "x", 1), (1, "a b c d e f g", "y", 1), (None, "a b c d e f g", "z", 1), (3, None, "e", 1), (3, "", "e", 1), (4, "k l m n o p q", "u", 1), (4, "z x c v b n m", "u", 1), (5, "z x c v b n m", "u", 1)]
     kept = sorted((r.doc_id, r.text or "") for r in jaccard_join.keep_one(spark.createDataFrame(rows, SCHEMA)).collect())
     assert kept == [(1, "a b c d e f g"), (3, ""), (3, ""), (4, "k l m n o p q"), (4, "z x c v b n m")]
+    clash = spark.createDataFrame([(r[0], r[1], "d", 1, "r") for r in rows], "doc_id long, text string, __digest string, id int, row string")
+    kept = jaccard_join.keep_one(clash)
+    assert kept.columns == clash.columns and kept.count() == 5 and kept.where("__digest = 'd' and id = 1 and row = 'r'").count() == 5
 
 
 @pytest.mark.parametrize("hot,piece", [(2000, 1 << 23), (2, 500)])
@@ -206,10 +209,67 @@ def test_pii_base():
     assert detector.spans("call me at (555) 123-4567 now")[1] == [("phone", 11, 25)]
     assert pii.redacted("mail a@b.org, 10.0.0.1", detector.spans("mail a@b.org, 10.0.0.1")[1]) == "mail [EMAIL], [IP]"
     held = pii._examples(99, 1500)
-    p = detector.trees.predict(np.array([pii.features(t, s) for t, s, _ in held]))
-    taken = np.array([x >= detector.thresholds[s[0]] for x, (_, s, _) in zip(p, held, strict=True)])
+    taken = np.array([detector.scores(t, [s])[0] >= detector.thresholds[s[0]] for t, s, _ in held])
     y = np.array([y for *_, y in held])
-    assert (y[taken].mean(), taken[y == 1].mean()) > (0.95, 0.8)
+    assert y[taken].mean() > 0.95 and taken[y == 1].mean() > 0.8
+    # Calibrated: of candidates with like scores, about that share is personal.
+    p = np.array([detector.scores(t, [s])[0] for t, s, _ in held])
+    assert abs(p.mean() - y.mean()) < 0.05
+
+
+#: Written by hand, with names, wording and formats that the grammar can not make: (text, what is personal in it, or None).
+BY_HAND = [
+    ("Please mail the signed form to margaret.hollis (at) riverbend (dot) org before Friday.", "margaret.hollis (at) riverbend (dot) org"),
+    ("For press questions contact j.okafor [at] northlight [dot] net.", "j.okafor [at] northlight [dot] net"),
+    ("Schreiben Sie an empfang(at)stadtwerke-ulm.de oder kommen Sie vorbei.", "empfang(at)stadtwerke-ulm.de"),
+    ("Write to tomas.varga at postfach dot com if the parcel is late.", "tomas.varga at postfach dot com"),
+    ("Reach the warden: warden_3[at]hillhouse.edu", "warden_3[at]hillhouse.edu"),
+    ("Our fax is (312) 867-5309 and it still works.", "(312) 867-5309"),
+    ("Call 0171 4455 9821 after six, please.", "0171 4455 9821"),
+    ("Tel. 030/9018203, ask for Petra.", "030/9018203"),
+    ("my mobile: 646-201-7784 (no texts)", "646-201-7784"),
+    ("The login came from host 2001:0db8:85a3:1f3c:9d2e:8a2e:0370:7334 at noon.", "2001:0db8:85a3:1f3c:9d2e:8a2e:0370:7334"),
+    ("Server 10[.]24[.]7[.]131 was down again.", "10[.]24[.]7[.]131"),
+    ("She paid with card 4539.1488.0343.6467 yesterday.", "4539.1488.0343.6467"),
+    ("Visa 4485/2757/4230/8327 expires soon.", "4485/2757/4230/8327"),
+    ("We stayed at home and at the lake. The dot on the map was wrong.", None),
+    ("He laughed at it. Of course everyone did.", None),
+    ("Chapter 3, section 1 . 4 . 2 . 7, explains the rule.", None),
+    ("Upgrade to version 12.4.0.19 as soon as you can.", None),
+    ("ISBN 978-0-3064-0615-7 is out of print.", None),
+    ("Order 4471902288365510 has shipped.", None),
+    ("The ticket 1234-5678-9012-3456 was closed.", None),
+    ("Between 1914-1918 and 1939-1945 the mill stood still.", None),
+    ("Meet on 12.11.2021 at ten.", None),
+    ("Pages 120-138 were missing.", None),
+    ("The total was 120.455.300 in the end.", None),
+    ("Mile 204 880 of the survey is mud.", None),
+    ("The clip runs 10:22:35:07 in all.", None),
+    ("Part no. 555-1203 fits the older pump.", None),
+]
+
+
+def test_pii_by_hand():
+    """What the trees add to the base spans, on texts that have nothing to do with what they were fitted on."""
+    detector = pii.fit()
+    right = wrong = missed = 0
+    for text, what in BY_HAND:
+        base, every = detector.spans(text)
+        added = [s for s in every if s not in base]
+        at = text.find(what) if what else -1
+        hit = [s for s in every if what and s[1] < at + len(what) and at < s[2]]
+        right += bool(hit)
+        missed += bool(what) and not hit
+        wrong += len([s for s in added if s not in hit])
+    assert right >= 9 and right / (right + wrong) >= 0.8, (right, wrong, missed)
+
+
+def test_pii_frames(spark):
+    docs = spark.createDataFrame([(1, "a@b.org and call me at (555) 123-4567 now", "x"), (1, "a@b.org and call me at (555) 123-4567 now", "x"), (None, None, None), (3, "", "y")], "doc_id long, text string, spans string")
+    found = sorted(((r.doc_id, [tuple(s) for s in r.base], [tuple(s) for s in r.spans]) for r in pii.find_pii(docs).collect()), key=str)
+    one = (1, [("email", 0, 7)], [("email", 0, 7), ("phone", 23, 37)])
+    assert found == [one, one, (3, [], []), (None, [], [])]
+    assert sorted(((r.doc_id, r.text, r.spans) for r in pii.redact(docs).collect()), key=str) == sorted([(1, "[EMAIL] and call me at [PHONE] now", "x")] * 2 + [(None, None, None), (3, "", "y")], key=str)
 
 
 def test_pii_candidates_without_a_gate():
@@ -323,7 +383,8 @@ def test_classifier_held_out(spark):
     assert np.mean([r.predicted == r.quality for r in rows]) > 0.9
 
 
-def test_bm25(docs, texts):
+@pytest.mark.parametrize("split", [{}, {"shard_bytes": 3000, "query_bytes": 2000}, {"shard_bytes": 1}])
+def test_bm25(docs, texts, split):
     lower = [[w.translate({c: c + 32 for c in range(65, 91)}) for w in WORD.findall(t or "")] for t in texts]
     n, mean = len(texts), sum(map(len, lower)) / len(texts)
     df = Counter(w for ws in lower for w in set(ws))
@@ -337,7 +398,7 @@ def test_bm25(docs, texts):
                 scores[i] = round(s, 6)
         want[q] = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:5]
     got = {}
-    for r in bm25.search(docs, docs.where("doc_id in (0, 5, 40)"), k=5).orderBy("query_id", "rank").collect():
+    for r in bm25.search(docs, docs.where("doc_id in (0, 5, 40)"), k=5, **split).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.doc_id, round(r.score, 6)))
     assert all([s for _, s in got[q]] == pytest.approx([s for _, s in want[q]], abs=2e-6) for q in want)
 

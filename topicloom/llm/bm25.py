@@ -27,13 +27,13 @@ from .store import Store
 
 K1, LENGTH_SHARE = 1.2, 0.75
 #: Bytes of text of a shard, about; bytes of a block of queries as it is sent, at most, if one query alone is not larger.
-SHARD_BYTES = 20 << 20
+SHARD_BYTES = 10 << 20
 QUERY_BYTES = 64 << 20
 #: Documents of a block, and of a step of the walk; cells of a shard's table of frequent terms, and their most.
 BLOCK, STEP = 16, 512
-CELLS, FREQUENT = 6_000_000, 1024
+CELLS, FREQUENT = 3_000_000, 1024
 #: Queries that walk together, and cells of their scores.
-BATCH, SCORES = 256, 2_000_000
+BATCH, SCORES = 256, 800_000
 #: Terms by which a shard's documents are ordered.
 LIKE = 64
 #: Relative error of a sum of FREQUENT products in single precision, at most.

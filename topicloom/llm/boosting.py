@@ -68,3 +68,17 @@ class BoostedTrees:
                 node = 2 * node + (b[rows, on[first + node]] > at[first + node])
             z += values[node]
         return 1 / (1 + np.exp(-z))
+
+
+def isotonic(scores: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(scores, shares): the non-decreasing shares of y that fit best, by pooling neighbours that are out of order."""
+    order = np.argsort(scores, kind="stable")
+    pools: list[list[float]] = []
+    for x, t in zip(scores[order], y[order], strict=True):
+        pools.append([float(t), 1.0, float(x)])
+        while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
+            total, n, _ = pools.pop()
+            pools[-1][0] += total
+            pools[-1][1] += n
+            pools[-1][2] = float(x)
+    return np.array([p[2] for p in pools]), np.array([p[0] / p[1] for p in pools])

@@ -245,13 +245,14 @@ def _components(docs: DataFrame, id_col: str, text_col: str, words: int, num: in
 
     members = store.put(with_comp(members), "members")
     # comp of a group: its members' where they agree, else a value that equals no other.
-    gcomp = members.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).select("gid", F.expr("if(lo = hi, lo, -1 - gid)").alias("comp"), (F.col("lo") != F.col("hi")).alias("mixed"))
+    gcomp = members.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).select("gid", "size", F.expr("if(lo = hi, lo, -1 - gid)").alias("comp"), (F.col("lo") != F.col("hi")).alias("mixed"))
     x, y = F.col("x.n"), F.col("y.n")
     possible = (den * F.least(x, y) >= num * F.greatest(x, y)) & ((den + num) * (1 + F.least(x - F.col("x.pos"), y - F.col("y.pos")) - 1) >= num * (x + y))
-    cold = buckets.where("not hot").join(gcomp.drop("mixed"), "gid")
+    cold = buckets.where("not hot").join(gcomp.select("gid", "comp"), "gid")
     met = cold.alias("x").join(cold.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") < F.col("y.gid")) & (F.col("x.comp") != F.col("y.comp")) & possible)
     met = met.select(F.col("x.gid").alias("g"), F.col("y.gid").alias("h")).distinct()
-    met = met.unionAll(gcomp.where("mixed").select(F.col("gid").alias("g"), F.col("gid").alias("h")))
+    # A larger group is a hot bucket by its prefix as a whole, and is looked at there.
+    met = met.unionAll(gcomp.where(F.col("mixed") & (F.col("size") <= HOT)).select(F.col("gid").alias("g"), F.col("gid").alias("h")))
     mx, my = members.alias("x"), members.alias("y")
     apart = F.col("x.comp") != F.col("y.comp")
     pairs = met.join(mx, F.col("g") == F.col("x.gid")).join(my, (F.col("h") == F.col("y.gid")) & apart & ((F.col("g") < F.col("h")) | (F.col("x.cid") < F.col("y.cid"))) & _near("x", "y", num, den))
@@ -300,7 +301,8 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` with one row of each component: that with the least id (nulls last), then any of its equals.
 
-    Rows and columns are otherwise unchanged; rows without words all stay. Only the texts of rows in components
+    Rows and columns, whatever their names, are otherwise unchanged; rows with a null or empty text or without words all stay,
+    and an empty table gives an empty one. Only the texts of rows in components
     of several rows, and of some others by chance, are exchanged. See near_duplicate_components for the links.
     """
     store = Store(docs.sparkSession, "keep-one")
@@ -309,18 +311,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     several = sets.groupBy("root").agg(F.sum("n").alias("rows"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("one"))
     several = store.put(several.select("root", "rows", "one.doc_id", "one.digest"), "kept")
     bits = idfilter.bits_of(sets.join(several.where("rows > 1").select("root"), "root"))
-    at, text_at = docs.columns.index(id_col), docs.columns.index(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
 
     def with_digest(batches):
         for batch in batches:
-            thin = pa.RecordBatch.from_arrays([batch.column(at), batch.column(text_at)], ["id", "text"])
-            digests = [_digest_of(np.unique(grams[bounds[t] : bounds[t + 1]])) for _, grams, bounds in _shingles(thin, words) for t in range(len(bounds) - 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], [*batch.schema.names, "__digest"])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    clear = idfilter.where_passes(docs, bits, id_col, let=False)
-    some = idfilter.where_passes(docs, bits, id_col).mapInArrow(with_digest, f"{kinds}, __digest binary")
-    bare = some["__digest"] == F.lit(_digest_of(np.zeros(0, B.U64)))
-    kept = several.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__kept"))
-    one = some.where(~bare).join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__kept"))).dropDuplicates(["__id", "__digest"])
-    return clear.unionByName(some.where(bare).select(*docs.columns)).unionByName(one.select(*docs.columns))
+            digests = [_digest_of(np.unique(grams[bounds[t] : bounds[t + 1]])) for _, grams, bounds in _shingles(batch, words) for t in range(len(bounds) - 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(digests, pa.binary())], ["id", "row", "digest"])
+
+    clear = idfilter.where_passes(rows, bits, "id", let=False)
+    some = idfilter.where_passes(rows, bits, "id").mapInArrow(with_digest, f"id long, row {rows.schema['row'].dataType.simpleString()}, digest binary")
+    bare = some["digest"] == F.lit(_digest_of(np.zeros(0, B.U64)))
+    kept = several.select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept"))
+    one = some.where(~bare).join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept"))).dropDuplicates(["kept_id", "kept"])
+    return clear.select("row.*").unionByName(some.where(bare).select("row.*")).unionByName(one.select("row.*"))

@@ -3,8 +3,8 @@
 Base spans are fixed patterns with checks (parts of an address, Luhn, number of digits). Beyond them,
 high-recall generators propose overlapping spans - addresses spelled with "at" and "dot", numbers grouped
 otherwise than the base patterns allow, addresses of eight hexadecimal groups - and boosted trees score
-each from its format and its context. A candidate is taken at or above its kind's threshold, which is set
-on held-out candidates for a wanted precision; of overlapping ones the best stays, and none may overlap
+each from its format and its context. Scores are calibrated on held-out candidates (isotonic regression), and a candidate
+is taken where its calibrated score reaches its kind's threshold, set on further candidates for a wanted precision; of overlapping ones the best stays, and none may overlap
 a base span. The trees are fitted on candidates made by a seeded grammar of personal and of innocent
 strings, so no labelled personal data is needed.
 """
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .boosting import BoostedTrees
+from .boosting import BoostedTrees, isotonic
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -191,13 +191,19 @@ def _examples(seed: int, n: int) -> list[tuple[str, Span, int]]:
 class Detector:
     trees: BoostedTrees
     thresholds: dict[str, float]
+    curve: tuple[np.ndarray, np.ndarray]
+
+    def scores(self, text: str, found: list[Span]) -> np.ndarray:
+        """Calibrated: the share of such candidates that are personal data."""
+        at, share = self.curve
+        return np.interp(self.trees.predict(np.array([features(text, s) for s in found])), at, share)
 
     def added(self, text: str, base: list[Span]) -> list[Span]:
         """Spans that the candidates add, none over a base span or another added one."""
         found = [s for s in candidates(text) if not any(s[1] < b[2] and b[1] < s[2] for b in base)]
         if not found:
             return []
-        scores = self.trees.predict(np.array([features(text, s) for s in found]))
+        scores = self.scores(text, found)
         out: list[Span] = []
         for p, s in sorted(zip(scores, found, strict=True), key=lambda x: (-x[0], x[1][1], x[1][2])):
             if p >= self.thresholds[s[0]] and not any(s[1] < o[2] and o[1] < s[2] for o in out):
@@ -213,19 +219,19 @@ class Detector:
 
 @lru_cache(maxsize=4)
 def fit(examples: int = 6000, precision: float = 0.99, seed: int = 7) -> Detector:
-    """Trees on generated candidates, and thresholds on others for the wanted precision of each kind."""
-    learn, held = _examples(seed, examples), _examples(seed + 1, examples // 2)
+    """Trees on generated candidates, calibrated on others, and thresholds on a third set for the wanted precision of each kind."""
+    learn, held, last = (_examples(seed + i, n) for i, n in enumerate((examples, examples // 2, examples // 2)))
     trees = BoostedTrees().fit(np.array([features(t, s) for t, s, _ in learn]), np.array([y for *_, y in learn], float))
-    p, y = trees.predict(np.array([features(t, s) for t, s, _ in held])), np.array([y for *_, y in held])
-    kinds = np.array([s[0] for _, s, _ in held])
+    curve = isotonic(trees.predict(np.array([features(t, s) for t, s, _ in held])), np.array([y for *_, y in held], float))
+    p = np.interp(trees.predict(np.array([features(t, s) for t, s, _ in last])), *curve)
+    y, kinds = np.array([y for *_, y in last]), np.array([s[0] for _, s, _ in last])
     thresholds = {}
     for kind in KINDS:
         pk, yk = p[kinds == kind], y[kinds == kind]
-        order = np.argsort(-pk)
-        good = np.cumsum(yk[order]) / np.arange(1, len(order) + 1)
-        last = np.flatnonzero(good >= precision)
-        thresholds[kind] = max(0.5, float(pk[order][last[-1]])) if len(last) else 1.1
-    return Detector(trees, thresholds)
+        # The least score from which on the wanted share is personal.
+        fit = [t for t in np.unique(pk) if yk[pk >= t].mean() >= precision]
+        thresholds[kind] = float(fit[0]) if fit else 1.1
+    return Detector(trees, thresholds, curve)
 
 
 def _texts(column: pa.Array):
@@ -265,7 +271,10 @@ def redacted(text: str, spans: list[Span]) -> str:
 
 
 def redact(docs: DataFrame, detector: Detector | None = None, text_col: str = "text") -> DataFrame:
-    """``docs`` with the personal data in ``text_col`` replaced; other columns, and nulls, stay."""
+    """``docs`` with the personal data in ``text_col`` replaced by its kind; other columns, whatever their names, stay.
+
+    Every row is read whole and alone: repeated rows stay repeated, null and empty texts as they are, an empty table is empty.
+    """
     detector = detector or fit()
     at = docs.columns.index(text_col)
 

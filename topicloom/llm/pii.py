@@ -230,7 +230,7 @@ def fit(examples: int = 6000, precision: float = 0.99, seed: int = 7) -> Detecto
         pk, yk = p[kinds == kind], y[kinds == kind]
         # The least score from which on the wanted share is personal.
         fit = [t for t in np.unique(pk) if yk[pk >= t].mean() >= precision]
-        thresholds[kind] = float(fit[0]) if fit else 1.1
+        thresholds[kind] = max(0.5, float(fit[0])) if fit else 1.1
     return Detector(trees, thresholds, curve)
 
 

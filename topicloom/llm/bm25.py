@@ -28,7 +28,7 @@ from .store import Store
 K1, LENGTH_SHARE = 1.2, 0.75
 #: Bytes of text of a shard, about; bytes of a block of queries as it is sent, at most, if one query alone is not larger.
 SHARD_BYTES = 10 << 20
-QUERY_BYTES = 64 << 20
+QUERY_BYTES = 24 << 20
 #: Documents of a block, and of a step of the walk; cells of a shard's table of frequent terms, and their most.
 BLOCK, STEP = 16, 512
 CELLS, FREQUENT = 3_000_000, 1024
@@ -175,10 +175,11 @@ class Shard:
             at[live] += 1
         return out
 
-    def search(self, queries: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(places, scores) of all that may be among the best k of each query (terms, checks, weights)."""
-        found = [(self.places(t, c), w) for t, c, w in queries]
-        found = [(p[p >= 0], w[p >= 0]) for p, w in found]
+    def search(self, block: dict[str, np.ndarray], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(places, scores) of all that may be among the best k of each query of a block."""
+        place, ends = self.places(block["term"], block["check"]), block["ends"]
+        codes = [c[place[c] >= 0] for c in (block["codes"][a:b] for a, b in zip(np.r_[0, ends[:-1]], ends, strict=True))]
+        found = [(place[c], block["w"][c]) for c in codes]
         # Queries with the same most frequent terms walk together.
         like = [tuple(np.sort(t[t >= 0])[:3]) for t in (self.table[p] for p, _ in found)]
         order = sorted(range(len(found)), key=lambda i: like[i])
@@ -235,19 +236,26 @@ class Shard:
         return out
 
 
+_BLOCK = {"ids": np.int64, "ends": np.int64, "codes": np.int32, "term": np.uint64, "check": np.uint64, "w": np.float64}
+
+
 def _packed(asked: DataFrame, blocks: int) -> DataFrame:
-    """A row for each block of queries: ids, ends of their terms, terms, checks, weights. asked: id, term, check, w."""
+    """A row for each block of queries: ids, ends of their codes, codes of their terms, and the block's distinct terms. asked: id, term, check, w."""
 
     def pack(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("id", "ascending"), ("term", "ascending"), ("check", "ascending")])
-        ids = table.column("id").to_numpy()
-        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-        cols = {"block": [table.column("block")[0].as_py()], "ids": [ids[first]], "ends": [np.r_[first[1:], len(ids)]]}
-        return pa.table(cols | {c: [table.column(c).to_numpy()] for c in ("term", "check", "w")}, schema=schema)
+        ids, term, check, w = (table.column(c).to_numpy() for c in ("id", "term", "check", "w"))
+        order, first = _distinct((term.view(B.U64), check.view(B.U64)))
+        code = np.empty(len(order), np.int32)
+        code[order] = np.cumsum(np.isin(np.arange(len(order)), first, assume_unique=True)) - 1
+        own = order[first]
+        by = np.lexsort((code, ids))
+        ids = ids[by]
+        at = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        cols = {"ids": ids[at], "ends": np.r_[at[1:], len(ids)], "codes": code[by], "term": term[own], "check": check[own], "w": w[own]}
+        return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32())} | {c: pa.array([v.tobytes()], pa.binary()) for c, v in cols.items()})
 
-    schema = pa.schema([("block", pa.int32()), *((c, pa.list_(pa.int64())) for c in ("ids", "ends", "term", "check")), ("w", pa.list_(pa.float64()))])
     dealt = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    return dealt.groupBy("block").applyInArrow(pack, "block int, ids array<long>, ends array<long>, term array<long>, check array<long>, w array<double>")
+    return dealt.groupBy("block").applyInArrow(pack, "block int, " + ", ".join(f"{c} binary" for c in _BLOCK))
 
 
 def _best(query: np.ndarray, doc: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -283,19 +291,18 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     asked = _query_terms(queries.where("id is not null")).distinct()
     asked = store.put(asked.join(counts, ["term", "check"]).select("id", "term", "check", idf.alias("w")), "asked")
-    blocks = max(1, -(-asked.count() * 32 // query_bytes))
+    blocks = max(1, -(-asked.count() * 12 // query_bytes))
     packed = store.put(_packed(asked, blocks), "queries")
     names = ("ids", "lengths", "term", "check", "df")
 
-    def run(batches):
+    def run(batches, block):
+        asked = {c: np.frombuffer(v, _BLOCK[c]) for c, v in block.value.items()}
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
                 lists = [row.column(c).flatten().to_numpy() if c != "ids" else row.column(c).flatten().fill_null(NO_ID).to_numpy() for c in names]
                 shard = Shard(*lists, *(np.frombuffer(row.column(c)[0].as_buffer(), np.int32) for c in ("docs", "tfs")), mean)
-                queries, ends, term, check, w = (row.column(f"q_{c}").flatten().to_numpy() for c in ("ids", "ends", "term", "check", "w"))
-                own = [(term[a:b].view(B.U64), check[a:b].view(B.U64), w[a:b]) for a, b in zip(np.r_[0, ends[:-1]], ends, strict=True)]
-                found = shard.search(own, k)
+                found, queries = shard.search(asked, k), asked["ids"]
                 for start in range(0, len(found), PART):
                     some = found[start : start + PART]
                     q = np.repeat(queries[start : start + PART], [len(p) for p, _ in some])
@@ -318,9 +325,11 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
 
     def best_of(block: int) -> DataFrame:
         """The best of a block of queries: what a shard finds for PART queries is one row, and rows are merged in two steps where shards are many."""
-        asked = packed.where(F.col("block") == block).select("block", *(F.col(c).alias(f"q_{c}") for c in ("ids", "ends", "term", "check", "w")))
+        # One block goes to every task: its terms and codes, at most some QUERY_BYTES.
+        row = packed.where(F.col("block") == block).first()
+        sent = spark.sparkContext.broadcast({c: bytes(row[c]) if row else b"" for c in _BLOCK})
         schema = "part int, shard long, queries binary, docs binary, scores binary"
-        found = index.withColumn("block", F.lit(block)).join(F.broadcast(asked), "block").mapInArrow(run, schema)
+        found = index.mapInArrow(lambda batches: run(batches, sent), schema)
         if whole["shards"] > MERGED:
             found = found.withColumn("shard", F.pmod(F.xxhash64("shard"), F.lit(int(whole["shards"] ** 0.5)))).groupBy("part", "shard").applyInArrow(fewer, schema)
         return found.groupBy("part").applyInArrow(last, "query_id long, rank int, doc_id long, score double")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import Protocol
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +14,39 @@ from pyspark.sql import functions as F
 SPECIAL_TOKENS = ("[CLS]", "[SEP]", "<s>", "</s>", "<pad>", "[PAD]", "<cls>", "<sep>")
 
 
+class Classifier(Protocol):
+    """A sequence classifier. problem: single_label, multi_label or regression."""
+
+    labels: list[str]
+    problem: str
+
+    def logits(self, texts: list[str]) -> np.ndarray: ...
+
+
+def classify_texts(df: DataFrame, classifier: Classifier, batch_size: int = 32, text_col: str = "text") -> DataFrame:
+    """doc_id and what ``single_label``, ``multi_label`` or ``regression`` give of each text's logits; null texts count as empty."""
+    if not hasattr(classifier, "logits"):
+        raise TypeError(f"{type(classifier).__name__} has no logits method")
+    finish = {"single_label": single_label, "multi_label": multi_label, "regression": regression}.get(classifier.problem)
+    if finish is None:
+        raise ValueError(f"unknown problem {classifier.problem!r}")
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts = list(pdf["text"].fillna(""))
+            parts = [np.asarray(classifier.logits(texts[i : i + batch_size]), float) for i in range(0, len(texts), batch_size)]
+            if parts:
+                yield pd.DataFrame({"doc_id": pdf["doc_id"], "logits": list(np.concatenate(parts))})
+
+    found = df.select("doc_id", F.col(text_col).alias("text")).mapInPandas(rows, "doc_id long, logits array<double>")
+    return finish(found, classifier.labels)
+
+
+def regression(df: DataFrame, labels: list[str], logits: str = "logits") -> DataFrame:
+    """doc_id and each output as it is."""
+    return df.select("doc_id", *(F.col(logits)[i].alias(x) for i, x in enumerate(labels)))
+
+
 def softmax(logits: Column | str) -> Column:
     """Shares that sum to 1, from logits less their greatest."""
     col = F.col(logits) if isinstance(logits, str) else logits
@@ -55,8 +93,14 @@ def cls_pool(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("doc_id").agg(F.min_by("vector", "pos").alias("vector"))
 
 
-def chunk_windows(df: DataFrame, max_length: int = 256, overlap: int = 0, first_only: bool = False) -> DataFrame:
-    """(doc_id, chunk, tokens) of (doc_id, tokens incl. the two special ends): windows of ``max_length``, wrapped again."""
+def chunk_windows(df: DataFrame, max_length: int = 256, overlap: int = 0, first_only: bool = False, max_positions: int | None = None) -> DataFrame:
+    """(doc_id, chunk, tokens) of (doc_id, tokens incl. the two special ends): windows of ``max_length``, wrapped again.
+
+    max_length is cut to the positions that the model has, where ``max_positions`` tells.
+    """
+    max_length = min(max_length, max_positions or max_length)
+    if max_length < 3:
+        raise ValueError("a window needs room for a token between its special ends")
     body = max_length - 2
     stride = max(1, body - overlap)
     n = F.size("tokens")

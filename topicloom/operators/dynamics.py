@@ -68,8 +68,17 @@ def globally_tuned(scores: DataFrame, overall: DataFrame) -> DataFrame:
     return both.select("time", "topic", "term", ((F.coalesce("score", F.lit(0.0)) + F.coalesce("whole", F.lit(0.0))) / 2).alias("score"))
 
 
-def topics_over_time(dtm: DataFrame, assignments: DataFrame, time: str = "year", top_n: int = 5, evolution: bool = True, overall: bool = True) -> DataFrame:
-    """(time, topic, words, frequency): the best terms of each topic in each slice, and its documents."""
+def topics_over_time(dtm: DataFrame, assignments: DataFrame, time: str = "year", top_n: int = 5, evolution: bool = True, overall: bool = True, nr_bins: int | None = None) -> DataFrame:
+    """(time, topic, words, frequency): the best terms of each topic in each slice, and its documents.
+
+    With ``nr_bins`` slices are that many equal stretches of time, each named by its median; every document needs a time.
+    """
+    if not assignments.where(F.col(time).isNull()).isEmpty():
+        raise ValueError(f"some documents have no {time}")
+    if nr_bins is not None:
+        if nr_bins < 1:
+            raise ValueError("nr_bins must be at least 1")
+        assignments = bin_timestamps(assignments, time, nr_bins, "__bin").select("doc_id", "topic", F.col("__bin").alias(time))
     scores = slice_scores(dtm, assignments, time)
     if evolution:
         scores = evolution_tuned(scores)

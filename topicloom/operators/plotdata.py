@@ -40,6 +40,35 @@ def flow_links(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return links.join(a, ["period_from", "topic_from"]).join(b, ["period_to", "topic_to"]).select("period_from", "topic_from", "period_to", "topic_to", "similarity", F.greatest(F.col("similarity") * F.least("na", "nb"), F.lit(1.0)).alias("value"))
 
 
+def flow_nodes(nodes: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """(node, period, topic, count, label): nodes numbered from 0 by period, the largest topics of a period first."""
+    named = nodes.select("period", "topic", "count")
+    named = named.join(labels.select("period", "topic", "label"), ["period", "topic"], "left") if labels is not None else named.withColumn("label", F.concat(F.lit("Topic "), F.col("topic").cast("string")))
+    within = F.row_number().over(W.partitionBy("period").orderBy(F.desc("count"), "topic"))
+    sizes = named.groupBy("period").agg(F.count("*").alias("n"))
+    before = sizes.select("period", F.coalesce(F.sum("n").over(W.orderBy("period").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    ranked = named.withColumn("r", within).join(F.broadcast(before), "period")
+    return ranked.select((F.col("before") + F.col("r") - 1).cast("int").alias("node"), "period", "topic", "count", "label")
+
+
+def quality_panels(silhouettes: DataFrame, assignments: DataFrame, centroids: DataFrame, terms: DataFrame) -> DataFrame:
+    """(panel, topic, other, value): mean silhouettes, sizes (noise too), centroid similarities and overlaps of terms.
+
+    Pairs are given once, topic below other; other is null in the panels of single topics.
+    """
+    from ..functions.vectors import dot
+    from .metrics import _pairs, jaccard_overlap
+
+    none = F.lit(None).cast("int").alias("other")
+    panel = lambda df, name, topic, other, value: df.select(F.lit(name).alias("panel"), F.col(topic).cast("int").alias("topic"), other, value.cast("double").alias("value"))
+    return (
+        panel(silhouettes.groupBy("topic").agg(F.avg("silhouette").alias("v")), "silhouette", "topic", none, F.col("v"))
+        .unionByName(panel(assignments.groupBy("topic").count(), "size", "topic", none, F.col("count")))
+        .unionByName(panel(_pairs(centroids), "similarity", "topic_a", F.col("topic_b").cast("int").alias("other"), dot("centroid_a", "centroid_b")))
+        .unionByName(panel(jaccard_overlap(terms), "jaccard", "topic_a", F.col("topic_b").cast("int").alias("other"), F.col("jaccard")))
+    )
+
+
 def comparison_matrix(cells: DataFrame, group: str = "grp", top_n: int = 5) -> DataFrame:
     """Cells of the topics with the greatest mean absolute statistic."""
     best = cells.groupBy("topic").agg(F.round(F.avg(F.abs("stat")), 9).alias("m")).orderBy(F.desc("m"), "topic").limit(top_n)
@@ -70,6 +99,15 @@ def dendrogram(tree: list[tuple[int, int, int, float, list[int]]], k: int) -> li
     return [(n, x[n], height.get(n, 0.0)) for n in sorted(x)]
 
 
+def sweep_rows(runs: DataFrame, factors: list[str], min_topics: int = 2) -> DataFrame:
+    """(run, label, best): a label of each run's factors, and whether it is the best by ``best_run``."""
+    from .metrics import best_run
+
+    best = best_run(runs, min_topics).select(F.col("run").alias("best_run"))
+    label = F.concat_ws(", ", *(F.concat(F.lit(f"{f}="), F.col(f).cast("string")) for f in factors))
+    return runs.join(F.broadcast(best), F.col("run") == F.col("best_run"), "left").select("run", label.alias("label"), F.col("best_run").isNotNull().alias("best"))
+
+
 def sweep_matrix(runs: DataFrame, metrics: list[str]) -> DataFrame:
     """(run, metric, value) scaled so that greater is better."""
     from .metrics import minmax_normalized

@@ -9,24 +9,30 @@ import pandas as pd
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
 from .kernels import umap_layout
 
 #: Vectors of a block for which distances are taken at once.
 BLOCK = 2048
 
 
-def nearest_neighbors(df: DataFrame, k: int, id_col: str = "doc_id", vector: str = "reduced", metric: str = "euclidean") -> DataFrame:
-    """(id, rank, neighbor, distance): the exact k nearest others of each row, ties by id.
+def nearest_neighbors(df: DataFrame, k: int, id_col: str = "doc_id", vector: str = "reduced", metric: str = "euclidean", base: DataFrame | None = None) -> DataFrame:
+    """(id, rank, neighbor, distance): the exact k nearest others of each row, or the nearest rows of ``base``, ties by id.
 
     Vectors are packed into blocks; each pair of blocks is one matrix product in a task, of which k
     neighbours a row are kept, so what is exchanged is rows times k times blocks, never all pairs.
     """
-    blocks = max(1, -(-df.count() // BLOCK))
-    packed = df.select(F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("block"), F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    packed = packed.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("rows"))
-    pairs = packed.select(F.col("block").alias("a"), F.col("rows").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
+    def pack(df: DataFrame) -> tuple[DataFrame, int]:
+        blocks = max(1, -(-df.count() // BLOCK))
+        rows = df.select(F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("block"), F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+        return rows.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("rows")), blocks
+
+    asked, blocks = pack(df)
+    packed, others = pack(base) if base is not None else (asked, blocks)
+    pairs = asked.select(F.col("block").alias("a"), F.col("rows").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias("b"))
     pairs = pairs.join(packed.select(F.col("block").alias("b"), F.col("rows").alias("y")), "b").repartition(max(blocks, 1) * 2, "a", "b")
 
     def best(batches):
@@ -38,15 +44,20 @@ def nearest_neighbors(df: DataFrame, k: int, id_col: str = "doc_id", vector: str
                     xv, yv = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300) for v in (xv, yv))
                     d = 1 - xv @ yv.T
                 else:
-                    d = np.stack([np.sqrt(((yv - p) ** 2).sum(1)) for p in xv])
-                d[xi[:, None] == yi[None, :]] = np.inf
-                top = np.argsort(d, axis=1, kind="stable")[:, :k]
-                dist = np.take_along_axis(d, top, 1)
+                    d = np.maximum((xv**2).sum(1)[:, None] + (yv**2).sum(1)[None, :] - 2 * xv @ yv.T, 0)
+                if base is None:
+                    d[xi[:, None] == yi[None, :]] = np.inf
+                # Some more than k by the product, then in order by exact distances.
+                few = min(k + 8, d.shape[1])
+                some = np.sort(np.argpartition(d, few - 1, axis=1)[:, :few], axis=1)
+                near = np.take_along_axis(d, some, 1)
+                if metric != "cosine":
+                    near = np.where(np.isfinite(near), np.sqrt(((yv[some] - xv[:, None, :]) ** 2).sum(2)), np.inf)
+                at = np.argsort(near, axis=1, kind="stable")[:, :k]
+                top, dist = np.take_along_axis(some, at, 1), np.take_along_axis(near, at, 1)
                 ok = np.isfinite(dist)
                 yield pd.DataFrame({"id": np.repeat(xi, top.shape[1])[ok.ravel()], "neighbor": yi[top][ok], "distance": dist[ok]})
 
-    from pyspark.sql import Window as W
-
     found = pairs.select("x", "y").mapInPandas(best, "id long, neighbor long, distance double")
     return found.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy("distance", "neighbor"))).where(F.col("rank") <= k).select("id", F.col("rank").cast("int"), "neighbor", "distance")
 
@@ -100,6 +111,17 @@ class UmapReduction:
     metric: str = "cosine"
     max_points: int = 50_000
     fitted: DataFrame | None = None
+    trained: DataFrame | None = None
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """New rows at the mean of their nearest fitted rows' places, nearer ones weighing more."""
+        if self.fitted is None:
+            raise ValueError("fit first")
+        near = nearest_neighbors(df.select("doc_id", "embedding"), self.n_neighbors, "doc_id", "embedding", self.metric, base=self.trained)
+        near = near.withColumn("w", F.exp(-F.col("distance") / F.greatest(F.avg("distance").over(W.partitionBy("id")), F.lit(1e-12))))
+        cells = near.join(self.fitted.withColumnRenamed("doc_id", "neighbor"), "neighbor").select("id", "w", F.posexplode("reduced").alias("i", "x"))
+        cells = cells.groupBy("id", "i").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("x"))
+        return cells.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda c: c["x"]).alias("reduced")).withColumnRenamed("id", "doc_id")
 
     def fit_transform(self, df: DataFrame, seed: int = 42) -> DataFrame:
         n = df.count()
@@ -121,5 +143,6 @@ class UmapReduction:
             first = first / max(np.abs(first).max(), 1e-12) * 10
             return pd.DataFrame({"doc_id": pdf["doc_id"], "reduced": list(umap_layout(nb, ds, first, low, rounds, seed))})
 
-        self.fitted = rows.withColumn("__one", F.lit(0)).groupBy("__one").applyInPandas(layout, "doc_id long, reduced array<double>")
+        self.trained = df.select("doc_id", "embedding")
+        self.fitted = written(rows.withColumn("__one", F.lit(0)).groupBy("__one").applyInPandas(layout, "doc_id long, reduced array<double>"), "layout")
         return self.fitted

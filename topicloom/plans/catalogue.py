@@ -214,8 +214,12 @@ _ANN = f"corpus AS (SELECT doc_id, text FROM documents), {_positions('corpus')},
 
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tagger rows with tags by suffix, in place of a tagger."""
+    return annotated(_texts(spark, sf_dir))
+
+
+def annotated(docs: DataFrame) -> DataFrame:
     w = F.col("token")
-    rows = _texts(spark, sf_dir).select("doc_id", F.lit(1).alias("sentence_id"), F.posexplode(tokens("text", ENGLISH_STOPWORDS)).alias("p", "token"))
+    rows = docs.select("doc_id", F.lit(1).alias("sentence_id"), F.posexplode(tokens("text", ENGLISH_STOPWORDS)).alias("p", "token"))
     tag = F.when(w.endswith("ing"), "VERB").when(w.endswith("ly"), "ADV").when(w.endswith("e"), "ADJ").otherwise("NOUN")
     return rows.select("doc_id", "sentence_id", (F.col("p") + 1).cast("string").alias("token_id"), "token", w.alias("lemma"), tag.alias("upos"))
 
@@ -796,13 +800,6 @@ def agglomerative_planted(spark, sf_dir):
 # Kernels and whole fits, whose numbers SQL does not give.
 
 
-@query()
-def hdbscan_leaf(spark, sf_dir):
-    from ..operators.cluster import Hdbscan
-
-    return Hdbscan(10, "leaf").fit_predict(_planted(spark, sf_dir))
-
-
 @query()
 def pca(spark, sf_dir):
     from ..operators.reduce import PcaReduction
@@ -904,38 +901,6 @@ def sweep(spark, sf_dir):
     return sweep_topics(docs, models).where("n_components = 10").select("run", "model", "n_components", "min_pts", "n_topics")
 
 
-@query()
-def stability(spark, sf_dir):
-    from ..operators.cluster import KMeansClustering
-    from .fit import stability_runs
-
-    _, vectors = _planted_docs(spark, sf_dir)
-    return M.adjusted_rand(stability_runs(vectors, [42, 84], lambda: KMeansClustering(10, 1)))
-
-
-@query()
-def fit_topics_over_time(spark, sf_dir):
-    from ..operators.cluster import KMeansClustering
-    from .fit import fit_topics_over_time as f
-
-    docs, vectors = _planted_docs(spark, sf_dir)
-    return f(docs.withColumn("half", (F.col("doc_id") % 2).cast("int")), vectors, "half", clusterer=KMeansClustering(5, 1))[0]
-
-
-@query()
-def save_load_roundtrip(spark, sf_dir):
-    import uuid
-
-    from ..operators.cluster import KMeansClustering
-    from ..sources.storage import load_fit, save_fit
-    from .fit import fit_topics
-
-    docs, vectors = _planted_docs(spark, sf_dir)
-    path = f"{shared_dir(spark)}/fit-{uuid.uuid4().hex}"
-    save_fit(fit_topics(docs, embeddings=vectors, clusterer=KMeansClustering(10, 1)), path)
-    return load_fit(spark, path).terms
-
-
 @query()
 def chi2_p_value(spark, sf_dir):
     return DY.chi2_test(_Base(spark, sf_dir).docs)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
@@ -16,7 +16,7 @@ from ..operators import metrics
 from ..operators.accessors import predict, representative_docs
 from ..operators.cluster import Hdbscan
 from ..operators.ctfidf import c_tf_idf, topic_labels, topic_sizes
-from ..operators.dtm import build_dtm, cvalue_dtm
+from ..operators.dtm import build_dtm, cvalue_dtm, pos_dtm
 from ..operators.dynamics import flow_status, flow_transitions, period_centroids
 from ..operators.embed import embed_texts
 from ..operators.reduce import PcaReduction, TooManyRows
@@ -30,6 +30,20 @@ class CValueRepresentation:
     min_freq: int = 2
 
 
+@dataclass(frozen=True)
+class PosRepresentation:
+    """Words and phrases by their tags. annotate: documents (doc_id, text) to tagger rows (doc_id, sentence_id, token_id, token, lemma, upos)."""
+
+    annotate: Callable[[DataFrame], DataFrame]
+    pos: tuple[str, ...] | None = ("NOUN", "PROPN")
+    patterns: tuple[tuple[str, ...], ...] = ()
+    lemmatize: bool = True
+
+    def __post_init__(self):
+        if not self.pos and not self.patterns:
+            raise ValueError("give pos, patterns or both")
+
+
 @dataclass(frozen=True)
 class TopicFit:
     """A fit as tables; edits make new ones. assignments: doc_id, topic; embeddings: doc_id, embedding; dtm: doc_id, term, n."""
@@ -69,6 +83,11 @@ class TopicFit:
         """The fit derived anew from other assignments."""
         return replace(self, assignments=assignments.select("doc_id", "topic"), labels_of=None)
 
+    def layout(self, reducer) -> DataFrame:
+        """(doc_id, x, y): the documents in two dimensions, by a reducer with two components."""
+        flat = reducer.fit_transform(self.embeddings, self.params.get("seed", 42))
+        return flat.select("doc_id", F.col("reduced")[0].alias("x"), F.col("reduced")[1].alias("y"))
+
     def transform(self, df: DataFrame) -> DataFrame:
         return predict(df, self.centroids)
 
@@ -88,7 +107,7 @@ class TopicFit:
         return f"TopicFit({s['n_docs']} documents, {s['n_topics']} topics, {s['n_noise']} noise)"
 
 
-def fit_topics(docs: DataFrame, encoder=None, embeddings: DataFrame | None = None, reducer=None, clusterer=None, representation: CValueRepresentation | None = None, language: str = "english", stopwords: Iterable[str] | None = None, extra_stopwords: Iterable[str] = (), ngram_range: tuple[int, int] = (1, 1), top_n_terms: int = 10, reduce_frequent_words: bool = False, min_df: int = 2, max_df_frac: float = 0.95, seed: int = 42, reduced: DataFrame | None = None, dtm: DataFrame | None = None) -> TopicFit:
+def fit_topics(docs: DataFrame, encoder=None, embeddings: DataFrame | None = None, reducer=None, clusterer=None, representation: CValueRepresentation | PosRepresentation | None = None, language: str = "english", stopwords: Iterable[str] | None = None, extra_stopwords: Iterable[str] = (), ngram_range: tuple[int, int] = (1, 1), top_n_terms: int = 10, reduce_frequent_words: bool = False, min_df: int = 2, max_df_frac: float = 0.95, seed: int = 42, reduced: DataFrame | None = None, dtm: DataFrame | None = None) -> TopicFit:
     """docs: doc_id, text. Vectors come from ``embeddings`` (doc_id, embedding) or from ``encoder``.
 
     reduced (doc_id, reduced) and dtm, made by an earlier fit of the same documents, spare that work.
@@ -101,7 +120,7 @@ def fit_topics(docs: DataFrame, encoder=None, embeddings: DataFrame | None = Non
         short = docs.select("doc_id").join(embeddings.select("doc_id"), "doc_id", "left_anti")
         if not short.isEmpty():
             raise ValueError("some documents have no embedding")
-    if representation is not None and not isinstance(representation, CValueRepresentation):
+    if representation is not None and not isinstance(representation, CValueRepresentation | PosRepresentation):
         raise ValueError(f"unsupported representation {type(representation).__name__}")
     if reduced is None:
         reduced = written((reducer or PcaReduction(5)).fit_transform(embeddings, seed), "reduced")
@@ -113,8 +132,13 @@ def fit_topics(docs: DataFrame, encoder=None, embeddings: DataFrame | None = Non
         pass
     elif representation is None:
         dtm = build_dtm(docs, min_df, max_df_frac, stop, ngram_range)
+    elif isinstance(representation, PosRepresentation):
+        rows = written(representation.annotate(docs.select("doc_id", "text")), "annotations")
+        dtm = pos_dtm(rows, docs, representation.pos, [list(p) for p in representation.patterns], representation.lemmatize, min_df, max_df_frac, extra_stopwords)
     else:
         dtm = cvalue_dtm(docs, representation.max_n, representation.min_freq, representation.threshold, stop, min_df, max_df_frac)
+    if dtm.isEmpty():
+        raise ValueError("no term is left; lower min_df or raise max_df_frac")
     params = {"top_n_terms": top_n_terms, "reduce_frequent_words": reduce_frequent_words, "seed": seed}
     return TopicFit(docs.select("doc_id", "text"), embeddings.select("doc_id", "embedding"), assignments.select("doc_id", "topic"), dtm, params)
 

@@ -39,6 +39,11 @@ def read_csv_corpus(spark: SparkSession, path: str, text_col: str = "Abstract")
     return df.where(F.trim(F.col(text_col)) != "")
 
 
+def sample_rows(df: DataFrame, n: int, seed: int = 42, id_col: str = "doc_id") -> DataFrame:
+    """``n`` rows chosen by a hash of their id and the seed: the same ones whatever the partitions. Fewer where there are fewer."""
+    return df.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).limit(n)
+
+
 def paragraphs(df: DataFrame, min_chars: int = 0, min_words: int = 0, max_words: int | None = None) -> DataFrame:
     """(doc_id, para, text): blank-line separated paragraphs, lines joined by spaces, within the bounds."""
     parts = df.select("doc_id", F.posexplode(F.split("text", r"\n\s*\n")).alias("para", "text"))

@@ -43,6 +43,11 @@ def embed_cached(df: DataFrame, encoder, path: str, overwrite: bool = False) ->
     return load_embeddings(spark, path)
 
 
+def export_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """A table, as of document information, as CSV files with a header; quotes in texts are doubled."""
+    df.write.mode(mode).option("escape", '"').option("quoteAll", True).csv(path, header=True)
+
+
 def save_fit(fit, path: str, include_embeddings: bool = True, include_dtm: bool = True) -> None:
     """A Parquet table for each part of the fit, and metadata.json's content as a text table."""
     skip = {"embeddings": include_embeddings, "dtm": include_dtm}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,11 +16,18 @@ def l2_norm(v: Column | str) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value made once, where it would else be made anew at each use, within a lambda for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def l2_normalize(v: Column | str) -> Column:
     """v over its norm; a zero vector stays."""
-    norm = l2_norm(v)
-    safe = F.when(norm == 0, F.lit(1.0)).otherwise(norm)
-    return F.transform(v, lambda x: x / safe)
+
+    def over(u: Column) -> Column:
+        return let(l2_norm(u), lambda norm: F.transform(u, lambda x: x / F.when(norm == 0, F.lit(1.0)).otherwise(norm)))
+
+    return let(F.col(v) if isinstance(v, str) else v, over)
 
 
 def mean_vector(df: DataFrame, keys: list[str], vector: str, out: str = "mean") -> DataFrame:

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import let
+
 # The tokens that stand for no word.
 SPECIAL_TOKENS = ("[CLS]", "[SEP]", "<s>", "</s>", "<pad>", "[PAD]", "<cls>", "<sep>")
 
@@ -50,9 +52,8 @@ def regression(df: DataFrame, labels: list[str], logits: str = "logits") -> Data
 def softmax(logits: Column | str) -> Column:
     """Shares that sum to 1, from logits less their greatest."""
     col = F.col(logits) if isinstance(logits, str) else logits
-    powers = F.transform(col, lambda x: F.exp(x - F.array_max(col)))
-    total = F.aggregate(powers, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(powers, lambda x: x / total)
+    powers = let(col, lambda u: let(F.array_max(u), lambda most: F.transform(u, lambda x: F.exp(x - most))))
+    return let(powers, lambda p: let(F.aggregate(p, F.lit(0.0), lambda s, x: s + x), lambda total: F.transform(p, lambda x: x / total)))
 
 
 def sigmoid(x: Column) -> Column:

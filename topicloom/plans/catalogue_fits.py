@@ -212,17 +212,14 @@ def hdbscan_leaf(spark, sf_dir):
 
 
 def _scalar(value: str, name: str) -> str:
-    return f"(SELECT round({value}, 6) FROM ({SQL[name]}))"
+    return f"(SELECT round({value}, 4) FROM ({SQL[name]})) AS "
 
 
-@query(f"SELECT {_scalar('avg(silhouette)', 'silhouette')} AS silhouette, {_scalar('avg(cohesion)', 'cohesion')} AS cohesion, {_scalar('avg(separation)', 'separation')} AS separation, {_scalar('avg(jaccard)', 'jaccard_overlap')} AS jaccard, {_scalar('any_value(100 * n_noise / n_docs)', 'size_distribution')} AS noise_pct, (SELECT any_value(n_topics) FROM ({SQL['size_distribution']})) AS n_topics")
+@query(f"SELECT {_scalar('avg(silhouette)', 'silhouette')} silhouette, {_scalar('avg(cohesion)', 'cohesion')} cohesion, {_scalar('avg(separation)', 'separation')} separation, {_scalar('avg(jaccard)', 'jaccard_overlap')} jaccard, {_scalar('any_value(100 * n_noise / n_docs)', 'size_distribution')} noise_pct, (SELECT any_value(n_topics) FROM ({SQL['size_distribution']})) AS n_topics")
 def quality_of_fit(spark, sf_dir):
     b = C._Base(spark, sf_dir)
     fit = TopicFit(b.docs.select("doc_id", "text"), b.docs.select("doc_id", "embedding"), b.assignments.select("doc_id", "topic"), b.dtm)
-    return quality(fit).select(*(F.round(c, 5).alias(c) for c in ("silhouette", "cohesion", "separation", "jaccard", "noise_pct")), "n_topics")
-
-
-SQL["quality_of_fit"] = f"SELECT round(silhouette, 5) AS silhouette, round(cohesion, 5) AS cohesion, round(separation, 5) AS separation, round(jaccard, 5) AS jaccard, round(noise_pct, 5) AS noise_pct, n_topics FROM ({SQL['quality_of_fit']})"
+    return quality(fit).select(*(F.round(c, 4).alias(c) for c in ("silhouette", "cohesion", "separation", "jaccard", "noise_pct")), "n_topics")
 
 
 @query(f"SELECT topic, topic || '_' || length(prompt) AS label FROM ({SQL['llm_prompts']}) UNION ALL SELECT topic, label FROM ({SQL['topic_labels']}) WHERE topic = -1")
@@ -248,13 +245,13 @@ def v_flow_nodes(spark, sf_dir):
     return V.flow_nodes(DY.period_centroids(C._Base(spark, sf_dir).docs))
 
 
-@query(f"""SELECT 'silhouette' AS panel, topic::INT AS topic, NULL::INT AS other, round(avg(silhouette), 5) AS value FROM ({SQL['silhouette']}) GROUP BY topic
+@query(f"""SELECT 'silhouette' AS panel, topic::INT AS topic, NULL::INT AS other, round(avg(silhouette), 4) AS value FROM ({SQL['silhouette']}) GROUP BY topic
 UNION ALL SELECT 'size', topic, NULL, n::DOUBLE FROM (WITH {C._CORPUS} SELECT topic, count(*) AS n FROM asg GROUP BY topic)
-UNION ALL SELECT 'similarity', topic, other, round(s, 5) FROM (WITH {C._CENT} SELECT a.topic, b.topic AS other, list_dot_product(a.centroid, b.centroid) AS s FROM cent a JOIN cent b ON a.topic < b.topic)
-UNION ALL SELECT 'jaccard', topic_a, topic_b, round(jaccard, 5) FROM ({SQL['jaccard_overlap']})""")
+UNION ALL SELECT 'similarity', topic, other, round(s, 4) FROM (WITH {C._CENT} SELECT a.topic, b.topic AS other, list_dot_product(a.centroid, b.centroid) AS s FROM cent a JOIN cent b ON a.topic < b.topic)
+UNION ALL SELECT 'jaccard', topic_a, topic_b, round(jaccard, 4) FROM ({SQL['jaccard_overlap']})""")
 def v_quality(spark, sf_dir):
     b = C._Base(spark, sf_dir)
-    return V.quality_panels(M.silhouette(b.docs), b.assignments, b.centroids, b.terms).withColumn("value", F.round("value", 5))
+    return V.quality_panels(M.silhouette(b.docs), b.assignments, b.centroids, b.terms).withColumn("value", F.round("value", 4))
 
 
 @query(f"WITH {C._RES}, best AS (SELECT run FROM res WHERE n_topics >= 2 ORDER BY silhouette DESC NULLS LAST, run LIMIT 1) SELECT run::INT AS run, 'n_topics=' || n_topics AS label, run = (SELECT run FROM best) AS best FROM res")
@@ -269,8 +266,8 @@ def v_sweep_rows(spark, sf_dir):
 def stream_topic_counts(spark, sf_dir):
     """A stream of events counted by day and topic; the last rows close all windows."""
     path = _folder(spark, "counts")
-    events = table(spark, sf_dir, "events").select("ts", (F.col("event_id") % 5).cast("int").alias("topic"))
-    last = events.agg((F.max("ts") + F.expr("INTERVAL 10 DAYS")).alias("ts")).select("ts", F.lit(-2).alias("topic"))
+    events = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 5).cast("int").alias("topic"))
+    last = events.agg((F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts")).select("ts", F.lit(-2).alias("topic"))
     events.write.parquet(f"{path}/in")
     last.write.mode("append").parquet(f"{path}/in")
     stream = spark.readStream.schema(events.schema).parquet(f"{path}/in")

@@ -280,7 +280,6 @@ def fit_topics_over_time(docs: DataFrame, embeddings: DataFrame, time: str, min_
         try:
             fit = fit_topics(own, embeddings=vectors, **options)
             part = fit.rows.withColumn("period", F.lit(period))
-            part.limit(1).collect()
         except TooManyRows:
             raise
         except Exception as error:  # noqa: BLE001
@@ -290,7 +289,7 @@ def fit_topics_over_time(docs: DataFrame, embeddings: DataFrame, time: str, min_
         rows = part if rows is None else rows.unionByName(part)
     if rows is None:
         raise ValueError("no period could be fitted") from last
-    nodes = period_centroids(rows, "period").persist()
+    nodes = written(period_centroids(rows, "period"), "nodes")
     links = flow_transitions(nodes, min_similarity)
     return flow_status(nodes, links), links
 

@@ -109,7 +109,7 @@ def _let(value: Column, body) -> Column:
 
 
 def fold_words(words: Column, rank_map: str) -> Column:
-    """array<array<int>>: the ids of each of the words (array<string>), by a fold of ranked merges over its bytes."""
+    """array<array<int>>: the ids of each of the words, by a fold of ranked merges. words: array<array<int>>, the bytes of each."""
 
     def one(word: Column, ranks: Column) -> Column:
         rows = ranks["rows"]
@@ -135,10 +135,9 @@ def fold_words(words: Column, rank_map: str) -> Column:
 
             return _let(F.array_min(parts["r"]), lambda best: F.when(best.isNull(), parts).otherwise(_let(F.array_position(parts["r"], best).cast("int"), lambda i: merged(best, i))))
 
-        code, n = F.hex(word.cast("binary")), F.octet_length(word)
-        byte = F.transform(F.sequence(F.lit(1), n), lambda i: F.get(ranks["bytes"], F.conv(F.substr(code, i * 2 - 1, F.lit(2)), 16, 10).cast("int")))
+        byte = F.transform(word, lambda b: F.get(ranks["bytes"], b))
         parts = _let(F.concat(F.array(outside), byte, F.array(outside)), lambda p: F.zip_with(p, F.slice(p, 2, F.size(p)), lambda a, b: F.struct(a.alias("id"), F.when(b.isNotNull(), rank(a, b)).alias("r"))))
-        return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), parts, step, lambda p: F.slice(p["id"], 2, F.size(p) - 2))
+        return F.aggregate(F.slice(word, 2, F.size(word)), parts, step, lambda p: F.slice(p["id"], 2, F.size(p) - 2))
 
     # Null for a null list, so that the optimizer leaves the map a string, which is cheap to plan with; each chunk reads it once.
     literal = F.when(words.isNotNull(), F.lit(rank_map))
@@ -304,9 +303,11 @@ def _words(packed: DataFrame) -> DataFrame:
             at = every.indices.to_numpy()
             ends = np.cumsum([len(c) for c in columns])
             places = [_pack(at[e - len(c) : e]) for c, e in zip(columns, ends, strict=True)]
-            return pa.RecordBatch.from_pydict({"bucket": [which], "words": [every.dictionary.to_pylist()], "chunks": [[chunk for chunk, *_ in own]], "places": [places]}, schema=schema)
+            data, offsets = B.texts_of(every.dictionary)
+            words = pa.ListArray.from_arrays(pa.array((offsets - offsets[0]).astype(np.int32)), pa.array(data[offsets[0] : offsets[-1]].astype(np.int32)))
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (words, pa.array([chunk for chunk, *_ in own], pa.int64()), pa.array(places, pa.binary()))]
+            return pa.RecordBatch.from_arrays([pa.array([which], pa.int32()), *lists], ["bucket", "words", "chunks", "places"])
 
-        schema = pa.schema([("bucket", pa.int32()), ("words", pa.list_(pa.string())), ("chunks", pa.list_(pa.int64())), ("places", pa.list_(pa.binary()))])
         now, own = None, []
         for batch in batches:
             for which, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -318,7 +319,7 @@ def _words(packed: DataFrame) -> DataFrame:
         if own:
             yield bucket(now, own)
 
-    return packed.mapInArrow(rows, "bucket int, words array<string>, chunks array<long>, places array<binary>")
+    return packed.mapInArrow(rows, "bucket int, words array<array<int>>, chunks array<long>, places array<binary>")
 
 
 def _given(coded: DataFrame) -> DataFrame:

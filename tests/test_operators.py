@@ -122,3 +122,24 @@ def test_row_caps_are_no_skips(spark):
     with pytest.raises(ValueError, match="max_points"):
         caps = iter((30, 10))
         fit.stability_runs(vectors, [1, 2], lambda: Hdbscan(2, max_points=next(caps)), PcaReduction(2))
+
+
+@pytest.mark.parametrize("method", ["eom", "leaf"])
+def test_hdbscan_beyond_one_task(spark, method, monkeypatch):
+    """The distributed tree weighs what Prim's does, and gives the same clusters."""
+    from topicloom.operators import boruvka
+    from topicloom.operators.cluster import Hdbscan, core_distances
+    from topicloom.operators.kernels import prim
+
+    monkeypatch.setattr(boruvka, "BLOCK", 90)
+    rng = np.random.default_rng(5)
+    points = np.concatenate([rng.normal(c, 0.3, (150, 3)) for c in ([0, 0, 0], [4, 0, 1], [0, 5, 2])] + [rng.uniform(-3, 8, (60, 3)), np.zeros((5, 3))])
+    df = spark.createDataFrame([(i * 7 - 100, p.tolist()) for i, p in enumerate(points)], "doc_id long, reduced array<double>")
+    rows = df.join(core_distances(df, 10).withColumnRenamed("id", "doc_id"), "doc_id")
+    here = rows.orderBy("doc_id").collect()
+    tree = boruvka.spanning_tree(rows).collect()
+    want = prim(np.array([r.reduced for r in here]), np.array([r.core for r in here]))
+    assert len(tree) == len(points) - 1 and sorted(r.w for r in tree) == pytest.approx(sorted(want[:, 2]))
+    one, far = ({r.doc_id: r.topic for r in Hdbscan(10, method, max_points=m).fit_predict(df).collect()} for m in (10_000, 100))
+    pairs = {(one[d], far[d]) for d in one}
+    assert len(one) == len(far) and len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})

@@ -115,6 +115,8 @@ def _index(docs: DataFrame, shard_bytes: int) -> DataFrame:
                     ids, texts, held, number = [], [], 0, number + 1
         if texts:
             yield shard(number, ids, texts)
+        ids, texts = [], []
+        B.give_back()
 
     return docs.mapInArrow(rows, _INDEX)
 
@@ -309,6 +311,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
                     d, x = shard.ids[np.concatenate([p for p, _ in some])], np.round(np.concatenate([x for _, x in some]), 9)
                     best, _ = _best(q, d, x, k)
                     yield packed_row(start // PART, row.column("shard")[0].as_py(), q[best], d[best], x[best])
+                del shard, found
+            B.give_back()
 
     def packed_row(part: int, shard: int, q: np.ndarray, d: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int64()), *(pa.array([v.tobytes()], pa.binary()) for v in (q, d, x))], ["part", "shard", "queries", "docs", "scores"])

@@ -8,6 +8,8 @@ for a single text that is longer than a block.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import suppress
+from ctypes import CDLL
 from hashlib import blake2b
 
 import numpy as np
@@ -40,6 +42,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def give_back() -> None:
+    """Hands freed memory to the system; a worker that waits for its next task would hold it else."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # where the C library has no such call
+        CDLL(None).malloc_trim(0)
+
+
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null counts as an empty text."""
     if isinstance(column, pa.ChunkedArray):

@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .vectors import let
+
 
 def tokens(text: Column | str, stopwords: Iterable[str] = (), lowercase_first: bool = True) -> Column:
     """Runs of a-z and 0-9 of two characters or more that are no stop-words.
@@ -21,22 +23,19 @@ def tokens(text: Column | str, stopwords: Iterable[str] = (), lowercase_first: b
 
 
 def ngrams(toks: Column, low: int = 1, high: int = 1, sep: str = " ") -> Column:
-    """All runs of ``low`` to ``high`` tokens, joined by ``sep``. ``toks`` should be a column, not an expression: it is read for each run."""
+    """All runs of ``low`` to ``high`` tokens, joined by ``sep``; runs of n are made of those of n - 1. ``toks`` should be a column, not an expression."""
     if not 1 <= low <= high:
         raise ValueError("ngram range must be 1 <= low <= high")
-    none = F.array().cast("array<string>")
-
-    def run_at(n: int):
-        return lambda i: F.array_join(F.slice(toks, i, n), sep)
-
-    runs = []
-    for n in range(low, high + 1):
-        if n == 1:
-            runs.append(toks)
-        else:
-            several = F.transform(F.sequence(F.lit(1), F.size(toks) - n + 1), run_at(n))
-            runs.append(F.when(F.size(toks) >= n, several).otherwise(none))
-    return runs[0] if len(runs) == 1 else F.concat(*runs)
+
+    def longer(runs: Column, n: int) -> Column:
+        """Runs of n tokens from those of n - 1."""
+        return F.zip_with(F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0))), F.slice(toks, n, F.size(toks)), lambda a, b: F.concat(a, F.lit(sep), b))
+
+    def every(runs: Column, n: int) -> Column:
+        more = None if n == high else let(longer(runs, n + 1), lambda r: every(r, n + 1))
+        return more if n < low else runs if more is None else F.concat(runs, more)
+
+    return every(toks, 1)
 
 
 def topic_label(topic: Column, terms: Column) -> Column:

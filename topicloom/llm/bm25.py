@@ -115,10 +115,8 @@ def _index(docs: DataFrame, shard_bytes: int) -> DataFrame:
                     ids, texts, held, number = [], [], 0, number + 1
         if texts:
             yield shard(number, ids, texts)
-        ids, texts = [], []
-        B.give_back()
 
-    return docs.mapInArrow(rows, _INDEX)
+    return docs.mapInArrow(B.released(rows), _INDEX)
 
 
 def _query_terms(queries: DataFrame) -> DataFrame:
@@ -133,7 +131,7 @@ def _query_terms(queries: DataFrame) -> DataFrame:
                 at = order[first]
                 yield pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(h[at].view(np.int64)), pa.array(g[at].view(np.int64))], ["id", "term", "check"])
 
-    return queries.mapInArrow(rows, "id long, term long, check long")
+    return queries.mapInArrow(B.released(rows), "id long, term long, check long")
 
 
 class Shard:
@@ -312,7 +310,6 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
                     best, _ = _best(q, d, x, k)
                     yield packed_row(start // PART, row.column("shard")[0].as_py(), q[best], d[best], x[best])
                 del shard, found
-            B.give_back()
 
     def packed_row(part: int, shard: int, q: np.ndarray, d: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int64()), *(pa.array([v.tobytes()], pa.binary()) for v in (q, d, x))], ["part", "shard", "queries", "docs", "scores"])
@@ -333,7 +330,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
         row = packed.where(F.col("block") == block).first()
         sent = spark.sparkContext.broadcast({c: bytes(row[c]) if row else b"" for c in _BLOCK})
         schema = "part int, shard long, queries binary, docs binary, scores binary"
-        found = index.mapInArrow(lambda batches: run(batches, sent), schema)
+        found = index.mapInArrow(B.released(lambda batches: run(batches, sent)), schema)
         if whole["shards"] > MERGED:
             found = found.withColumn("shard", F.pmod(F.xxhash64("shard"), F.lit(int(whole["shards"] ** 0.5)))).groupBy("part", "shard").applyInArrow(fewer, schema)
         return found.groupBy("part").applyInArrow(last, "query_id long, rank int, doc_id long, score double")

@@ -284,11 +284,9 @@ def _chunks(thin: DataFrame, ranks: dict[bytes, int], pattern: str, spaced: bool
                         B.give_back()
         if chunk:
             yield chunk.row(first + n, kind, buckets)
-        batch = part = chunk = None
-        B.give_back()
 
     kind = thin.schema[0].dataType.simpleString()
-    return thin.mapInArrow(rows, f"chunk long, ids array<{kind}>, ends binary, codes binary, packs array<struct<bucket: int, words: binary, bytes: long>>, long array<array<int>>")
+    return thin.mapInArrow(B.released(rows), f"chunk long, ids array<{kind}>, ends binary, codes binary, packs array<struct<bucket: int, words: binary, bytes: long>>, long array<array<int>>")
 
 
 def _words(packed: DataFrame) -> DataFrame:
@@ -320,10 +318,8 @@ def _words(packed: DataFrame) -> DataFrame:
                 own.append(rest)
         if own:
             yield bucket(now, own)
-        own = []
-        B.give_back()
 
-    return packed.mapInArrow(rows, "bucket int, words array<array<int>>, chunks array<long>, places array<binary>")
+    return packed.mapInArrow(B.released(rows), "bucket int, words array<array<int>>, chunks array<long>, places array<binary>")
 
 
 def _given(coded: DataFrame) -> DataFrame:
@@ -342,10 +338,8 @@ def _given(coded: DataFrame) -> DataFrame:
                     out.append(_pack(sizes) + _pack(_gather(flat, start[at], sizes)))
                 chunks = row.column(1).flatten()
                 yield pa.RecordBatch.from_arrays([chunks, pa.array([row.column(0)[0].as_py()] * len(chunks), pa.int32()), pa.array(out, pa.binary())], ["chunk", "bucket", "given"])
-            del batch, row, ids, start, flat, out, chunks
-            B.give_back()
 
-    return coded.mapInArrow(rows, "chunk long, bucket int, given binary")
+    return coded.mapInArrow(B.released(rows), "chunk long, bucket int, given binary")
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", spaced: bool | None = None, chunk_bytes: int = CHUNK_BYTES, longest: int = LONGEST, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:

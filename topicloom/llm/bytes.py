@@ -7,7 +7,7 @@ for a single text that is longer than a block.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import suppress
 from ctypes import CDLL
 from hashlib import blake2b
@@ -49,6 +49,23 @@ def give_back() -> None:
         CDLL(None).malloc_trim(0)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that what is made of one at once, and sent on, stays small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
+def released(rows: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function that hands freed memory back when it has ended."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from rows(batches)
+        give_back()
+
+    return run
+
+
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null counts as an empty text."""
     if isinstance(column, pa.ChunkedArray):

@@ -117,7 +117,7 @@ def score(docs: DataFrame, model: CompressionModel, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s)], ["id", "score"])
 
     thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return thin.mapInArrow(rows, f"id {thin.schema[0].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
+    return thin.mapInArrow(B.released(rows), f"id {thin.schema[0].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
 
 
 def filter_quality(docs: DataFrame, model: CompressionModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
@@ -128,12 +128,9 @@ def filter_quality(docs: DataFrame, model: CompressionModel, threshold: float =
         raise TypeError(f"{text_col} is {text}, not string")
 
     def rows(batches):
-        for batch in batches:
+        for batch in B.slices(batches, 256):
             data, offsets = B.texts_of(batch.column(at))
-            keep = np.empty(batch.num_rows, bool)
-            for i in range(0, batch.num_rows, 256):
-                j = min(i + 256, batch.num_rows)
-                keep[i:j] = model.score([data[offsets[k] : offsets[k + 1]].tobytes() for k in range(i, j)]) >= threshold
+            keep = model.score([data[offsets[k] : offsets[k + 1]].tobytes() for k in range(batch.num_rows)]) >= threshold
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return docs.mapInArrow(B.released(rows), docs.schema)

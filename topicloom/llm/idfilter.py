@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bytes as B
+
 LEAST, MOST = 22, 25
 
 
@@ -43,7 +45,7 @@ def where_passes(docs: DataFrame, bits: bytes, id_col: str = "doc_id", let: bool
     def rows(batches):
         mask = mask_of(bits)
         mask = mask if let else ~mask
-        for batch in batches:
+        for batch in B.slices(batches):
             yield batch.filter(passes(batch.column(at), mask))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return docs.mapInArrow(B.released(rows), docs.schema)

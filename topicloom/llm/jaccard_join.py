@@ -78,7 +78,7 @@ def _sketch(docs: DataFrame, words: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([v for _, v in rows], pa.binary())], ["part", "counts"])
 
     schema = "part int, counts binary"
-    parts = docs.mapInArrow(count, schema).repartition(SKETCH_PARTS, "part").mapInArrow(add, schema).collect()
+    parts = docs.mapInArrow(B.released(count), schema).repartition(SKETCH_PARTS, "part").mapInArrow(B.released(add), schema).collect()
     out = np.zeros(1 << SKETCH_BITS, np.uint32)
     for part, counts in parts:
         out[part * width : (part + 1) * width] = np.frombuffer(bytes(counts), np.uint32)
@@ -116,7 +116,7 @@ def _prefixes(docs: DataFrame, words: int, num: int, den: int, sketch: np.ndarra
 
     kind = docs.schema[0].dataType.simpleString()
     schema = f"doc_id {kind}, n long, digest binary, prefix array<long>, pkey binary, " + ", ".join(f"b{i} long" for i in range(8)) + ", wide array<long>"
-    return docs.mapInArrow(rows, schema)
+    return docs.mapInArrow(B.released(rows), schema)
 
 
 def _sets(docs: DataFrame, words: int, wanted: bytes) -> DataFrame:
@@ -134,7 +134,7 @@ def _sets(docs: DataFrame, words: int, wanted: bytes) -> DataFrame:
                     sets.append(own.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["digest", "members"])
 
-    return docs.mapInArrow(rows, "digest binary, members array<long>").dropDuplicates(["digest"])
+    return docs.mapInArrow(B.released(rows), "digest binary, members array<long>").dropDuplicates(["digest"])
 
 
 def _near(a: str, b: str, num: int, den: int) -> Column:
@@ -314,12 +314,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
 
     def with_digest(batches):
-        for batch in batches:
+        for batch in B.slices(batches):
             digests = [_digest_of(np.unique(grams[bounds[t] : bounds[t + 1]])) for _, grams, bounds in _shingles(batch, words) for t in range(len(bounds) - 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(digests, pa.binary())], ["id", "row", "digest"])
 
     clear = idfilter.where_passes(rows, bits, "id", let=False)
-    some = idfilter.where_passes(rows, bits, "id").mapInArrow(with_digest, f"id long, row {rows.schema['row'].dataType.simpleString()}, digest binary")
+    some = idfilter.where_passes(rows, bits, "id").mapInArrow(B.released(with_digest), f"id long, row {rows.schema['row'].dataType.simpleString()}, digest binary")
     bare = some["digest"] == F.lit(_digest_of(np.zeros(0, B.U64)))
     kept = several.select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept"))
     one = some.where(~bare).join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept"))).dropDuplicates(["kept_id", "kept"])

@@ -159,7 +159,7 @@ def materialize(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", source
     at, kind = columns.index(text_col), docs.schema
 
     def cut(batches):
-        for batch in batches:
+        for batch in B.slices(batches):
             data, offsets = B.texts_of(batch.column(at))
             words = batch.column(len(columns)).to_numpy()
             texts = batch.column(at).to_pylist()
@@ -171,4 +171,4 @@ def materialize(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", source
             cols[at] = pa.array(texts, batch.column(at).type)
             yield pa.RecordBatch.from_arrays(cols, columns)
 
-    return taken.mapInArrow(cut, kind)
+    return taken.mapInArrow(B.released(cut), kind)

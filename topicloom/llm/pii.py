@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bytes as B
 from .boosting import BoostedTrees, isotonic
 
 KINDS = ("email", "ip", "card", "phone")
@@ -257,7 +258,7 @@ def find_pii(docs: DataFrame, detector: Detector | None = None, id_col: str = "d
 
     thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     spans = "array<struct<kind: string, first: long, after: long>>"
-    return thin.mapInArrow(rows, f"id {thin.schema[0].dataType.simpleString()}, base {spans}, spans {spans}").withColumnRenamed("id", id_col)
+    return thin.mapInArrow(B.released(rows), f"id {thin.schema[0].dataType.simpleString()}, base {spans}, spans {spans}").withColumnRenamed("id", id_col)
 
 
 def redacted(text: str, spans: list[Span]) -> str:
@@ -279,11 +280,11 @@ def redact(docs: DataFrame, detector: Detector | None = None, text_col: str = "t
     at = docs.columns.index(text_col)
 
     def rows(batches):
-        for batch in batches:
+        for batch in B.slices(batches):
             texts = [None if t is None else redacted(t, detector.spans(t)[1]) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return docs.mapInArrow(B.released(rows), docs.schema)
 
 
 def spans_text(spans: list[Span]) -> str:

@@ -100,7 +100,7 @@ def _rows(docs: DataFrame, length: int, piece: int) -> DataFrame:
             digests = [hashlib.sha256(data[offsets[i] : offsets[i + 1]]).digest() for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(digests, pa.binary()), lists], ["doc_id", "n_bytes", "digest", "anchors"])
 
-    return docs.mapInArrow(rows, "doc_id long, n_bytes long, digest binary, anchors array<struct<key: long, m: int, lo: int, hi: int>>")
+    return docs.mapInArrow(B.released(rows), "doc_id long, n_bytes long, digest binary, anchors array<struct<key: long, m: int, lo: int, hi: int>>")
 
 
 #: A stretch of one text (tid to seg), or many windows of a hot anchor (values to places, packed; two values to a window).
@@ -165,7 +165,7 @@ def _deal(joined: DataFrame, length: int, hot: int) -> DataFrame:
         if packs:
             yield flush()
 
-    return joined.mapInArrow(rows, _DEALT)
+    return joined.mapInArrow(B.released(rows), _DEALT)
 
 
 def _again(*keys: np.ndarray) -> np.ndarray:
@@ -337,8 +337,8 @@ def _sorted_out(dealt: DataFrame, length: int, buckets: int) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(np.r_[at, len(tid)].astype(np.int32)), values)
         yield pa.RecordBatch.from_arrays([pa.array(own), lists], ["tid", "spans"])
 
-    packed = dealt.mapInArrow(rows, "bucket int, tids binary, firsts binary, afters binary")
-    return packed.repartition(buckets, "bucket").mapInArrow(union, "tid long, spans array<struct<first: long, after: long>>")
+    packed = dealt.mapInArrow(B.released(rows), "bucket int, tids binary, firsts binary, afters binary")
+    return packed.repartition(buckets, "bucket").mapInArrow(B.released(union), "tid long, spans array<struct<first: long, after: long>>")
 
 
 def _cut(joined: DataFrame, text_too: bool) -> DataFrame:
@@ -359,7 +359,7 @@ def _cut(joined: DataFrame, text_too: bool) -> DataFrame:
                     out[k].append(x)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("tid", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())]))), ("kept", pa.binary())]))
 
-    return joined.mapInArrow(rows, "tid long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<first: long, after: long>>, kept binary")
+    return joined.mapInArrow(B.released(rows), "tid long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<first: long, after: long>>, kept binary")
 
 
 def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, text_too: bool = False, hot: int = HOT, piece: int = PIECE) -> DataFrame:

@@ -67,8 +67,8 @@ def _dictionary(texts: list[bytes], size: int) -> bytes:
         return b"\n".join(texts)[-size:]
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 4000, max_bytes: int = 1 << 16, dictionary_bytes: int = 1 << 16, level: int = 3) -> CompressionModel:
-    """Fit on at most ``sample`` labelled rows of each class, of at most ``max_bytes`` bytes each.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 4000, max_bytes: int = 1 << 16, dictionary_bytes: int = 1 << 16, level: int = 3, total_bytes: int = 32 << 20) -> CompressionModel:
+    """Fit on at most ``sample`` labelled rows of each class, of at most ``max_bytes`` bytes each and ``total_bytes`` a class together.
 
     The rows are those with the least hash of their id; one half trains the dictionaries, the other the
     calibration, whose classes are weighted by their numbers among all labels. Labels other than 0 and 1,
@@ -81,8 +81,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     order = F.xxhash64("doc_id")
     ids = known.where("y = 1").orderBy(order, "doc_id").limit(sample).unionAll(known.where("y = 0").orderBy(order, "doc_id").limit(sample))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") <= max_bytes)
-    # ids has 2 * sample rows at most.
-    rows = sorted({(r["doc_id"], r["y"], r["text"].encode()) for r in texts.join(F.broadcast(ids), "doc_id").collect()})
+    # ids has 2 * sample rows at most; sizes come first, so that the texts that follow are bounded.
+    ids = ids.withColumn("h", order)
+    sizes = texts.join(F.broadcast(ids), "doc_id").select("y", "h", "doc_id", F.octet_length("text").alias("n")).collect()
+    held, chosen = {0: 0, 1: 0}, set()
+    for y, _, doc_id, n in sorted(sizes):
+        held[y] += n
+        if held[y] <= total_bytes:
+            chosen.add((doc_id, y))
+    if not chosen:
+        return CompressionModel(level=level)
+    some = docs.sparkSession.createDataFrame(sorted(chosen), "doc_id long, y int")
+    rows = sorted({(r["doc_id"], r["y"], r["text"].encode()) for r in texts.join(F.broadcast(some), "doc_id").collect()})
     halves: dict[tuple[int, int], list[bytes]] = {(y, k): [] for y in (0, 1) for k in (0, 1)}
     taken = {0: 0, 1: 0}
     for _, y, text in rows:

@@ -24,8 +24,9 @@ WEIGHTS = (3, 1, 2)
 BLOCK_WORDS = 4096
 #: Slots of a schedule, as powers of two.
 LEAST_SLOTS, MOST_SLOTS = 12, 30
-#: Parts of a source's shuffled order, and of the schedule, within which running counts are taken.
+#: Parts of the schedule within which running counts are taken; rows of a part of a source's shuffled order, about.
 CHUNKS = 256
+CHUNK_ROWS = 200_000
 #: Cells of [0, 1) by which slots find their source.
 CELLS = 12
 
@@ -109,7 +110,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
     # Documents' places in their source's shuffled stream of words.
     rows = sized.join(goals.select("source", "sid"), sized["source"].eqNullSafe(goals["source"])).select("doc_id", sized["source"], "size", "h", "sid")
-    rows = rows.withColumn("chunk", F.shiftrightunsigned("h", 56))
+    bits = min(24, max(8, (sized.count() // CHUNK_ROWS).bit_length()))
+    rows = rows.withColumn("chunk", F.shiftrightunsigned("h", 64 - bits))
     sums = rows.groupBy("sid", "chunk").agg(F.sum("size").alias("s"))
     base = F.coalesce(F.sum("s").over(W.partitionBy("sid").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     sums = sums.select("sid", "chunk", base.alias("base"))

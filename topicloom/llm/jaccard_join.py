@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -311,16 +312,32 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     several = sets.groupBy("root").agg(F.sum("n").alias("rows"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("one"))
     several = store.put(several.select("root", "rows", "one.doc_id", "one.digest"), "kept")
     bits = idfilter.bits_of(sets.join(several.where("rows > 1").select("root"), "root"))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-
-    def with_digest(batches):
-        for batch in B.slices(batches):
-            digests = [_digest_of(np.unique(grams[bounds[t] : bounds[t + 1]])) for _, grams, bounds in _shingles(batch, words) for t in range(len(bounds) - 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(digests, pa.binary())], ["id", "row", "digest"])
-
-    clear = idfilter.where_passes(rows, bits, "id", let=False)
-    some = idfilter.where_passes(rows, bits, "id").mapInArrow(B.released(with_digest), f"id long, row {rows.schema['row'].dataType.simpleString()}, digest binary")
-    bare = some["digest"] == F.lit(_digest_of(np.zeros(0, B.U64)))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    at, none = docs.columns.index(text_col), _digest_of(np.zeros(0, B.U64))
+
+    def parted(stay: bool):
+        """Rows that stay without more ado, those that the filter stops or that have no words; or the others with their digests."""
+
+        def pick(batches):
+            mask = idfilter.mask_of(bits)
+            for batch in B.slices(batches):
+                through = idfilter.passes(batch.column(0), mask)
+                if stay:
+                    yield batch.filter(pc.invert(through)).select(["row"])
+                some = batch.filter(through)
+                thin = pa.RecordBatch.from_arrays([some.column(0), some.column(1).field(at)], ["id", "text"])
+                digests = [_digest_of(np.unique(grams[bounds[t] : bounds[t + 1]])) for _, grams, bounds in _shingles(thin, words) for t in range(len(bounds) - 1)]
+                bare = pa.array([d == none for d in digests], pa.bool_())
+                if stay:
+                    yield some.filter(bare).select(["row"])
+                else:
+                    yield pa.RecordBatch.from_arrays([*some.columns, pa.array(digests, pa.binary())], ["id", "row", "digest"]).filter(pc.invert(bare))
+
+        return B.released(pick)
+
+    kind = rows.schema["row"].dataType.simpleString()
+    stays = rows.mapInArrow(parted(True), f"row {kind}")
+    some = rows.mapInArrow(parted(False), f"id long, row {kind}, digest binary")
     kept = several.select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept"))
-    one = some.where(~bare).join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept"))).dropDuplicates(["kept_id", "kept"])
-    return clear.select("row.*").unionByName(some.where(bare).select("row.*")).unionByName(one.select("row.*"))
+    one = some.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept"))).dropDuplicates(["kept_id", "kept"])
+    return stays.select("row.*").unionByName(one.select("row.*"))

@@ -13,34 +13,55 @@ from pyspark.sql import functions as F
 from topicloom.llm import byte_bpe, compression_classifier, jaccard_join, mixing, pii
 from topicloom.llm.store import Store
 
+#: Rows of a batch between Spark and Python, at most: texts are long, and a task holds a batch on either side.
+BATCH_ROWS = 1024
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Makes the session's batches no larger than BATCH_ROWS."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier scores 0.3 or more."""
+    """Documents that the compression classifier scores 0.3 or more.
+
+    A null or empty text is scored as an empty one; repeated rows share their fate; an empty table gives an empty one.
+    """
+    _small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("crc32(coalesce(cast(doc_id as string), '')) % 5 <> 0")
     return compression_classifier.filter_quality(docs.select(*COLUMNS), compression_classifier.fit(docs, labels), 0.3)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the least id, of each group linked by five-word shingles at 0.8 or more."""
+    """One document, that with the least id, of each group linked by five-word shingles at 0.8 or more.
+
+    Rows with a null or empty text, or one without words, all stay; a null id counts as the greatest; an empty table gives an empty one.
+    """
+    _small_batches(spark)
     return jaccard_join.keep_one(docs.select(*COLUMNS), words=5, num=80, den=100)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind."""
+    """All documents, with personal data replaced by its kind. Null and empty texts stay so, as do repeated rows; n_chars is made anew."""
+    _small_batches(spark)
     return pii.redact(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; the last time perhaps in part."""
+    """Documents as often as the mix takes them; the last time perhaps in part. Rows without words, null texts among them, are
+    never taken; a null source is a source of its own; an empty table gives an empty one."""
+    _small_batches(spark)
     docs = docs.select(*COLUMNS)
     taken = mixing.materialize(docs, mixing.mix(docs))
     return taken.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens, ids, ids_sha256 and the digest of the decoded bytes of each row."""
+    """doc_id, n_tokens, ids, ids_sha256 and the digest of the decoded bytes of each row. A null or empty text has no ids."""
+    _small_batches(spark)
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     coded = byte_bpe.decode(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
     text = F.array_join(F.col("ids").cast("array<string>"), ",")
@@ -55,7 +76,7 @@ STAGES = [
     ("tokens", tokens),
 ]
 
-#: SQL cannot compress, fold merges or walk components; the tests compare the stages with plain versions.
+#: SQL cannot compress, fold merges or walk components; tests/llm/test_queries.py compares the stages with plain versions.
 ORACLE_SQL = None
 
 

@@ -143,3 +143,74 @@ def test_hdbscan_beyond_one_task(spark, method, monkeypatch):
     one, far = ({r.doc_id: r.topic for r in Hdbscan(10, method, max_points=m).fit_predict(df).collect()} for m in (10_000, 100))
     pairs = {(one[d], far[d]) for d in one}
     assert len(one) == len(far) and len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+
+
+def test_umap_keeps_neighbours_and_projects(spark):
+    """Points of a cluster stay together in the layout, and new points come to lie among their own."""
+    from topicloom.operators.reduce import UmapReduction
+
+    rng = np.random.default_rng(2)
+    centers = np.eye(6)[:3] * 5
+    points = np.concatenate([rng.normal(c, 0.4, (40, 6)) for c in centers])
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "doc_id long, embedding array<double>")
+    umap = UmapReduction(8, 2)
+    flat = np.array([r.reduced for r in umap.fit_transform(df).orderBy("doc_id").collect()])
+    d = ((flat[:, None] - flat[None]) ** 2).sum(2) + np.eye(120) * 1e9
+    same = (np.argsort(d, axis=1)[:, :8] // 40 == np.arange(120)[:, None] // 40).mean()
+    # Of each point's eight nearest in the layout, those of its own cluster; and of them the true nearest in half the cases or more.
+    true = ((points[:, None] - points[None]) ** 2).sum(2) + np.eye(120) * 1e9
+    kept = np.mean([len(set(a) & set(b)) / 15 for a, b in zip(np.argsort(d, axis=1)[:, :15], np.argsort(true, axis=1)[:, :15], strict=True)])
+    assert same > 0.95 and kept > 0.4, (same, kept)
+    fresh = spark.createDataFrame([(1000 + i, rng.normal(c, 0.4).tolist()) for i, c in enumerate(centers)], "doc_id long, embedding array<double>")
+    new = np.array([r.reduced for r in umap.transform(fresh).orderBy("doc_id").collect()])
+    middles = flat.reshape(3, 40, 2).mean(1)
+    assert (((new[:, None] - middles[None]) ** 2).sum(2).argmin(1) == np.arange(3)).all()
+
+
+def test_errors(spark):
+    from topicloom.operators.classify import chunk_windows, classify_texts
+    from topicloom.operators.dynamics import topics_over_time
+    from topicloom.plans.fit import PosRepresentation, stability_runs, sweep_topics
+
+    docs = spark.createDataFrame([(1, "one two")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="pos, patterns"):
+        PosRepresentation(lambda d: d, pos=None)
+    with pytest.raises(TypeError, match="logits"):
+        classify_texts(docs, object())
+    with pytest.raises(ValueError, match="room"):
+        chunk_windows(docs, 2)
+    with pytest.raises(ValueError, match="no term"):
+        fit_topics(docs, embeddings=spark.createDataFrame([(1, [1.0, 0.0])], "doc_id long, embedding array<double>"), reducer=_Same(), clusterer=_One())
+    times = spark.createDataFrame([(1, 0, None)], "doc_id long, topic int, year int")
+    with pytest.raises(ValueError, match="no year"):
+        topics_over_time(times, times)
+    with pytest.raises(ValueError, match="fewer than two"):
+        stability_runs(docs, [1, 2], lambda: _Fails(), _Same())
+    with pytest.raises(ValueError, match="no run"):
+        sweep_topics(docs, {"m": spark.createDataFrame([(1, [1.0])], "doc_id long, embedding array<double>")}, (5,), (5,))
+
+
+class _Same:
+    def fit_transform(self, df, seed=42):
+        return df.select("doc_id", df[df.columns[1]].alias("reduced"))
+
+
+class _One:
+    def fit_predict(self, df, seed=42):
+        return df.selectExpr("doc_id", "0 as topic")
+
+
+class _Fails:
+    def fit_predict(self, df, seed=42):
+        raise RuntimeError("no")
+
+
+def test_bins_over_time(spark):
+    """nr_bins cuts times into that many stretches before terms are scored."""
+    rows = [(i, i % 2, 1 + i) for i in range(12)]
+    assigned = spark.createDataFrame(rows, "doc_id long, topic int, year int")
+    counts = spark.createDataFrame([(i, f"t{i % 2}", 2) for i in range(12)], "doc_id long, term string, n long")
+    found = dynamics.topics_over_time(counts, assigned, nr_bins=3).collect()
+    assert len({r.time for r in found}) == 3 and sum(r.frequency for r in found) == 12
+    with pytest.raises(ValueError, match="nr_bins"):
+        dynamics.topics_over_time(counts, assigned, nr_bins=0)

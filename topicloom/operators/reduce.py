@@ -35,6 +35,8 @@ def nearest_neighbors(df: DataFrame, k: int, id_col: str = "doc_id", vector: str
     pairs = asked.select(F.col("block").alias("a"), F.col("rows").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias("b"))
     pairs = pairs.join(packed.select(F.col("block").alias("b"), F.col("rows").alias("y")), "b").repartition(max(blocks, 1) * 2, "a", "b")
 
+    among = base is None
+
     def best(batches):
         for pdf in batches:
             for x, y in zip(pdf["x"], pdf["y"], strict=True):
@@ -45,7 +47,7 @@ def nearest_neighbors(df: DataFrame, k: int, id_col: str = "doc_id", vector: str
                     d = 1 - xv @ yv.T
                 else:
                     d = np.maximum((xv**2).sum(1)[:, None] + (yv**2).sum(1)[None, :] - 2 * xv @ yv.T, 0)
-                if base is None:
+                if among:
                     d[xi[:, None] == yi[None, :]] = np.inf
                 # Some more than k by the product, then in order by exact distances.
                 few = min(k + 8, d.shape[1])

@@ -385,6 +385,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
 
     kind = thin.schema[0].dataType.simpleString()
     found = chunks.select("chunk", "ids", "ends", "codes", "long").groupBy("chunk").cogroup(given.groupBy("chunk")).applyInArrow(put, f"id {kind}, ids array<int>")
+    B.give_back()  # the driver made lists of the rank map
     return found.withColumnRenamed("id", id_col)
 
 

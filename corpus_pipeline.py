@@ -19,7 +19,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def _small_batches(spark: SparkSession) -> None:
-    """Makes the session's batches no larger than BATCH_ROWS."""
+    """Makes the session's batches no larger than BATCH_ROWS, and the plans that the driver keeps as text no longer than some kB."""
+    spark.conf.set("spark.sql.maxPlanStringLength", str(1 << 16))
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))

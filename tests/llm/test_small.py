@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import zstandard
 from pyspark.sql import functions as F
 
 from topicloom.llm import bm25, byte_bpe, chat, compression_classifier, jaccard_join, mixing, pii, quality_rules, queries, repeated_spans, sharding
@@ -415,3 +416,34 @@ def test_empty_tables(spark, empty):
     assert byte_bpe.encode(empty, ranks, public_tokenizers.PATTERN).count() == 0
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert compression_classifier.score(empty, compression_classifier.fit(empty, labels)).count() == 0
+
+
+def test_bands_of_all_good_rows(spark):
+    """Every good row counts, also beyond some ten thousands: limits are the quantiles of all of them."""
+    n = 44_000
+    text = F.concat_ws(" ", *(F.substring(F.sha2(F.concat_ws("/", "id", F.lit(k)), 256), 1, 1 + (k * 7) % 23) for k in range(6)), F.repeat(F.lit("a b "), (F.col("id") % 40).cast("int")))
+    docs = spark.range(n).select(F.when(F.col("id") % 11 > 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 13 > 0, text).alias("text")).unionByName(spark.createDataFrame([(1, ""), (2, "x y"), (2, "x y")], "doc_id long, text string"))
+    good = docs.where("doc_id % 17 <> 3 or doc_id is null").select("doc_id")
+    bands = quality_rules.fit_bands(docs, good)
+    zip_ = zstandard.ZstdCompressor(level=3, write_content_size=False)
+    raw = [r["text"].encode() for r in docs.where("doc_id % 17 <> 3 and text <> ''").collect()]
+    size, ratio = np.array([len(x) for x in raw]), np.array([len(zip_.compress(x)) / len(x) for x in raw])
+    assert len(raw) > 30_000
+    first, measured = 0, 0
+    for end, low, high in bands.limits:
+        own = ratio[(size > first) & (size <= end)]
+        if len(own) >= 50:
+            assert (low, high) == pytest.approx((np.quantile(own, 0.002) * 0.995, np.quantile(own, 0.998) * 1.005), rel=1e-12)
+            measured += 1
+        first = end
+    assert measured >= 3
+
+
+def test_bands_count_every_repeat(spark):
+    """Rows that repeat an id beyond some ten thousands are all counted: a rare kind among many equal rows moves a limit."""
+    same = spark.range(90_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("one two three four five six seven eight nine ten").alias("text"))
+    odd = spark.range(500).select(F.lit(2).cast("long").alias("doc_id"), F.repeat(F.lit("a"), 50).alias("text"))
+    docs = same.unionByName(odd).coalesce(1)
+    bands = quality_rules.fit_bands(docs, docs.select("doc_id"))
+    zip_ = zstandard.ZstdCompressor(level=3, write_content_size=False)
+    assert bands.limits[0][1] == pytest.approx(len(zip_.compress(b"a" * 50)) / 50 * 0.995, rel=1e-12)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytes as B
+from .store import Store
 
 SPACES = b" \t\n\x0b\x0c\r"
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -42,32 +43,71 @@ class Bands:
         return not low <= ratio <= high
 
 
-def fit_bands(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 20_000, tail: float = 0.002, margin: float = 0.005, least: int = 50) -> Bands:
+def _at_ranks(values: DataFrame, wanted: dict[int, set[int]]) -> dict[tuple[int, int], float]:
+    """The values at ranks from 0 within each band. values: band, key, a written table; the key is the bits of a positive double, which order as the doubles do.
+
+    Keys are found digit by digit from the top: each pass counts the next digits of those that begin as a sought one does,
+    so that what comes to the driver is bounded whatever the number of rows.
+    """
+    spark = values.sparkSession
+    # (band, digits so far): {rank: rank among the keys that begin so}
+    sought = {(band, 0): {r: r for r in ranks} for band, ranks in wanted.items() if ranks}
+    if not sought:
+        return {}
+    last = 63
+    for shift in (52, 40, 28, 16, 4, 0):
+        begun = spark.createDataFrame(sorted(sought), "band int, begun long")
+        own = values.withColumn("begun", F.shiftright("key", last) if last < 63 else F.lit(0).cast("long")).join(F.broadcast(begun), ["band", "begun"])
+        counts: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for band, start, digits, n in own.groupBy("band", "begun", F.shiftright("key", shift).alias("digits")).count().collect():
+            counts.setdefault((band, start), []).append((digits, n))
+        following: dict[tuple[int, int], dict[int, int]] = {}
+        for (band, start), ranks in sought.items():
+            digits, n = (np.array(x) for x in zip(*sorted(counts[band, start]), strict=True))
+            ends = np.cumsum(n)
+            for rank, left in ranks.items():
+                i = int(np.searchsorted(ends, left, "right"))
+                following.setdefault((band, int(digits[i])), {})[rank] = left - int(ends[i] - n[i])
+        sought, last = following, shift
+    return {(band, rank): float(np.array([key], np.int64).view(np.float64)[0]) for (band, key), ranks in sought.items() for rank in ranks}
+
+
+def fit_bands(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col: str = "text", tail: float = 0.002, margin: float = 0.005, least: int = 50) -> Bands:
     """Bands from rows known to be good (``good`` has their ids): outside them are 2 * ``tail`` of such rows, about.
 
-    The limits of a length are quantiles of its good rows' ratios, each moved outwards by ``margin`` of itself; a length with
-    fewer than ``least`` rows keeps the wide limits. At most ``sample`` ids are used, those with the least hashes; only sizes and
-    ratios come to the driver. Null ids and texts are left out; without rows all limits stay wide.
+    The limits of a length are quantiles of all its good rows' ratios, exact ones, each moved outwards by ``margin`` of itself; a length with
+    fewer than ``least`` rows keeps the wide limits. Every row with a good id counts, repeated ones too; only counts
+    come to the driver. Null ids and null or empty texts are left out; without rows all limits stay wide.
     """
     wide = Bands()
-    ids = good.select(F.col(id_col).alias("__good")).where("__good is not null").distinct().orderBy(F.xxhash64("__good"), "__good").limit(sample)
-    texts = docs.where(F.col(text_col).isNotNull()).join(F.broadcast(ids), F.col(id_col) == F.col("__good"), "left_semi").select(F.col(text_col).cast("string").alias("text"))
+    thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text <> ''")
 
     def ratios(batches):
         zip_ = zstandard.ZstdCompressor(level=wide.level, write_content_size=False)
         for batch in batches:
-            raw = [t.encode() for t in batch.column(0).to_pylist() if t]
-            yield pa.RecordBatch.from_arrays([pa.array([len(r) for r in raw], pa.int64()), pa.array([len(zip_.compress(r)) / len(r) for r in raw], pa.float64())], ["n", "ratio"])
-
-    found = np.array([tuple(r) for r in texts.mapInArrow(B.released(ratios), "n long, ratio double").limit(4 * sample).collect()]).reshape(-1, 2)
-    limits, first = [], 0
-    for end in LENGTHS:
-        own = found[(found[:, 0] > first) & (found[:, 0] <= end), 1]
+            raw = [t.encode() for t in batch.column(1).to_pylist()]
+            band = np.searchsorted(LENGTHS, [len(r) for r in raw])
+            ratio = np.array([len(zip_.compress(r)) / len(r) for r in raw], np.float64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(band.astype(np.int32)), pa.array(ratio.view(np.int64))], ["id", "band", "key"])
+
+    # Texts are measured where they lie: only their ratios meet the ids.
+    found = thin.mapInArrow(B.released(ratios), f"id {thin.schema[0].dataType.simpleString()}, band int, key long")
+    ids = good.select(F.col(id_col).alias("id")).where("id is not null").distinct()
+    values = Store(docs.sparkSession, "bands").put(found.join(ids, "id", "left_semi").select("band", "key"), "ratios")
+    sizes = {r["band"]: r["count"] for r in values.groupBy("band").count().collect() if r["count"] >= least}
+    ends = {band: [q * (n - 1) for q in (tail, 1 - tail)] for band, n in sizes.items()}
+    at = _at_ranks(values, {band: {min(int(x) + i, sizes[band] - 1) for x in both for i in (0, 1)} for band, both in ends.items()})
+
+    def quantile(band: int, x: float) -> float:
+        low, high = (at[band, min(int(x) + i, sizes[band] - 1)] for i in (0, 1))
+        return low + (high - low) * (x - int(x))
+
+    limits = []
+    for band, end in enumerate(LENGTHS):
         low, high = next((lo, hi) for n, lo, hi in wide.limits if end <= n)
-        if len(own) >= least:
-            low, high = np.quantile(own, tail) * (1 - margin), np.quantile(own, 1 - tail) * (1 + margin)
+        if band in sizes:
+            low, high = (quantile(band, x) * (1 + sign * margin) for x, sign in zip(ends[band], (-1, 1), strict=True))
         limits.append((end, float(low), float(high)))
-        first = end
     return Bands(tuple(limits))
 
 

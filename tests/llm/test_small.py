@@ -447,3 +447,21 @@ def test_bands_count_every_repeat(spark):
     bands = quality_rules.fit_bands(docs, docs.select("doc_id"))
     zip_ = zstandard.ZstdCompressor(level=3, write_content_size=False)
     assert bands.limits[0][1] == pytest.approx(len(zip_.compress(b"a" * 50)) / 50 * 0.995, rel=1e-12)
+
+
+def test_bm25_one_shard_a_file(spark, monkeypatch):
+    """Shards of one task are not held together by Parquet's writer and reader, whatever their number."""
+    folders = []
+    put = bm25.Store.put
+
+    def seen(self, df, name, *a, **b):
+        out = put(self, df, name, *a, **b)
+        folders.extend([out] * (name == "index"))
+        return out
+
+    monkeypatch.setattr(bm25.Store, "put", seen)
+    docs = spark.range(500).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *(F.concat(F.lit(f"w{k}-"), F.col("id") % (7 + k)) for k in range(6))).alias("text"))
+    found = bm25.search(docs.coalesce(1), docs.where("doc_id % 50 = 0"), k=3, shard_bytes=2000)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, bm25.search(docs, docs.where("doc_id % 50 = 0"), k=3).collect()))
+    files = [r["n"] for r in folders[0].groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
+    assert len(files) > 1 and max(files) == 1

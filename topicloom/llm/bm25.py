@@ -245,8 +245,10 @@ def _packed(asked: DataFrame, blocks: int) -> DataFrame:
     def pack(table: pa.Table) -> pa.Table:
         ids, term, check, w = (table.column(c).to_numpy() for c in ("id", "term", "check", "w"))
         order, first = _distinct((term.view(B.U64), check.view(B.U64)))
+        new = np.zeros(len(order), bool)
+        new[first] = True
         code = np.empty(len(order), np.int32)
-        code[order] = np.cumsum(np.isin(np.arange(len(order)), first, assume_unique=True)) - 1
+        code[order] = np.cumsum(new, dtype=np.int32) - 1
         own = order[first]
         by = np.lexsort((code, ids))
         ids = ids[by]
@@ -284,7 +286,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
     spark = docs.sparkSession
     store = Store(spark, "bm25")
     docs, queries = (x.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")) for x in (docs, queries))
-    index = store.put(_index(docs, shard_bytes), "index")
+    # A shard is a row of many MB: with files of their own, no task holds more than one in Parquet's buffers.
+    index = store.put(_index(docs, shard_bytes), "index", file_rows=1)
     whole = index.agg(F.count("*").alias("shards"), F.sum(F.size("ids")).alias("n"), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("words")).first()
     n, mean = whole["n"] or 0, (whole["words"] or 0) / max(1, whole["n"] or 0)
     counts = index.select(F.explode(F.arrays_zip("term", "check", "df")).alias("x")).groupBy("x.term", "x.check").agg(F.sum("x.df").alias("df"))
@@ -324,11 +327,13 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
         best, rank = _best(q, d, x, k)
         return pa.table({"query_id": pa.array(q[best]), "rank": pa.array(rank.astype(np.int32)), "doc_id": pa.array(d[best], mask=d[best] == NO_ID), "score": pa.array(x[best])})
 
-    def best_of(block: int) -> DataFrame:
-        """The best of a block of queries: what a shard finds for PART queries is one row, and rows are merged in two steps where shards are many."""
-        # One block goes to every task: its terms and codes, at most some QUERY_BYTES.
+    def send(block: int):
+        """One block goes to every task: its terms and codes, at most some QUERY_BYTES."""
         row = packed.where(F.col("block") == block).first()
-        sent = spark.sparkContext.broadcast({c: bytes(row[c]) if row else b"" for c in _BLOCK})
+        return spark.sparkContext.broadcast({c: bytes(row[c]) if row else b"" for c in _BLOCK})
+
+    def best_of(sent) -> DataFrame:
+        """The best of a block of queries: what a shard finds for PART queries is one row, and rows are merged in two steps where shards are many."""
         schema = "part int, shard long, queries binary, docs binary, scores binary"
         found = index.mapInArrow(B.released(lambda batches: run(batches, sent)), schema)
         if whole["shards"] > MERGED:
@@ -336,7 +341,9 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
         return found.groupBy("part").applyInArrow(last, "query_id long, rank int, doc_id long, score double")
 
     if blocks == 1:
-        return best_of(0)
+        return best_of(send(0))
     for block in range(blocks):
-        best_of(block).write.mode("append").parquet(f"{store.path}/found")
+        sent = send(block)
+        best_of(sent).write.mode("append").parquet(f"{store.path}/found")
+        sent.destroy()  # or executors keep every block
     return spark.read.schema("query_id long, rank int, doc_id long, score double").parquet(f"{store.path}/found")

@@ -1,6 +1,7 @@
 """The corpus operators against plain versions on small fixtures, with nulls, ties, repeats and long texts."""
 
 import hashlib
+import json
 import random
 import re
 from collections import Counter
@@ -189,6 +190,28 @@ def test_bpe_edges(spark):
         byte_bpe.encode(odd, {b"a": 0}, public_tokenizers.PATTERN)
 
 
+def test_bpe_rank_map(spark):
+    """One number a place has the rank of each pair, and of no other; words that a part's number has no room for are merged elsewhere."""
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    held = json.loads(byte_bpe._rank_map(ranks))
+    rows, pairs = held["rows"], held["pairs"]
+    assert sum(map(len, held.values())) == 256 + len(rows) + len(pairs)
+    piece, r = {v: k for k, v in ranks.items()}, random.Random(5)
+    some = [(ranks[t[:i]], ranks[t[i:]]) for t in ranks for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+    for a, b in some + [(r.randrange(len(rows)), r.randrange(len(rows) + 1)) for _ in range(20_000)]:
+        found = pairs[(rows[a] + b) % len(pairs)]
+        assert (found % (1 << byte_bpe.ID_BITS) if found >> byte_bpe.ID_BITS == a + 1 else None) == (ranks.get(piece[a] + piece[b]) if b in piece else None)
+    with pytest.raises(ValueError, match="over"):
+        byte_bpe._rank_map({**{bytes([b]): b for b in range(256)}, b"ab": 1 << byte_bpe.ID_BITS})
+    table = spark.createDataFrame([(1, "x" * 4200)], "doc_id int, text string")
+    assert tuple(byte_bpe.encode(table, ranks, public_tokenizers.PATTERN, longest=10_000).first().ids) == byte_bpe.merge(b"x" * 4200, ranks)
+
+
+def test_bpe_joined(spark):
+    table = spark.createDataFrame([([],), ([7],), ([0, 12, 50_255],), (None,)], "ids array<int>")
+    assert [x[0] for x in table.select(byte_bpe.joined(table.ids)).collect()] == ["", "7", "0,12,50255", None]
+
+
 def test_pii_base():
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 

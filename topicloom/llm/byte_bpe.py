@@ -40,6 +40,8 @@ CHUNK_WORDS = 150_000
 BUCKET_BYTES = 8 << 20
 #: Bytes of the longest word that is folded.
 LONGEST = 256
+#: Bits of an id, and of a byte's place in a word that is folded; the fold keeps both and a rank in one number.
+ID_BITS, PLACE_BITS = 24, 12
 #: Characters of the longest stretch between spaces whose words are remembered.
 REMEMBERED = 128
 
@@ -76,10 +78,10 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
 
 
 def _rank_map(ranks: dict[bytes, int]) -> str:
-    """The rank map as JSON: bytes (id of each), rows, firsts and ranks, which give the rank of each pair of ids.
+    """The rank map as JSON: bytes (id of each), rows and pairs, which give the rank of each pair of ids.
 
-    The pair (a, b) is at place (rows[a] + b) mod len(ranks): firsts has a there, or else the pair has no rank. A row's
-    place is sought so that no two pairs share one.
+    The pair (a, b) is at place (rows[a] + b) mod len(pairs): there is a + 1 above the lower ID_BITS, which are the rank, or
+    else the pair has none. A row's place is sought so that no two pairs share one.
     """
     if missing := [b for b in range(256) if bytes([b]) not in ranks]:
         raise ValueError(f"bytes without a rank: {missing}")
@@ -90,17 +92,19 @@ def _rank_map(ranks: dict[bytes, int]) -> str:
             if a is not None and b is not None:
                 pairs[a].append((b, rank))
     n_ids = max(ranks.values()) + 1
+    if n_ids >= 1 << ID_BITS:
+        raise ValueError(f"a rank is over {(1 << ID_BITS) - 2}")
     bits = max(n_ids, 4 * sum(map(len, pairs.values())), 2).bit_length()
     mask, place = (1 << bits) - 1, Random(bits)
-    firsts, at_place, rows = [-1] * (1 << bits), [0] * (1 << bits), [0] * n_ids
+    at_place, rows = [0] * (1 << bits), [0] * n_ids
     for a, row in sorted(pairs.items(), key=lambda x: (-len(x[1]), x[0])):
         at = place.getrandbits(bits)
-        while any(firsts[(at + b) & mask] >= 0 for b, _ in row):
+        while any(at_place[(at + b) & mask] for b, _ in row):
             at = place.getrandbits(bits)
         rows[a] = at
         for b, rank in row:
-            firsts[(at + b) & mask], at_place[(at + b) & mask] = a, rank
-    return json.dumps({"bytes": [ranks[bytes([b])] for b in range(256)], "rows": rows, "firsts": firsts, "ranks": at_place}, separators=(",", ":"))
+            at_place[(at + b) & mask] = a + 1 << ID_BITS | rank
+    return json.dumps({"bytes": [ranks[bytes([b])] for b in range(256)], "rows": rows, "pairs": at_place}, separators=(",", ":"))
 
 
 def _let(value: Column, body) -> Column:
@@ -111,37 +115,43 @@ def _let(value: Column, body) -> Column:
 def fold_words(words: Column, rank_map: str) -> Column:
     """array<array<int>>: the ids of each of the words, by a fold of ranked merges. words: array<array<int>>, the bytes of each."""
 
+    none = 1 << ID_BITS  # in the place of a rank; over all of them
+    above = ID_BITS + PLACE_BITS  # the bits below a part's rank
+
     def one(word: Column, ranks: Column) -> Column:
-        rows = ranks["rows"]
-        mask = F.size(ranks["ranks"]) - 1
+        rows, pairs = ranks["rows"], ranks["pairs"]
+        mask = F.size(pairs) - 1
         outside = F.size(rows)  # an id that no pair has, at both ends
 
-        def rank(a: Column, b: Column) -> Column:
-            place = (F.get(rows, a) + b).bitwiseAND(mask)
-            return F.when(F.get(ranks["firsts"], place) == a, F.get(ranks["ranks"], place))
+        def part(a: Column, at: Column, b: Column) -> Column:
+            """The id a that begins at byte ``at``, before b, as one number: the rank of the pair, at, a. So the least part is
+            the leftmost of those of least rank."""
+            found = F.get(pairs, (F.get(rows, a) + b).bitwiseAND(mask))
+            rank = F.least(found.bitwiseXOR(F.shiftleft((a + 1).cast("long"), ID_BITS)), F.lit(none).cast("long"))
+            return F.shiftleft(rank, above) + F.shiftleft(at.cast("long"), ID_BITS) + a
 
-        def step(parts: Column, _: Column) -> Column:
-            """parts: (id, rank of the pair with the next part)."""
+        def id_of(p: Column) -> Column:
+            return p.bitwiseAND(none - 1).cast("int")
+
+        def at_of(p: Column) -> Column:
+            return F.shiftright(p, ID_BITS).bitwiseAND((1 << PLACE_BITS) - 1)
 
-            def merged(best: Column, i: Column) -> Column:
-                after = F.get(parts, i + 1)["id"]
-                kept = F.filter(parts, lambda _, j: j != i)
-                return F.transform(
-                    kept,
-                    lambda p, j: F.when(j == i - 1, F.struct(best.alias("id"), rank(best, after).alias("r")))
-                    .when(j == i - 2, F.struct(p["id"].alias("id"), rank(p["id"], best).alias("r")))
-                    .otherwise(p),
-                )
+        def step(parts: Column, _: Column) -> Column:
+            def merged(least: Column, i: Column) -> Column:
+                """With the part at i, from 1 on, and the next as one, whose id is their rank."""
+                best, before, after = F.shiftright(least, above).cast("int"), F.get(parts, i - 2), F.get(parts, i + 1)
+                new = F.array(part(id_of(before), at_of(before), best), part(best, at_of(least), id_of(after)))
+                return F.concat(F.slice(parts, 1, i - 2), new, F.slice(parts, i + 2, F.size(parts)))
 
-            return _let(F.array_min(parts["r"]), lambda best: F.when(best.isNull(), parts).otherwise(_let(F.array_position(parts["r"], best).cast("int"), lambda i: merged(best, i))))
+            return _let(F.array_min(parts), lambda least: F.when(least >= F.lit(none << above), parts).otherwise(_let(F.array_position(parts, least).cast("int"), lambda i: merged(least, i))))
 
         byte = F.transform(word, lambda b: F.get(ranks["bytes"], b))
-        parts = _let(F.concat(F.array(outside), byte, F.array(outside)), lambda p: F.zip_with(p, F.slice(p, 2, F.size(p)), lambda a, b: F.struct(a.alias("id"), F.when(b.isNotNull(), rank(a, b)).alias("r"))))
-        return F.aggregate(F.slice(word, 2, F.size(word)), parts, step, lambda p: F.slice(p["id"], 2, F.size(p) - 2))
+        parts = _let(F.concat(F.array(outside), byte, F.array(outside)), lambda p: F.transform(p, lambda a, i: part(a, i, F.get(p, i + 1))))
+        return F.aggregate(F.slice(word, 2, F.size(word)), parts, step, lambda p: F.transform(F.slice(p, 2, F.size(p) - 2), id_of))
 
     # Null for a null list, so that the optimizer leaves the map a string, which is cheap to plan with; each chunk reads it once.
     literal = F.when(words.isNotNull(), F.lit(rank_map))
-    return _let(F.from_json(literal, "bytes array<int>, rows array<int>, firsts array<int>, ranks array<int>"), lambda ranks: F.transform(words, lambda w: one(w, ranks)))
+    return _let(F.from_json(literal, "bytes array<int>, rows array<int>, pairs array<long>"), lambda ranks: F.transform(words, lambda w: one(w, ranks)))
 
 
 def _gather(source: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -354,6 +364,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     if spaced is None:
         spaced = all(x in pattern for x in (r" ?\p{L}+", r" ?\p{N}+", r" ?[^\s\p{L}\p{N}]+"))
     rank_map = _rank_map(ranks)
+    longest = min(longest, (1 << PLACE_BITS) - 2)
     thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     size = thin.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // bucket_bytes))
@@ -403,3 +414,8 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") ->
     table = F.from_json(F.lit(json.dumps(pieces, separators=(",", ":"))), "array<string>")
     found = F.transform(ids_col, lambda i: F.coalesce(F.get(table, i), F.raise_error("an id has no piece").cast("string")))
     return encoded.withColumn("decoded", F.unhex(F.array_join(found, "")))
+
+
+def joined(ids: Column) -> Column:
+    """The ids of an array in decimal, with commas between. JSON is written in one go, with no string for each id."""
+    return F.trim(F.to_json(ids), F.lit("[]"))

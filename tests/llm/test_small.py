@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -212,6 +213,30 @@ def test_bpe_joined(spark):
     assert [x[0] for x in table.select(byte_bpe.joined(table.ids)).collect()] == ["", "7", "0,12,50255", None]
 
 
+def test_bpe_gather_is_bounded():
+    """What a worker holds to put ids together is what it puts together and some MB, however many there are."""
+    start, size = np.arange(400_000)[::-1] * 5, np.arange(400_000) % 11
+    size[7] = 500_000
+    source = np.arange(3_000_000, dtype=np.int32)
+    tracemalloc.start()
+    got = byte_bpe._gather(source, start.clip(0, 2_400_000), size)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.tolist() == [x for a, n in zip(start.clip(0, 2_400_000).tolist(), size.tolist(), strict=True) for x in range(a, a + n)]
+    assert most < got.nbytes + (26 << 20)
+    assert len(byte_bpe._gather(source, start[:0], size[:0])) == 0
+
+
+def test_small_chunks_share_buckets(spark, monkeypatch):
+    """Chunks of the pipeline's size bound a worker's memory; they make no more buckets, each of which is a task, than large ones."""
+    made, put = [], byte_bpe.Store.put_bucketed
+    monkeypatch.setattr(byte_bpe.Store, "put_bucketed", lambda self, df, name, buckets, by: made.append((buckets, put(self, df, name, buckets, by))) or made[-1][1])
+    table = spark.createDataFrame([(i, f"word{i} " * 20) for i in range(200)], "doc_id int, text string").coalesce(1)
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    assert byte_bpe.encode(table, ranks, public_tokenizers.PATTERN, chunk_bytes=2000).count() == 200
+    assert made[0][0] == 1 and made[0][1].count() > 5
+
+
 def test_pii_base():
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 

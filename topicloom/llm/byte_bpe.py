@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytes as B
-from .store import Store
+from .store import Store, hand_back
 
 #: Bytes of text, and distinct words, after which a chunk ends, about.
 CHUNK_BYTES = 6 << 20
@@ -42,6 +42,8 @@ BUCKET_BYTES = 8 << 20
 LONGEST = 256
 #: Bits of an id, and of a byte's place in a word that is folded; the fold keeps both and a rank in one number.
 ID_BITS, PLACE_BITS = 24, 12
+#: Values that are gathered at a time, about.
+GATHERED = 1 << 18
 #: Characters of the longest stretch between spaces whose words are remembered.
 REMEMBERED = 128
 
@@ -155,9 +157,18 @@ def fold_words(words: Column, rank_map: str) -> Column:
 
 
 def _gather(source: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """source[start : start + size] of each, end to end."""
+    """source[start : start + size] of each, end to end. Places are made for some GATHERED at a time."""
     ends = np.cumsum(size)
-    return source[np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+    out = np.empty(ends[-1] if len(ends) else 0, source.dtype)
+    row, done = 0, 0
+    while row < len(ends):
+        stop = max(int(np.searchsorted(ends, done + GATHERED, "right")), row + 1)
+        n = size[row:stop]
+        at = np.repeat(start[row:stop] - ends[row:stop] + n, n)
+        at += np.arange(done, ends[stop - 1])
+        out[done : ends[stop - 1]] = source[at]
+        row, done = stop, int(ends[stop - 1])
+    return out
 
 
 class _Chunk:
@@ -368,7 +379,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     size = thin.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // bucket_bytes))
-    parts = max(1, -(-size // chunk_bytes))
+    parts = max(1, -(-size // max(chunk_bytes, CHUNK_BYTES)))  # small chunks share a bucket: more tasks would take more of the driver
     # Bucketed by chunk, so that what is made of the words comes to the chunks and not both to other tasks.
     store = Store(spark, "byte-bpe")
     chunks = store.put_bucketed(_chunks(thin, ranks, pattern, spaced, chunk_bytes, longest, buckets), "chunks", min(parts, 1 << 14), "chunk")
@@ -396,7 +407,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
 
     kind = thin.schema[0].dataType.simpleString()
     found = chunks.select("chunk", "ids", "ends", "codes", "long").groupBy("chunk").cogroup(given.groupBy("chunk")).applyInArrow(put, f"id {kind}, ids array<int>")
-    B.give_back()  # the driver made lists of the rank map
+    hand_back(spark)  # the driver made lists of the rank map
     return found.withColumnRenamed("id", id_col)
 
 

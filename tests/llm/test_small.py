@@ -1,11 +1,14 @@
 """The corpus operators against plain versions on small fixtures, with nulls, ties, repeats and long texts."""
 
+import gc
 import hashlib
 import json
 import random
 import re
+import time
 import tracemalloc
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -15,6 +18,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from topicloom.llm import bm25, byte_bpe, chat, compression_classifier, jaccard_join, mixing, pii, quality_rules, queries, repeated_spans, sharding
+from topicloom.llm.store import hand_back
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, source string, rank int"
@@ -513,3 +517,26 @@ def test_bm25_one_shard_a_file(spark, monkeypatch):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, bm25.search(docs, docs.where("doc_id % 50 = 0"), k=3).collect()))
     files = [r["n"] for r in folders[0].groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
     assert len(files) > 1 and max(files) == 1
+
+
+@pytest.mark.skipif(not Path("/proc/self/smaps_rollup").exists(), reason="memory is read from there")
+def test_freed_memory_outside_the_heap_goes_back(spark):
+    """What the driver's JVM freed outside its heap between blocks that are still in use goes back to the system."""
+    jvm = spark.sparkContext._jvm
+    pid = jvm.java.lang.ProcessHandle.current().pid()
+
+    def held() -> int:
+        return int(re.search(r"Anonymous: +(\d+)", Path(f"/proc/{pid}/smaps_rollup").read_text())[1]) >> 10
+
+    def collect() -> None:
+        for _ in range(3):
+            gc.collect()
+            jvm.java.lang.System.gc()
+            time.sleep(0.5)
+
+    buffers = [jvm.java.nio.ByteBuffer.allocateDirect(1 << 16) for _ in range(3200)]
+    buffers = buffers[::40]
+    collect()
+    before = held()
+    hand_back(spark)
+    assert held() < before - 60 and buffers

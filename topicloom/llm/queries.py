@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25, byte_bpe, chat, compression_classifier, pii
+from . import bm25, byte_bpe, chat, compression_classifier, importance_resampling, pii, setsketch, token_alignment
 from .jaccard_join import near_duplicate_components
 from .mixing import mix
 from .quality_rules import fit_bands, quality_rules
@@ -95,6 +95,24 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = setsketch.near_duplicates(_table(spark, sf_dir, "documents"), words=4, num=80, den=100)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pair = token_alignment.Pair.read(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    found = token_alignment.link_counts(_table(spark, sf_dir, "documents"), pair)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    drawn = importance_resampling.resample(docs, target, grams=(1, 1), buckets=10_000, percent=10, least_words=20, seed=2024)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_mixing": op2_mixing,
@@ -106,14 +124,46 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_sharding": op9_sharding,
     "op10_chat": op10_chat,
+    "op11_setsketch": op11_setsketch,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
+
+
+def _linked(words: int, num: int, out: str) -> str:
+    """SQL of the near-duplicate components by all pairs that share a shingle."""
+    return f"""WITH RECURSIVE texts AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+sets AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {words} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {words - 2}), lambda i: array_to_string(w[i:i + {words - 1}], ' ')) END) AS g FROM texts),
+n AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id), met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sets a JOIN sets b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {num} * (x.n + y.n - c)),
+reach AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT links.a, root FROM reach JOIN links ON links.b = reach.doc_id),
+least AS (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id)
+SELECT {out} FROM documents JOIN least USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
+
 #: DuckDB SQL of the queries that it can express on whole tables.
 ORACLES: dict[str, str] = {
+    "op11_setsketch": _linked(4, 80, "doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept"),
     "op6_bm25": """WITH words AS (SELECT doc_id, unnest(list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) AS term FROM documents),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL), dl AS (SELECT doc_id, sum(tf) AS dl FROM tf GROUP BY doc_id), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 n AS (SELECT count(*) AS n, (SELECT count(*) FROM words) / count(*) AS mean FROM documents),
 im AS (SELECT doc_id, term, tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / mean)) * ln(1 + (n - df + 0.5) / (df + 0.5)) AS s FROM tf JOIN dl USING (doc_id) JOIN df USING (term), n),
 sc AS (SELECT q.doc_id AS query_id, im.doc_id, round(sum(s), 9) AS score FROM tf q JOIN im USING (term) WHERE q.doc_id % 100 = 0 GROUP BY ALL)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, round(score, 6) AS score FROM sc QUALIFY rank <= 10""",
+    # crc32 is folded byte by byte over the distinct words, with a table of 256 entries that is made by its rule.
+    "op13_importance_resampling": """WITH crc AS (SELECT list(list_reduce([i, 1, 2, 3, 4, 5, 6, 7, 8], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+found AS (SELECT 'd' AS side, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+UNION ALL SELECT 'b', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+words AS (SELECT side, doc_id, unnest(words) AS word FROM found),
+hexed AS (SELECT DISTINCT word, lower(hex(encode(word))) AS h FROM words),
+coded AS (SELECT word, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length(h)::BIGINT, 2), lambda i: (16 * (strpos('0123456789abcdef', h[i]) - 1) + strpos('0123456789abcdef', h[i + 1]) - 1)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 10000 AS bucket FROM hexed, crc),
+pairs AS (SELECT side, doc_id, bucket FROM words JOIN coded USING (word)),
+counts AS (SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM pairs GROUP BY bucket), totals AS (SELECT sum(s)::DOUBLE AS a, sum(t)::DOUBLE AS b FROM counts),
+gains AS (SELECT bucket, floor(1000.0::DOUBLE * ln((t + 1)::DOUBLE * (a + 10000) / ((s + 1)::DOUBLE * (b + 10000))))::BIGINT AS gain FROM counts, totals),
+sums AS (SELECT doc_id, count(*) AS n, sum(gain)::BIGINT AS g FROM pairs JOIN gains USING (bucket) WHERE side = 'd' GROUP BY doc_id),
+scored AS (SELECT doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(floor(g / n), 0)::BIGINT AS weight,
+coalesce(floor(g / n), 0)::BIGINT + floor(-1000.0::DOUBLE * ln(-ln((('0x' || sha256('2024:' || doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM documents LEFT JOIN sums USING (doc_id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS r, count(*) OVER (PARTITION BY n_features >= 20) AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND r <= 10 * n // 100 THEN r END AS rank FROM ranked""",
 }

@@ -15,8 +15,8 @@ Making registers. A shingle's minima are the first arrivals of a Poisson process
 so they come in ascending order and a set stops once no arrival can be less than any of its minima: some REGISTERS * ln(REGISTERS) arrivals
 a set rather than REGISTERS for each shingle.
 
-Skew. A bucket of many classes is first cut down by leaders: each of its classes is verified against a few of them, linear in the bucket. What remains
-are pairs of classes that are in different components by then.
+Skew. A bucket of many classes is first cut down by leaders: each class is verified against a few of the most central classes that it meets, some LEADERS * ROUNDS in
+all. What remains are pairs of classes that are in different components by then and whose registers' last bits are alike.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytes as B
@@ -40,8 +40,10 @@ REGISTERS, BANDS, ROWS = 256, 51, 5
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 #: Log-likelihood by which another similarity must be better for a pair to be dropped.
 SURE = 20.0
-#: Classes of a bucket from which its leaders are verified first, and their number.
-HOT, LEADERS = 32, 4
+#: Classes of a bucket from which leaders are verified first, leaders that a class is compared with in a round, and rounds.
+HOT, LEADERS, ROUNDS = 32, 4, 2
+#: Columns that hold the last bits of the registers.
+PARITIES = ["q0", "q1", "q2", "q3"]
 #: Arrivals that are drawn at once.
 DRAWN = 1 << 18
 
@@ -167,6 +169,60 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
     return store.put(pairs.join(left, "a").join(right, "b").where((den + num) * common >= num * (F.col("na") + F.col("nb"))).select("a", "b"), "verified")
 
 
+def _parities(classes: DataFrame) -> DataFrame:
+    """(cid, q0 to q3): the last bit of each register."""
+
+    def rows(batches):
+        for batch in B.slices(batches):
+            bits = np.packbits((_matrix(batch.column(1)) & 1).astype(np.uint8), axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(bits[:, i]) for i in range(len(PARITIES)))], ["cid", *PARITIES])
+
+    return classes.select("cid", "registers").mapInArrow(B.released(rows), "cid long, " + ", ".join(f"{q} long" for q in PARITIES))
+
+
+def _meet(num: int, den: int) -> Column:
+    """Rows x and y of one bucket that are in different components and near enough in size."""
+    sizes = den * F.least("x.n", "y.n") >= num * F.greatest("x.n", "y.n")
+    return (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & sizes
+
+
+def _near(num: int, den: int) -> Column:
+    """What the registers' last bits leave possible: registers that differ have unlike ones half of the time, and eight deviations more are let through."""
+    unlike = (1 - num / den) / 2
+    most = REGISTERS * unlike + 8 * math.sqrt(REGISTERS * unlike * (1 - unlike))
+    return sum((F.bit_count(F.col(f"x.{q}").bitwiseXOR(F.col(f"y.{q}"))) for q in PARITIES[1:]), F.bit_count(F.col("x.q0").bitwiseXOR(F.col("y.q0")))) <= most
+
+
+def _with_component(df: DataFrame, comp: DataFrame | None) -> DataFrame:
+    if comp is None:
+        return df.withColumn("comp", F.col("cid"))
+    return df.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("root", "cid")).drop("root")
+
+
+def _with_largest(own: DataFrame) -> DataFrame:
+    """The component that most classes of a bucket are in."""
+    sizes = own.groupBy("token", "comp").agg(F.count("*").alias("c"))
+    return own.join(sizes.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("largest")), "token")
+
+
+def _led(own: DataFrame, first: bool, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of a class and the LEADERS most central leaders that it meets.
+
+    A bucket has two: the most central class of its largest component and that of the others; at first, when all are alone, any
+    class is the second. Once there are components only classes outside the largest are led.
+    """
+    one, inside = F.struct("far", "cid", "n", "comp", *PARITIES), F.col("comp") == F.col("largest")
+    some = F.struct(F.xxhash64("cid").alias("far"), "cid", "n", "comp", *PARITIES)
+    leads = [F.min(one), F.min(some)] if first else [F.min(F.when(inside, one)), F.min(F.when(~inside, one))]
+    leaders = own.groupBy("token").agg(*(x.alias(f"k{i}") for i, x in enumerate(leads)))
+    leaders = leaders.select("token", F.explode(F.array("k0", "k1")).alias("x")).where("x is not null").select("token", "x.*")
+    led = own if first else own.where(~inside)
+    met = leaders.alias("x").join(led.alias("y"), _meet(num, den) & _near(num, den)).select("y.cid", F.struct("x.far", F.col("x.cid").alias("leader")).alias("x"))
+    # A class has two leaders a band at most.
+    few = met.groupBy("cid").agg(F.slice(F.array_sort(F.collect_set("x")), 1, LEADERS).alias("x")).select("cid", F.explode("x.leader").alias("leader"))
+    return few.select(F.least("leader", "cid").alias("a"), F.greatest("leader", "cid").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100, hot: int = HOT) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, class_size, kept.
 
@@ -188,39 +244,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketched = rows.where("registers is not null").select(F.col("rid").alias("cid"), "registers")
     sketched = store.put(sketched.join(classes.select("cid", "digest", "doc_id", "n"), "cid"), "sketched")
 
-    tokens = _banded(sketched)
-    tokens = store.put(tokens, "tokens")
+    tokens = store.put(_banded(sketched), "tokens")
     counts = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
-    buckets = store.put(tokens.join(counts, "token").select("token", "cid", "n", (F.col("c") > hot).alias("hot")), "buckets")
-    sizes = den * F.least("x.n", "y.n") >= num * F.greatest("x.n", "y.n")
-    found = comp = None
-    busy = buckets.where("hot").select("token", "cid", "n")
+    buckets = store.put(tokens.join(counts, "token").select("token", "cid", "n", "c"), "buckets")
+    busy = buckets.where(F.col("c") > hot)
+    links = comp = None
     if not busy.isEmpty():
-        # The same few classes lead in most buckets of a group, since they are chosen by one order of all classes.
-        leaders = busy.groupBy("token").agg(*(F.min(F.struct(F.xxhash64("cid", F.lit(k)).alias("h"), "cid", "n")).alias(f"k{k}") for k in range(LEADERS)))
-        leaders = leaders.select("token", F.explode(F.array_distinct(F.array(*(f"k{k}" for k in range(LEADERS))))).alias("x")).select("token", "x.cid", "x.n")
-        pairs = leaders.alias("x").join(busy.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.cid") != F.col("y.cid")) & sizes)
-        pairs = pairs.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b"))
-        found = _verified(pairs, sketched, docs, words, num, den, store)
-        comp = connected_components(found, store)
-
-    def with_comp(df: DataFrame) -> DataFrame:
-        if comp is None:
-            return df.withColumn("comp", F.col("cid"))
-        return df.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("root", "cid")).drop("root")
-
-    cold = with_comp(buckets.where("not hot"))
-    apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & sizes
-    pairs = cold.alias("x").join(cold.alias("y"), apart & (F.col("x.cid") < F.col("y.cid"))).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
+        # The more company a class has in all its buckets, the nearer it is to the middle of a group.
+        middle = busy.groupBy("cid").agg((-F.sum("c")).alias("far"))
+        busy = store.put(busy.drop("c").join(middle, "cid").join(_parities(sketched), "cid"), "busy")
+        for k in range(ROUNDS):
+            own = store.put(_with_largest(_with_component(busy, comp)), "round")
+            more = _verified(_led(own, k == 0, num, den), sketched, docs, words, num, den, store)
+            links = more if links is None else links.unionAll(more)
+            comp = connected_components(links, store)
+
+    cold = _with_component(buckets.where(F.col("c") <= hot), comp)
+    pairs = cold.alias("x").join(cold.alias("y"), _meet(num, den) & (F.col("x.cid") < F.col("y.cid"))).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
     if comp is not None:
         # Pairs inside a bucket's largest component need no look: one side of each other pair is outside it.
-        own = store.put(with_comp(busy), "busy")
-        largest = own.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("largest"))
-        outside = own.join(largest, "token").where("comp <> largest").drop("largest")
-        more = outside.alias("x").join(own.alias("y"), apart)
+        own = store.put(_with_largest(_with_component(busy, comp)), "busy")
+        more = own.where("comp <> largest").alias("x").join(own.alias("y"), _meet(num, den) & _near(num, den))
         pairs = pairs.unionAll(more.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")))
-    links = _verified(pairs, sketched, docs, words, num, den, store)
-    links = links if found is None else links.unionAll(found)
+    more = _verified(pairs, sketched, docs, words, num, den, store)
+    links = more if links is None else links.unionAll(more)
 
     roots = connected_components(links, store)
     named = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))

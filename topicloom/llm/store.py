@@ -59,10 +59,15 @@ class Store:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def put_bucketed(self, df: DataFrame, name: str, buckets: int, by: str) -> DataFrame:
-        """A table bucketed by a column, so that joins and groups by it need no exchange of it."""
+        """A table bucketed by a column, so that joins and groups by it need no exchange of it.
+
+        The catalog's entry goes again once the table is resolved: the files are the folder's, and the session keeps no name of them.
+        """
         table = f"{name}_{uuid.uuid4().hex}"
         df.write.bucketBy(buckets, by).option("path", self._next(name)).option("compression", "zstd").format("parquet").saveAsTable(table)
-        return self.spark.table(table)
+        found = self.spark.table(table)
+        self.spark.sql(f"DROP TABLE {table}")
+        return found
 
     def drop(self) -> None:
         """Remove the tables; call it once results that read them are written."""

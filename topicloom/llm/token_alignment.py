@@ -31,7 +31,9 @@ from . import bytes as B
 from .store import Store
 
 #: Bytes of text of a chunk, unless one text is longer; texts that are encoded at once.
-CHUNK, AT_ONCE = 4 << 20, 256
+CHUNK, AT_ONCE = 2 << 20, 256
+#: Bytes of text of a bucket of chunks, about.
+BUCKET = 8 << 20
 #: Bytes of a stripe's matrix, about.
 BLOCK = 48 << 20
 #: Chunks of a stripe that one group of a task sums up.
@@ -62,7 +64,7 @@ def _byte_of_letter() -> dict[str, int]:
 
 @lru_cache(maxsize=2)
 def _coders(pair: Pair) -> tuple:
-    """(encode A, encode B, bytes of A's tokens, bytes of B's tokens), once in a worker."""
+    """(A ids of a text or None where they don't give it back, B ids of texts, bytes of A's tokens, bytes of B's), once in a worker."""
     about, letters = json.loads(pair.a), _byte_of_letter()
     model, added = about["model"], {t["id"] for t in about["added_tokens"]}
     ranks = {bytes(letters[c] for c in piece): i for piece, i in model["vocab"].items() if i not in added}
@@ -76,14 +78,15 @@ def _coders(pair: Pair) -> tuple:
         # The order of the merges is that of the ids, so ranks say the same and are merged faster.
         coder = tiktoken.Encoding("a", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
-        def encode_a(texts: list[str]) -> list[list[int]]:
-            return [coder.encode_ordinary(t) for t in texts]
+        def encode_a(text: str) -> np.ndarray | None:
+            return coder.encode_to_numpy(text, disallowed_special=())  # every byte has an id, so what is merged is the text
     else:
         own = tokenizers.Tokenizer.from_str(pair.a)
         own.encode_special_tokens = True
 
-        def encode_a(texts: list[str]) -> list[list[int]]:
-            return [e.ids for e in own.encode_batch_fast(texts, add_special_tokens=False)]
+        def encode_a(text: str) -> np.ndarray | None:
+            ids = own.encode(text, add_special_tokens=False).ids
+            return np.array(ids, np.int32) if b"".join([a_bytes[i] for i in ids]) == text.encode() else None
 
     pieces = sentencepiece.SentencePieceProcessor(model_proto=pair.b)
     b_bytes = [bytes([int(p[1:-1], 16)]) if pieces.is_byte(i) else p.replace("▁", " ").encode() for i, p in ((i, pieces.id_to_piece(i)) for i in range(pieces.get_piece_size()))]
@@ -98,58 +101,71 @@ def _sizes(pair: Pair) -> tuple[np.ndarray, np.ndarray]:
 
 def _encoded(texts: list[str | None], pair: Pair) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(A ids, their number by text, B ids, their number by text). A text that either does not give back has none."""
-    encode_a, encode_b, a_bytes, b_bytes = _coders(pair)
+    encode_a, encode_b, _, b_bytes = _coders(pair)
     a_ids, b_ids = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
     n_a, n_b = np.zeros(len(texts), np.int32), np.zeros(len(texts), np.int32)
     for start in range(0, len(texts), AT_ONCE):
         some = [t or "" for t in texts[start : start + AT_ONCE]]
-        for i, (text, a, b) in enumerate(zip(some, encode_a([" " + t for t in some]), encode_b(some), strict=True), start):
-            whole = b" " + text.encode()
-            if text and b"".join([a_bytes[x] for x in a]) == whole and b"".join([b_bytes[x] for x in b]) == whole:
+        for i, (text, b) in enumerate(zip(some, encode_b(some), strict=True), start):
+            whole = " " + text
+            if text and b"".join([b_bytes[x] for x in b]) == whole.encode() and (a := encode_a(whole)) is not None:
                 n_a[i], n_b[i] = len(a), len(b)
-                a_ids.append(np.array(a, np.int32))
+                a_ids.append(a.astype(np.int32))
                 b_ids.append(np.array(b, np.int32))
     return np.concatenate(a_ids), n_a, np.concatenate(b_ids), n_b
 
 
-def _linked(a: np.ndarray, b: np.ndarray, sizes: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place of the A token, place of the B token, byte at which the link ends) of all links of texts that lie end to end."""
+def _numbered(ends: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """(whether a token ends before a byte's place, number of tokens that end before it) for places 0 to total."""
+    mark = np.zeros(total + 1, bool)
+    mark[ends] = True
+    return mark, np.cumsum(mark, dtype=np.int64)
+
+
+def _linked(a: np.ndarray, b: np.ndarray, sizes: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the A token, place of the B token) of all links of texts that lie end to end: one before each end of either."""
     a_end, b_end = np.cumsum(sizes[0][a]), np.cumsum(sizes[1][b])
-    ends = np.union1d(a_end, b_end)
-    return np.searchsorted(a_end, ends), np.searchsorted(b_end, ends), ends
+    total = int(a_end[-1]) if len(a) else 0
+    (a_mark, a_number), (b_mark, b_number) = _numbered(a_end, total), _numbered(b_end, total)
+    ends = np.flatnonzero(a_mark | b_mark)
+    return a_number[ends] - a_mark[ends], b_number[ends] - b_mark[ends]
 
 
 def _groups(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray, sizes: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(groups by text, group of each A token, group of each B token), groups counted through all texts."""
     a_end, b_end = np.cumsum(sizes[0][a]), np.cumsum(sizes[1][b])
-    cuts = np.intersect1d(a_end, b_end, assume_unique=True)
-    of_text = np.diff(np.searchsorted(cuts, np.concatenate([[0], a_end])[np.concatenate([[0], np.cumsum(n_a)])], "right"))
-    return of_text, np.searchsorted(cuts, a_end), np.searchsorted(cuts, b_end)
-
-
-def _as_text(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray, sizes: tuple[np.ndarray, np.ndarray]) -> list[str]:
-    """``a1,a2|b1;a3|b2,b3`` of each text: A and B ids of its groups, in order."""
-    _, of_a, of_b = _groups(a, n_a, b, n_b, sizes)
-    ids, side = np.concatenate([a, b]), np.concatenate([np.zeros(len(a), np.int8), np.ones(len(b), np.int8)])
-    group = np.concatenate([of_a, of_b]) * 2 + side
-    order = np.argsort(group, kind="stable")
-    ids, group = ids[order], group[order]
-    # What follows an id: more of its side, the other side of its group, or another group.
-    after = np.full(len(ids), ord(";"), np.uint8)
-    after[:-1][group[1:] == group[:-1]] = ord(",")
-    after[:-1][(group[1:] == group[:-1] + 1) & (group[:-1] % 2 == 0)] = ord("|")
-    width = len(str(max(int(ids.max(initial=0)), 1))) + 1
-    digits = np.zeros((len(ids), width), np.uint8)
-    left, many = ids.copy(), np.ones(len(ids), bool)
-    for place in range(width - 2, -1, -1):
-        digits[many, place] = 48 + left[many] % 10
-        left //= 10
-        many = left > 0
-    digits[:, -1] = after
-    used = digits > 0
-    flat, at = digits[used].tobytes(), np.concatenate([[0], np.cumsum(used.sum(1))])
-    bounds = at[np.concatenate([[0], np.cumsum(n_a + n_b)])]
-    return [flat[x : max(x, y - 1)].decode() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+    total = int(a_end[-1]) if len(a) else 0
+    cut = _numbered(a_end, total)[0] & _numbered(b_end, total)[0]
+    number = np.cumsum(cut)
+    of_text = np.diff(number[np.concatenate([[0], a_end])[np.concatenate([[0], np.cumsum(n_a)])]])
+    return of_text, number[a_end] - cut[a_end], number[b_end] - cut[b_end]
+
+
+def _digits(most: int) -> np.ndarray:
+    """The decimal digits of 0 to ``most``, right-aligned behind zero bytes, with a place for what follows."""
+    width, n = len(str(most)) + 1, np.arange(most + 1)
+    out = np.zeros((most + 1, width), np.uint8)
+    for k in range(width - 1):
+        out[:, width - 2 - k] = np.where((n >= 10**k) | (k == 0), 48 + n // 10**k % 10, 0)
+    return out
+
+
+def _as_text(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray, sizes: tuple[np.ndarray, np.ndarray], digits: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    """(groups by text, ``a1,a2|b1;a3|b2,b3`` of each: A and B ids of its groups, in order)."""
+    n_groups, of_a, of_b = _groups(a, n_a, b, n_b, sizes)
+    total = int(n_groups.sum())
+    # A group's A tokens come after all B tokens of those before, its B tokens after its own A tokens.
+    a_until, b_until = np.cumsum(np.bincount(of_a, minlength=total)), np.cumsum(np.bincount(of_b, minlength=total))
+    at_a, at_b = np.arange(len(a)) + np.concatenate([[0], b_until])[of_a], np.arange(len(b)) + a_until[of_b]
+    table = np.empty((len(a) + len(b), digits.shape[1]), np.uint8)
+    table[at_a], table[at_b] = digits[a], digits[b]
+    table[:, -1] = ord(",")
+    table[a_until + np.concatenate([[0], b_until[:-1]]) - 1 if total else [], -1] = ord("|")
+    table[a_until + b_until - 1, -1] = ord(";")
+    used = table > 0
+    flat, ends = table[used].tobytes(), np.cumsum(np.count_nonzero(used, axis=1))
+    bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n_a + n_b)])]
+    return n_groups, [flat[x : max(x, y - 1)].decode() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def align(docs: DataFrame, pair: Pair, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,6 +203,14 @@ def _keys(a: np.ndarray, b: np.ndarray, stripes: int, width: int, rows: int) ->
     return (b.astype(np.int64) % stripes * rows + b // stripes) * width + a
 
 
+def _dtype(sizes: np.ndarray) -> type:
+    return np.uint16 if len(sizes) <= 1 << 16 else np.uint32
+
+
+def _narrow(ids: np.ndarray, sizes: np.ndarray) -> bytes:
+    return ids.astype(_dtype(sizes)).tobytes()
+
+
 def _chunks(docs: DataFrame, pair: Pair, chunk_bytes: int) -> DataFrame:
     """Rows of two kinds. A chunk: its documents with the numbers of their tokens, and all ids. An asking row: pairs of one stripe, with counts."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -201,7 +225,7 @@ def _chunks(docs: DataFrame, pair: Pair, chunk_bytes: int) -> DataFrame:
             for first, last, _, _ in B.blocks(np.zeros(0, np.uint8), offsets, chunk_bytes):
                 part = batch.slice(first, last - first)
                 a, n_a, b, n_b = _encoded(part.column(1).to_pylist(), pair)
-                of_a, of_b, _ = _linked(a, b, sizes)
+                of_a, of_b = _linked(a, b, sizes)
                 keys, counts = np.unique(_keys(a[of_a], b[of_b], stripes, width, per), return_counts=True)
                 cell = per * width
                 at = np.searchsorted(keys, np.arange(stripes + 1) * cell)
@@ -213,7 +237,7 @@ def _chunks(docs: DataFrame, pair: Pair, chunk_bytes: int) -> DataFrame:
                     [
                         pa.array([task + seq] * (n + 1), pa.int64()), pa.array([None, *asked.tolist()], pa.int32()),
                         pa.ListArray.from_arrays(pa.array([0, len(part)] + [len(part)] * n, pa.int32()), members),
-                        pa.array([a.tobytes()] + [None] * n, pa.binary()), pa.array([b.tobytes()] + [None] * n, pa.binary()), pa.array([None, *packed], pa.binary()),
+                        pa.array([_narrow(a, sizes[0])] + [None] * n, pa.binary()), pa.array([_narrow(b, sizes[1])] + [None] * n, pa.binary()), pa.array([None, *packed], pa.binary()),
                     ],
                     ["chunk", "stripe", "docs", "a", "b", "pairs"],
                 )
@@ -313,7 +337,9 @@ def link_counts(docs: DataFrame, pair: Pair, id_col: str = "doc_id", text_col: s
     store = Store(docs.sparkSession, "align")
     docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = store.put(_chunks(docs, pair, chunk_bytes), "chunks", file_rows=4096)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # Bucketed by chunk, so that the answers come to the chunks, and the ids are not exchanged.
+    rows = store.put_bucketed(_chunks(docs, pair, chunk_bytes), "chunks", min(max(1, -(-size // BUCKET)), 1 << 14), "chunk")
     chunks = rows.where("stripe is null").select("chunk", "docs", "a", "b")
     parts = max(1, -(-chunks.count() // part))
     asks = rows.where("stripe is not null").select("stripe", F.pmod(F.xxhash64("chunk"), F.lit(parts)).cast("int").alias("part"), "chunk", "pairs")
@@ -327,14 +353,15 @@ def link_counts(docs: DataFrame, pair: Pair, id_col: str = "doc_id", text_col: s
     def score(batches):
         stripes, width = _stripes(pair)
         sizes = _sizes(pair)
-        per = -(-len(sizes[1]) // stripes)
+        per, digits = -(-len(sizes[1]) // stripes), _digits(max(map(len, sizes)))
         for batch in batches:
             for k in range(batch.num_rows):
                 members = batch.column(0).slice(k, 1).flatten()
                 n_a, n_b = (members.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n_a", "n_b"))
-                a, b = (np.frombuffer(batch.column(i)[k].as_buffer(), np.int32) for i in (1, 2))
-                of_a, of_b, _ = _linked(a, b, sizes)
-                _, pair_of = np.unique(_keys(a[of_a], b[of_b], stripes, width, per), return_inverse=True)
+                a, b = (np.frombuffer(batch.column(i + 1)[k].as_buffer(), _dtype(sizes[i])).astype(np.int32) for i in (0, 1))
+                of_a, of_b = _linked(a, b, sizes)
+                keys = _keys(a[of_a], b[of_b], stripes, width, per)
+                pair_of = np.searchsorted(np.unique(keys), keys)
                 told = sorted(batch.column(3)[k].as_py() or [], key=lambda x: x["stripe"])
                 sums = [np.frombuffer(x["sums"], np.int64) for x in told]
                 best = [np.unpackbits(np.frombuffer(x["best"], np.uint8), count=len(s)) for x, s in zip(told, sums, strict=True)]
@@ -342,9 +369,9 @@ def link_counts(docs: DataFrame, pair: Pair, id_col: str = "doc_id", text_col: s
                 ends = np.concatenate([[0], np.cumsum(n_a)])
                 bounds = np.searchsorted(of_a, ends)
                 totals = [np.diff(np.concatenate([[0], np.cumsum(x)])[bounds]) for x in (best, sums)]
-                n_groups, _, _ = _groups(a, n_a, b, n_b, sizes)
+                n_groups, groups = _as_text(a, n_a, b, n_b, sizes, digits)
                 numbers = [pa.array(x, pa.int64()) for x in (n_a, n_b, n_groups, np.diff(bounds), *totals)]
-                whole = pa.RecordBatch.from_arrays([members.field("doc_id"), *numbers, pa.array(_as_text(a, n_a, b, n_b, sizes), pa.string())], OUT)
+                whole = pa.RecordBatch.from_arrays([members.field("doc_id"), *numbers, pa.array(groups, pa.string())], OUT)
                 yield from B.slices(iter([whole]), AT_ONCE)
 
     joined = chunks.join(answers, "chunk", "left").select("docs", "a", "b", "answers")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import bytes as B
 from . import idfilter
 from .components import connected_components
-from .jaccard_join import _digest_of, _sets, _shingles
+from .jaccard_join import _digest_of, _near, _parity, _sets, _shingles
 from .store import Store
 
 #: Registers of a sketch, of which BANDS * ROWS are in bands.
@@ -42,8 +42,8 @@ BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 SURE = 20.0
 #: Classes of a bucket from which leaders are verified first, leaders that a class is compared with in a round, and rounds.
 HOT, LEADERS, ROUNDS = 32, 4, 2
-#: Columns that hold the last bits of the registers.
-PARITIES = ["q0", "q1", "q2", "q3"]
+#: Columns that hold the last bits of the registers, and the parities of a set's members by the last bits of their hashes.
+LAST, PARITIES = ["q0", "q1", "q2", "q3"], [f"b{i}" for i in range(8)]
 #: Arrivals that are drawn at once.
 DRAWN = 1 << 18
 
@@ -114,24 +114,32 @@ def estimate(x: np.ndarray, y: np.ndarray, n_x: np.ndarray, n_y: np.ndarray, aga
 
 
 def _sketches(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, digest, registers) of each row; registers are null for a set that can be like no other."""
+    """(doc_id, n, digest, registers, their last bits, parities) of each row; registers are null for a set that can be like no other."""
 
     def rows(batches):
         for batch in B.slices(batches, 1024):
-            sizes, digests, registers = [], [], []
+            sizes, digests, registers, parities = [np.zeros(0, np.int64)], [], [np.zeros((0, REGISTERS), np.uint16)], [np.zeros((0, 8), np.int64)]
             for _, grams, bounds in _shingles(batch, words):
                 sets = [np.unique(grams[bounds[t] : bounds[t + 1]]) for t in range(len(bounds) - 1)]
                 n = np.array([len(s) for s in sets], np.int64)
                 # The most alike of all other sets has one shingle more.
                 able = den * n >= num * (n + 1)
-                made = iter(registers_of(np.concatenate([s for s, ok in zip(sets, able, strict=True) if ok]), np.concatenate([[0], np.cumsum(n[able])])) if able.any() else ())
+                made = np.zeros((len(sets), REGISTERS), np.uint16)
+                if able.any():
+                    made[able] = registers_of(np.concatenate([s for s, ok in zip(sets, able, strict=True) if ok]), np.concatenate([[0], np.cumsum(n[able])]))
                 sizes.append(n)
                 digests += [_digest_of(s) for s in sets]
-                registers += [next(made).tobytes() if ok else None for ok in able]
-            columns = [batch.column(0), pa.array(np.concatenate([np.zeros(0, np.int64), *sizes])), pa.array(digests, pa.binary()), pa.array(registers, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "digest", "registers"])
+                registers.append(made)
+                parities.append(np.array([_parity(s, 512) for s in sets], np.int64).reshape(-1, 8))
+            n, matrix = np.concatenate(sizes), np.concatenate(registers)
+            able = den * n >= num * (n + 1)
+            packed = pa.array([r.tobytes() if ok else None for r, ok in zip(matrix, able, strict=True)], pa.binary())
+            bits = np.concatenate([np.packbits((matrix & 1).astype(np.uint8), axis=1).view(np.int64), np.concatenate(parities)], axis=1)
+            columns = [batch.column(0), pa.array(n), pa.array(digests, pa.binary()), packed, *(pa.array(bits[:, i]) for i in range(bits.shape[1]))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "digest", "registers", *LAST, *PARITIES])
 
-    return docs.mapInArrow(B.released(rows), "doc_id long, n long, digest binary, registers binary")
+    longs = ", ".join(f"{c} long" for c in LAST + PARITIES)
+    return docs.mapInArrow(B.released(rows), f"doc_id long, n long, digest binary, registers binary, {longs}")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -151,15 +159,15 @@ def _banded(classes: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, num: int, den: int, store: Store) -> DataFrame:
     """The pairs (a, b) of classes whose whole sets reach the threshold; first the registers are asked."""
-    x, y = (classes.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("registers").alias(f"r{c}")) for c in "ab")
-
     def likely(batches):
         for batch in B.slices(batches, 4096):
             n_a, n_b = (batch.column(i).to_numpy().astype(np.float64) for i in (2, 3))
             best, gain = estimate(_matrix(batch.column(4)), _matrix(batch.column(5)), n_a, n_b, num / den)
             yield batch.filter(pa.array((best >= num / den) | (gain <= SURE))).select(["a", "b"])
 
-    met = pairs.distinct().join(x, "a").join(y, "b").select("a", "b", "na", "nb", "ra", "rb")
+    thin = classes.select("cid", "n", "registers", *LAST, *PARITIES)
+    met = pairs.distinct().join(thin.alias("x"), F.col("a") == F.col("x.cid")).join(thin.alias("y"), (F.col("b") == F.col("y.cid")) & _alike(num, den))
+    met = met.select("a", "b", F.col("x.n").alias("na"), F.col("y.n").alias("nb"), F.col("x.registers").alias("ra"), F.col("y.registers").alias("rb"))
     pairs = store.put(met.mapInArrow(B.released(likely), "a long, b long"), "likely")
     nodes = store.put(classes.join(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid").select("cid", "digest", "doc_id", "n"), "nodes")
     sets = _sets(docs, words, idfilter.bits_of(nodes))
@@ -169,28 +177,21 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
     return store.put(pairs.join(left, "a").join(right, "b").where((den + num) * common >= num * (F.col("na") + F.col("nb"))).select("a", "b"), "verified")
 
 
-def _parities(classes: DataFrame) -> DataFrame:
-    """(cid, q0 to q3): the last bit of each register."""
-
-    def rows(batches):
-        for batch in B.slices(batches):
-            bits = np.packbits((_matrix(batch.column(1)) & 1).astype(np.uint8), axis=1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(bits[:, i]) for i in range(len(PARITIES)))], ["cid", *PARITIES])
-
-    return classes.select("cid", "registers").mapInArrow(B.released(rows), "cid long, " + ", ".join(f"{q} long" for q in PARITIES))
-
-
 def _meet(num: int, den: int) -> Column:
     """Rows x and y of one bucket that are in different components and near enough in size."""
     sizes = den * F.least("x.n", "y.n") >= num * F.greatest("x.n", "y.n")
     return (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & sizes
 
 
-def _near(num: int, den: int) -> Column:
-    """What the registers' last bits leave possible: registers that differ have unlike ones half of the time, and eight deviations more are let through."""
+def _alike(num: int, den: int) -> Column:
+    """What the members' parities leave possible, which is exact and tells small sets apart, and the registers' last bits, which do for large ones.
+
+    Registers that differ have unlike last bits half of the time, and eight deviations more are let through.
+    """
     unlike = (1 - num / den) / 2
     most = REGISTERS * unlike + 8 * math.sqrt(REGISTERS * unlike * (1 - unlike))
-    return sum((F.bit_count(F.col(f"x.{q}").bitwiseXOR(F.col(f"y.{q}"))) for q in PARITIES[1:]), F.bit_count(F.col("x.q0").bitwiseXOR(F.col("y.q0")))) <= most
+    apart = sum((F.bit_count(F.col(f"x.{q}").bitwiseXOR(F.col(f"y.{q}"))) for q in LAST[1:]), F.bit_count(F.col("x.q0").bitwiseXOR(F.col("y.q0"))))
+    return _near("x", "y", num, den) & (apart <= most)
 
 
 def _with_component(df: DataFrame, comp: DataFrame | None) -> DataFrame:
@@ -211,13 +212,13 @@ def _led(own: DataFrame, first: bool, num: int, den: int) -> DataFrame:
     A bucket has two: the most central class of its largest component and that of the others; at first, when all are alone, any
     class is the second. Once there are components only classes outside the largest are led.
     """
-    one, inside = F.struct("far", "cid", "n", "comp", *PARITIES), F.col("comp") == F.col("largest")
-    some = F.struct(F.xxhash64("cid").alias("far"), "cid", "n", "comp", *PARITIES)
+    one, inside = F.struct("far", "cid", "n", "comp", *LAST, *PARITIES), F.col("comp") == F.col("largest")
+    some = F.struct(F.xxhash64("cid").alias("far"), "cid", "n", "comp", *LAST, *PARITIES)
     leads = [F.min(one), F.min(some)] if first else [F.min(F.when(inside, one)), F.min(F.when(~inside, one))]
     leaders = own.groupBy("token").agg(*(x.alias(f"k{i}") for i, x in enumerate(leads)))
     leaders = leaders.select("token", F.explode(F.array("k0", "k1")).alias("x")).where("x is not null").select("token", "x.*")
     led = own if first else own.where(~inside)
-    met = leaders.alias("x").join(led.alias("y"), _meet(num, den) & _near(num, den)).select("y.cid", F.struct("x.far", F.col("x.cid").alias("leader")).alias("x"))
+    met = leaders.alias("x").join(led.alias("y"), _meet(num, den) & _alike(num, den)).select("y.cid", F.struct("x.far", F.col("x.cid").alias("leader")).alias("x"))
     # A class has two leaders a band at most.
     few = met.groupBy("cid").agg(F.slice(F.array_sort(F.collect_set("x")), 1, LEADERS).alias("x")).select("cid", F.explode("x.leader").alias("leader"))
     return few.select(F.least("leader", "cid").alias("a"), F.greatest("leader", "cid").alias("b"))
@@ -241,7 +242,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = store.put(_sketches(docs, words, num, den).withColumn("rid", F.monotonically_increasing_id()), "rows")
     classes = rows.where("n > 0").groupBy("digest").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("n").cast("int").alias("n"))
     classes = store.put(classes, "classes")
-    sketched = rows.where("registers is not null").select(F.col("rid").alias("cid"), "registers")
+    sketched = rows.where("registers is not null").select(F.col("rid").alias("cid"), "registers", *LAST, *PARITIES)
     sketched = store.put(sketched.join(classes.select("cid", "digest", "doc_id", "n"), "cid"), "sketched")
 
     tokens = store.put(_banded(sketched), "tokens")
@@ -252,7 +253,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not busy.isEmpty():
         # The more company a class has in all its buckets, the nearer it is to the middle of a group.
         middle = busy.groupBy("cid").agg((-F.sum("c")).alias("far"))
-        busy = store.put(busy.drop("c").join(middle, "cid").join(_parities(sketched), "cid"), "busy")
+        busy = store.put(busy.drop("c").join(middle, "cid").join(sketched.select("cid", *LAST, *PARITIES), "cid"), "busy")
         for k in range(ROUNDS):
             own = store.put(_with_largest(_with_component(busy, comp)), "round")
             more = _verified(_led(own, k == 0, num, den), sketched, docs, words, num, den, store)
@@ -264,7 +265,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if comp is not None:
         # Pairs inside a bucket's largest component need no look: one side of each other pair is outside it.
         own = store.put(_with_largest(_with_component(busy, comp)), "busy")
-        more = own.where("comp <> largest").alias("x").join(own.alias("y"), _meet(num, den) & _near(num, den))
+        more = own.where("comp <> largest").alias("x").join(own.alias("y"), _meet(num, den) & _alike(num, den))
         pairs = pairs.unionAll(more.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")))
     more = _verified(pairs, sketched, docs, words, num, den, store)
     links = more if links is None else links.unionAll(more)

@@ -64,7 +64,14 @@ def op6_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeated(_table(spark, sf_dir, "documents"), length=400).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    """Beside the contract's columns: whether anything went, the removed runs, and what is left as text.
+
+    kept_text is null where nothing went; what is left of a code point of which a part went is U+FFFD in it.
+    """
+    found = remove_repeated(_table(spark, sf_dir, "documents"), length=400, text_too=True)
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["first"].cast("string"), s["after"].cast("string"))), ",")
+    left = F.make_valid_utf8(F.col("kept").cast("string"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_removed") > 0).alias("repeats"), spans.alias("spans"), left.alias("kept_text"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

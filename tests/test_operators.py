@@ -127,11 +127,11 @@ def test_row_caps_are_no_skips(spark):
 @pytest.mark.parametrize("method", ["eom", "leaf"])
 def test_hdbscan_beyond_one_task(spark, method, monkeypatch):
     """The distributed tree weighs what Prim's does, and gives the same clusters."""
-    from topicloom.operators import boruvka
+    from topicloom.operators import balls, boruvka
     from topicloom.operators.cluster import Hdbscan, core_distances
     from topicloom.operators.kernels import prim
 
-    monkeypatch.setattr(boruvka, "BLOCK", 90)
+    monkeypatch.setattr(balls, "BLOCK", 90)
     rng = np.random.default_rng(5)
     points = np.concatenate([rng.normal(c, 0.3, (150, 3)) for c in ([0, 0, 0], [4, 0, 1], [0, 5, 2])] + [rng.uniform(-3, 8, (60, 3)), np.zeros((5, 3))])
     df = spark.createDataFrame([(i * 7 - 100, p.tolist()) for i, p in enumerate(points)], "doc_id long, reduced array<double>")

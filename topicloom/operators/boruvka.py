@@ -1,9 +1,9 @@
 """A minimum spanning tree under mutual reachability, by Boruvka rounds over blocks of points.
 
-Points are packed into spatial blocks. In each round every component finds its nearest edge to another one: first within
-blocks, which bounds the answer, then between those pairs of blocks whose distance does not exceed a bound. Ties go by
-the ids of an edge's ends, so that no round makes a cycle. No task holds more than two blocks of points; what is one
-row for each component, and at the end one for each edge, is united in one task.
+Points are in cells of space and blocks of these (see ``balls``). In each round every component finds its nearest edge to another one: first within
+blocks, which bounds the answer; then each point whose core distance is within its component's bound looks in the cells that come as near as that.
+Ties go by the ids of an edge's ends, so that no round makes a cycle. Components are united by pointer jumping on the table of chosen
+edges. No task holds more than two blocks of points, and nothing that has a row for each point or component comes to one.
 """
 
 from __future__ import annotations
@@ -11,130 +11,135 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import written
+from .balls import cells_of, packed
 
-#: Points of a block, about.
-BLOCK = 2048
 _EDGE = "comp long, w double, lo long, hi long"
 
 
-def _cells(rows: DataFrame, n: int) -> DataFrame:
-    """``rows`` with block: a cell of a grid over the first two coordinates, large cells dealt out by id."""
-    blocks = max(1, -(-n // BLOCK))
-    strips = max(1, int(round(blocks**0.5)))
-    two = F.least(F.size("reduced"), F.lit(2))
-    at = rows.withColumns({"x": F.col("reduced")[0], "y": F.element_at("reduced", two)})
-    cuts = at.approxQuantile(["x", "y"], [i / strips for i in range(1, strips)], 0.001) if strips > 1 else [[], []]
-    place = lambda c, own: F.size(F.filter(F.array(*(F.lit(v) for v in own)).cast("array<double>"), lambda v: v <= F.col(c)))
-    at = at.withColumn("cell", place("x", cuts[0]) * strips + place("y", cuts[1]))
-    sizes = at.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    return at.join(F.broadcast(sizes), "cell").withColumn("block", F.concat_ws("-", "cell", F.pmod(F.xxhash64("doc_id"), F.col("parts")))).select("doc_id", "reduced", "core", "block")
-
-
-def _nearest(points: np.ndarray, core: np.ndarray, ids: np.ndarray, comp: np.ndarray, others: tuple | None = None) -> list[pd.DataFrame]:
-    """The least edge of each component to another one, between the points and the others (or among themselves)."""
-    y, core_y, ids_y, comp_y = others or (points, core, ids, comp)
-    d = np.maximum((points**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * points @ y.T, 0)
+def _edges(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...]) -> pa.RecordBatch | None:
+    """The least edge of each component of x to another one among y. x, y: ids, points, core distances, components."""
+    (ids, points, core, comp), (far, points_y, core_y, comp_y) = x, y
+    d = np.maximum((points**2).sum(1)[:, None] + (points_y**2).sum(1)[None, :] - 2 * points @ points_y.T, 0)
     # Near pairs lose digits in the product.
     close = np.nonzero(d < 1e-6)
-    d[close] = ((points[close[0]] - y[close[1]]) ** 2).sum(1)
+    d[close] = ((points[close[0]] - points_y[close[1]]) ** 2).sum(1)
     w = np.maximum(np.maximum(np.sqrt(d), core[:, None]), core_y[None, :])
     w[comp[:, None] == comp_y[None, :]] = np.inf
-    out = []
-    for side, own, far, mine in ((w, ids, ids_y, comp), (w.T, ids_y, ids, comp_y)) if others else ((w, ids, ids, comp),):
-        best = side.min(1)
-        rows = np.flatnonzero(np.isfinite(best))
-        if not len(rows):
-            continue
-        # Of a row's equal edges that with the least pair of ids.
-        tie = side[rows] == best[rows, None]
-        lo = np.where(tie, np.minimum(own[rows, None], far[None, :]), np.iinfo(np.int64).max)
-        least = lo.min(1)
-        hi = np.where(tie & (lo == least[:, None]), np.maximum(own[rows, None], far[None, :]), np.iinfo(np.int64).max).min(1)
-        edges = pd.DataFrame({"comp": mine[rows], "w": best[rows], "lo": least, "hi": hi}).sort_values(["comp", "w", "lo", "hi"])
-        out.append(edges.drop_duplicates("comp"))
-    return out
-
-
-def _unite(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Components after their edges are taken: (comp, into, and the edge where it is new)."""
-    into = {c: c for c in pdf["comp"]}
-
-    def top(c: int) -> int:
-        while into[c] != c:
-            into[c] = into[into[c]]
-            c = into[c]
-        return c
-
-    new = []
-    for c, other in zip(pdf["comp"], pdf["other"], strict=True):
-        a, b = top(c), top(other)
-        new.append(a != b)
-        into[max(a, b)] = min(a, b)
-    return pd.DataFrame({"comp": pdf["comp"], "into": [top(c) for c in pdf["comp"]], "new": new, "lo": pdf["lo"], "hi": pdf["hi"], "w": pdf["w"]})
+    best = w.min(1)
+    row, col = np.nonzero(np.isfinite(best)[:, None] & (w == best[:, None]))
+    if not len(row):
+        return None
+    lo, hi = np.minimum(ids[row], far[col]), np.maximum(ids[row], far[col])
+    order = np.lexsort((hi, lo, best[row], comp[row]))
+    row, lo, hi = row[order], lo[order], hi[order]
+    first = np.flatnonzero(np.r_[True, comp[row][1:] != comp[row][:-1]])
+    return pa.RecordBatch.from_arrays([pa.array(comp[row][first]), pa.array(best[row][first]), pa.array(lo[first]), pa.array(hi[first])], ["comp", "w", "lo", "hi"])
+
+
+def _block(batch: pa.RecordBatch, row: int, at: int) -> tuple[np.ndarray, ...]:
+    """ids, points, core distances and components in four columns from ``at`` on."""
+    ids, points, core, comp = (np.frombuffer(batch.column(at + i)[row].as_buffer(), np.float64 if i in (1, 2) else np.int64) for i in range(4))
+    return ids, points.reshape(len(ids), -1), core, comp
+
+
+def _jumped(best: DataFrame) -> DataFrame:
+    """(comp, into) from (comp, other): what each reaches by its chosen edges, by pointer jumping.
+
+    Chosen edges make trees whose only cycle is a pair that chose one another; the lesser of the two is their root.
+    """
+    back = best.select(F.col("comp").alias("other"), F.col("other").alias("back"))
+    mutual = (F.col("back") == F.col("comp")) & (F.col("comp") < F.col("other"))
+    into = written(best.join(back, "other", "left").select("comp", F.when(mutual, F.col("comp")).otherwise(F.col("other")).alias("into")), "into")
+    while True:
+        on = into.select(F.col("comp").alias("into"), F.col("into").alias("on"))
+        jumped = written(into.join(on, "into").select("comp", F.col("on").alias("into"), (F.col("on") != F.col("into")).alias("moved")), "into")
+        into = jumped.select("comp", "into")
+        if jumped.where("moved").isEmpty():
+            return into
 
 
 def spanning_tree(rows: DataFrame) -> DataFrame:
     """(u, v, w): the n - 1 edges of the tree. rows: doc_id (distinct longs), reduced, core. Fewer than two rows have none."""
     spark = rows.sparkSession
-    rows = written(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("reduced").cast("array<double>").alias("reduced"), "core"), "points")
-    n = rows.count()
-    none = spark.createDataFrame([], "u long, v long, w double")
-    if n < 2:
-        return none
-    placed = _cells(rows, n)
-    blocks = written(placed.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("doc_id", "reduced", "core"))).alias("points")), "blocks")
-    where = written(blocks.select("block", F.explode("points.doc_id").alias("doc_id")), "where")
-
-    def ball(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for block, points in zip(pdf["block"], pdf["points"], strict=True):
-                x = np.array([p["reduced"] for p in points])
-                middle = x.mean(0)
-                yield pd.DataFrame({"block": [block], "middle": [middle], "radius": [float(np.sqrt(((x - middle) ** 2).sum(1)).max())]})
-
-    balls = written(blocks.mapInPandas(ball, "block string, middle array<double>, radius double"), "balls")
-    comps, count, tree = where.select("doc_id", F.col("doc_id").alias("comp")), n, none
-
-    def arrays(points, comp) -> tuple[np.ndarray, ...]:
-        return np.array([p["reduced"] for p in points]), np.array([p["core"] for p in points]), np.array([p["doc_id"] for p in points]), np.array(comp)
-
-    def within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for points, comp in zip(pdf["points"], pdf["comp"], strict=True):
-                if len(set(comp)) > 1:
-                    yield from _nearest(*arrays(points, comp))
-
-    def between(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for x, cx, y, cy in zip(pdf["points"], pdf["comp"], pdf["y"], pdf["cy"], strict=True):
-                if len(set(cx) | set(cy)) > 1:
-                    yield from _nearest(*arrays(x, cx), arrays(y, cy))
-
-    while count > 1:
-        own = comps.join(where, "doc_id").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("doc_id", "comp"))).alias("c"))
-        now = written(blocks.join(own, "block").select("block", "points", F.col("c.comp").alias("comp")), "round")
-        least = lambda df: df.groupBy("comp").agg(F.min(F.struct("w", "lo", "hi")).alias("e")).select("comp", "e.*")
-        first = written(least(now.mapInPandas(within, _EDGE)), "within")
-        # A block needs look no further than its components' worst edge so far.
-        bound = now.select("block", F.explode(F.array_distinct("comp")).alias("comp")).join(first.select("comp", "w"), "comp", "left")
-        bound = bound.groupBy("block").agg(F.max(F.coalesce("w", F.lit(float("inf")))).alias("bound"), F.min("comp").alias("least"), F.max("comp").alias("most"))
-        ends = balls.join(bound, "block")
-        a, b = (ends.select(*(F.col(c).alias(f"{c}_{k}") for c in ends.columns)) for k in "ab")
-        apart = F.sqrt(F.aggregate(F.zip_with("middle_a", "middle_b", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, x: s + x)) - F.col("radius_a") - F.col("radius_b")
-        alike = (F.col("least_a") == F.col("most_a")) & (F.col("least_b") == F.col("most_b")) & (F.col("least_a") == F.col("least_b"))
-        pairs = a.join(b, F.col("block_a") < F.col("block_b")).where(~alike & (apart <= F.greatest("bound_a", "bound_b"))).select("block_a", "block_b")
-        met = now.withColumnRenamed("block", "block_a").join(pairs, "block_a").join(now.select(F.col("block").alias("block_b"), F.col("points").alias("y"), F.col("comp").alias("cy")), "block_b")
-        best = least(first.unionByName(met.select("points", "comp", "y", "cy").mapInPandas(between, _EDGE)))
-        to = lambda end: comps.select(F.col("doc_id").alias(end), F.col("comp").alias(f"c_{end}"))
-        best = best.join(to("lo"), "lo").join(to("hi"), "hi").withColumn("other", F.when(F.col("c_lo") == F.col("comp"), F.col("c_hi")).otherwise(F.col("c_lo")))
-        united = best.select("comp", "other", "w", "lo", "hi", F.lit(0).alias("one")).groupBy("one").applyInPandas(_unite, "comp long, into long, new boolean, lo long, hi long, w double")
-        united = written(united, "united")
-        tree = tree.unionByName(united.where("new").select(F.col("lo").alias("u"), F.col("hi").alias("v"), "w"))
-        comps = written(comps.join(united.select("comp", "into"), "comp").select("doc_id", F.col("into").alias("comp")), "components")
-        count = united.select("into").distinct().count()
-    return tree
+    rows = written(rows.select(F.col("doc_id").cast("long").alias("id"), F.col("reduced").cast("array<double>").alias("v"), F.col("core").alias("bound")), "points")
+    tree = spark.createDataFrame([], "u long, v long, w double")
+    if rows.count() < 2:
+        return tree
+    cells, table = cells_of(rows.select("id", "v"))
+    blocks = written(packed(table.join(rows.select("id", "bound"), "id")), "blocks")
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids = np.frombuffer(batch.column(1)[i].as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), batch.column(0)[i].as_py()))], ["id", "block"])
+
+    where = written(blocks.select("block", "ids").mapInArrow(listed, "id long, block long"), "where")
+    comps = where.select("id", "block", F.col("id").alias("comp"))
+
+    def own_comps(df: DataFrame, name: str, value: str) -> DataFrame:
+        """(block, name): one number for each point of a block, in the order of ids. A block has some BLOCK points."""
+
+        def run(t: pa.Table) -> pa.Table:
+            t = t.sort_by("id")
+            numbers = t.column(value).to_numpy()
+            return pa.table({"block": t.column("block").slice(0, 1), name: pa.array([np.ascontiguousarray(numbers).tobytes()], pa.binary())})
+
+        return df.select("block", "id", value).groupBy("block").applyInArrow(run, f"block long, {name} binary")
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x = _block(batch, i, 0)
+                if (x[3] != x[3][0]).any() and (found := _edges(x, x)) is not None:
+                    yield found
+
+    def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x, y = _block(batch, i, 0), _block(batch, i, 4)
+                if ((x[3] != x[3][0]).any() or (y[3] != x[3][0]).any()) and (found := _edges(x, y)) is not None:
+                    yield found
+
+    columns = ["ids", "points", "bounds", "comps"]
+    least = lambda df: df.groupBy("comp").agg(F.min(F.struct("w", "lo", "hi")).alias("e")).select("comp", "e.*")
+    while True:
+        now = written(blocks.join(own_comps(comps, "comps", "comp"), "block"), "round")
+        # Cells of one component alone, of which there are no more than cells.
+        pure = np.full(len(cells.rows), -1, np.int64)
+        in_cell = comps.groupBy(F.shiftright("block", 32).cast("int").alias("cell")).agg(F.min("comp").alias("a"), F.max("comp").alias("b"))
+        whole = in_cell.where("a = b").collect()
+        for r in whole:
+            pure[r["cell"]] = r["a"]
+        if len({r["a"] for r in whole}) == 1 and len(whole) == int((cells.rows > 0).sum()):
+            return tree
+        first = written(least(now.select(*columns).mapInArrow(within, _EDGE)), "within")
+        # A point needs look no further than its component's edge so far.
+        far = comps.join(first.select("comp", "w"), "comp", "left").select("block", "id", F.coalesce("w", F.lit(float("inf"))).alias("w"))
+
+        def look(batches: Iterator[pa.RecordBatch], pure: np.ndarray = pure) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    ids, x, core, comp = _block(batch, i, 1)
+                    w = np.frombuffer(batch.column(5)[i].as_buffer(), np.float64)
+                    reach = cells.reached(x, w) & (core <= w)[:, None] & (pure[None, :] != comp[:, None])
+                    for cell in np.flatnonzero(reach.any(0)):
+                        some = reach[:, cell]
+                        parts = [pa.array([np.ascontiguousarray(v[some]).tobytes()], pa.binary()) for v in (ids, x, core, comp)]
+                        yield pa.RecordBatch.from_arrays([pa.array([int(cell)], pa.int32()), batch.column(0).slice(i, 1), *parts], ["cell", "block", *columns])
+
+        asked = now.join(own_comps(far, "far", "w"), "block").select("block", *columns, "far").mapInArrow(look, "cell int, block long, " + ", ".join(f"{c} binary" for c in columns))
+        to = now.select("cell", F.col("block").alias("to"), *(F.col(c).alias(f"{c}_b") for c in columns))
+        met = asked.join(to, "cell").where("block <> to").select(*columns, *(f"{c}_b" for c in columns))
+        best = least(first.unionByName(met.mapInArrow(between, _EDGE)))
+        end = lambda e: comps.select(F.col("id").alias(e), F.col("comp").alias(f"c_{e}"))
+        best = best.join(end("lo"), "lo").join(end("hi"), "hi").withColumn("other", F.when(F.col("c_lo") == F.col("comp"), F.col("c_hi")).otherwise(F.col("c_lo")))
+        best = written(best.select("comp", "other", "w", "lo", "hi"), "chosen")
+        # Two components that chose one another chose the same edge.
+        tree = tree.unionByName(best.select(F.col("lo").alias("u"), F.col("hi").alias("v"), "w").distinct())
+        comps = written(comps.join(_jumped(best.select("comp", "other")), "comp").select("id", "block", F.col("into").alias("comp")), "components")

@@ -13,55 +13,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.tables import written
+from .balls import nearest
 from .kernels import umap_layout
 
-#: Vectors of a block for which distances are taken at once.
-BLOCK = 2048
-
-
 def nearest_neighbors(df: DataFrame, k: int, id_col: str = "doc_id", vector: str = "reduced", metric: str = "euclidean", base: DataFrame | None = None) -> DataFrame:
     """(id, rank, neighbor, distance): the exact k nearest others of each row, or the nearest rows of ``base``, ties by id.
 
-    Vectors are packed into blocks; each pair of blocks is one matrix product in a task, of which k
-    neighbours a row are kept, so what is exchanged is rows times k times blocks, never all pairs.
+    Rows look in the cells of space that their k-th distance reaches, see ``balls``.
     """
-    def pack(df: DataFrame) -> tuple[DataFrame, int]:
-        blocks = max(1, -(-df.count() // BLOCK))
-        rows = df.select(F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("block"), F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-        return rows.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("rows")), blocks
-
-    asked, blocks = pack(df)
-    packed, others = pack(base) if base is not None else (asked, blocks)
-    pairs = asked.select(F.col("block").alias("a"), F.col("rows").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias("b"))
-    pairs = pairs.join(packed.select(F.col("block").alias("b"), F.col("rows").alias("y")), "b").repartition(max(blocks, 1) * 2, "a", "b")
-
-    among = base is None
-
-    def best(batches):
-        for pdf in batches:
-            for x, y in zip(pdf["x"], pdf["y"], strict=True):
-                xi, yi = np.array([r["id"] for r in x]), np.array([r["id"] for r in y])
-                xv, yv = np.array([r["v"] for r in x]), np.array([r["v"] for r in y])
-                if metric == "cosine":
-                    xv, yv = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300) for v in (xv, yv))
-                    d = 1 - xv @ yv.T
-                else:
-                    d = np.maximum((xv**2).sum(1)[:, None] + (yv**2).sum(1)[None, :] - 2 * xv @ yv.T, 0)
-                if among:
-                    d[xi[:, None] == yi[None, :]] = np.inf
-                # Some more than k by the product, then in order by exact distances.
-                few = min(k + 8, d.shape[1])
-                some = np.sort(np.argpartition(d, few - 1, axis=1)[:, :few], axis=1)
-                near = np.take_along_axis(d, some, 1)
-                if metric != "cosine":
-                    near = np.where(np.isfinite(near), np.sqrt(((yv[some] - xv[:, None, :]) ** 2).sum(2)), np.inf)
-                at = np.argsort(near, axis=1, kind="stable")[:, :k]
-                top, dist = np.take_along_axis(some, at, 1), np.take_along_axis(near, at, 1)
-                ok = np.isfinite(dist)
-                yield pd.DataFrame({"id": np.repeat(xi, top.shape[1])[ok.ravel()], "neighbor": yi[top][ok], "distance": dist[ok]})
-
-    found = pairs.select("x", "y").mapInPandas(best, "id long, neighbor long, distance double")
-    return found.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy("distance", "neighbor"))).where(F.col("rank") <= k).select("id", F.col("rank").cast("int"), "neighbor", "distance")
+    rows = lambda d: d.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    return nearest(rows(df), k, metric, None if base is None else rows(base))
 
 
 @dataclass

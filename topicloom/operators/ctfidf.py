@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import topic_label
+from ..sources.tables import written
 
 
 def class_scores(dtm: DataFrame, assignments: DataFrame, keys: tuple[str, ...] = (), sqrt: bool = False) -> DataFrame:
@@ -18,6 +19,7 @@ def class_scores(dtm: DataFrame, assignments: DataFrame, keys: tuple[str, ...] =
     """
     own = list(keys)
     cells = dtm.join(assignments.select("doc_id", *own, "topic"), "doc_id").groupBy(*own, "topic", "term").agg(F.sum("n").alias("n"))
+    cells = written(cells, "cells")  # read for the totals, the classes with a term and the scores
     sums = cells.groupBy(*own, "topic").agg(F.sum("n").alias("total"))
     classes = assignments.select(*own, "topic").distinct().join(sums, [*own, "topic"], "left")
     classes = classes.withColumn("total", F.greatest(F.coalesce("total", F.lit(0)), F.lit(1)))

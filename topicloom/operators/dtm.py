@@ -32,9 +32,9 @@ def vocabulary(dtm: DataFrame, n_docs: int | DataFrame, min_df: int = 2, max_df_
 
 
 def build_dtm(docs: DataFrame, min_df: int = 2, max_df_frac: float = 0.95, stopwords: Iterable[str] = (), ngram_range: tuple[int, int] = (1, 1)) -> DataFrame:
-    """Counts of the terms of the vocabulary. The counts of all terms are written once, so texts are taken apart once whatever reads them."""
+    """Counts of the terms of the vocabulary. The counts of all terms are written once, so texts are taken apart once, and so are those that stay, whatever reads them."""
     every = written(counts(docs, stopwords, ngram_range), "counts")
-    return every.join(vocabulary(every, docs, min_df, max_df_frac).select("term"), "term", "left_semi").select("doc_id", "term", "n")
+    return written(every.join(vocabulary(every, docs, min_df, max_df_frac).select("term"), "term", "left_semi").select("doc_id", "term", "n"), "dtm")
 
 
 def cvalue_terms(docs: DataFrame, max_n: int = 4, min_freq: int = 2, threshold: float = 0.0, stopwords: Iterable[str] = (), lowercase_first: bool = True) -> DataFrame:
@@ -47,23 +47,19 @@ def cvalue_terms(docs: DataFrame, max_n: int = 4, min_freq: int = 2, threshold:
         raise ValueError("max_n must be at least 2")
     toks = docs.select(tokens("text", stopwords, lowercase_first).alias("toks"))
     freq = toks.select(F.explode(ngrams(F.col("toks"), 2, max_n, "_")).alias("term")).groupBy("term").agg(F.count("*").alias("freq")).where(F.col("freq") >= min_freq)
-    freq = freq.withColumn("words", F.split("term", "_")).withColumn("n_words", F.size("words"))
-    inner = []
-
-    def run_at(n: int):
-        return lambda i: F.array_join(F.slice("words", i, n), "_")
-
-    for n in range(2, max_n):
-        runs = F.transform(F.sequence(F.lit(1), F.col("n_words") - n + 1), run_at(n))
-        inner.append(freq.where(F.col("n_words") > n).select(F.explode(runs).alias("term"), F.col("freq").alias("outer")))
-    result = freq.select("term", "n_words", "freq")
-    if inner:
-        nested = inner[0]
-        for more in inner[1:]:
-            nested = nested.unionByName(more)
-        result = result.join(nested.groupBy("term").agg(F.avg("outer").alias("outer")), "term", "left")
+    # Written once: what a term is inside of is made of the kept terms, and the texts are not taken apart again for it.
+    freq = written(freq.withColumn("n_words", F.size(F.split("term", "_"))), "phrases")
+    words, n = F.split("term", "_"), F.col("n_words")
+
+    def runs_of(k: int):
+        return F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice(words, i, k), "_"))
+
+    if max_n > 2:
+        inside = F.flatten(F.array(*(F.when(n > k, runs_of(k)).otherwise(F.array().cast("array<string>")) for k in range(2, max_n))))
+        nested = freq.where(n > 2).select(F.explode(inside).alias("term"), F.col("freq").alias("outer"))
+        result = freq.join(nested.groupBy("term").agg(F.avg("outer").alias("outer")), "term", "left")
     else:
-        result = result.withColumn("outer", F.lit(None).cast("double"))
+        result = freq.withColumn("outer", F.lit(None).cast("double"))
     score = F.log2("n_words") * (F.col("freq") - F.coalesce("outer", F.lit(0.0)))
     return result.select("term", F.col("n_words").cast("int"), "freq", score.alias("cvalue")).where(F.col("cvalue") >= threshold)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -21,7 +22,7 @@ from ..operators import hierarchy as H
 from ..operators import metrics as M
 from ..operators import plotdata as V
 from ..sources.corpus import assigned, corpus, paragraphs, planted, table
-from ..sources.tables import shared_dir
+from ..sources.tables import shared_dir, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -116,15 +117,18 @@ class _Base:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.docs = assigned(corpus(spark, sf_dir))
-        self.assignments = self.docs.select("doc_id", "topic", "year", "grp")
 
-    @property
+    @cached_property
+    def assignments(self) -> DataFrame:
+        return written(self.docs.select("doc_id", "topic", "year", "grp"), "assignments")
+
+    @cached_property
     def dtm(self) -> DataFrame:
         return D.build_dtm(self.docs, stopwords=ENGLISH_STOPWORDS)
 
-    @property
+    @cached_property
     def terms(self) -> DataFrame:
-        return CT.c_tf_idf(self.dtm, self.assignments)
+        return written(CT.c_tf_idf(self.dtm, self.assignments), "terms")
 
     @property
     def centroids(self) -> DataFrame:

@@ -9,24 +9,16 @@ from pyspark.sql import functions as F
 
 # The built-in English list, in its usual order.
 ENGLISH_STOPWORDS = (
-    "i me my myself we our ours ourselves you "
-    "your yours yourself yourselves he him his himself "
-    "she her hers herself it its itself they them "
-    "their theirs themselves what which who whom this "
-    "that these those am is are was were be been "
-    "being have has had having do does did doing "
-    "a an the and but if or because as until "
-    "while of at by for with about against between "
-    "into through during before after above below to "
-    "from up down in out on off over under again "
-    "further then once here there when where why how "
-    "all both each few more most other some such "
-    "no nor not only own same so than too very "
-    "can will just should now also however therefore "
-    "thus hence whereas although though yet still "
-    "already since either neither whether via per "
-    "et al eg ie vs s t d ll re ve m"
-).split()
+    "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "your", "yours", "yourself", "yourselves", "he", "him", "his", "himself",
+    "she", "her", "hers", "herself", "it", "its", "itself", "they", "them", "their", "theirs", "themselves", "what", "which", "who", "whom", "this",
+    "that", "these", "those", "am", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "having", "do", "does", "did", "doing",
+    "a", "an", "the", "and", "but", "if", "or", "because", "as", "until", "while", "of", "at", "by", "for", "with", "about", "against", "between",
+    "into", "through", "during", "before", "after", "above", "below", "to", "from", "up", "down", "in", "out", "on", "off", "over", "under", "again",
+    "further", "then", "once", "here", "there", "when", "where", "why", "how", "all", "both", "each", "few", "more", "most", "other", "some", "such",
+    "no", "nor", "not", "only", "own", "same", "so", "than", "too", "very", "can", "will", "just", "should", "now", "also", "however", "therefore",
+    "thus", "hence", "whereas", "although", "though", "yet", "still", "already", "since", "either", "neither", "whether", "via", "per", "et", "al",
+    "eg", "ie", "vs", "s", "t", "d", "ll", "re", "ve", "m",
+)
 
 
 def get_stopwords(language: str = "english") -> list[str]:

@@ -38,6 +38,8 @@ class Cells:
 
     def of(self, x: np.ndarray) -> np.ndarray:
         """The cell of each row."""
+        if len(self.center) == 1:
+            return np.zeros(len(x), np.int64)
         at = np.zeros(len(x), np.int64)
         inner = np.arange(len(x))
         while len(inner):
@@ -59,6 +61,8 @@ class Cells:
 
     def reached(self, x: np.ndarray, bound: np.ndarray) -> np.ndarray:
         """Which cells' balls come within its bound of each row; the bound is widened by what rounding may take."""
+        if len(self.center) == 1:
+            return np.broadcast_to(self.rows > 0, (len(x), 1))
         d = np.maximum((x**2).sum(1)[:, None] + (self.center**2).sum(1)[None, :] - 2 * x @ self.center.T, 0)
         slack = 1e-7 * (1 + np.sqrt((x**2).sum(1)))
         return (np.sqrt(d) - self.radius[None, :] <= (bound + slack)[:, None]) & (self.rows > 0)[None, :]
@@ -124,6 +128,9 @@ def placed(rows: DataFrame, cells: Cells, metric: str = "euclidean") -> DataFram
 def cells_of(rows: DataFrame, metric: str = "euclidean") -> tuple[Cells, DataFrame]:
     """(cells with the balls of all rows, rows (id, v, cell)). rows: id, v, a table that is read several times."""
     n = rows.count()
+    if n <= BLOCK:  # one cell, whatever its ball
+        one = np.zeros((1, 1))
+        return Cells(one, np.zeros(1), np.array([[-1, -1]]), one, np.zeros(1), np.array([n])), rows.select("id", "v", F.lit(0).alias("cell"))
     every = max(1, n // SAMPLE)
     sample = [r["v"] for r in rows.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("v").limit(2 * SAMPLE).collect()]
     dims = len(sample[0]) if sample else 1

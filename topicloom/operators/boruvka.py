@@ -54,12 +54,16 @@ def _jumped(best: DataFrame) -> DataFrame:
     """
     back = best.select(F.col("comp").alias("other"), F.col("other").alias("back"))
     mutual = (F.col("back") == F.col("comp")) & (F.col("comp") < F.col("other"))
-    into = written(best.join(back, "other", "left").select("comp", F.when(mutual, F.col("comp")).otherwise(F.col("other")).alias("into")), "into")
+    return jumped(written(best.join(back, "other", "left").select("comp", F.when(mutual, F.col("comp")).otherwise(F.col("other")).alias("into")), "into"))
+
+
+def jumped(into: DataFrame) -> DataFrame:
+    """(comp, into) with each row's root in place of its parent; roots are their own. A written table, as it is read in each round."""
     while True:
         on = into.select(F.col("comp").alias("into"), F.col("into").alias("on"))
-        jumped = written(into.join(on, "into").select("comp", F.col("on").alias("into"), (F.col("on") != F.col("into")).alias("moved")), "into")
-        into = jumped.select("comp", "into")
-        if jumped.where("moved").isEmpty():
+        further = written(into.join(on, "into").select("comp", F.col("on").alias("into"), (F.col("on") != F.col("into")).alias("moved")), "into")
+        into = further.select("comp", "into")
+        if further.where("moved").isEmpty():
             return into
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import written
 from .boruvka import spanning_tree
+from .condense import tree_labels
 from .kernels import condensed_labels, cut_tree, leaf_labels, linkage, prim
 from .reduce import TooManyRows, nearest_neighbors
 
@@ -44,7 +45,7 @@ def _one_task(df: DataFrame, kernel, max_points: int) -> DataFrame:
 class Hdbscan:
     """Density clusters by excess of mass, or ``leaf`` nodes. Topics begin at 1. ``knn`` names are accepted; all paths are exact.
 
-    Beyond ``max_points`` rows the spanning tree is built in distributed rounds; only its edges, one for each row, meet in one task.
+    Beyond ``max_points`` rows the spanning tree and the condensed tree are built in distributed rounds, with the same labels.
     """
 
     min_pts: int = 10
@@ -67,14 +68,9 @@ class Hdbscan:
 
         if rows.count() <= self.max_points:
             return _one_task(rows, kernel, self.max_points)
-
-        def from_tree(pdf: pd.DataFrame) -> pd.DataFrame:
-            ids = np.unique(np.r_[pdf["u"], pdf["v"]])
-            edges = np.column_stack([np.searchsorted(ids, pdf["u"]), np.searchsorted(ids, pdf["v"]), pdf["w"]]).astype(float)
-            labels = pick(edges[np.lexsort((edges[:, 1], edges[:, 0], edges[:, 2]))], len(ids), least)
-            return pd.DataFrame({"doc_id": ids, "topic": np.where(labels == 0, -1, labels).astype(np.int32)})
-
-        return spanning_tree(rows).withColumn("one", F.lit(0)).groupBy("one").applyInPandas(from_tree, "doc_id long, topic int")
+        rows = written(rows, "rows")
+        points = rows.select(F.col("doc_id").cast("long").alias("id"), F.col("reduced").cast("array<double>").alias("v"))
+        return tree_labels(points, spanning_tree(rows), least, self.method)
 
 
 def _nearest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,4 +1,4 @@
-"""Sequential kernels over arrays: density clustering, linkage, and layout. Each runs in one task or on the driver,
+"""Sequential kernels over arrays: density clustering and linkage. Each runs in one task or on the driver,
 for as many points as its caller allows; the quadratic parts before them are distributed."""
 
 from __future__ import annotations
@@ -180,43 +180,3 @@ def cut_tree(merges: list[tuple[int, int, float, int]], n: int, k: int) -> np.nd
 
     seen: dict[int, int] = {}
     return np.array([seen.setdefault(top(i), len(seen)) for i in range(n)])
-
-
-def umap_layout(neighbors: np.ndarray, distances: np.ndarray, start: np.ndarray, min_dist: float = 0.0, epochs: int = 100, seed: int = 42) -> np.ndarray:
-    """Coordinates from exact neighbours: smooth local scales, fuzzy union, and seeded gradient steps with negative samples."""
-    n, k = neighbors.shape
-    rho = distances[:, 0]
-    lo, hi = np.full(n, 1e-6), np.full(n, 1e3)
-    for _ in range(60):
-        sigma = (lo + hi) / 2
-        total = np.exp(-np.maximum(distances - rho[:, None], 0) / sigma[:, None]).sum(1)
-        hi, lo = np.where(total > np.log2(k), sigma, hi), np.where(total > np.log2(k), lo, sigma)
-    w = np.exp(-np.maximum(distances - rho[:, None], 0) / sigma[:, None])
-    pair: dict[tuple[int, int], float] = {}
-    for i in range(n):
-        for j, x in zip(neighbors[i], w[i], strict=True):
-            a, b = min(i, int(j)), max(i, int(j))
-            old = pair.get((a, b), 0.0)
-            pair[a, b] = old + x - old * x
-    heads, tails = (np.array(x) for x in zip(*pair, strict=True))
-    weight = np.array(list(pair.values()))
-    # The curve 1 / (1 + a d^2b) for min_dist near 0 and spread 1.
-    a, b = (1.577, 0.895) if min_dist >= 0.05 else (1.932, 0.791)
-    y, rng = start.astype(float).copy(), np.random.default_rng(seed)
-    for epoch in range(epochs):
-        rate = 1 - epoch / epochs
-        use = rng.random(len(weight)) < weight / weight.max()
-        i, j = heads[use], tails[use]
-        diff = y[i] - y[j]
-        d2 = (diff**2).sum(1)
-        pull = (-2 * a * b * np.maximum(d2, 1e-12) ** (b - 1) / (1 + a * d2**b))[:, None] * diff
-        pull = np.clip(pull, -4, 4) * rate
-        np.add.at(y, i, pull)
-        np.add.at(y, j, -pull)
-        for _ in range(3):
-            o = rng.integers(0, n, len(i))
-            diff = y[i] - y[o]
-            d2 = (diff**2).sum(1)
-            push = (2 * b / ((0.001 + d2) * (1 + a * d2**b)))[:, None] * diff
-            np.add.at(y, i, np.clip(push, -4, 4) * rate)
-    return y

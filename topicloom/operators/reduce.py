@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -14,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import written
 from .balls import nearest
-from .kernels import umap_layout
+from .layout import fuzzy_edges, laid_out
+
 
 def nearest_neighbors(df: DataFrame, k: int, id_col: str = "doc_id", vector: str = "reduced", metric: str = "euclidean", base: DataFrame | None = None) -> DataFrame:
     """(id, rank, neighbor, distance): the exact k nearest others of each row, or the nearest rows of ``base``, ties by id.
@@ -66,13 +66,13 @@ class TooManyRows(ValueError):
 
 @dataclass
 class UmapReduction:
-    """Neighbours are exact and distributed; the layout is one kernel, so at most ``max_points`` rows are accepted."""
+    """Exact neighbours, their fuzzy graph, and a layout by rounds over blocks of rows, from principal components on. See ``layout``."""
 
     n_neighbors: int = 15
     n_components: int = 5
     min_dist: float = 0.0
     metric: str = "cosine"
-    max_points: int = 50_000
+    epochs: int = 60
     fitted: DataFrame | None = None
     trained: DataFrame | None = None
 
@@ -87,25 +87,13 @@ class UmapReduction:
         return cells.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda c: c["x"]).alias("reduced")).withColumnRenamed("id", "doc_id")
 
     def fit_transform(self, df: DataFrame, seed: int = 42) -> DataFrame:
-        n = df.count()
-        if n > self.max_points:
-            raise TooManyRows(f"{n} rows, over max_points; reduce with PCA or fit on a sample and transform")
-        k = min(self.n_neighbors, n - 1)
+        df = written(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding")), "vectors")
+        k = min(self.n_neighbors, df.count() - 1)
         near = nearest_neighbors(df, k, "doc_id", "embedding", self.metric)
-        start = PcaReduction(self.n_components).fit_transform(df)
-        lists = near.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "neighbor", "distance"))).alias("near"))
-        rows = lists.join(start, lists["id"] == start["doc_id"]).select("doc_id", "near", "reduced")
-        dims, low, rounds = self.n_components, self.min_dist, 60
-
-        def layout(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("doc_id").reset_index(drop=True)
-            at = {d: i for i, d in enumerate(pdf["doc_id"])}
-            nb = np.array([[at[r["neighbor"]] for r in x] for x in pdf["near"]])
-            ds = np.array([[r["distance"] for r in x] for x in pdf["near"]])
-            first = np.stack(pdf["reduced"])[:, :dims]
-            first = first / max(np.abs(first).max(), 1e-12) * 10
-            return pd.DataFrame({"doc_id": pdf["doc_id"], "reduced": list(umap_layout(nb, ds, first, low, rounds, seed))})
-
-        self.trained = df.select("doc_id", "embedding")
-        self.fitted = written(rows.withColumn("__one", F.lit(0)).groupBy("__one").applyInPandas(layout, "doc_id long, reduced array<double>"), "layout")
+        start = written(PcaReduction(self.n_components).fit_transform(df), "start")
+        # Components in a box of 10 each way.
+        wide = start.agg(F.max(F.array_max(F.transform("reduced", F.abs)))).first()[0] or 1.0
+        places = start.select(F.col("doc_id").alias("id"), F.transform("reduced", lambda x: x * F.lit(10 / max(wide, 1e-12))).alias("v"))
+        self.trained = df
+        self.fitted = laid_out(places, fuzzy_edges(near, k), self.min_dist, self.epochs, seed).select(F.col("id").alias("doc_id"), F.col("v").alias("reduced"))
         return self.fitted

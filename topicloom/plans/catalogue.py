@@ -185,9 +185,21 @@ def paragraph_split(spark, sf_dir):
     return paragraphs(docs, 40, 5, 400).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
-@query("SELECT DISTINCT lower(trim(w)) AS word FROM (VALUES ('The'), (' and '), ('the'), (''), ('  '), ('OF')) v(w) WHERE trim(w) <> ''")
+_WORDS = r"lower(regexp_replace(w, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g'))"
+
+
+@query(rf"""WITH v AS (SELECT 'frame' AS origin, unnest(string_split(text, ' ')) AS w FROM documents UNION ALL SELECT 'lines', '  ' || o_orderpriority || ' ' FROM orders UNION ALL SELECT 'tsv', c_mktsegment FROM customer)
+SELECT DISTINCT origin, {_WORDS} AS word FROM v WHERE {_WORDS} <> ''""")
 def stopword_load(spark, sf_dir):
-    return load_stopwords(spark, ["The", " and ", "the", "", "  ", "OF"])
+    """Words of a DataFrame's column, of a text file's lines and of a column of a .tsv file."""
+    import uuid
+
+    path = f"{shared_dir(spark)}/words-{uuid.uuid4().hex}"
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("w"))
+    table(spark, sf_dir, "orders").select(F.concat(F.lit("  "), "o_orderpriority", F.lit(" "))).write.text(f"{path}/words.txt")
+    table(spark, sf_dir, "customer").select("c_name", "c_mktsegment").write.csv(f"{path}/words.tsv", sep="\t", header=True)
+    of = lambda origin, source, column=None: load_stopwords(spark, source, column).select(F.lit(origin).alias("origin"), "word")
+    return of("frame", words, "w").union(of("lines", f"{path}/words.txt")).union(of("tsv", f"{path}/words.tsv", "c_mktsegment"))
 
 
 def _cvalue_sql(max_n: int) -> str:
@@ -512,17 +524,23 @@ def embedding_parity(spark, sf_dir):
     return M.embedding_parity(a, b).select("n", r6("mean_cosine"), r6("min_cosine"), r6("p01_cosine"), r6("max_abs_diff"), "passed")
 
 
-_RESULTS = [(1, 5, 0.2, 0.5, 10.0), (2, 7, 0.6, 0.4, 20.0), (3, 1, 0.9, 0.3, 0.0), (4, 9, 0.6, None, 5.0), (5, 4, None, 0.1, 15.0)]
-_RES = "res AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else f"{x}" for x in r) + ")" for r in _RESULTS) + ") v(run, n_topics, silhouette, separation, noise_pct))"
+# Runs of a sweep are made of customers: a run for each nation, its measures shares of these, some missing.
+_RES = """res AS (SELECT (c_nationkey + 1)::INT AS run, count(DISTINCT c_custkey % 6) FILTER (c_acctbal < 0) AS n_topics, CASE WHEN c_nationkey % 7 <> 3 THEN count(*) FILTER (c_acctbal < 5000) / count(*) END AS silhouette,
+CASE WHEN c_nationkey % 5 <> 4 THEN count(*) FILTER (c_mktsegment = 'BUILDING') / count(*) END AS separation, 100.0::DOUBLE * count(*) FILTER (c_acctbal < 0) / count(*) AS noise_pct FROM customer GROUP BY c_nationkey)"""
 
 
-def _results(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_RESULTS, "run int, n_topics int, silhouette double, separation double, noise_pct double")
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation, share = F.col("c_nationkey"), lambda c: F.count_if(c) / F.count("*")
+    runs = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(
+        F.count_distinct(F.when(F.col("c_acctbal") < 0, F.col("c_custkey") % 6)).cast("int").alias("n_topics"),
+        share(F.col("c_acctbal") < 5000).alias("silhouette"), share(F.col("c_mktsegment") == "BUILDING").alias("separation"), (F.lit(100.0) * F.count_if(F.col("c_acctbal") < 0) / F.count("*")).alias("noise_pct"),
+    )
+    return runs.select((nation + 1).cast("int").alias("run"), "n_topics", F.when(nation % 7 != 3, F.col("silhouette")).alias("silhouette"), F.when(nation % 5 != 4, F.col("separation")).alias("separation"), "noise_pct")
 
 
 @query(f"WITH {_RES} SELECT run::INT AS run, n_topics::INT AS n_topics, silhouette::DOUBLE AS silhouette FROM res WHERE n_topics >= 2 ORDER BY silhouette DESC NULLS LAST, run LIMIT 1")
 def sweep_best(spark, sf_dir):
-    return M.best_run(_results(spark)).select("run", "n_topics", "silhouette")
+    return M.best_run(_results(spark, sf_dir)).select("run", "n_topics", "silhouette")
 
 
 _NORM = f"""{_RES}, norm AS (SELECT run::INT AS run, coalesce((silhouette - min(silhouette) OVER ()) / (max(silhouette) OVER () - min(silhouette) OVER ()), 0.5) AS silhouette,
@@ -532,12 +550,12 @@ _NORM = f"""{_RES}, norm AS (SELECT run::INT AS run, coalesce((silhouette - min(
 @query(f"WITH {_NORM} SELECT run, round(silhouette, 6)::DOUBLE AS silhouette, round(separation, 6)::DOUBLE AS separation, round(noise_pct, 6)::DOUBLE AS noise_pct FROM norm")
 def sweep_normalized(spark, sf_dir):
     cols = ["silhouette", "separation", "noise_pct"]
-    return M.minmax_normalized(_results(spark), cols).select("run", *(r6(c) for c in cols))
+    return M.minmax_normalized(_results(spark, sf_dir), cols).select("run", *(r6(c) for c in cols))
 
 
 @query(f"WITH {_NORM} SELECT run, 'silhouette' AS metric, round(silhouette, 6)::DOUBLE AS value FROM norm UNION ALL SELECT run, 'separation', round(separation, 6)::DOUBLE FROM norm UNION ALL SELECT run, 'noise_pct', round(noise_pct, 6)::DOUBLE FROM norm")
 def v_sweep(spark, sf_dir):
-    return V.sweep_matrix(_results(spark), ["silhouette", "separation", "noise_pct"]).select("run", "metric", r6("value"))
+    return V.sweep_matrix(_results(spark, sf_dir), ["silhouette", "separation", "noise_pct"]).select("run", "metric", r6("value"))
 
 
 # Time, flows, groups.

@@ -256,7 +256,7 @@ def v_quality(spark, sf_dir):
 
 @query(f"WITH {C._RES}, best AS (SELECT run FROM res WHERE n_topics >= 2 ORDER BY silhouette DESC NULLS LAST, run LIMIT 1) SELECT run::INT AS run, 'n_topics=' || n_topics AS label, run = (SELECT run FROM best) AS best FROM res")
 def v_sweep_rows(spark, sf_dir):
-    return V.sweep_rows(C._results(spark), ["n_topics"])
+    return V.sweep_rows(C._results(spark, sf_dir), ["n_topics"])
 
 
 # Streams.

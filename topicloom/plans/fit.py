@@ -19,7 +19,7 @@ from ..operators.ctfidf import c_tf_idf, topic_labels, topic_sizes
 from ..operators.dtm import build_dtm, cvalue_dtm, pos_dtm
 from ..operators.dynamics import flow_status, flow_transitions, period_centroids
 from ..operators.embed import embed_texts
-from ..operators.reduce import PcaReduction, TooManyRows
+from ..operators.reduce import PcaReduction, TooManyRows, UmapReduction
 from ..sources.tables import written
 
 
@@ -204,9 +204,10 @@ def quality(fit: TopicFit, top_n: int = 10) -> DataFrame:
     return out
 
 
-def sweep_topics(docs: DataFrame, embeddings: dict[str, DataFrame], n_components: tuple[int, ...] = (5, 10), min_pts: tuple[int, ...] = (5, 10, 20), n_neighbors: tuple[int, ...] = (15,), min_topics: int = 2, make_reducer=None, seed: int = 42, encoders: dict | None = None, ngram_range: tuple[tuple[int, int], ...] = ((1, 1),), sample_size: int | None = None) -> DataFrame:
+def sweep_topics(docs: DataFrame, embeddings: dict[str, DataFrame], n_components: tuple[int, ...] = (5, 10), min_pts: tuple[int, ...] = (5, 10, 20), n_neighbors: tuple[int, ...] | None = None, min_topics: int = 2, make_reducer=None, seed: int = 42, encoders: dict | None = None, ngram_range: tuple[tuple[int, int], ...] = ((1, 1),), sample_size: int | None = None) -> DataFrame:
     """A row for each fit of the grid: run, its parameters, quality, and error where it failed. The first factor varies fastest.
 
+    Reductions are by ``make_reducer``, else by UMAP where ``n_neighbors`` are given, else by principal components, which have none (the column says 15).
     encoders (name to encoder) add models whose vectors are made here. With ``sample_size``, that many documents, taken by a
     hash of their id and the seed, are fitted. Counts, vectors and reductions that runs share are made once.
     """
@@ -222,7 +223,7 @@ def sweep_topics(docs: DataFrame, embeddings: dict[str, DataFrame], n_components
     for grams in ngram_range:
         for pts in min_pts:
             for dims in n_components:
-                for near in n_neighbors:
+                for near in n_neighbors or (15,):
                     for model, vectors in embeddings.items():
                         run += 1
                         row = {"run": run, "model": model, "n_neighbors": near, "n_components": dims, "min_pts": pts, "ngram_max": grams[1], "error": None}
@@ -230,13 +231,13 @@ def sweep_topics(docs: DataFrame, embeddings: dict[str, DataFrame], n_components
                             if grams not in counted:
                                 counted[grams] = written(build_dtm(docs, stopwords=ENGLISH_STOPWORDS, ngram_range=grams), "dtm")
                             if (key := (model, near, dims)) not in reductions:
-                                reducer = make_reducer(near, dims) if make_reducer else PcaReduction(dims)
+                                reducer = make_reducer(near, dims) if make_reducer else UmapReduction(near, dims) if n_neighbors else PcaReduction(dims)
                                 reductions[key] = written(reducer.fit_transform(vectors, seed), "reduced")
                             fit = fit_topics(docs, embeddings=vectors, clusterer=Hdbscan(pts), seed=seed, reduced=reductions[key], dtm=counted[grams])
                             row |= quality(fit).first().asDict()
                         except TooManyRows:
                             raise
-                        except Exception as error:  # noqa: BLE001  a run that fails is a result too
+                        except ValueError as error:  # a fit that its input makes impossible is a result too; an engine's failure is not
                             row["error"] = f"{type(error).__name__}: {error}"[:500]
                             last = error
                         out.append(row)
@@ -257,7 +258,7 @@ def stability_runs(embeddings: DataFrame, seeds: list[int], make_clusterer, redu
             runs.append(written(make_clusterer().fit_predict(reduced, seed).select(F.lit(i).alias("run"), "doc_id", "topic"), "run"))
         except TooManyRows:
             raise
-        except Exception as error:  # noqa: BLE001
+        except ValueError as error:
             warnings.warn(f"run {i} failed: {type(error).__name__}: {error}", stacklevel=2)
             last = error
     if len(runs) < 2:
@@ -282,7 +283,7 @@ def fit_topics_over_time(docs: DataFrame, embeddings: DataFrame, time: str, min_
             part = fit.rows.withColumn("period", F.lit(period))
         except TooManyRows:
             raise
-        except Exception as error:  # noqa: BLE001
+        except ValueError as error:
             warnings.warn(f"period {period} left out: {type(error).__name__}: {error}", stacklevel=2)
             last = error
             continue

@@ -76,31 +76,3 @@ def embed_chunks(df: DataFrame, encoder: Encoder, max_words: int = 254, overlap:
     chunks = df.select("doc_id", F.explode(F.transform(starts, lambda s: F.array_join(F.slice(words, s, max_words), " "))).alias("text"))
     means = mean_vector(embed_texts(chunks, encoder, normalize=False), ["doc_id"], "embedding", "embedding")
     return means.withColumn("embedding", l2_normalize("embedding")) if normalize else means
-
-
-def wordpiece(vocab: list[str], lowercase: bool = True, max_length: int = 512) -> Callable[[str], list[str]]:
-    """A greedy longest-match tokenizer that wraps its pieces in [CLS] and [SEP]."""
-    if missing := [t for t in ("[CLS]", "[SEP]", "[PAD]", "[UNK]") if t not in vocab]:
-        raise ValueError(f"the vocabulary lacks {missing}")
-    known = set(vocab)
-
-    def pieces(word: str) -> list[str]:
-        out, start = [], 0
-        while start < len(word):
-            for end in range(len(word), start, -1):
-                piece = ("##" if start else "") + word[start:end]
-                if piece in known:
-                    out.append(piece)
-                    start = end
-                    break
-            else:
-                return ["[UNK]"]
-        return out
-
-    def tokenize(text: str) -> list[str]:
-        import re
-
-        words = re.findall(r"\w+|[^\w\s]", text.lower() if lowercase else text)
-        return ["[CLS]", *[p for w in words for p in pieces(w)][: max_length - 2], "[SEP]"]
-
-    return tokenize

@@ -16,6 +16,7 @@ from ..operators import metrics as M
 from ..operators import plotdata as V
 from ..operators.cluster import Hdbscan, KMeansClustering
 from ..operators.embed import ApiEncoder, embed_chunks, embed_texts
+from ..operators.wordpiece import SPECIAL, wordpiece_tokens
 from ..operators.reduce import NoReduction
 from ..sources import storage
 from ..sources.corpus import read_csv_corpus, sample_rows, table
@@ -129,6 +130,28 @@ def embed_first_chunk(spark, sf_dir):
     return _flat(embed_chunks(_docs(spark, sf_dir), Measures(), 64, 16, "first"))
 
 
+# A vocabulary of the benchmark's words, their last three letters and all single characters.
+_VOCAB = r"""bw AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark), ch AS (SELECT DISTINCT unnest(string_split(lower(text), '')) AS c FROM documents),
+vocab AS (SELECT w AS piece FROM bw UNION SELECT '##' || right(w, 3) FROM bw UNION SELECT c FROM ch UNION SELECT '##' || c FROM ch WHERE c ~ '[a-m]')"""
+
+
+@query(rf"""WITH RECURSIVE {_VOCAB}, d AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[!-/:-@\[-`{{-~]|[^!-/:-@\[-`{{-~\s]+') AS ws FROM documents),
+u AS (SELECT DISTINCT unnest(ws) AS word FROM d),
+best AS (SELECT word, s, max(n) AS n FROM (SELECT word, s, unnest(range(1, len(word) - s + 2)) AS n FROM (SELECT word, unnest(range(1, len(word) + 1)) AS s FROM u)) t JOIN vocab ON piece = CASE WHEN s > 1 THEN '##' ELSE '' END || substr(word, s, n) GROUP BY word, s),
+walk AS (SELECT word, 1 AS s, []::VARCHAR[] AS p FROM u UNION ALL SELECT w.word, w.s + n, list_append(p, CASE WHEN w.s > 1 THEN '##' ELSE '' END || substr(w.word, w.s, n)) FROM walk w JOIN best b ON b.word = w.word AND b.s = w.s),
+done AS (SELECT word, p FROM walk WHERE s > len(word)), wp AS (SELECT word, CASE WHEN p IS NULL OR len(word) > 100 THEN ['[UNK]'] ELSE p END AS p FROM u LEFT JOIN done USING (word)),
+o AS (SELECT doc_id, pos, ws[pos] AS word FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS pos FROM d) q),
+t AS (SELECT doc_id, string_agg(array_to_string(p, ' '), ' ' ORDER BY pos) AS t, sum(len(p)) AS n FROM o JOIN wp USING (word) GROUP BY doc_id)
+SELECT doc_id, (coalesce(n, 0) + 2)::INT AS n, md5('[CLS] ' || coalesce(t || ' ', '') || '[SEP]') AS digest FROM d LEFT JOIN t USING (doc_id)""")
+def wordpiece(spark, sf_dir):
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("w"))
+    chars = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(F.split(F.lower("text"), ""))).alias("c"))
+    pieces = words.select("w").union(words.select(F.concat(F.lit("##"), F.substring("w", -3, 3)))).union(chars).union(chars.where(F.col("c").rlike("[a-m]")).select(F.concat(F.lit("##"), "c")))
+    vocab = pieces.distinct().select(F.col("w").alias("piece")).where("piece <> ''").union(spark.createDataFrame([(t,) for t in SPECIAL], "piece string"))
+    tokens = wordpiece_tokens(_docs(spark, sf_dir), vocab.select("piece", F.pmod(F.xxhash64("piece"), F.lit(2**31 - 1)).alias("id")))
+    return tokens.select("doc_id", F.size("tokens").alias("n"), F.md5(F.array_join("tokens", " ").cast("binary")).alias("digest"))
+
+
 _LOGITS = f"l AS (SELECT doc_id, list_transform({_V}, lambda x: x / 1000) AS l FROM documents)"
 
 

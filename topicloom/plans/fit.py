@@ -6,6 +6,7 @@ import warnings
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 
+from pyspark.errors import IllegalArgumentException, PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,6 +24,13 @@ from ..operators.reduce import PcaReduction, TooManyRows, UmapReduction
 from ..sources.tables import written
 
 
+def _own_failure(error: Exception) -> bool:
+    """Whether a fit failed by its own input or parameters, which is a result of that run, and not by Spark or by rows over a cap."""
+    if isinstance(error, TooManyRows | PySparkException):
+        return isinstance(error, IllegalArgumentException)
+    return isinstance(error, ValueError | RuntimeError)
+
+
 @dataclass(frozen=True)
 class CValueRepresentation:
     max_n: int = 4
@@ -235,9 +243,9 @@ def sweep_topics(docs: DataFrame, embeddings: dict[str, DataFrame], n_components
                                 reductions[key] = written(reducer.fit_transform(vectors, seed), "reduced")
                             fit = fit_topics(docs, embeddings=vectors, clusterer=Hdbscan(pts), seed=seed, reduced=reductions[key], dtm=counted[grams])
                             row |= quality(fit).first().asDict()
-                        except TooManyRows:
-                            raise
-                        except ValueError as error:  # a fit that its input makes impossible is a result too; an engine's failure is not
+                        except Exception as error:
+                            if not _own_failure(error):
+                                raise
                             row["error"] = f"{type(error).__name__}: {error}"[:500]
                             last = error
                         out.append(row)
@@ -256,9 +264,9 @@ def stability_runs(embeddings: DataFrame, seeds: list[int], make_clusterer, redu
         try:
             reduced = (reducer or PcaReduction(5)).fit_transform(embeddings, seed)
             runs.append(written(make_clusterer().fit_predict(reduced, seed).select(F.lit(i).alias("run"), "doc_id", "topic"), "run"))
-        except TooManyRows:
-            raise
-        except ValueError as error:
+        except Exception as error:
+            if not _own_failure(error):
+                raise
             warnings.warn(f"run {i} failed: {type(error).__name__}: {error}", stacklevel=2)
             last = error
     if len(runs) < 2:
@@ -281,9 +289,9 @@ def fit_topics_over_time(docs: DataFrame, embeddings: DataFrame, time: str, min_
         try:
             fit = fit_topics(own, embeddings=vectors, **options)
             part = fit.rows.withColumn("period", F.lit(period))
-        except TooManyRows:
-            raise
-        except ValueError as error:
+        except Exception as error:
+            if not _own_failure(error):
+                raise
             warnings.warn(f"period {period} left out: {type(error).__name__}: {error}", stacklevel=2)
             last = error
             continue

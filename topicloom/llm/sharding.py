@@ -36,6 +36,10 @@ class Splitters:
     rounds: int
 
 
+#: Columns that the operator adds and takes away again.
+_WORKING = ("__h", "__d", "__piece", "__n", "__base")
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     key_id = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
@@ -115,8 +119,15 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
     texts share a shard unless that would move a boundary by more than ``group_tolerance`` of a shard; then
     rows of one text are split by their ids. Rows that repeat both text and id cannot be told apart and
     stay together. slot numbers the rows of a shard from 0 without gaps. An empty table gives an empty
-    one. Reruns give the same shards. Names that begin with two underscores are reserved.
+    one. Reruns give the same shards. Columns may have any other name, those of the operator's own working columns too.
     """
+    if clash := [c for c in docs.columns if c.lower() in _WORKING]:
+        prefix = "__kept"
+        while any(c.lower().startswith(prefix) for c in docs.columns):
+            prefix += "_"
+        away = {c: f"{prefix}{i}" for i, c in enumerate(clash)}
+        out = shard_by_bytes(docs.withColumnsRenamed(away), shards, away.get(id_col, id_col), away.get(text_col, text_col), tolerance, group_tolerance)
+        return out.withColumnsRenamed({v: k for k, v in away.items()})
     spark = docs.sparkSession
     store = Store(spark, "sharding")
     docs = docs.drop(*(c for c in docs.columns if c in ("size", "text_crc32", "law", "shard", "slot")))

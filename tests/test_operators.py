@@ -118,10 +118,10 @@ def test_row_caps_are_no_skips(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, year int, embedding array<double>")
     vectors = docs.select("doc_id", "embedding")
     with pytest.raises(ValueError, match="max_points"):
-        fit.fit_topics_over_time(docs, vectors, "year", reducer=PcaReduction(2), clusterer=Agglomerative(2, max_points=10))
+        fit.fit_topics_over_time(docs, vectors, "year", reducer=PcaReduction(2), clusterer=Agglomerative(2, "average", max_points=10))
     with pytest.raises(ValueError, match="max_points"):
         caps = iter((30, 10))
-        fit.stability_runs(vectors, [1, 2], lambda: Agglomerative(2, max_points=next(caps)), PcaReduction(2))
+        fit.stability_runs(vectors, [1, 2], lambda: Agglomerative(2, "average", max_points=next(caps)), PcaReduction(2))
 
 
 @pytest.mark.parametrize("method", ["eom", "leaf"])

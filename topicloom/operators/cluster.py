@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import written
+from .agglomerate import TAIL, single_cut, ward_cut, ward_merges
 from .boruvka import spanning_tree
 from .condense import tree_labels
 from .kernels import condensed_labels, cut_tree, leaf_labels, linkage, prim
@@ -173,7 +174,11 @@ class KMeansClustering:
 
 @dataclass
 class Agglomerative:
-    """``k`` clusters of a linkage on Euclidean distances; topics from 0 by first appearance in id order."""
+    """``k`` clusters of a linkage on Euclidean distances; topics from 0 by first appearance in id order.
+
+    ``ward.D2`` and ``single`` take any number of rows: beyond ``TAIL`` they go in distributed rounds, with the same clusters. Other
+    linkages need all distances at once and refuse more than ``max_points`` rows.
+    """
 
     k: int
     linkage: str = "ward.D2"
@@ -181,6 +186,9 @@ class Agglomerative:
 
     def fit_predict(self, df: DataFrame, seed: int = 42) -> DataFrame:
         how, k = self.linkage, self.k
+        if how in ("ward.D2", "single") and df.count() > TAIL:
+            rows = written(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("reduced").cast("array<double>").alias("reduced")), "rows")
+            return single_cut(rows, k) if how == "single" else ward_cut(rows, ward_merges(rows), k)
 
         def kernel(pdf: pd.DataFrame) -> np.ndarray:
             x = np.stack(pdf["reduced"])

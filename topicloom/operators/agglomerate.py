@@ -36,7 +36,7 @@ def _tie(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 
 def _best(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], bound: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """(row of x, squared height, tie, lo, hi) of each row's nearest in y within its bound. x, y: ids, means, sizes.
+    """(row of x, squared height, tie, lo, hi) of each row's nearest in y within its bound. x, y: ids, means, sizes; the same or disjoint.
 
     The product only finds candidates; their heights are made so that both ends of a pair get the same bits.
     """
@@ -44,14 +44,19 @@ def _best(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], bound: np.ndarra
     middle = p.mean(0)
     a, b = p - middle, q - middle
     norm, norm_b = (a**2).sum(1), (b**2).sum(1)
-    d = norm[:, None] + norm_b[None, :] - 2 * a @ b.T
-    slack = 1e-12 * (norm[:, None] + norm_b.max(initial=0))
-    weight = 2 * s[:, None] * t[None, :] / (s[:, None] + t[None, :])
-    low, high = weight * np.maximum(d - slack, 0), weight * (np.maximum(d, 0) + slack)
-    low[ids[:, None] == far[None, :]] = high[ids[:, None] == far[None, :]] = np.inf
-    most = high.min(1, initial=np.inf)
-    most = most if bound is None else np.minimum(most, bound)
-    i, j = np.nonzero((low <= most[:, None]) & np.isfinite(low))
+    d = a @ (-2 * b.T)
+    d += norm[:, None]
+    d += norm_b[None, :]
+    np.maximum(d, 0, out=d)
+    if (s != 1).any() or (t != 1).any():
+        d *= 2 / (1 / s[:, None] + 1 / t[None, :])
+    if ids is far:
+        np.fill_diagonal(d, np.inf)
+    # What rounding may have moved: no weight of a row is over twice the lesser of its size and the largest other one.
+    slack = 2e-12 * (norm + norm_b.max(initial=0)) * 2 * np.minimum(s, t.max(initial=1))
+    most = d.min(1, initial=np.inf)
+    most = (most if bound is None else np.minimum(most, bound)) + slack
+    i, j = np.nonzero((d <= most[:, None] + slack[:, None]) & np.isfinite(d))
     exact = np.zeros(len(i))
     for dim in range(p.shape[1]):
         exact += (p[i, dim] - q[j, dim]) ** 2

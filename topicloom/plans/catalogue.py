@@ -819,6 +819,14 @@ def agglomerative_planted(spark, sf_dir):
     return _canonical(Agglomerative(10).fit_predict(_planted(spark, sf_dir)))
 
 
+@query(_CANONICAL)
+def ward_merges_planted(spark, sf_dir):
+    from ..operators.agglomerate import ward_cut, ward_merges
+
+    rows = _planted(spark, sf_dir).select("doc_id", "reduced")
+    return _canonical(ward_cut(rows, ward_merges(rows), 10))
+
+
 # Kernels and whole fits, whose numbers SQL does not give.
 
 

@@ -18,7 +18,7 @@ from ..operators.cluster import Hdbscan, KMeansClustering
 from ..operators.embed import ApiEncoder, embed_chunks, embed_texts
 from ..operators.wordpiece import SPECIAL, wordpiece_tokens
 from ..operators.reduce import NoReduction
-from ..sources import storage
+from ..sources import storage, weights
 from ..sources.corpus import read_csv_corpus, sample_rows, table
 from ..sources.tables import shared_dir
 from ..streaming.assign import topic_counts
@@ -88,6 +88,20 @@ def embeddings_roundtrip_csv(spark, sf_dir):
     return storage.load_embeddings(spark, path).select("doc_id", F.posexplode("embedding").alias("dim", "value")).select("doc_id", "dim", r6("value"))
 
 
+@query("SELECT vec_id AS doc_id, i::INT - 1 AS dim, embedding[i]::DOUBLE AS value FROM embeddings, range(1, 65) r(i)")
+def embeddings_tensor_files(spark, sf_dir):
+    path = _folder(spark, "tensors")
+    weights.save_vectors(table(spark, sf_dir, "embeddings"), path, "vec_id")
+    return weights.load_vectors(spark, path).select("doc_id", F.posexplode("embedding").alias("dim", "value"))
+
+
+@query("SELECT 'ids' AS name, 'I64' AS dtype, count(*) AS n, 8 * count(*) AS n_bytes FROM embeddings UNION ALL SELECT 'vectors', 'F32', count(*), 4 * sum(len(embedding))::BIGINT FROM embeddings")
+def embeddings_tensor_headers(spark, sf_dir):
+    path = _folder(spark, "tensors")
+    weights.save_vectors(table(spark, sf_dir, "embeddings"), path, "vec_id", file_rows=100)
+    return weights.tensors(spark, path).groupBy("name", "dtype").agg(F.sum(F.col("shape")[0]).alias("n"), F.sum(F.col("end") - F.col("start")).alias("n_bytes"))
+
+
 @query("SELECT count(*) AS n, count(DISTINCT doc_id) AS ids, count(*) FILTER (WHERE inside) AS known FROM (SELECT doc_id, true AS inside FROM documents LIMIT 50)")
 def sampled_rows(spark, sf_dir):
     """The sample is checked by its size and by that each row of it is a document."""

@@ -1,5 +1,6 @@
 """Operators on corpora small enough to work out by hand, and kernels against plain versions."""
 
+import json
 import math
 
 import numpy as np
@@ -108,6 +109,40 @@ def test_fit_errors(spark):
         zero_shot_topics(docs, ["one"], None)
 
 
+def test_comparison_without_cells_warns(spark):
+    df = spark.createDataFrame([(i % 2, "ab"[i % 3 == 0]) for i in range(6)], "topic int, grp string")
+    with pytest.warns(UserWarning, match="min_count"):
+        assert dynamics.compare_topics(df).count() == 0
+    assert dynamics.compare_topics(df, min_count=1).count() == 4
+
+
+def test_a_save_that_breaks_off_leaves_the_earlier_fit(spark, tmp_path):
+    from topicloom.sources import storage
+
+    class Fit:
+        params, assignments = {"k": 1}, spark.range(3).toDF("doc_id")
+
+        def __init__(self, **more):
+            self.more = more
+
+        def tables(self):
+            return {"a": spark.range(2), **self.more}
+
+        def summary(self):
+            return {"n": 3}
+
+    def read():
+        meta = json.loads(spark.read.text(f"{tmp_path}/metadata").first()["value"])
+        return {t: spark.read.parquet(f"{tmp_path}/{meta['folder']}/{t}").count() for t in meta["tables"]}
+
+    storage.save_fit(Fit(b=spark.range(5)), str(tmp_path))
+    assert read() == {"a": 2, "b": 5}
+    broken = spark.range(4).selectExpr("raise_error('broken') AS x")
+    with pytest.raises(Exception, match="broken"):
+        storage.save_fit(Fit(b=broken), str(tmp_path))
+    assert read() == {"a": 2, "b": 5}
+
+
 def test_row_caps_are_no_skips(spark):
     """A table over max_points stops a fit by period and repeated runs; none of its rows go missing quietly."""
     from topicloom.operators.cluster import Agglomerative

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, l2_normalize, mean_vector
+from ..sources.tables import written
 from .ctfidf import class_scores, l1_normalized, top_terms
 
 
@@ -132,10 +134,16 @@ def contingency(df: DataFrame, a: str = "topic", b: str = "grp") -> DataFrame:
 
 
 def compare_topics(df: DataFrame, group: str = "grp", method: str = "chi2", min_count: float = 5) -> DataFrame:
-    """(topic, group, observed, expected, stat) of cells expected at least ``min_count`` times."""
+    """(topic, group, observed, expected, stat) of cells expected at least ``min_count`` times; warns where there is none.
+
+    The counts of cells are written once, so the check for the warning costs no second pass over the rows.
+    """
     if method not in ("chi2", "log_ratio"):
         raise ValueError(f"unknown method {method!r}")
-    cells = contingency(df, "topic", group).withColumn("expected", F.col("row_total") * F.col("col_total") / F.col("total")).where(F.col("expected") >= min_count)
+    cells = contingency(df, "topic", group).withColumn("expected", F.col("row_total") * F.col("col_total") / F.col("total"))
+    cells = written(cells.where(F.col("expected") >= min_count), "cells")
+    if cells.isEmpty():
+        warnings.warn(f"no cell of a topic and a group is expected {min_count} times; lower min_count", stacklevel=2)
     o, e = F.col("observed"), F.col("expected")
     stat = F.signum(o - e) * F.sqrt((o - e) * (o - e) / e) if method == "chi2" else F.log2(((o + 0.5) / (F.col("row_total") + 1)) / (F.col("col_total") / F.col("total")))
     return cells.select("topic", group, "observed", F.bround("expected", 1).alias("expected"), F.bround(stat, 4).alias("stat"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,12 +50,17 @@ def export_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def save_fit(fit, path: str, include_embeddings: bool = True, include_dtm: bool = True) -> None:
-    """A Parquet table for each part of the fit, and metadata.json's content as a text table."""
+    """A Parquet table for each part of the fit, and metadata.json's content as a text table.
+
+    Tables go to a folder of their own and the metadata, which names that folder, is written last: a save that breaks off leaves
+    either the earlier fit or none, never parts of both. Folders of earlier saves stay until the caller removes them, as readers may hold them.
+    """
     skip = {"embeddings": include_embeddings, "dtm": include_dtm}
     tables = {k: v for k, v in fit.tables().items() if skip.get(k, True)}
+    folder = f"fit-{uuid.uuid4().hex}"
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-    meta = fit.summary() | {"tables": sorted(tables), "params": fit.params}
+        df.write.parquet(f"{path}/{folder}/{name}")
+    meta = fit.summary() | {"tables": sorted(tables), "params": fit.params, "folder": folder}
     spark = fit.assignments.sparkSession
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
 
@@ -63,4 +69,6 @@ def load_fit(spark: SparkSession, path: str):
     from ..plans.fit import TopicFit
 
     meta = json.loads(spark.read.text(f"{path}/metadata").first()["value"])
-    return TopicFit.from_tables({name: spark.read.parquet(f"{path}/{name}") for name in meta["tables"]}, meta["params"])
+    # Fits saved before there were folders have their tables beside the metadata.
+    base = f"{path}/{meta['folder']}" if meta.get("folder") else path
+    return TopicFit.from_tables({name: spark.read.parquet(f"{base}/{name}") for name in meta["tables"]}, meta["params"])

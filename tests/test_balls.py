@@ -87,6 +87,22 @@ def test_few_cells_are_visited(spark, monkeypatch):
     assert (sum(asked) + more) / (6000 * len(homes)) < 0.15
 
 
+def test_rows_are_sent_to_regions(spark, monkeypatch):
+    """A row is sent to a few regions however many cells it has to look in; a cell of many rows is several units, and no neighbour is lost."""
+    monkeypatch.setattr(balls, "BLOCK", 16)
+    points = np.concatenate([np.random.default_rng(4).normal(size=(1400, 6)), np.full((600, 6), 0.1)])
+    rows = frame(spark, points).select(F.col("doc_id").alias("id"), F.col("reduced").alias("v"))
+    found = balls.nearest(rows, 5)
+    want = plainly((np.arange(2000), points), (np.arange(2000), points), 5, "euclidean", True)
+    assert {(r.id, r["rank"]): (r.neighbor, r.distance) for r in found.collect()} == want
+    cells, table = balls.cells_of(rows)
+    first, many, _ = cells.regions()
+    assert many.max() > 1 and len(cells.rows) > 30
+    homes = cells.homes(6)
+    every, sent = (balls.visits(table, found, cells, homes, 5, "euclidean", by_unit).count() / 2000 for by_unit in (False, True))
+    assert every > 10 and sent < every / 2 and (first + many).max() <= 16
+
+
 def test_pointer_jumping(spark):
     """A long chain of chosen edges ends in its pair, as a tree does."""
     chain = [(i, i - 1) for i in range(1, 300)] + [(0, 1)] + [(1000 + i, 1000) for i in range(1, 40)] + [(1000, 1001)]

@@ -52,3 +52,22 @@ def test_token_chunks(spark):
     assert got[1] == [1, 1]
     first = {r.doc_id: list(r.embedding) for r in embed_token_chunks(docs, Lengths(), vocabulary(spark), 4, strategy="first", normalize=False).collect()}
     assert first[0] == [6, 2]
+
+
+def test_a_chunk_asks_for_a_word_once(spark):
+    """What meets the vocabulary and comes back is a chunk's distinct words, not the words of each document; empty and null texts stay."""
+    from pyspark.sql import functions as F
+
+    from topicloom.operators import wordpiece as WP
+
+    texts = ["the cat the cat"] * 50 + ["", None, "dog"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    words = docs.select("doc_id", WP.basic_words(F.col("text")).alias("words"))
+    for most, n in ((1000, 1), (40, 6)):
+        chunks = WP._chunks(words, most).collect()
+        assert len(chunks) == n and [i for c in chunks for i in c["ids"]] == list(range(53))
+        assert all(len(c["words"]) <= 3 and len(c["codes"]) == 4 * sum(c["sizes"]) for c in chunks)
+    vocab = spark.createDataFrame([(p, i) for i, p in enumerate([*WP.SPECIAL, "the", "c", "##at"])], "piece string, id int")
+    got = {r.doc_id: r.tokens for r in WP.wordpiece_tokens(docs, vocab).collect()}
+    assert len(got) == 53 and got[0] == ["[CLS]", "the", "c", "##at", "the", "c", "##at", "[SEP]"]
+    assert got[50] == got[51] == ["[CLS]", "[SEP]"] and got[52] == ["[CLS]", "[UNK]", "[SEP]"]

@@ -78,3 +78,24 @@ def test_k_over_the_number_of_points(spark, small):
 def test_other_linkages_keep_their_cap(spark):
     with pytest.raises(ValueError, match="max_points"):
         Agglomerative(2, "average", max_points=3).fit_predict(_table(spark, np.arange(8.0).reshape(4, 2)))
+
+
+def test_groups_merge_on_by_themselves(spark, small, monkeypatch):
+    """A chain whose gaps grow has one reciprocal pair at a time: groups of clusters go through theirs in a few rounds, with the kernel's heights."""
+    x = np.cumsum(1.03 ** np.arange(180))[:, None] * [[1.0, 0.5]]
+    rounds, write = [], agglomerate.written
+    monkeypatch.setattr(agglomerate, "written", lambda df, name: rounds.append(name) or write(df, name))
+    merges = agglomerate.ward_merges(_table(spark, x[np.random.default_rng(2).permutation(180)])).collect()
+    assert rounds.count("placed") <= 8
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    assert np.allclose(sorted(r["height"] for r in merges), [m[2] for m in linkage(d)])
+
+
+def test_pairs_of_groups_merge(spark, small, monkeypatch):
+    """Groups that cut through even clouds: pairs across them and what the groups find inside make the kernel's dendrogram."""
+    monkeypatch.setattr(agglomerate, "VISITORS", 16)
+    monkeypatch.setattr(agglomerate, "CHUNK", 1000)
+    x = np.random.default_rng(8).normal(size=(300, 5))
+    merges = agglomerate.ward_merges(_table(spark, x)).collect()
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    assert np.allclose(sorted(r["height"] for r in merges), [m[2] for m in linkage(d)])

@@ -23,6 +23,19 @@ def test_dtm(spark):
     assert got == {(1, "cat"): 1, (2, "cat"): 1, (3, "cat"): 1, (2, "dog"): 1, (3, "dog"): 1}
 
 
+def test_cvalue_deals_longest_runs(spark, monkeypatch):
+    """Of each place one run is exchanged, by its first two words, and all runs are counted where these meet; texts of few words and none have theirs."""
+    seen, write = [], dtm.written
+    monkeypatch.setattr(dtm, "written", lambda df, name: seen.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name))
+    texts = ["aa bb cc dd ee", "aa bb cc", "bb cc", "aa", "", None, "xx aa bb cc dd"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for most in (2, 3, 4):
+        grams = [" ".join(t.split()[i : i + n]) for t in texts if t for n in range(2, most + 1) for i in range(len(t.split()) - n + 1)]
+        want = {g.replace(" ", "_"): grams.count(g) for g in grams if grams.count(g) > 1}
+        assert {r.term: r.freq for r in dtm.cvalue_terms(docs, max_n=most, threshold=-99.0).collect()} == want
+    assert all(p.count("Exchange hashpartitioning") == 1 and "hashpartitioning(substring_index(run" in p for p in seen)
+
+
 def test_cvalue(spark):
     docs = spark.createDataFrame([(1, "sea level rise and climate change"), (2, "sea level is rising"), (3, "climate change impacts sea level"), (4, "arctic ice melt sea level rise")], "doc_id long, text string")
     got = {r.term: r.cvalue for r in dtm.cvalue_terms(docs, max_n=3).collect()}

@@ -108,3 +108,13 @@ def test_pointer_jumping(spark):
     chain = [(i, i - 1) for i in range(1, 300)] + [(0, 1)] + [(1000 + i, 1000) for i in range(1, 40)] + [(1000, 1001)]
     got = {r.comp: r["into"] for r in _jumped(spark.createDataFrame(chain, "comp long, other long")).collect()}
     assert got == {c: 0 if c < 1000 else 1000 for c, _ in chain}
+
+
+def test_cells_do_not_cut_through_clusters():
+    """Of ten clusters apart from one another each cell holds rows of one alone."""
+    rng = np.random.default_rng(4)
+    label = rng.integers(0, 10, 4000)
+    x = rng.normal(scale=0.3 / np.sqrt(32), size=(4000, 32)) + np.eye(32)[label]
+    own = balls.fit_cells(x, 20).of(x)
+    assert len(set(own)) == 20
+    assert all(len(set(label[own == c])) == 1 for c in set(own))
